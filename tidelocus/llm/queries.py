@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import sha256
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+TOKENIZER = "byte_bpe_50k.json"
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,6 +32,38 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: bytes, tokens, and whether these are over 512."""
+    import public_tokenizers
+
+    from .token_cache import add_token_counts
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = add_token_counts(docs.withColumn("n_bytes", F.octet_length(F.coalesce("text", F.lit(""))).cast("long")), public_tokenizers.path(TOKENIZER))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: number and digest of its ids, and the digest of the text decoded from them."""
+    import public_tokenizers
+
+    from .bpe import load
+    from .shared import add_columns
+
+    path = public_tokenizers.path(TOKENIZER)
+
+    def make(batch: pa.RecordBatch) -> list[pa.Array]:
+        codec = load(path)
+        ids, bounds = codec.encode(batch.column("text"))
+        raw, at = ids.astype("<u4").tobytes(), (4 * bounds).tolist()
+        digests = [sha256(raw[a:b]).hexdigest() for a, b in zip(at, at[1:], strict=False)]
+        texts = [sha256(x.decode("utf-8", "replace").encode()).hexdigest() for x in codec.decode(ids, bounds)]
+        return [pa.array(np.diff(bounds)), pa.array(digests, pa.string()), pa.array(texts, pa.string())]
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return add_columns(docs, "n_tokens long, ids_sha256 string, decoded_sha256 string", make).drop("text")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its fingerprint and the smallest doc_id that chains of links reach."""
     from .simhash import near_duplicates
@@ -36,7 +73,9 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_token_counts": op4_token_counts,
     "op5_decontamination": op5_decontamination,
+    "op6_bpe": op6_bpe,
     "op9_simhash": op9_simhash,
 }
 ORACLES: dict[str, str] = {}
