@@ -79,7 +79,8 @@ def counter(path: str) -> Callable[[pa.Array], np.ndarray]:
     def count(column: pa.Array) -> np.ndarray:
         data, offsets = flat(column)
         starts, ends, first, marks = bpe.words(data, offsets, special)
-        each = table.values[table.start[table.look_up(data, starts, ends)]].astype(np.int64)
+        index = table.look_up(data, starts, ends)
+        each = table.values[table.start[index]].astype(np.int64)
         each[list(marks)] = 1
         sums = np.append(0, np.cumsum(each))
         return sums[first[1:]] - sums[first[:-1]]
