@@ -64,6 +64,14 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return add_columns(docs, "n_tokens long, ids_sha256 string, decoded_sha256 string", make).drop("text")
 
 
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its words, how many repeat a passage of a smaller doc_id, and the digest of the others."""
+    from .substring import remove_repeats
+
+    kept = remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its fingerprint and the smallest doc_id that chains of links reach."""
     from .simhash import near_duplicates
@@ -76,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_decontamination": op5_decontamination,
     "op6_bpe": op6_bpe,
+    "op8_substring": op8_substring,
     "op9_simhash": op9_simhash,
 }
 ORACLES: dict[str, str] = {}
