@@ -64,6 +64,15 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return add_columns(docs, "n_tokens long, ids_sha256 string, decoded_sha256 string", make).drop("text")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: whether its label is held out, the calibrated score, and the label it predicts."""
+    from .quality import fit, held_out, score
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit(docs, _table(spark, sf_dir, "labels"), ~held_out())
+    return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its words, how many repeat a passage of a smaller doc_id, and the digest of the others."""
     from .substring import remove_repeats
@@ -84,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
     "op5_decontamination": op5_decontamination,
     "op6_bpe": op6_bpe,
+    "op7_quality": op7_quality,
     "op8_substring": op8_substring,
     "op9_simhash": op9_simhash,
 }
