@@ -32,6 +32,22 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every vector whose id is divisible by 20 its 20 nearest others by inner product."""
+    from .ann import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per conversation, read back from the formatted text: turns, their digest, and the loss texts' digest."""
+    from .chat import digests, format_turns
+
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.sql("select -7L conv_id, id turn, if(id = 0, 'user', 'assistant') role, '</s>[INST] ok [/INST]' text from range(2)")
+    return digests(format_turns(turns.unionByName(odd)))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: bytes, tokens, and whether these are over 512."""
     import public_tokenizers
@@ -98,6 +114,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ann": op1_ann,
+    "op2_chat": op2_chat,
     "op4_token_counts": op4_token_counts,
     "op5_decontamination": op5_decontamination,
     "op6_bpe": op6_bpe,
@@ -106,4 +124,59 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES: dict[str, str] = {}
+_CONTROL = r"(?:</?s>|\[/?INST\]|\[/?SYS\]|\[ANS\]|\[/?ROLE\]|\[\|\])"
+ORACLES: dict[str, str] = {
+    "op2_chat": rf"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), sized as (
+  select *, length(text) + len(regexp_extract_all(text, '{_CONTROL}')) + case role
+    when 'system' then 16 when 'user' then 18 when 'assistant' then 14
+    else 23 + length(role) + len(regexp_extract_all(role, '{_CONTROL}')) end as size
+  from turns
+)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(size) as bigint) as formatted_chars
+from sized group by conv_id
+""",
+    "op5_decontamination": r"""
+with dw as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), bw as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark
+), bwin as (
+  select distinct item_id, size, array_to_string(w[i:i + size - 1], ' ') as win
+  from (select item_id, w, least(10, len(w)) as size, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) as i from bw where len(w) > 0)
+), sizes as (select distinct size from bwin),
+dwin as (
+  select doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') as win
+  from (select doc_id, w, size, unnest(generate_series(1, len(w) - size + 1)) as i from dw, sizes where len(w) >= size)
+), m as (select d.doc_id, d.i, d.size, b.item_id from dwin d join bwin b using (size, win)),
+hits as (select doc_id, count(distinct p) as n from (select doc_id, unnest(generate_series(i, i + size - 1)) as p from m) group by 1),
+items as (select doc_id, count(*) as n, string_agg(item_id, ',' order by item_id) as s from (select distinct doc_id, cast(item_id as varchar) as item_id from m) group by 1)
+select doc_id, len(w) as n_words, coalesce(h.n, 0) as n_hit, coalesce(t.n, 0) as n_items,
+  sha256(coalesce(t.s, '')) as items_sha256, coalesce(h.n, 0) > 0 as contaminated
+from dw left join hits h using (doc_id) left join items t using (doc_id)
+""",
+    "op8_substring": r"""
+with dw as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (
+  select doc_id, i, array_to_string(w[i:i + 12], ' ') as win
+  from (select doc_id, w, unnest(generate_series(1, len(w) - 12)) as i from dw where len(w) > 12)
+), firsts as (select win, min(doc_id) as least from win group by 1),
+gone as (
+  select distinct doc_id, p from (
+    select doc_id, unnest(generate_series(i, i + 12)) as p from win join firsts using (win) where least < doc_id)
+), words as (select doc_id, unnest(w) as word, unnest(generate_series(1, len(w))) as p from dw),
+kept as (
+  select doc_id, string_agg(word, ' ' order by p) as s, count(*) as n
+  from words anti join gone using (doc_id, p) group by 1
+)
+select doc_id, len(w) as n_words, len(w) - coalesce(k.n, 0) as n_removed, sha256(coalesce(k.s, '')) as kept_sha256
+from dw left join kept k using (doc_id)
+""",
+}
