@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import add_columns, written
+from .shared import add_columns, shielded, written
 from .textbytes import ALNUM, LOWER, flat, prefix_sums, slices, span_hash, word_spans
 
 WINDOW = 10
@@ -186,4 +186,5 @@ def _with_found(make: Callable) -> Callable:
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents in which no window of an item occurs, with their own columns."""
-    return find_contamination(documents, benchmark, window).where("n_hit = 0").select(*documents.columns)
+    safe, back = shielded(documents, "text")
+    return back(find_contamination(safe, benchmark, window).where("n_hit = 0"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import add_columns, written
+from .shared import add_columns, shielded, written
 from .textbytes import NOT_BLANK, _mix, flat, prefix_sums, span_hash, word_spans
 
 #: What of a text is measured.
@@ -199,5 +199,5 @@ def held_out() -> Column:
 def keep_good(documents: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents whose score is at least ``least``, with their own columns."""
     model = fit(documents, labels, ~held_out())
-    keep = documents.columns
-    return score(documents.withColumnRenamed("score", "__score") if "score" in keep else documents, model).where(F.col("score") >= least).drop("score").toDF(*keep)
+    safe, back = shielded(documents, "text")
+    return back(score(safe, model).where(F.col("score") >= least))

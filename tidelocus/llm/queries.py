@@ -48,6 +48,17 @@ def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_turns(turns.unionByName(odd)))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: base spans by kind and their digest, and all spans."""
+    from .pii import KINDS, find_spans
+
+    found = find_spans(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    shown = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    many = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [many(kind) for kind in KINDS[:4]]
+    return found.select("doc_id", *counts, F.sha2(shown("base_spans"), 256).alias("base_sha256"), shown("spans").alias("spans"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: bytes, tokens, and whether these are over 512."""
     import public_tokenizers
@@ -116,6 +127,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_chat": op2_chat,
+    "op3_pii": op3_pii,
     "op4_token_counts": op4_token_counts,
     "op5_decontamination": op5_decontamination,
     "op6_bpe": op6_bpe,

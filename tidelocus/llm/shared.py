@@ -48,3 +48,10 @@ def add_columns(df: DataFrame, ddl: str, make: Callable, text: str = "text", lim
             yield pa.RecordBatch.from_arrays([*batch.columns, *make(batch)], names=names)
 
     return base.mapInArrow(run, schema)
+
+
+def shielded(df: DataFrame, *open_names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with all columns but ``open_names`` renamed, so that an operator's own can't clash with them, and the way back."""
+    names = df.columns
+    safe = [c if c in open_names else f"__own{i}" for i, c in enumerate(names)]
+    return df.toDF(*safe), lambda out: out.select(*safe).toDF(*names)

@@ -229,7 +229,16 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle: int = S
 
 
 def keep_one(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """Of each component the document with the smallest doc_id (if rows repeat it, one of them, the smallest text)."""
-    stays = near_duplicates(documents, radius, shingle).where("doc_id = component_id or component_id is null").select("doc_id").distinct()
-    kept = documents.join(stays, documents["doc_id"].eqNullSafe(stays["doc_id"]), "left_semi")
-    return kept
+    """One document of each component, that with the smallest doc_id, with its own columns.
+
+    Of rows that repeat this doc_id one stays; a component without any id keeps its rows.
+    """
+    found = written(near_duplicates(documents, radius, shingle), "simhash-found")
+    stays = found.where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("__stays")).distinct()
+    # the ids are the small side: texts are neither sorted nor held
+    kept = documents.join(stays.hint("shuffle_hash"), F.expr("doc_id <=> __stays"), "left_semi")
+    again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if again.isEmpty():
+        return kept
+    with_id = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
+    return with_id.unionByName(kept.where("doc_id is null"))
