@@ -12,6 +12,8 @@ side, so two equal windows have the same symbols from their fourth word to their
 hold a whole one (a symbol has four words at most).  A third round would need 7 words of margin,
 which 13-word windows haven't.  Each window is represented by its longest such symbol.
 
+0. Of equal texts only the one with the smallest doc_id takes part below: the others repeat it as a
+   whole.  They are found from digests alone.
 1. Documents are dealt into blocks by their digest (this shuffle is reused by all steps).  A block sends the
    names of its windows' symbols, each once, by name into buckets.
 2. A bucket tells each block which names other blocks or other documents share.
@@ -33,10 +35,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from .shared import written
 from .textbytes import NOT_BLANK, _mix, flat, gather, prefix_sums, slices, span_hash, strings, word_spans
 
 WINDOW, MARGIN, SYMBOL = 13, 3, 4
@@ -111,9 +115,21 @@ def _sizes(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return np.array([len(x.as_buffer()) // width if x.is_valid else 0 for x in column], np.int64)
 
 
-def _parts(table: pa.Table, window: int) -> Iterator[Words]:
-    for batch in slices(iter(table.select(["doc_id", "text"]).to_batches())):
-        yield Words(batch, window)
+def _is_copy(batch: pa.RecordBatch, copies: pa.Table) -> np.ndarray:
+    """Which rows are listed as copies, by digest and doc_id."""
+    listed = set(zip(copies.column("digest").to_pylist(), copies.column("copy_id").to_pylist(), strict=True))
+    return np.array([x in listed for x in zip(batch.column("digest").to_pylist(), batch.column("doc_id").to_pylist(), strict=True)], bool)
+
+
+def _parts(table: pa.Table, copies: pa.Table, window: int) -> Iterator[Words]:
+    for batch in slices(iter(table.select(["doc_id", "text", "digest"]).to_batches())):
+        yield Words(batch.filter(pa.array(~_is_copy(batch, copies))), window)
+
+
+def _two(table: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """What came for a block: its copies, and what buckets sent."""
+    copy = pc.is_valid(table.column("digest"))
+    return table.filter(copy), table.filter(pc.invert(copy))
 
 
 def _first_of(*keys: np.ndarray) -> np.ndarray:
@@ -125,9 +141,9 @@ def _first_of(*keys: np.ndarray) -> np.ndarray:
     return new
 
 
-def _names(block: pa.Table, window: int, buckets: int) -> pa.Table:
+def _names(block: pa.Table, copies: pa.Table, window: int, buckets: int) -> pa.Table:
     names, docs, base = [], [], 0
-    for part in _parts(block, window):
+    for part in _parts(block, copies, window):
         name, doc = part.symbols(), part.doc[part.windows] + base
         new = _first_of(name, doc)
         names.append(name[new])
@@ -143,7 +159,7 @@ def _names(block: pa.Table, window: int, buckets: int) -> pa.Table:
     name = name[new]
     some, begin = _split(name, buckets)
     spans = list(zip(begin, begin[1:], strict=False))
-    where = block.column("block")[0].as_py()
+    where = block.column("block")[0].as_py() if block.num_rows else -1
     return pa.table({"bucket": pa.array(some), "block": pa.array([where] * len(some), pa.int64()), "names": pa.array([name[a:b].tobytes() for a, b in spans], pa.binary()), "several": pa.array([np.packbits(several[a:b]).tobytes() for a, b in spans], pa.binary())})
 
 
@@ -166,9 +182,10 @@ def _shared(bucket: pa.Table) -> pa.Table:
 
 
 def _windows(block: pa.Table, shared: pa.Table, window: int, buckets: int) -> pa.Table:
+    copies, shared = _two(shared)
     known = np.sort(_joined(shared.column("names"), np.uint64))
     found: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]]
-    for part in _parts(block, window) if len(known) else ():
+    for part in _parts(block, copies, window) if len(known) else ():
         name = part.symbols()
         at = np.minimum(np.searchsorted(known, name), len(known) - 1)
         which = part.windows[known[at] == name]
@@ -207,11 +224,13 @@ def _earlier(bucket: pa.Table) -> pa.Table:
 
 
 def _apply(block: pa.Table, earlier: pa.Table, window: int, names: list[str]) -> pa.Table:
+    copies, earlier = _two(earlier)
     parts = list(slices(iter(block.combine_chunks().to_batches())))
     digests: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for batch in parts:
         part = Words(batch, window)
-        digests.append((*part.window_digests(part.windows), part.ids[part.doc[part.windows]]))
+        own = part.windows[~_is_copy(batch, copies)[part.doc[part.windows]]]
+        digests.append((*part.window_digests(own), part.ids[part.doc[own]]))
     none = (np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64))
     one, two, doc = (np.concatenate([z, *x]) for z, x in zip(none, zip(*digests, strict=True) if digests else ((), (), ()), strict=True))
     gone_one, gone_two = _joined(earlier.column("one"), np.uint64), _joined(earlier.column("two"), np.uint32)
@@ -226,7 +245,8 @@ def _apply(block: pa.Table, earlier: pa.Table, window: int, names: list[str]) ->
     out, at = [], 0
     for batch, (mine, _, _) in zip(parts, digests, strict=True):
         part = Words(batch, window)
-        hits = part.windows[hit[at : at + len(mine)]]
+        copy = _is_copy(batch, copies)[part.doc[part.windows]]
+        hits = np.concatenate([part.windows[~copy][hit[at : at + len(mine)]], part.windows[copy]])
         at += len(mine)
         n = len(part.hashes)
         change = np.bincount(hits, minlength=n + 1)[: n + 1] - np.bincount(hits + window, minlength=n + 1)[: n + 1]
@@ -249,7 +269,7 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, block_bytes: int
     """``documents`` (doc_id, text) with n_words, n_removed and kept_text (kept words, joined by one space)."""
     if window < 2 * MARGIN + 2 * SYMBOL - 1:
         raise ValueError(f"windows of {window} words may have no whole symbol inside")
-    added = ("n_words", "n_removed", "kept_text", "block")
+    added = ("n_words", "n_removed", "kept_text", "block", "digest")
     base = documents.select(*[F.col(f"`{c}`") for c in documents.columns if c not in added])
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = math.ceil(total / block_bytes) + 1
@@ -257,12 +277,18 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, block_bytes: int
     buckets = 1 << max(0, math.ceil(math.log2(max(1, total / 20 / bucket_entries))))
     spark = documents.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(blocks / 16))
-    dealt = base.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(parts, "block")
+    keyed = base.withColumns({"block": F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)), "digest": F.xxhash64("text")})
+    thin = keyed.select(F.unhex(F.sha2("text", 256)).alias("content"), F.col("doc_id").alias("copy_id"), "block", "digest")
+    least = thin.groupBy("content").agg(F.min("copy_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("content", "least")
+    copies = thin.join(least, "content").where("copy_id > least or (copy_id is null and least is not null)").select("block", "digest", "copy_id").distinct()
+    copies = written(copies, "substring-copies")
+    dealt = keyed.repartition(parts, "block")
     by_block = lambda df: df.groupBy("block")
-    names = by_block(dealt).applyInArrow(lambda t: _names(t, window, buckets), "bucket long, block long, names binary, several binary")
+    beside = lambda df: by_block(copies.unionByName(df, allowMissingColumns=True))
+    names = by_block(dealt).cogroup(by_block(copies)).applyInArrow(lambda a, b: _names(a, b, window, buckets), "bucket long, block long, names binary, several binary")
     shared = names.groupBy("bucket").applyInArrow(_shared, "block long, names binary")
-    digests = by_block(dealt).cogroup(by_block(shared)).applyInArrow(lambda a, b: _windows(a, b, window, buckets), "bucket long, block long, one binary, two binary, base long, ids binary")
+    digests = by_block(dealt).cogroup(beside(shared)).applyInArrow(lambda a, b: _windows(a, b, window, buckets), "bucket long, block long, one binary, two binary, base long, ids binary")
     earlier = digests.groupBy("bucket").applyInArrow(_earlier, "block long, one binary, two binary")
     schema = StructType([*base.schema.fields, StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())])
     kept = base.columns
-    return by_block(dealt).cogroup(by_block(earlier)).applyInArrow(lambda a, b: _apply(a, b, window, kept), schema)
+    return by_block(dealt).cogroup(beside(earlier)).applyInArrow(lambda a, b: _apply(a, b, window, kept), schema)
