@@ -10,11 +10,12 @@ distances to the boundaries crossed, smallest first, ``probes`` buckets in each
 2. Classes go to the buckets of all tables, queries to the buckets they visit.  Buckets are dealt into parts
    of a bounded number of rows; a bucket above ``CHUNK`` rows is split, and its queries visit every piece.
    A query's vector goes once to each part, with the list of buckets that it visits there.
-3. A part compares each bucket's queries with its vectors as matrices and keeps the best for each query.
-4. Candidates of all tables are merged, ranked by their exact inner products in double precision, and
-   classes give way to their ids.
+3. A part compares each bucket's queries with its vectors as matrices and returns one list of the best for each
+   query.  A query visits at most ``tables * probes`` buckets and their pieces, so its lists are few.
+4. The lists of a query are merged, ranked by exact inner products in double precision, and classes give way
+   to their ids.
 
-``width`` is in units of the vectors' mean norm.  Directions come from a seed, so nothing is trained.
+``width`` is in units of the root mean square of the mean and the largest norm.  Directions come from a seed, so nothing is trained.
 
 Edge cases: vectors that are null, zero, of a length other than the most frequent one, or hold null or
 non-finite components take no part; rows with null ids neither; repeated rows count once; ties go to
@@ -36,7 +37,7 @@ from pyspark.sql.window import Window
 from .shared import written
 
 TABLES, PROJECTIONS, WIDTH, PROBES, SEED = 6, 6, 2.0, 60, 5
-CHUNK, PART_ROWS, SPARE = 8192, 1 << 14, 6
+CHUNK, PART_ROWS, SPARE = 8192, 1 << 16, 6
 
 
 class Hashes:
@@ -87,9 +88,9 @@ def _usable(vectors: DataFrame) -> DataFrame:
 
 def _search(index: pa.Table, queries: pa.Table, keep: int) -> pa.Table:
     """The ``keep`` best classes of one part for each query that visits it."""
-    out = {"query": pa.int64(), "class": pa.int64(), "score": pa.float64()}
+    none = pa.table({"query": pa.array([], pa.int64()), "classes": pa.array([], pa.list_(pa.int64())), "scores": pa.array([], pa.list_(pa.float64()))})
     if not index.num_rows or not queries.num_rows:
-        return pa.table({n: pa.array([], t) for n, t in out.items()})
+        return none
     index, queries = index.combine_chunks().to_batches()[0], queries.combine_chunks().to_batches()[0]
     x, q = _vectors(index), _vectors(queries)
     key, piece = np.asarray(index.column("key")), np.asarray(index.column("piece"))
@@ -123,7 +124,7 @@ def _search(index: pa.Table, queries: pa.Table, keep: int) -> pa.Table:
                 found_s.append(score.ravel())
                 found_q.append(np.repeat(asking, len(members)))
     if not found_q:
-        return pa.table({n: pa.array([], t) for n, t in out.items()})
+        return none
     classes, asked = np.asarray(index.column("class")), np.asarray(queries.column("query"))
     of_q, of_x, score = np.concatenate(found_q), np.concatenate(found_x), np.concatenate(found_s)
     # a class may stand here for several tables
@@ -136,7 +137,19 @@ def _search(index: pa.Table, queries: pa.Table, keep: int) -> pa.Table:
     exact = np.zeros(len(of_q))
     for i in range(x.shape[1]):  # in the components' order, so equal vectors get equal sums
         exact += q[of_q, i] * x[of_x, i]
-    return pa.table({"query": pa.array(asked[of_q]), "class": pa.array(classes[of_x]), "score": pa.array(exact)})
+    who, begin = np.unique(of_q, return_index=True)
+    bounds = pa.array(np.append(begin, len(of_q)), pa.int32())
+    lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (classes[of_x], exact)]
+    return pa.table({"query": pa.array(asked[who]), "classes": lists[0], "scores": lists[1]})
+
+
+def _merge(lists: pa.Table, keep: int) -> pa.Table:
+    """One query's ``keep`` best classes of all its lists, best first."""
+    found: dict[int, float] = {}
+    for classes, scores in zip(lists.column("classes").to_pylist(), lists.column("scores").to_pylist(), strict=True):
+        found.update(zip(classes, scores, strict=True))
+    best = sorted(found.items(), key=lambda x: (-x[1], x[0]))[:keep]
+    return pa.table({"query": lists.column("query")[:1], "classes": pa.array([[c for c, _ in best]], pa.list_(pa.int64())), "scores": pa.array([[s for _, s in best]], pa.list_(pa.float64()))})
 
 
 def nearest(vectors: DataFrame, asks: Column, k: int = 20, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH, probes: int = PROBES, seed: int = SEED) -> DataFrame:
@@ -157,7 +170,7 @@ def nearest(vectors: DataFrame, asks: Column, k: int = 20, tables: int = TABLES,
     classes = classes.withColumn("class", F.when(F.count(F.lit(1)).over(Window.partitionBy("class")) > 1, F.xxhash64("class", "embedding")).otherwise(F.col("class")))
     classes = written(classes.select("class", "ids", "embedding"), "ann-classes")
     n, top, mean = classes.agg(F.count(F.lit(1)), F.max(norm2), F.avg(F.sqrt(norm2))).first()
-    hashes = Hashes(size, tables, projections, width * mean, seed)
+    hashes = Hashes(size, tables, projections, width * math.sqrt((mean**2 + top) / 2), seed)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,9 +204,10 @@ def nearest(vectors: DataFrame, asks: Column, k: int = 20, tables: int = TABLES,
     visits = visits.groupBy(part_of, "query").agg(F.collect_list(F.struct("key", "piece")).alias("visits"))
     visits = visits.join(query_vectors.withColumnRenamed("class", "query"), "query").select("part", "query", "visits", "embedding")
     keep = k + SPARE
-    found = index.groupBy("part").cogroup(visits.groupBy("part")).applyInArrow(lambda a, b: _search(a, b, keep), "query long, class long, score double")
-    found = found.groupBy("query", "class").agg(F.max("score").alias("score"))
-    found = found.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "class"))).where(F.col("place") <= k + 1)
+    lists = "query long, classes array<long>, scores array<double>"
+    found = index.groupBy("part").cogroup(visits.groupBy("part")).applyInArrow(lambda a, b: _search(a, b, keep), lists)
+    found = found.groupBy("query").applyInArrow(lambda t: _merge(t, k + 1), lists)
+    found = found.select("query", F.explode(F.arrays_zip("classes", "scores")).alias("x")).select("query", F.col("x.classes").alias("class"), F.col("x.scores").alias("score"))
     found = found.join(classes.select("class", "ids"), "class").select("query", "score", F.explode("ids").alias("vec_id"))
     found = found.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("place") <= k + 1)
     lists = found.groupBy("query").agg(F.array_sort(F.collect_list(F.struct(F.col("place"), "vec_id", "score"))).alias("found"))
