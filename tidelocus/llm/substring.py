@@ -218,7 +218,7 @@ def _earlier(bucket: pa.Table) -> pa.Table:
     late = order[doc[order] > least]
     late = np.sort(late)
     some, begin = np.unique(row[late], return_index=True)
-    spans = list(zip(begin, np.append(begin[1:], len(late)), strict=True))
+    spans = list(zip(begin, np.append(begin, len(late))[1:], strict=True))
     blocks = np.asarray(bucket.column("block"))
     return pa.table({"block": pa.array(blocks[some], pa.int64()), "one": pa.array([one[late[a:b]].tobytes() for a, b in spans], pa.binary()), "two": pa.array([two[late[a:b]].tobytes() for a, b in spans], pa.binary())})
 
