@@ -94,9 +94,9 @@ def read_segment(segment: str) -> tuple[str, str]:
         if segment.startswith(head.decode()):
             inner = segment[len(head) : len(segment) - len(tail)]
             if role is None:
-                # the template's own separator is the first that isn't escaped
-                own = re.search(r"(?<!\\) \[\|\] ", inner) if not inner.startswith("[|] ") else None
-                role, inner = (inner[: own.start()], inner[own.end() :]) if own else ("", inner[4:])
+                # the template's own separator is the first after a blank: others follow a backslash
+                at = inner.index(BETWEEN.decode())
+                role, inner = inner[:at], inner[at + len(BETWEEN) :]
             return unescape(role), unescape(inner)
     raise ValueError("not a segment")
 
