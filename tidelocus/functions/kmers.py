@@ -52,11 +52,29 @@ def hamming(x: Column, y: Column) -> Column:
 
 
 def windows(seq: Column, k: int) -> Column:
-    """Array of struct (at, kmer): every window of k bases with its 0-based place; other characters interrupt."""
-    s = F.upper(F.coalesce(seq, F.lit("")))
-    places = F.when(F.length(s) >= k, F.sequence(F.lit(1), F.length(s) - k + 1)).otherwise(F.expr("cast(array() as array<int>)"))
-    all_ = F.transform(places, lambda i: F.struct((i - 1).alias("at"), F.substring(s, i, F.lit(k)).alias("text")))
-    return F.transform(F.filter(all_, lambda w: is_bases(w["text"])), lambda w: F.struct(w["at"].alias("at"), pack(w["text"]).alias("kmer")))
+    """Array of struct (at, kmer): every window of k bases with its 0-based place; other characters interrupt.
+
+    Runs of at least k bases are found first, and each is cut into characters once, so that the work grows
+    with the length and not with its square.
+    """
+    s = F.coalesce(seq, F.lit(""))
+    pattern = f"[ACGTUacgtu]{{{k},}}+"
+    runs = F.regexp_extract_all(s, F.lit(pattern), F.lit(0))
+    gaps = F.split(s, pattern, -1)
+    none = F.expr("cast(array() as array<struct<first:int,text:string>>)")
+
+    def place(state: Column, x: Column) -> Column:
+        first = state["at"] + x["gap"]
+        return F.struct((first + F.length(x["text"])).alias("at"), F.concat(state["done"], F.array(F.struct(first.alias("first"), x["text"].alias("text")))).alias("done"))
+
+    pieces = F.zip_with(F.slice(gaps, F.lit(1), F.size(runs)), runs, lambda a, b: F.struct(F.length(a).alias("gap"), b.alias("text")))
+    placed = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("done")), place, lambda x: x["done"])
+
+    def cut(run: Column) -> Column:
+        signs = F.array(F.split(run["text"], ""))
+        return F.flatten(F.transform(signs, lambda c: F.transform(F.sequence(F.lit(0), F.length(run["text"]) - k), lambda i: F.struct((run["first"] + i).alias("at"), pack(F.array_join(F.slice(c, i + 1, F.lit(k)), "")).alias("kmer")))))
+
+    return F.flatten(F.transform(placed, cut))
 
 
 def both_strands(seq: Column, k: int) -> Column:

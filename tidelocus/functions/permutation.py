@@ -29,14 +29,14 @@ def keys(seed: int) -> Column:
 
 def encode(x: Column, bits: int, round_keys: Column) -> Column:
     """One pass of the network over a value of 2 * bits bits."""
-    start = F.struct(F.shiftright(x, bits).alias("l"), x.bitwiseAND(F.lit((1 << bits) - 1)).alias("r"))
+    start = F.struct(F.shiftrightunsigned(x, bits).alias("l"), x.bitwiseAND(F.lit((1 << bits) - 1)).alias("r"))
     step = lambda s, k: F.struct(s["r"].alias("l"), s["l"].bitwiseXOR(_round(k, s["r"], bits)).alias("r"))
     return F.aggregate(round_keys, start, step, lambda s: F.shiftleft(s["l"], bits).bitwiseOR(s["r"]))
 
 
 def decode(x: Column, bits: int, round_keys: Column) -> Column:
     """The value that ``encode`` turns into x."""
-    start = F.struct(F.shiftright(x, bits).alias("l"), x.bitwiseAND(F.lit((1 << bits) - 1)).alias("r"))
+    start = F.struct(F.shiftrightunsigned(x, bits).alias("l"), x.bitwiseAND(F.lit((1 << bits) - 1)).alias("r"))
     step = lambda s, k: F.struct(s["r"].bitwiseXOR(_round(k, s["l"], bits)).alias("l"), s["l"].alias("r"))
     return F.aggregate(F.reverse(round_keys), start, step, lambda s: F.shiftleft(s["l"], bits).bitwiseOR(s["r"]))
 

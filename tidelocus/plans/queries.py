@@ -381,9 +381,9 @@ def compressed_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _K = 4
-_WINDOWS = f"""w as (
-  select doc_id, i - 1 as place, substr(s, i, {_K}) as t from (select doc_id, s, unnest(generate_series(1, length(s) - {_K - 1})) as i from (select doc_id, upper(text) as s from documents where length(text) >= {_K}))
-  where regexp_full_match(substr(s, i, {_K}), '[ACGTU]+')
+_WINDOWS = f"""c as (select doc_id, upper(unnest(string_split(text, ''))) as c, unnest(generate_series(1, length(text))) as i from documents where length(text) >= {_K}),
+l as (select doc_id, i - 1 as place, {' || '.join(f"lead(c, {j}) over (partition by doc_id order by i)" for j in range(_K))} as t from c),
+w as (select doc_id, place, t from l where length(t) = {_K} and regexp_full_match(t, '[ACGTU]+')
 ), d as (select *, translate(t, 'ACGTU', '01233') as q from w),
 km as (select doc_id, place, t, {' + '.join(f'cast(q[{i + 1}] as bigint) * {4 ** (_K - 1 - i)}' for i in range(_K))} as kmer from d)"""
 
@@ -408,11 +408,11 @@ def kmer_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""with {_WINDOWS}, u as (select distinct kmer, replace(t, 'U', 'T') as text from km)
 select a.kmer as x, b.kmer as y, a.text as bases, reverse(translate(a.text, 'ACGT', 'TGCA')) as complement, cast(hamming(a.text, b.text) as int) as distance
-from u a join u b on b.kmer = (a.kmer * 7 + 3) % 256""")
+from u a join u b on b.kmer % 4 = a.kmer % 4""")
 def kmer_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rendering, complement and distance of the k-mers that occur."""
     own = _docs(spark, sf_dir).select(F.explode(kmers.windows(F.col("text"), _K)).alias("w")).select(F.col("w.kmer").alias("x")).distinct()
-    pairs = own.withColumn("y", (F.col("x") * 7 + 3) % 256).join(own.select(F.col("x").alias("y")), "y")
+    pairs = own.join(own.select(F.col("x").alias("y")), F.expr("x % 4 = y % 4"))
     rc = kmers.render(kmers.reverse_complement_packed(F.col("x"), _K), _K)
     return pairs.select("x", "y", kmers.render(F.col("x"), _K).alias("bases"), rc.alias("complement"), kmers.hamming(F.col("x"), F.col("y")).alias("distance"))
 
