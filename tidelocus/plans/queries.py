@@ -176,8 +176,8 @@ def locus_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _coverage(spark, sf_dir)
 
 
-@query(f"""with {_COVERAGE} select 'aln' as bam, round(avg(cov) filter (n_ins > 0), 9) as cov, 0::bigint as read_length, round(sum(sum_ins) / sum(n_ins), 9) as insert_size_mean,
-round(sqrt(cast(sum(sum2_ins) * sum(n_ins) - sum(sum_ins) * sum(sum_ins) as double)) / sum(n_ins), 9) as insert_size_sd from per""")
+@query(f"""with {_COVERAGE} select 'aln' as bam, round(avg(cov) filter (n_ins > 0), 9) as cov, 0::bigint as read_length, case when sum(n_ins) > 0 then round(sum(sum_ins) / sum(n_ins), 9) end as insert_size_mean,
+case when sum(n_ins) > 0 then round(sqrt(cast(sum(sum2_ins) * sum(n_ins) - sum(sum_ins) * sum(sum_ins) as double)) / sum(n_ins), 9) else -1.0 end as insert_size_sd from per""")
 def coverage_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The summary row of fixed loci."""
     out = coverage.summarise_coverage(_coverage(spark, sf_dir), "aln")
