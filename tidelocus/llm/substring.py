@@ -280,6 +280,8 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, block_bytes: int
     keyed = base.withColumns({"block": F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)), "digest": F.xxhash64("text")})
     thin = keyed.select(F.unhex(F.sha2("text", 256)).alias("content"), F.col("doc_id").alias("copy_id"), "block", "digest")
     least = thin.groupBy("content").agg(F.min("copy_id").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("content", "least")
+    # as a table of its own, so that Spark can split the join where one content is frequent
+    least = written(least, "substring-least")
     copies = thin.join(least, "content").where("copy_id > least or (copy_id is null and least is not null)").select("block", "digest", "copy_id").distinct()
     copies = written(copies, "substring-copies")
     dealt = keyed.repartition(parts, "block")
