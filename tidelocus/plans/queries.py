@@ -70,13 +70,13 @@ _REGIONS = """
 regions as (
   select 'chr' || (o_custkey % 100) as chrom, datediff('day', date '1995-01-01', cast(o_orderdate as date)) + 1 as first,
     datediff('day', date '1995-01-01', cast(o_orderdate as date)) + 1 + o_custkey % 9 as last, o_orderpriority as label
-  from orders where o_orderkey % 5 = 0
+  from orders
 )"""
 
 
 def regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order days of every fifth order as labelled intervals of 1 to 9 days."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0")
+    """Order days as labelled intervals of 1 to 9 days."""
+    o = table(spark, sf_dir, "orders")
     first = _day("o_orderdate")
     return o.select(F.concat(F.lit("chr"), F.col("o_custkey") % 100).alias("chrom"), first.alias("first"), (first + F.col("o_custkey") % 9).alias("last"), F.col("o_orderpriority").alias("label"))
 
@@ -153,7 +153,7 @@ def discordant_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _COVERAGE = _ALN + """, loci as (
   select distinct 'chr' || (o_custkey % 100) as chrom, datediff('day', date '1995-01-01', cast(o_orderdate as date)) + 1 as first, datediff('day', date '1995-01-01', cast(o_orderdate as date)) + 31 as last
-  from orders where o_orderkey % 50 = 0
+  from orders
 ), per as (
   select l.chrom, l.first, l.last, count(*) as n,
     count(*) filter ((flag & 1284) = 0 and (l.first + l.last) // 2 between a.pos and a.end_pos) as cov,
@@ -165,7 +165,7 @@ _COVERAGE = _ALN + """, loci as (
 
 
 def _coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0")
+    o = table(spark, sf_dir, "orders")
     loci = o.select(F.concat(F.lit("chr"), F.col("o_custkey") % 100).alias("chrom"), _day("o_orderdate").alias("first"), (_day("o_orderdate") + 30).alias("last"))
     return coverage.locus_coverage(loci, alignments(spark, sf_dir), bin_width=128)
 
@@ -193,7 +193,7 @@ def read_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignments(spark, sf_dir).agg(*[F.count_if(c).alias(n) for n, c in each.items()])
 
 
-@query("""with t as (select row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) as id, l_linenumber as s, cast(l_quantity as int) as m, l_partkey % 4 as d, l_suppkey % 5 as i, l_partkey as pos from lineitem where l_orderkey % 20 = 0),
+@query("""with t as (select row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) as id, l_linenumber as s, cast(l_quantity as int) as m, l_partkey % 4 as d, l_suppkey % 5 as i, l_partkey as pos from lineitem),
 ops as (
   select id, pos, 0 as i, 'H' as op, s as len, 0 as r, 0 as q from t union all select id, pos, 1, 'S', s, 0, s from t
   union all select id, pos, 2, 'M', m, m, m from t union all select id, pos, 3, 'D', d, d, 0 from t
@@ -203,7 +203,7 @@ ops as (
 ) group by i, op""")
 def cigar_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CIGAR strings of eight operations, walked and summed by operation."""
-    t = table(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0")
+    t = table(spark, sf_dir, "lineitem")
     m = F.col("l_quantity").cast("int")
     text = F.concat("l_linenumber", F.lit("H"), "l_linenumber", F.lit("S"), m, F.lit("M"), F.col("l_partkey") % 4, F.lit("D"), F.col("l_suppkey") % 5, F.lit("I"), m, F.lit("="), "l_linenumber", F.lit("N"), F.col("l_partkey") % 4, F.lit("S"))
     ops = reads.cigar_operations(t.select(F.col("l_partkey").alias("pos"), reads.parse_cigar(text).alias("cigar")))
@@ -271,21 +271,22 @@ def longest_by_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.longest_by_start(regions(spark, sf_dir)).withColumn("smaller", F.array_join(F.col("smaller").cast("array<string>"), ","))
 
 
-@query(f"""with {_REGIONS}, d as (select distinct chrom, first, last from regions where cast(substr(chrom, 4) as int) < 20)
+@query(f"""with {_REGIONS}, d as (select distinct chrom, first, last from regions)
 select a.chrom, cast(a.first as bigint) as first, cast(a.last as bigint) as last, cast(arg_max(b.first, b.first * 100000 - b.last) as bigint) as parent_first, cast(arg_max(b.last, b.first * 100000 - b.last) as bigint) as parent_last
 from d a left join d b on a.chrom = b.chrom and b.first <= a.first and b.last >= a.last and (b.first <> a.first or b.last <> a.last) group by all""")
 def enclosing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest interval that encloses each."""
-    return intervals.enclosing(regions(spark, sf_dir).where("cast(substr(chrom, 4) as int) < 20"), width=64)
+    return intervals.enclosing(regions(spark, sf_dir), width=64)
 
 
-_CHROMS = "chroms as (select cast(p_partkey as int) as chrom_id, 'chr' || p_partkey || case when p_size = 50 then '_alt' else '' end as chrom, cast(p_size as bigint) * 200000 as length from part where p_partkey <= 60)"
+_CHROMS = "chroms as (select n_nationkey as chrom_id, 'chr' || n_nationkey || case when n_nationkey % 8 = 7 then '_alt' else '' end as chrom, cast(n_nationkey * 7 % 25 + 1 as bigint) * 400000 as length from nation)"
 
 
 def chromosomes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Some parts as a reference dictionary."""
-    p = table(spark, sf_dir, "part").where("p_partkey <= 60")
-    return p.select(F.col("p_partkey").cast("int").alias("chrom_id"), F.concat(F.lit("chr"), "p_partkey", F.when(F.col("p_size") == 50, "_alt").otherwise("")).alias("chrom"), (F.col("p_size").cast("long") * 200000).alias("length"))
+    """Nations as a reference dictionary, whose size doesn't grow with the data."""
+    key = F.col("n_nationkey")
+    name = F.concat(F.lit("chr"), key, F.when(key % 8 == 7, "_alt").otherwise(""))
+    return table(spark, sf_dir, "nation").select(key.alias("chrom_id"), name.alias("chrom"), ((key * 7 % 25 + 1).cast("long") * 400000).alias("length"))
 
 
 @query(f"with {_CHROMS} select chrom, first, least(first + 999999, length) as last from (select chrom, length, unnest(generate_series(1, length, 1000000)) as first from chroms where length >= 4194304 and not contains(chrom, '_'))")
@@ -423,30 +424,32 @@ def distinct_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.first_by_content(_docs(spark, sf_dir), "text", "doc_id").select("doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-_SPANS = "sp as (select doc_id, cast(doc_id % 50 + 1 as bigint) as a, cast(doc_id % 50 + 20 as bigint) as b, length(text) as n, text from documents where length(text) >= 70)"
+_SPANS = "sp as (select doc_id, doc_id * 7919 % length(text) + 1 as a, least(doc_id * 7919 % length(text) + 20, length(text)) as b, length(text) as n, text from documents where length(text) > 0)"
 
 
 @query(f"with {_SPANS} select doc_id, greatest(1, a - 30) as st, least(n, b + 30) as en, substr(text, greatest(1, a - 30), least(n, b + 30) - greatest(1, a - 30) + 1) as slice from sp")
 def padded_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Padded spans cut from texts."""
-    rows = _docs(spark, sf_dir).where(F.length("text") >= 70).withColumns({"a": F.col("doc_id") % 50 + 1, "b": F.col("doc_id") % 50 + 20, "n": F.length("text").cast("long")})
+    rows = _docs(spark, sf_dir).where("length(text) > 0").withColumn("n", F.length("text").cast("long"))
+    begin = F.col("doc_id") * 7919 % F.col("n")
+    rows = rows.withColumns({"a": begin + 1, "b": F.least(begin + 20, F.col("n"))})
     st, en = repeats.padded(F.col("a"), F.col("b"), F.col("n"), 30)
     return rows.withColumns({"st": st, "en": en}).select("doc_id", "st", "en", repeats.cut(F.col("text"), F.col("st"), F.col("en")).alias("slice"))
 
 
-@query("""with g as (select 'ch' || doc_id as name, text as seq, doc_id from documents where doc_id < 200),
-r as (select l_orderkey * 10 + l_linenumber as key, 'ch' || (l_suppkey % 200) as chrom, l_partkey % 60 + 1 as a, l_partkey % 60 + 5 as b, l_shipmode as label, l_flag as class from (select *, case when l_quantity < 25 then 'SINE' else 'LINE' end as l_flag, case when l_tax < 0.04 then 'Alu' else 'L1' end as l_shipmode from lineitem where l_orderkey % 10 = 0)),
+@query("""with g as (select 'ch' || doc_id as name, text as seq, doc_id from documents),
+r as (select l_orderkey * 10 + l_linenumber as key, 'ch' || l_partkey as chrom, l_orderkey % 60 + 1 as a, l_orderkey % 60 + 5 as b, l_shipmode as label, l_flag as class from (select *, case when l_quantity < 25 then 'SINE' else 'LINE' end as l_flag, case when l_tax < 0.04 then 'Alu' else 'L1' end as l_shipmode from lineitem)),
 o as (select distinct chrom, a, b, label, class from r), j as (select o.*, g.doc_id, g.seq, length(g.seq) as n, substr(g.seq, a, b - a + 1) as own from o join g on g.name = o.chrom where length(g.seq) >= 65 and class = 'SINE' and regexp_matches(label, '^A')),
 f as (select *, row_number() over (partition by own order by doc_id, a, b, label) as k from j)
 select chrom || ':' || a || '-' || b || '~10~' || class || '~' || label as name, substr(seq, greatest(1, a - 10), least(n, b + 10) - greatest(1, a - 10) + 1) as seq from f where k = 1""")
 def prepared_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeat elements cut from a genome of texts, distinct by content, padded."""
-    docs = _docs(spark, sf_dir).where("doc_id < 200 and length(text) >= 65")
+    """Repeat elements cut from a genome of texts long enough to hold them, distinct by content, padded."""
+    docs = _docs(spark, sf_dir).where("length(text) >= 65")
     genome = docs.select(F.concat(F.lit("ch"), "doc_id").alias("name"), F.col("text").alias("seq"), F.col("doc_id").alias("order"))
-    items = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0")
-    begin = F.col("l_partkey") % 60 + 1
+    items = table(spark, sf_dir, "lineitem")
+    begin = F.col("l_orderkey") % 60 + 1
     label, kind = F.when(F.col("l_tax") < 0.04, "Alu").otherwise("L1"), F.when(F.col("l_quantity") < 25, "SINE").otherwise("LINE")
-    rows = items.select(F.concat(F.lit("ch"), F.col("l_suppkey") % 200).alias("chrom"), begin.alias("begin"), (begin + 4).alias("end"), F.lit("+").alias("strand"), label.alias("label"), kind.alias("class")).distinct()
+    rows = items.select(F.concat(F.lit("ch"), "l_partkey").alias("chrom"), begin.alias("begin"), (begin + 4).alias("end"), F.lit("+").alias("strand"), label.alias("label"), kind.alias("class")).distinct()
     # numbered by begin, end, label and class within the genome's order
     number = F.col("begin") * 4 + F.when(F.col("label") == "Alu", 0).otherwise(2) + F.when(F.col("class") == "LINE", 0).otherwise(1)
     rows = rows.withColumn("row_no", F.substring("chrom", 3, 10).cast("long") * 1000 + number)
@@ -459,10 +462,10 @@ def class_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.classes(table(spark, sf_dir, "part").select(F.col("p_type").alias("class")))
 
 
-@query("select p_brand as label, count(*) as n from part where regexp_matches(p_brand, '[13]$') and p_size < 40 group by all")
+@query("select p_brand as label, count(*) as n from part where regexp_matches(p_brand, '[13]$') group by all")
 def label_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements of labels that match an expression."""
-    rows = table(spark, sf_dir, "part").where("p_size < 40").select(F.col("p_brand").alias("label"), F.lit("x").alias("class"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("label"), F.lit("x").alias("class"))
     return repeats.label_counts(repeats.select_repeats(rows, "x", "[13]$"))
 
 
