@@ -9,8 +9,11 @@ For a batch of texts, in numpy:
    compatible: stepping back through the merges that made both, no pair of symbols that stood
    side by side at some time had a merge of its own at that time.
 3. Only words with an incompatible pair are merged exactly, lowest rank first.
-4. A table from word to tokens, at most ``MAX_WORDS`` words (then it starts anew; only speed
-   depends on it), turns the words of the batch into ids by one gather.
+4. A table from word to tokens, at most ``MAX_WORDS`` words of ``MAX_BYTES`` bytes (then it starts anew; only
+   speed depends on it), turns the words of the batch into ids by one gather.
+
+Words of more than ``LONG`` bytes take the same steps one by one, their merges from a heap of pairs, so that
+the time grows as n log n.
 
 Texts are whole, never truncated, and rows never move: each executor task works on its own rows.
 Edge cases: null and empty texts have no ids and decode to ""; strings of special tokens inside a
@@ -19,6 +22,7 @@ text become that token, as is the library's default; ids outside the vocabulary
 
 from __future__ import annotations
 
+import heapq
 import json
 import sys
 import unicodedata
@@ -27,13 +31,15 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .shared import add_columns
-from .textbytes import flat, gather, prefix_sums, span_hash
+from .shared import add_columns, keeps_columns
+from .textbytes import SHORT, flat, gather, packed, word_hash
 
 OTHER, LETTER, DIGIT, SPACE = range(4)
-MAX_WORDS = 300_000
+MAX_WORDS, MAX_BYTES = 300_000, 64 << 20
+LONG = 512
 NEVER = np.int64(1) << 40
 #: Characters with Unicode's White_Space property.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -119,7 +125,11 @@ def words(data: np.ndarray, offsets: np.ndarray, special: tuple[bytes, ...] = ()
 
 
 class WordTable:
-    """Values (arrays of ints) of words, learned as they come; ``learn(list of bytes) -> (flat, lengths)``."""
+    """Values (arrays of ints) of words, learned as they come; ``learn(list of bytes) -> (flat, lengths)``.
+
+    Words are told apart by their bytes: short ones by their packed bytes, which a digest only finds, and longer
+    ones (and a short one whose digest another word has) as keys of a dictionary.
+    """
 
     def __init__(self, learn):
         self.learn = learn
@@ -127,34 +137,60 @@ class WordTable:
 
     def clear(self) -> None:
         self.known: dict[int, int] = {}
+        self.exact: dict[bytes, int] = {}
+        self.count, self.bytes = 0, 0
         self.values, self.used = np.zeros(1 << 16, np.int32), 0
         self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.key = np.zeros((3, 1 << 16), np.uint64)
+
+    def _add(self, new: list[bytes]) -> np.ndarray:
+        """Learn words, and the indices they get."""
+        flat_values, lengths = self.learn(new)
+        base = self.count
+        self.count += len(new)
+        self.bytes += sum(map(len, new))
+        while self.used + len(flat_values) > len(self.values):
+            self.values = np.resize(self.values, 2 * len(self.values))
+        while self.count > len(self.start):
+            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
+            self.key = np.concatenate([self.key, np.zeros_like(self.key)], axis=1)
+        self.values[self.used : self.used + len(flat_values)] = flat_values
+        self.size[base : self.count] = lengths
+        self.start[base : self.count] = self.used + np.cumsum(lengths) - lengths
+        self.used += len(flat_values)
+        return np.arange(base, self.count)
 
     def look_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The index of each word, after learning the new ones."""
-        if len(self.known) > MAX_WORDS:
+        if self.count > MAX_WORDS or self.bytes > MAX_BYTES:
             self.clear()
-        codes, distinct = pd.factorize(span_hash(prefix_sums(data), starts, ends))
-        first = np.empty(len(distinct), np.int64)
-        first[codes[::-1]] = np.arange(len(codes))[::-1]
+        key = np.stack([*packed(data, starts, ends), (ends - starts).astype(np.uint64)])
+        out = np.full(len(starts), -1, np.int64)
+        short = np.flatnonzero(ends - starts <= SHORT)
+        codes, distinct = pd.factorize(word_hash(data, starts[short], ends[short]))
+        lead = np.empty(len(distinct), np.int64)
+        lead[codes[::-1]] = short[::-1]
         get = self.known.get
         index = np.array([get(h, -1) for h in distinct.tolist()], np.int64)
         new = np.flatnonzero(index < 0)
         if len(new):
             text = data.tobytes()
-            flat_values, lengths = self.learn([text[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-            base = len(self.known)
-            index[new] = np.arange(base, base + len(new))
-            self.known.update(zip(distinct[new].tolist(), range(base, base + len(new)), strict=True))
-            while self.used + len(flat_values) > len(self.values):
-                self.values = np.resize(self.values, 2 * len(self.values))
-            while base + len(new) > len(self.start):
-                self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
-            self.values[self.used : self.used + len(flat_values)] = flat_values
-            self.size[base : base + len(new)] = lengths
-            self.start[base : base + len(new)] = self.used + np.cumsum(lengths) - lengths
-            self.used += len(flat_values)
-        return index[codes] if len(codes) else np.zeros(0, np.int64)
+            index[new] = self._add([text[a:b] for a, b in zip(starts[lead[new]].tolist(), ends[lead[new]].tolist(), strict=True)])
+            self.known.update(zip(distinct[new].tolist(), index[new].tolist(), strict=True))
+            self.key[:, index[new]] = key[:, lead[new]]
+        if len(short):
+            of = index[codes]
+            same = (self.key[:, of] == key[:, short]).all(0)
+            out[short[same]] = of[same]
+        rest = np.flatnonzero(out < 0)
+        if len(rest):
+            text = data.tobytes()
+            whole = [text[a:b] for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)]
+            fresh = list(dict.fromkeys(w for w in whole if w not in self.exact))
+            if fresh:
+                self.exact.update(zip(fresh, self._add(fresh).tolist(), strict=True))
+            out[rest] = [self.exact[w] for w in whole]
+        return out
 
 
 class ByteBpe:
@@ -189,6 +225,7 @@ class ByteBpe:
         table = np.array(sorted(pairs), np.int64).reshape(-1, 3)
         self.pair_keys, self.pair_rank, self.pair_made = (np.append(table[:, i], NEVER) for i in range(3))
         self.single = np.array([vocab[bytes([b])] for b in range(256)])
+        self.pairs = {key: (k, made) for key, k, made in pairs}
         self._grow_trie(vocab)
         self.table = WordTable(self.encode_words)
 
@@ -204,6 +241,7 @@ class ByteBpe:
         self.trie_next = np.array([step[k] for k in self.trie_keys.tolist()], np.int64)
         self.trie_token = np.full(len(step) + 1, -1)
         self.trie_token[list(ends)] = list(ends.values())
+        self.trie_step, self.trie_end = step, ends
 
     def _pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The place of each pair among the merges, and its rank (``NEVER`` without one)."""
@@ -285,8 +323,66 @@ class ByteBpe:
         order = np.argsort(word, kind="stable")
         return token[order], word[order]
 
+    def propose_long(self, word: bytes) -> np.ndarray:
+        """Greedy longest match of one word."""
+        step, ends, out = self.trie_step.get, self.trie_end.get, []
+        at, n = 0, len(word)
+        while at < n:
+            node, p, best, stop = 0, at, -1, at
+            while p < n and (node := step(node << 8 | word[p], -1)) >= 0:
+                p += 1
+                if (token := ends(node, -1)) >= 0:
+                    best, stop = token, p
+            out.append(best)
+            at = stop
+        return np.array(out, np.int64)
+
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """Exact BPE of one word: a heap of pairs by rank, then place, over a linked list of symbols."""
+        first = self.single[np.frombuffer(word, np.uint8)]
+        n, size, pairs = len(word), self.size, self.pairs
+        _, rank = self._pairs(first[:-1], first[1:])
+        some = np.flatnonzero(rank < NEVER)
+        heap = (rank[some] * n + some).tolist()
+        heapq.heapify(heap)
+        token, after, before = first.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        while heap:
+            rank, i = divmod(heapq.heappop(heap), n)
+            j = after[i]
+            if token[i] < 0 or j == n:
+                continue
+            pair = pairs.get(token[i] * size + token[j])
+            if pair is None or pair[0] != rank:
+                continue  # one of the two has become another symbol since
+            token[i], token[j] = pair[1], -1
+            k, h = after[j], before[i]
+            after[i] = k
+            if k < n:
+                before[k] = i
+                if pair := pairs.get(token[i] * size + token[k]):
+                    heapq.heappush(heap, pair[0] * n + i)
+            if h >= 0 and (pair := pairs.get(token[h] * size + token[i])):
+                heapq.heappush(heap, pair[0] * n + h)
+        return np.array([t for t in token if t >= 0], np.int64)
+
+    def _encode_long(self, word: bytes) -> np.ndarray:
+        token = self.propose_long(word)
+        key = np.unique(token[:-1] * self.size + token[1:])
+        return token if self.compatible(key // self.size, key % self.size).all() else self.merge_long(word)
+
     def encode_words(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all words, one after another, and their number in each."""
+        far = [i for i, w in enumerate(new) if len(w) > LONG]
+        token, word = self._encode_short([b"" if len(w) > LONG else w for w in new] if far else new)
+        if far:
+            more = [self._encode_long(new[i]) for i in far]
+            token = np.concatenate([token, *more])
+            word = np.concatenate([word, np.repeat(far, [len(x) for x in more])])
+            order = np.argsort(word, kind="stable")
+            token, word = token[order], word[order]
+        return token, np.bincount(word, minlength=len(new))
+
+    def _encode_short(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         data = np.frombuffer(b"".join(new), np.uint8)
         offsets = np.append(0, np.cumsum([len(w) for w in new]))
         token, word = self.propose(data, offsets)
@@ -301,7 +397,7 @@ class ByteBpe:
             token, word = np.concatenate([token[keep], more]), np.concatenate([word[keep], failed[of]])
             order = np.argsort(word, kind="stable")
             token, word = token[order], word[order]
-        return token, np.bincount(word, minlength=len(new))
+        return token, word
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and n + 1 offsets."""
@@ -337,6 +433,7 @@ def load(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
+@keeps_columns("text", new=("ids",))
 def encode(documents: DataFrame, path: str) -> DataFrame:
     """``documents`` (``text``) with ``ids`` (array of int), as the tokenizer file at ``path`` gives them."""
 
@@ -347,19 +444,14 @@ def encode(documents: DataFrame, path: str) -> DataFrame:
     return add_columns(documents, "ids array<int>", make)
 
 
+@keeps_columns("ids", new=("decoded",))
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """Rows with ``ids`` and their text again as ``decoded``; bytes that aren't UTF-8 become U+FFFD."""
+    """Rows with ``ids`` and their text again as ``decoded``; null ids are none, bytes that aren't UTF-8 become U+FFFD."""
 
-    def run(batches):
-        codec = load(path)
-        for batch in batches:
-            lists = batch.column("ids")
-            ids = np.asarray(lists.flatten())
-            bounds = np.append(0, np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.list_value_length(lists), 0))))
-            texts = [b.decode("utf-8", "replace") for b in codec.decode(ids, bounds)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
-
-    import pyspark.sql.types as T
+    def make(batch: pa.RecordBatch) -> list[pa.Array]:
+        lists = batch.column("ids")
+        ids = np.asarray(lists.flatten())
+        bounds = np.append(0, np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0))))
+        return [pa.array([b.decode("utf-8", "replace") for b in load(path).decode(ids, bounds)], pa.string())]
 
-    base = encoded.select(*[c for c in encoded.columns if c != "decoded"])
-    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField("decoded", T.StringType())]))
+    return add_columns(encoded, "decoded string", make, text=None)

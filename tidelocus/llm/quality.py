@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import add_columns, shielded, written
-from .textbytes import NOT_BLANK, _mix, flat, prefix_sums, span_hash, word_spans
+from .textbytes import NOT_BLANK, _mix, flat, prefix_sums, span_hash, word_hash, word_spans
 
 #: What of a text is measured.
 STATISTICS = (
@@ -69,7 +69,7 @@ def statistics(column: pa.Array) -> np.ndarray:
         return np.bincount(of[lead], minlength=docs) / np.maximum(np.bincount(of, minlength=docs), 1)
 
     sums = prefix_sums(data)
-    hashes, size = span_hash(sums, starts, ends), (ends - starts).astype(float)
+    hashes, size = word_hash(data, starts, ends), (ends - starts).astype(float)
     lower = np.append(0, np.cumsum(_LOWER[data] | _WIDE[data]))
     same = np.append(False, (hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1]))[: len(hashes)]
     pair = _mix(hashes[:-1] * np.uint64(3) + hashes[1:])[doc[1:] == doc[:-1]] if len(hashes) else hashes

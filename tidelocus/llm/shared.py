@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -12,46 +16,112 @@ from pyspark.sql.types import StructType
 
 from .textbytes import SLICE_BYTES, slices
 
+_HELD: dict[str, SparkSession] = {}
+
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; where that is unset (tests), below a local default.
+    """A new folder below ``spark.checkpoint.dir``.
 
-    The returned path is not created: Spark's writers do that.
+    Where that is unset, a session whose tasks all run on this machine (``local[...]``, tests) gets a temporary
+    one; any other session gets an error.  The path isn't created: Spark's writers do that.
     """
-    top = spark.conf.get("spark.checkpoint.dir", "") or "/tmp/checkpoints/tidelocus"
+    top = spark.conf.get("spark.checkpoint.dir", "")
+    if not top:
+        master = spark.conf.get("spark.master", "")
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = f"{tempfile.gettempdir()}/tidelocus-{spark.sparkContext.applicationId}"
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: what follows survives lost executors."""
+    """``df`` as a Parquet table in the shared folder: what follows survives lost executors.
+
+    The table goes by ``forget``, or when the driver ends.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, name)
+    _HELD[path] = spark
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete tables of ``written`` that nothing will read any more."""
+    for path in [t.written_to for t in tables if t is not None]:
+        _delete(path)
+
+
+def _delete(path: str) -> None:
+    spark = _HELD.pop(path, None)
+    if spark is not None and spark.sparkContext._jsc is not None:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@atexit.register
+def _delete_all() -> None:
+    for path in list(_HELD):
+        with contextlib.suppress(Exception):  # the session may be gone
+            _delete(path)
 
 
-def add_columns(df: DataFrame, ddl: str, make: Callable, text: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
+def add_columns(df: DataFrame, ddl: str, make: Callable, text: str | None = "text", limit: int = SLICE_BYTES) -> DataFrame:
     """``df`` with further columns that ``make(batch) -> [arrays]`` computes from slices of rows.
 
     No shuffle; rows and their order stay.  A column of ``df`` that has the name of a new one is
-    replaced.  ``make`` sees whole texts and never more than about ``limit`` bytes of them at once.
+    replaced.  ``make`` sees whole texts and never more than about ``limit`` bytes of them at once (``text`` None:
+    batches as they come).
     """
     spark = df.sparkSession
     new = spark.createDataFrame([], ddl).schema.fields
     taken = {f.name for f in new}
-    base = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in taken])
+    base = df.select(*[c for c in df.columns if c not in taken])
     schema = StructType([*base.schema.fields, *new])
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text, limit):
+        for batch in slices(batches, text, limit) if text else batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, *make(batch)], names=names)
 
     return base.mapInArrow(run, schema)
 
 
-def shielded(df: DataFrame, *open_names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """``df`` with all columns but ``open_names`` renamed, so that an operator's own can't clash with them, and the way back."""
+def shielded(df: DataFrame, *open_names: str, new: tuple[str, ...] = ()) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with all columns but ``open_names`` under names of ours, and the way back.
+
+    Names are compared as Spark does (without case, unless the session says so); of several that fit one the exact
+    one is meant, or the first.  On the way back columns that fit one of ``new`` give way to it; ``new`` come last.
+    """
+    exact = df.sparkSession.conf.get("spark.sql.caseSensitive", "false") == "true"
+    same = (lambda c: c) if exact else str.lower
     names = df.columns
-    safe = [c if c in open_names else f"__own{i}" for i, c in enumerate(names)]
-    return df.toDF(*safe), lambda out: out.select(*safe).toDF(*names)
+    places = {}
+    for x in open_names:
+        fits = [i for i, c in enumerate(names) if same(c) == same(x)]
+        if fits:
+            places[next((i for i in fits if names[i] == x), fits[0])] = x
+    safe = [places.get(i, f"__own{i}") for i in range(len(names))]
+    gone = {same(x) for x in new}
+    stays = [i for i, c in enumerate(names) if same(c) not in gone]
+
+    def back(out: DataFrame) -> DataFrame:
+        return out.select(*[safe[i] for i in stays], *new).toDF(*[names[i] for i in stays], *new)
+
+    return df.toDF(*safe), back
+
+
+def keeps_columns(*open_names: str, new: tuple[str, ...] = ()) -> Callable:
+    """For functions of a DataFrame that return its columns and ``new`` ones: they see only ``open_names`` by name, so no column can clash."""
+
+    def wrap(f: Callable) -> Callable:
+        @wraps(f)
+        def run(df: DataFrame, *args, **more) -> DataFrame:
+            safe, back = shielded(df, *open_names, new=new)
+            return back(f(safe, *args, **more))
+
+        return run
+
+    return wrap

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -106,6 +107,33 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, second: bo
     return _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
+#: Of eight bytes, read as a little-endian number, the first 0 to 8.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+SHORT = 16
+
+
+def packed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first 16 bytes of each span as two numbers: with its length they are the whole of a span of up to ``SHORT`` bytes."""
+    room = np.append(data, np.zeros(16, np.uint8))
+    eight = np.ndarray(len(data) + 8, "<u8", room, strides=(1,))
+    size = ends - starts
+    low = eight[starts] & _FIRST[np.minimum(size, 8)]
+    high = eight[np.minimum(starts + 8, len(data))] & _FIRST[np.clip(size - 8, 0, 8)]
+    return low, high
+
+
+def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of words: of the packed bytes of short ones, XXH3 of longer ones."""
+    low, high = packed(data, starts, ends)
+    size = (ends - starts).astype(np.uint64)
+    out = _mix(low * _BASE + _mix(high * _BASE_2 + size + np.uint64(seed)))
+    far = np.flatnonzero(size > SHORT)
+    if len(far):
+        raw = memoryview(np.ascontiguousarray(data))
+        out[far] = [xxhash.xxh3_64_intdigest(raw[a:b], seed) for a, b in zip(starts[far].tolist(), ends[far].tolist(), strict=True)]
+    return out
+
+
 def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The spans of ``data`` one after another, and their n + 1 offsets."""
     offsets = np.zeros(len(lengths) + 1, np.int64)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .shared import add_columns, shared_dir, written
+from .shared import add_columns, keeps_columns, shared_dir, written
 from .textbytes import flat
 
 CACHE = "digest binary, tokenizer string, n_tokens long"
@@ -96,15 +96,17 @@ def _cached(spark: SparkSession, path: str, tokenizer: str) -> DataFrame:
     return rows.where(F.col("tokenizer") == tokenizer).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
 
+@keeps_columns("doc_id", "text", new=("n_tokens",))
 def add_token_counts(documents: DataFrame, path: str, cache: str | None = None) -> DataFrame:
     """``documents`` (doc_id, text) with n_tokens; ``cache`` is the cache's folder, a new one where it is None."""
     spark = documents.sparkSession
     cache = cache or shared_dir(spark, "token-cache")
     version = tokenizer_digest(path)
-    keyed = documents.withColumns({"text": F.coalesce("text", F.lit("")), "__digest": F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))})
+    content = F.coalesce("text", F.lit(""))
+    keyed = documents.withColumn("__digest", F.unhex(F.sha2(content, 256)))
     lead = keyed.groupBy(F.col("__digest").alias("digest")).agg(F.min("doc_id").alias("lead"))
-    missing = lead.join(_cached(spark, cache, version), "digest", "left_anti").hint("shuffle_hash")
-    texts = keyed.select("text", "doc_id", "__digest").join(missing, F.expr("__digest = digest and doc_id <=> lead"), "left_semi")
+    missing = lead.join(_cached(spark, cache, version), "digest", "left_anti")
+    texts = keyed.select(content.alias("text"), "doc_id", "__digest").join(missing, F.expr("__digest = digest and doc_id <=> lead"), "left_semi")
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         return [pa.array(counter(path)(batch.column("text")))]
@@ -112,5 +114,4 @@ def add_token_counts(documents: DataFrame, path: str, cache: str | None = None)
     counted = add_columns(texts.select("text", F.col("__digest").alias("digest")), "n_tokens long", make)
     counted.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     counts = written(_cached(spark, cache, version), "token-counts").withColumnRenamed("digest", "__digest")
-    thin = keyed.select(*[F.col(f"`{c}`") for c in documents.columns if c != "n_tokens"], "__digest")
-    return thin.join(counts, "__digest").drop("__digest")
+    return keyed.join(counts, "__digest").drop("__digest")
