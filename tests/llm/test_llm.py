@@ -1,6 +1,7 @@
 """The training-data operators against brute force, libraries and held-out labels."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -91,18 +92,39 @@ def test_contamination(spark, docs, texts, most):
     assert decontam.find_contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
-def test_repeats_removed(docs, texts):
+def thue_morse(n):
+    """A word of n letters and its complement, which polynomial hashes modulo 2^64 can't tell apart."""
+    t = "a"
+    while len(t) < n:
+        t += t.translate({97: 98, 98: 97})
+    return t, t.translate({97: 98, 98: 97})
+
+
+def test_repeats_removed(docs, texts, spark):
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(60)]
+    passage = " ".join(rng.choices(words, k=90))
+    more = [f"{' '.join(rng.choices(words, k=rng.randint(0, 40)))} {passage} {' '.join(rng.choices(words, k=9))}" for _ in range(30)]
+    for n in (1024, 4096):
+        more += [" ".join([x] * 3 + words[:10]) for x in thue_morse(n)]
+    more += ["aa " * 70, "aa " * 40 + "b", "bb aa " * 50, more[0], more[0]]
+    texts = [*texts, *enumerate(more, len(texts)), (None, more[1]), (3, more[2])]
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in texts], "doc_id long, text string, N_Words int, `a.b` string")
     first = {}
-    words = {i: BLANKS.findall(t or "") for i, t in texts}
-    for i in sorted(words):
-        for a in range(len(words[i]) - 12):
-            first.setdefault(tuple(words[i][a : a + 13]), i)
-    for block, entries in ((1 << 22, 1 << 20), (3000, 50)):
-        out = {r.doc_id: r for r in substring.remove_repeats(docs.select("doc_id", "text"), block_bytes=block, bucket_entries=entries).collect()}
-        for i, w in words.items():
-            gone = {p for a in range(len(w) - 12) if first[tuple(w[a : a + 13])] < i for p in range(a, a + 13)}
-            assert (out[i].n_words, out[i].n_removed) == (len(w), len(gone))
-            assert out[i].kept_text == " ".join(x for p, x in enumerate(w) if p not in gone)
+    words = [(i, BLANKS.findall(t or "")) for i, t in texts]
+    key = lambda i: 1 << 62 if i is None else i
+    for i, w in words:
+        for a in range(len(w) - 12):
+            first[tuple(w[a : a + 13])] = min(key(i), first.get(tuple(w[a : a + 13]), 1 << 62))
+    want = []
+    for i, w in words:
+        gone = {p for a in range(len(w) - 12) if first[tuple(w[a : a + 13])] < key(i) for p in range(a, a + 13)}
+        want.append((key(i), len(w), len(gone), " ".join(x for p, x in enumerate(w) if p not in gone)))
+    for block, entries, fan in ((1 << 22, 1 << 20, 1 << 14), (3000, 50, 3)):
+        out = substring.remove_repeats(docs, block_bytes=block, bucket_entries=entries, fan=fan)
+        assert out.columns == ["doc_id", "text", "a.b", "n_words", "n_removed", "kept_text"]
+        assert sorted((key(r.doc_id), r.n_words, r.n_removed, r.kept_text) for r in out.collect()) == sorted(want)
+    assert substring.remove_repeats(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         substring.remove_repeats(docs, window=8)
 
