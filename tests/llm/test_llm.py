@@ -229,6 +229,27 @@ def test_nearest(spark):
     assert found[0][0][0] != 0 and ann.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def ranked(x, q, k):
+    """The ids of the k largest inner products but the query's own, ties to smaller ids."""
+    s = x @ x[q]
+    return [int(i) for i in np.lexsort((np.arange(len(x)), -s)) if i != q][:k]
+
+
+@pytest.mark.parametrize("n, width", [(3000, 1e6), (12, 2.0), (30, 0.01)])
+def test_nearest_with_ties(spark, n, width):
+    """Integer vectors: very many equal scores.  One bucket for all; fewer candidates than asked; buckets that hold nothing."""
+    x = np.random.default_rng(n).integers(-1, 2, size=(n, 6)).astype(float)
+    x[np.abs(x).sum(1) == 0, 0] = 1
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, Score int")
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 20 == 0, 20, width=width).collect():
+        got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    for q in range(0, n, 20):
+        want = ranked(x, q, 20)
+        assert [got[q][k + 1][0] for k in range(len(want))] == want and len(got[q]) == len(want)
+        assert all(s == float(x[v] @ x[q]) for v, s in got[q].values())
+
+
 def test_classifiers_on_held_out_rows(spark):
     rng = np.random.default_rng(3)
     words = ["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(300)]

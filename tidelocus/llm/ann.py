@@ -10,16 +10,17 @@ distances to the boundaries crossed, smallest first, ``probes`` buckets in each
 2. Classes go to the buckets of all tables, queries to the buckets they visit.  Buckets are dealt into parts
    of a bounded number of rows; a bucket above ``CHUNK`` rows is split, and its queries visit every piece.
    A query's vector goes once to each part, with the list of buckets that it visits there.
-3. A part compares each bucket's queries with its vectors as matrices and returns one list of the best for each
-   query.  A query visits at most ``tables * probes`` buckets and their pieces, so its lists are few.
-4. The lists of a query are merged, ranked by exact inner products in double precision, and classes give way
-   to their ids.
+3. A part compares each bucket's queries with its vectors as matrices and returns the best of each
+   query: by score, then by id, whatever the number of ties.  A query visits at most ``tables * probes`` buckets and their pieces.
+4. What was found is ranked by exact inner products in double precision (a window that limits each query before the
+   shuffle), and classes give way to their ids.
+5. Queries that met fewer than they should have are compared with all classes, in blocks.
 
 ``width`` is in units of the root mean square of the mean and the largest norm.  Directions come from a seed, so nothing is trained.
 
 Edge cases: vectors that are null, zero, of a length other than the most frequent one, or hold null or
-non-finite components take no part; rows with null ids neither; repeated rows count once; ties go to
-smaller ids; fewer than k candidates give fewer rows; an empty table gives none.
+non-finite components take no part; rows with null ids neither; repeated rows count once; an id that has several
+vectors takes part with each; ties go to smaller ids; fewer than k candidates give fewer rows; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ from pyspark.sql.window import Window
 
 from .shared import written
 
-TABLES, PROJECTIONS, WIDTH, PROBES, SEED = 6, 6, 2.0, 60, 5
-CHUNK, PART_ROWS, SPARE = 8192, 1 << 16, 6
+TABLES, PROJECTIONS, WIDTH, PROBES, SEED = 2, 5, 2.0, 100, 5
+CHUNK, PART_ROWS = 8192, 1 << 16
 
 
 class Hashes:
@@ -81,18 +82,21 @@ def _vectors(batch: pa.RecordBatch, name: str = "embedding") -> np.ndarray:
 
 
 def _usable(vectors: DataFrame) -> DataFrame:
-    fine = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    """(vec_id, embedding) of the rows that take part; floats stay floats, other components become doubles."""
+    held = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"
+    fine = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(held).alias("embedding"))
     fine = fine.where("vec_id is not null and embedding is not null")
     return fine.where("forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists(embedding, x -> x <> 0)")
 
 
 def _search(index: pa.Table, queries: pa.Table, keep: int) -> pa.Table:
     """The ``keep`` best classes of one part for each query that visits it."""
-    none = pa.table({"query": pa.array([], pa.int64()), "classes": pa.array([], pa.list_(pa.int64())), "scores": pa.array([], pa.list_(pa.float64()))})
+    none = pa.table({"query": pa.array([], pa.int64()), "class": pa.array([], pa.int64()), "least": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
     if not index.num_rows or not queries.num_rows:
         return none
     index, queries = index.combine_chunks().to_batches()[0], queries.combine_chunks().to_batches()[0]
     x, q = _vectors(index), _vectors(queries)
+    classes, least_id, asked = (np.asarray(c) for c in (index.column("class"), index.column("least"), queries.column("query")))
     key, piece = np.asarray(index.column("key")), np.asarray(index.column("piece"))
     order = np.lexsort((piece, key))
     key, piece = key[order], piece[order]
@@ -114,42 +118,39 @@ def _search(index: pa.Table, queries: pa.Table, keep: int) -> pa.Table:
         for a in range(b, e, 512):
             asking = row[a : min(e, a + 512)]
             score = q[asking] @ x[members].T
+            # products of matrices round otherwise than sums in order: all within the error of the last place stay
             if len(members) > keep:
-                best = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
-                found_x.append(members[best].ravel())
-                found_s.append(np.take_along_axis(score, best, 1).ravel())
-                found_q.append(np.repeat(asking, keep))
+                least = np.partition(score, len(members) - keep, axis=1)[:, len(members) - keep]
+                error = 1e-12 * (np.abs(q[asking]).max(1) * np.abs(x[members]).max() * x.shape[1] + 1e-300)
+                of, at = np.nonzero(score >= (least - error)[:, None])
             else:
-                found_x.append(np.tile(members, len(asking)))
-                found_s.append(score.ravel())
-                found_q.append(np.repeat(asking, len(members)))
+                of, at = np.divmod(np.arange(score.size), len(members))
+            of, at = asking[of], members[at]
+            exact = _inner(q, of, x, at)
+            order = np.lexsort((least_id[at], -exact, of))
+            of, at, exact = of[order], at[order], exact[order]
+            some = np.arange(len(of)) - np.searchsorted(of, of) < keep
+            found_q.append(of[some])
+            found_x.append(at[some])
+            found_s.append(exact[some])
     if not found_q:
         return none
-    classes, asked = np.asarray(index.column("class")), np.asarray(queries.column("query"))
     of_q, of_x, score = np.concatenate(found_q), np.concatenate(found_x), np.concatenate(found_s)
     # a class may stand here for several tables
     _, once = np.unique(of_q * (classes.max() - classes.min() + 1) + classes[of_x] - classes.min(), return_index=True)
     of_q, of_x, score = of_q[once], of_x[once], score[once]
-    order = np.lexsort((classes[of_x], -score, of_q))
-    of_q, of_x = of_q[order], of_x[order]
-    rank = np.arange(len(of_q)) - np.searchsorted(of_q, of_q)
-    of_q, of_x = of_q[rank < keep], of_x[rank < keep]
-    exact = np.zeros(len(of_q))
-    for i in range(x.shape[1]):  # in the components' order, so equal vectors get equal sums
-        exact += q[of_q, i] * x[of_x, i]
-    who, begin = np.unique(of_q, return_index=True)
-    bounds = pa.array(np.append(begin, len(of_q)), pa.int32())
-    lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (classes[of_x], exact)]
-    return pa.table({"query": pa.array(asked[who]), "classes": lists[0], "scores": lists[1]})
-
-
-def _merge(lists: pa.Table, keep: int) -> pa.Table:
-    """One query's ``keep`` best classes of all its lists, best first."""
-    found: dict[int, float] = {}
-    for classes, scores in zip(lists.column("classes").to_pylist(), lists.column("scores").to_pylist(), strict=True):
-        found.update(zip(classes, scores, strict=True))
-    best = sorted(found.items(), key=lambda x: (-x[1], x[0]))[:keep]
-    return pa.table({"query": lists.column("query")[:1], "classes": pa.array([[c for c, _ in best]], pa.list_(pa.int64())), "scores": pa.array([[s for _, s in best]], pa.list_(pa.float64()))})
+    order = np.lexsort((least_id[of_x], -score, of_q))
+    of_q, of_x, score = of_q[order], of_x[order], score[order]
+    some = np.arange(len(of_q)) - np.searchsorted(of_q, of_q) < keep
+    return pa.table({"query": pa.array(asked[of_q[some]]), "class": pa.array(classes[of_x[some]]), "least": pa.array(least_id[of_x[some]]), "score": pa.array(score[some])})
+
+
+def _inner(q: np.ndarray, i: np.ndarray, x: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of rows of q and x, summed in the components' order, so equal vectors get equal sums."""
+    out = np.zeros(len(i))
+    for k in range(x.shape[1]):
+        out += q[i, k] * x[j, k]
+    return out
 
 
 def nearest(vectors: DataFrame, asks: Column, k: int = 20, tables: int = TABLES, projections: int = PROJECTIONS, width: float = WIDTH, probes: int = PROBES, seed: int = SEED) -> DataFrame:
@@ -161,15 +162,16 @@ def nearest(vectors: DataFrame, asks: Column, k: int = 20, tables: int = TABLES,
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     size = common["size"]
     rows = rows.where(F.size("embedding") == size)
-    norm2 = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
+    norm2 = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     by_vector = Window.partitionBy("embedding").orderBy("vec_id")
     # at most k + 1 rows of a class leave a task
     least = rows.dropDuplicates(["vec_id", "embedding"]).withColumn("place", F.row_number().over(by_vector)).where(F.col("place") <= k + 1)
-    classes = least.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("class", F.col("ids")[0])
-    # vec_ids may repeat with other vectors, so classes are told apart by the vector too
-    classes = classes.withColumn("class", F.when(F.count(F.lit(1)).over(Window.partitionBy("class")) > 1, F.xxhash64("class", "embedding")).otherwise(F.col("class")))
-    classes = written(classes.select("class", "ids", "embedding"), "ann-classes")
-    n, top, mean = classes.agg(F.count(F.lit(1)), F.max(norm2), F.avg(F.sqrt(norm2))).first()
+    classes = written(least.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("least", F.col("ids")[0]), "ann-classes")
+    n, several, top, mean, ids = classes.agg(F.count(F.lit(1)), F.countDistinct("least"), F.max(norm2), F.avg(F.sqrt(norm2)), F.sum(F.size("ids"))).first()
+    name = F.col("least")
+    if several < n:  # ids that have several vectors: their classes are told apart by the vector too
+        name = F.when(F.count(F.lit(1)).over(Window.partitionBy("least")) > 1, F.xxhash64("least", "embedding")).otherwise(name)
+    classes = classes.withColumn("class", name) if several == n else written(classes.withColumn("class", name), "ann-classes")
     hashes = Hashes(size, tables, projections, width * math.sqrt((mean**2 + top) / 2), seed)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,37 +181,52 @@ def nearest(vectors: DataFrame, asks: Column, k: int = 20, tables: int = TABLES,
                 x = _vectors(part)
                 last = np.sqrt(np.maximum(top - (x**2).sum(1), 0))
                 keys = hashes.keys(np.floor(hashes.places(x, last)))
-                yield pa.RecordBatch.from_arrays([part.column("class"), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * tables, pa.int32()), pa.array(keys.ravel()))], names=["class", "keys"])
+                held = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * tables, pa.int32()), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([*part.columns, held], names=[*part.schema.names, "keys"])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
                 keys = hashes.visited(_vectors(part), probes).reshape(part.num_rows, -1)
-                yield pa.RecordBatch.from_arrays([part.column("class"), pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel()))], names=["query", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column("query"), pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel()))], names=["query", "keys"])
 
+    kind = dict(rows.dtypes)["embedding"]
     parts = math.ceil(n * tables / PART_ROWS)
-    placed = written(classes.select("class", "embedding").mapInArrow(place, "class long, keys array<long>"), "ann-places").select("class", F.explode("keys").alias("key"))
+    thin = classes.select("class", "least", "embedding")
+    placed = thin.mapInArrow(place, f"class long, least long, embedding {kind}, keys array<long>").withColumn("key", F.explode("keys")).drop("keys")
     heavy = placed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK).select("key", F.ceil(F.col("n") / CHUNK).alias("pieces"))
-    heavy = written(heavy, "ann-heavy")
+    heavy = written(heavy, "ann-heavy")  # as a table of known size, which Spark broadcasts if it is small
     part_of = F.pmod(F.xxhash64("key", "piece"), F.lit(parts)).alias("part")
-    index = placed.join(heavy, "key", "left").withColumn("piece", F.pmod(F.xxhash64("class"), F.coalesce("pieces", F.lit(1))))
-    index = index.join(classes.select("class", "embedding"), "class").select(part_of, "key", "piece", "class", "embedding")
-    asking = rows.where(asks).select(F.col("vec_id").alias("query_id"), "embedding").distinct().join(classes.select("embedding", "class"), "embedding").select("query_id", F.col("class").alias("query"))
-    asking = written(asking, "ann-queries")
-    query_vectors = classes.join(asking.select(F.col("query").alias("class")).distinct(), "class", "left_semi").select("class", "embedding")
-    visits = query_vectors.mapInArrow(visit, "query long, keys array<long>").select("query", F.explode("keys").alias("key"))
+    index = placed.join(heavy, "key", "left").withColumn("piece", F.pmod(F.xxhash64("class"), F.coalesce("pieces", F.lit(1)))).select(part_of, "key", "piece", "class", "least", "embedding")
+    asking = rows.where(asks).select(F.col("vec_id").alias("query_id"), "embedding").distinct()
+    ask_vectors = written(asking.groupBy("embedding").agg(F.min("query_id").alias("query")), "ann-vectors")
+    asking = written(asking.join(ask_vectors, "embedding").select("query_id", "query", "embedding"), "ann-queries")
+    if several < n:
+        ask_vectors = ask_vectors.withColumn("query", F.xxhash64("query", "embedding"))
+        asking = asking.withColumn("query", F.xxhash64("query", "embedding"))
+    asking = asking.select("query_id", "query")
+    visits = ask_vectors.mapInArrow(visit, "query long, keys array<long>").select("query", F.explode("keys").alias("key"))
     visits = visits.join(heavy, "key", "left").select("query", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("pieces", F.lit(1)) - 1)).alias("piece"))
     # at most tables * probes buckets, and pieces of them, for a query
     visits = visits.groupBy(part_of, "query").agg(F.collect_list(F.struct("key", "piece")).alias("visits"))
-    visits = visits.join(query_vectors.withColumnRenamed("class", "query"), "query").select("part", "query", "visits", "embedding")
-    keep = k + SPARE
-    lists = "query long, classes array<long>, scores array<double>"
-    found = index.groupBy("part").cogroup(visits.groupBy("part")).applyInArrow(lambda a, b: _search(a, b, keep), lists)
-    found = found.groupBy("query").applyInArrow(lambda t: _merge(t, k + 1), lists)
-    found = found.select("query", F.explode(F.arrays_zip("classes", "scores")).alias("x")).select("query", F.col("x.classes").alias("class"), F.col("x.scores").alias("score"))
-    found = found.join(classes.select("class", "ids"), "class").select("query", "score", F.explode("ids").alias("vec_id"))
-    found = found.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("place") <= k + 1)
-    lists = found.groupBy("query").agg(F.array_sort(F.collect_list(F.struct(F.col("place"), "vec_id", "score"))).alias("found"))
-    best = asking.join(lists, "query").select("query_id", F.slice(F.expr("filter(found, x -> x.vec_id <> query_id)"), 1, k).alias("found"))
-    return best.select("query_id", F.posexplode("found").alias("at", "x")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), "x.vec_id", "x.score")
+    visits = visits.join(ask_vectors, "query").select("part", "query", "visits", "embedding")
+
+    def searched(index: DataFrame, visits: DataFrame) -> DataFrame:
+        found = index.groupBy("part").cogroup(visits.groupBy("part")).applyInArrow(lambda a, b: _search(a, b, k + 1), "query long, class long, least long, score double")
+        best = Window.partitionBy("query").orderBy(F.desc("score"), "least", "class")
+        return found.withColumn("place", F.dense_rank().over(best)).where(F.col("place") <= k + 1).select("query", "class", "score").distinct()
+
+    found = written(searched(index, visits).join(classes.select("class", "ids"), "class").select("query", "score", "ids"), "ann-found")
+    enough = found.groupBy("query").agg(F.sum(F.size("ids")).alias("n")).where(F.col("n") >= min(k + 1, ids))
+    late = written(ask_vectors.join(enough, "query", "left_anti"), "ann-late")
+    if not late.isEmpty():
+        blocks = math.ceil(n / PART_ROWS)
+        all_ = thin.select(F.pmod(F.xxhash64("class"), F.lit(blocks)).alias("part"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("piece"), "class", "least", "embedding")
+        each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+        asked = late.select(each.alias("part"), "query", F.expr("array(struct(0L as key, 0L as piece)) as visits"), "embedding")
+        more = searched(all_, asked).join(classes.select("class", "ids"), "class").select("query", "score", "ids")
+        found = found.join(late.select("query"), "query", "left_anti").unionByName(more)
+    own = asking.join(found, "query").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+    ranked = own.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
