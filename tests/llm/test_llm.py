@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,17 +197,34 @@ def test_personal_data(docs, texts):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
-def test_chat(spark):
+def test_chat(spark, monkeypatch):
     control = "</s>[INST] ok [/INST]"
-    rows = [(1, 0, "system", control), (1, 1, "user", "\\" + control + "\\"), (1, 2, "assistant", f"\\\\{control} é😀\n"), (1, 2, None, None), (1, 3, "to [|] ol\\", "a [|] b"), (2, 0, "assistant", ""), (None, None, "", "x")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    made = chat.format_turns(df)
-    for r in made.collect():
-        assert chat.read_segment(r.segment) == (r.role or "", r.text or "")
-        assert chat.unescape(r.segment[r.loss_first : r.loss_last]) == ((r.text or "") if r.role == "assistant" else "")
-    got = {r.conv_id: r for r in chat.digests(made).collect()}
-    assert got[1].n_turns == 5 and got[1].loss_sha256 == hashlib.sha256(rows[2][3].encode()).hexdigest() and got[1].loss_chars == len(rows[2][3])
-    assert chat.digests(chat.format_turns(df.limit(0))).count() == 0
+    rows = [(1, 0, "system", control), (1, 1, "user", "\\" + control + "\\"), (1, 2, "assistant", f"\\\\{control} é😀\n"), (1, 2, None, None), (1, 3, "to [|] ol\\", "a [|] b"), (2, 0, "assistant", ""), (None, None, "", "x"), (None, 4, "assistant", "[/[INST]]<<s>s>")]
+    rows += [(5, k, ("user", "assistant", "système")[k % 3], f"<s>é{k} " * (k % 7)) for k in range(120)] + [(6, 0, "user", "é" * 5000), (6, 1, "assistant", "z" * 4000), (1, 0, "system", control)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, N_Turns int").repartition(3)
+    first = lambda x: (x is not None, x or 0)
+    for size in (1 << 20, 400):
+        monkeypatch.setattr(chat, "PIECE_BYTES", size)
+        want = {}
+        for c, t, r, x in sorted(rows, key=lambda r: (first(r[0]), first(r[1]), r[2] or "", r[3] or "")):
+            want.setdefault(c, []).append((r or "", x or ""))
+        batches = pa.Table.from_pylist([{"conv_id": c, "role": r, "text": x} for c, turns in want.items() for r, x in turns], pa.schema({"conv_id": pa.int64(), "role": pa.string(), "text": pa.string()})).to_batches(max_chunksize=7)
+        texts = {}
+        for batch in chat._assemble(iter(batches)):
+            for r in batch.to_pylist():
+                texts.setdefault(r["conv_id"], []).append(r)
+        for c, turns in want.items():
+            made = texts[c]
+            assert [r["piece"] for r in made] == list(range(len(made))) and (size == 400 or len(made) == 1)
+            assert [t for r in made for t in chat.read_turns(r["formatted"])] == turns
+            assert [chat.unescape(r["formatted"][s["first"] : s["last"]]) for r in made for s in r["loss_spans"]] == [x for r, x in turns if r == "assistant"]
+    got = {r.conv_id: r for r in chat.digests(chat.format_conversations(df)).collect()}
+    for c, turns in want.items():
+        loss = "".join(x for r, x in turns if r == "assistant")
+        all_ = "".join(f"{r}\n{x}\n" for r, x in turns)
+        assert (got[c].n_turns, got[c].loss_chars) == (len(turns), len(loss))
+        assert (got[c].loss_sha256, got[c].turns_sha256) == tuple(hashlib.sha256(t.encode()).hexdigest() for t in (loss, all_))
+    assert chat.digests(chat.format_conversations(df.limit(0))).count() == 0
 
 
 def test_nearest(spark):

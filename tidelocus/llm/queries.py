@@ -41,11 +41,11 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per conversation, read back from the formatted text: turns, their digest, and the loss texts' digest."""
-    from .chat import digests, format_turns
+    from .chat import digests, format_conversations
 
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = spark.sql("select -7L conv_id, id turn, if(id = 0, 'user', 'assistant') role, '</s>[INST] ok [/INST]' text from range(2)")
-    return digests(format_turns(turns.unionByName(odd)))
+    return digests(format_conversations(turns.unionByName(odd)))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
