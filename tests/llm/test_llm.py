@@ -69,9 +69,15 @@ def test_other_tokenizers(docs, texts, name, tmp_path):
 
 @pytest.mark.parametrize("most", [5, 50_000])
 def test_contamination(spark, docs, texts, most):
-    items = [(1, " ".join((texts[20][1] or "").split()[:30])), (2, texts[57][1]), (3, "one TWO"), (4, None), (None, "x"), (5, ""), (1, "one two")]
+    items = [(1, " ".join((texts[20][1] or "").split()[:30])), (2, texts[57][1]), (3, "one TWO"), (4, None), (None, "x"), (5, ""), (1, "one two"), (6, "\n".join(f"k{i % 90}" for i in range(20_000)))]
+    items += [(7 + k, " ".join([x, "tail"])) for k, x in enumerate(thue_morse(1024))]
+    more = [(900, "\n".join(f"K{i % 90}" for i in range(85, 130)), "", "", 0, "", 0), (901, thue_morse(1024)[1] + " tail", "", "", 0, "", 0)]
+    docs = docs.unionByName(spark.createDataFrame(more, docs.schema)).withColumns({"N_Hit": F.lit("own"), "a.b": F.lit(1)})
+    texts = [*texts, *((r[0], r[1]) for r in more)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    out = {r.doc_id: r for r in decontam.find_contamination(docs, bench, max_windows=most).collect()}
+    found = decontam.find_contamination(docs, bench, max_windows=most)
+    assert found.columns == [*[c for c in docs.columns if c not in ("n_words", "N_Hit")], "n_words", "n_hit", "hit_spans", "item_ids"]
+    out = {r.doc_id: r for r in found.collect()}
     windows = {}
     for k, t in items:
         w = ALNUM.findall(lower(t)) if k is not None else []
@@ -81,10 +87,10 @@ def test_contamination(spark, docs, texts, most):
     for i, t in texts:
         w = ALNUM.findall(lower(t))
         hit, found = set(), set()
-        for win, ids in windows.items():
-            for a in range(len(w) - len(win) + 1):
-                if tuple(w[a : a + len(win)]) == win:
-                    hit.update(range(a, a + len(win)))
+        for size in {len(win) for win in windows}:
+            for a in range(len(w) - size + 1):
+                if ids := windows.get(tuple(w[a : a + size])):
+                    hit.update(range(a, a + size))
                     found |= ids
         assert (out[i].n_words, out[i].n_hit, out[i].item_ids) == (len(w), len(hit), sorted(found))
     clean = decontam.drop_contaminated(docs, bench)

@@ -3,17 +3,17 @@
 A benchmark item is cut into windows of ``window`` consecutive words (a shorter item is one
 window).  A document contains a window only if it contains every word of it, so by the prefix
 filter for containment ``t`` the join has to look at the ``len - ceil(t * len) + 1`` rarest words of a
-window alone: at exact containment, at its rarest one.  Rarity is measured over all documents.
+window alone: at exact containment, at its rarest one.  Rarity is measured once, over all documents.
 
-1. One pass counts, over all documents, the words that the benchmark uses.
-2. A second pass meets each document's words with the rarest words of the windows, keeps the
-   places where the window fits into the document (positional and length bounds), compares the
-   hash of the whole window, and at last its bytes.
+1. One pass counts, over all documents, the words that the benchmark uses (found by a table of bits of fixed size).
+2. Each distinct window gets its rarest word as prefix.
+3. Each document's words are joined with the windows' prefixes; the window has to fit into the document around that place
+   (positional and length bounds), and its words have to be the document's, by their bytes.
 
-What goes to the tasks is an index of at most ``max_windows`` windows (about 200 bytes each); a larger
-benchmark is worked off in blocks of that size, one pass over the documents for each, so that
-nothing grows with the benchmark but the number of passes.  Documents are never shuffled, so one
-frequent word, passage or source makes no large task.
+A benchmark of at most ``max_windows`` distinct windows and ``max_bytes`` of them, both counted before, goes to the tasks as an
+index, and documents aren't shuffled.  A larger one stays a Spark table: documents send the places whose word may be a prefix
+(by a table of bits of fixed size) with the words around them, and Spark joins them by the word.  So there are two passes
+over the documents, whatever the benchmark's size; Spark splits the join where a word is frequent.
 
 Edge cases: null or empty texts have no words; null texts or ids among the items take no part;
 repeated items count once; an empty benchmark hits nothing; repeated documents are judged each.
@@ -28,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import add_columns, shielded, written
-from .textbytes import ALNUM, LOWER, flat, prefix_sums, slices, span_hash, word_spans
+from .shared import add_columns, keeps_columns, written
+from .textbytes import ALNUM, LOWER, flat, prefix_sums, slices, span_hash, word_hash, word_spans
 
 WINDOW = 10
-MAX_WINDOWS = 50_000
+MAX_WINDOWS, MAX_BYTES = 50_000, 16 << 20
+FILTER_BITS = 24
 
 
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -40,74 +41,118 @@ def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     data, offsets = flat(column)
     data = LOWER[data]
     starts, ends, first = word_spans(ALNUM[data], offsets)
-    return data, starts, ends, first, span_hash(prefix_sums(data), starts, ends)
+    return data, starts, ends, first, word_hash(data, starts, ends)
 
 
-class Index:
-    """The windows of one block of benchmark items."""
-
-    def __init__(self, items: list[tuple[str, str]], window: int):
-        data, starts, ends, first, hashes = words_of(pa.array([t for _, t in items], pa.string()))
-        sums = prefix_sums(hashes)
-        found: dict[bytes, tuple[int, int, set[str]]] = {}
-        for k, (name, _) in enumerate(items):
-            lo, hi = int(first[k]), int(first[k + 1])
-            size = min(window, hi - lo)
-            for at in range(lo, hi - size + 1) if size else ():
-                text = b" ".join(data[starts[i] : ends[i]].tobytes() for i in range(at, at + size))
-                found.setdefault(text, (at, size, set()))[2].add(name)
-        self.texts = list(found)
-        self.items = [sorted(names) for _, _, names in found.values()]
-        self.at = np.array([a for a, _, _ in found.values()], np.int64)
-        self.sizes = np.array([s for _, s, _ in found.values()], np.int64)
-        self.hashes = span_hash(sums, self.at, self.at + self.sizes)
-        self.words = hashes
-        self.vocabulary = np.unique(hashes)
-
-    def by_rarity(self, counts: np.ndarray) -> None:
-        """Set each window's prefix word: the rarest by ``counts`` (of the vocabulary), ties by hash."""
-        place = np.empty(len(self.vocabulary), np.int64)
-        place[np.lexsort((self.vocabulary, counts))] = np.arange(len(self.vocabulary))
-        ranks = place[np.searchsorted(self.vocabulary, self.words)]
-        self.shift = np.array([int(np.argmin(ranks[a : a + s])) for a, s in zip(self.at, self.sizes, strict=True)], np.int64)
-        rare = self.words[self.at + self.shift]
-        self.order = np.argsort(rare, kind="stable")
-        self.prefixes, self.begin = np.unique(rare[self.order], return_index=True)
-        self.begin = np.append(self.begin, len(rare))
-        del self.words
+def _text(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: int, stop: int) -> bytes:
+    """Words joined by one space."""
+    return b" ".join(data[starts[i] : ends[i]].tobytes() for i in range(first, stop))
 
 
-def _blocks(benchmark: DataFrame, window: int, max_windows: int) -> Iterator[Index]:
-    rows = benchmark.select(F.col("item_id").cast("string").alias("name"), F.col("text").alias("body")).where("name is not null and body is not null").distinct()
-    block: list[tuple[str, str]] = []
-    size = 0
-    for row in rows.toLocalIterator():
-        block.append((row["name"], row["body"]))
-        size += max(1, row["body"].count(" ") + 1)
-        if size >= max_windows:
-            yield Index(block, window)
-            block, size = [], 0
-    if block:
-        yield Index(block, window)
+def windows_of(benchmark: DataFrame, window: int) -> DataFrame:
+    """(win, size, words, items): the distinct windows as words joined by one space, the words' hashes, and the sorted names of their items."""
+    rows = benchmark.select(F.col("item_id").cast("string").alias("name"), F.col("text").alias("text")).where("name is not null and text is not null").distinct()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            data, starts, ends, first, hashes = words_of(batch.column("text"))
+            n = np.diff(first)
+            size = np.minimum(window, n)
+            many = np.where(size > 0, n - size + 1, 0)
+            item = np.repeat(np.arange(len(n)), many)
+            step = np.append(0, np.cumsum(many))
+            for lo in range(0, len(item), 4096):  # a long item gives many rows
+                some = np.arange(lo, min(lo + 4096, len(item)))
+                of = item[some]
+                at, long = first[of] + some - step[of], size[of]
+                text = [_text(data, starts, ends, a, a + s).decode() for a, s in zip(at.tolist(), long.tolist(), strict=True)]
+                bounds = np.append(0, np.cumsum(long))
+                place = np.arange(bounds[-1]) + np.repeat(at - bounds[:-1], long)
+                words = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hashes[place].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("name").take(pa.array(of)), pa.array(text), pa.array(long), words], names=["name", "win", "size", "words"])
+
+    found = rows.mapInArrow(cut, "name string, win string, size long, words array<long>")
+    return found.groupBy("win", "size", "words").agg(F.array_sort(F.collect_set("name")).alias("items"))
+
+
+def _bits(words: DataFrame) -> np.ndarray:
+    """A table of bits of fixed size: that of each word hash of the first column is set."""
+    mask = (1 << FILTER_BITS) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(1 << FILTER_BITS, bool)
+        for batch in batches:
+            bits[batch.column(0).to_numpy() & mask] = True
+        if bits.any():
+            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
 
+    bits = np.zeros(1 << FILTER_BITS >> 3, np.uint8)
+    for row in words.coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
+        bits |= np.frombuffer(row["bits"], np.uint8)
+    return bits
 
-def _count(documents: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
-    """How often each word of the vocabulary stands in all documents."""
+
+def _may_be(packed_bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = (hashes & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+    return packed_bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1 == 1
+
+
+def _count(documents: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(word, n): how often words of the benchmark (and a few others) stand in all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(vocabulary), np.int64)
+        held: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
         for batch in slices(batches):
             hashes = words_of(batch.column("text"))[4]
-            at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-            total += np.bincount(at[vocabulary[at] == hashes], minlength=len(vocabulary))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["word", "n"])
+            word, n = np.unique(hashes[_may_be(bits, hashes)], return_counts=True)
+            held.append(word)
+            counts.append(n)
+            if sum(map(len, held)) > 1 << 18:
+                word, of = np.unique(np.concatenate(held), return_inverse=True)
+                held, counts = [word], [np.bincount(of, np.concatenate(counts)).astype(np.int64)]
+                if len(word) > 1 << 17:
+                    yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(counts[0])], names=["word", "n"])
+                    held, counts = [], []
+        if held:
+            word, of = np.unique(np.concatenate(held), return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(np.bincount(of, np.concatenate(counts)).astype(np.int64))], names=["word", "n"])
+
+    return documents.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
-    counts = np.zeros(len(vocabulary), np.int64)
-    if len(vocabulary):
-        for row in documents.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toLocalIterator():
-            counts[row["word"]] = row["n"]
-    return counts
+
+def _with_prefix(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """``windows`` with ``shift`` and ``prefix``: place and hash of each window's rarest word (ties: the smaller hash, then the first place)."""
+    each = windows.select("win", F.posexplode("words").alias("shift", "word")).join(counts, "word", "left")
+    rarest = each.groupBy("win").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "shift")).alias("r"))
+    return windows.join(rarest.select("win", F.col("r.shift").cast("long").alias("shift"), F.col("r.word").alias("prefix")), "win")
+
+
+class Index:
+    """All windows of a bounded benchmark."""
+
+    def __init__(self, rows: list):
+        self.texts = [r["win"].encode() for r in rows]
+        self.items = [r["items"] for r in rows]
+        self.sizes = np.array([r["size"] for r in rows], np.int64)
+        self.shift = np.array([r["shift"] for r in rows], np.int64)
+        words = np.array([w for r in rows for w in r["words"]], np.int64).view(np.uint64)
+        at = np.append(0, np.cumsum(self.sizes))
+        self.hashes = span_hash(prefix_sums(words), at[:-1], at[1:])
+        rare = words[at[:-1] + self.shift] if len(rows) else words
+        self.order = np.argsort(rare, kind="stable")
+        self.prefixes, self.begin = np.unique(rare[self.order], return_index=True)
+        self.begin = np.append(self.begin, len(rare))
+
+
+def _spans(hit: np.ndarray, first: np.ndarray) -> list[pa.Array]:
+    """n_words, n_hit and the hit spans of each document, from changes of the number of windows over a word."""
+    covered = np.append(False, np.cumsum(hit[:-1]) > 0)
+    runs, stops, run_of = word_spans(covered[1:], first)
+    totals = np.append(0, np.cumsum(covered[1:]))
+    base = np.repeat(first[:-1], np.diff(run_of))
+    spans = pa.ListArray.from_arrays(pa.array(run_of, pa.int32()), pa.StructArray.from_arrays([pa.array(runs - base), pa.array(stops - 1 - base)], ["first", "last"]))
+    return [pa.array(np.diff(first)), pa.array(totals[first[1:]] - totals[first[:-1]]), spans]
 
 
 def _meet(index: Index) -> Callable[[pa.RecordBatch], list[pa.Array]]:
@@ -115,11 +160,7 @@ def _meet(index: Index) -> Callable[[pa.RecordBatch], list[pa.Array]]:
         data, starts, ends, first, hashes = words_of(batch.column("text"))
         n, docs = len(hashes), batch.num_rows
         hit = np.zeros(n + 1, np.int64)
-        for doc, spans in enumerate(batch.column("hit_spans").to_pylist()):
-            for span in spans or ():
-                hit[first[doc] + span["first"]] += 1
-                hit[first[doc] + span["last"] + 1] -= 1
-        items = [set(x or ()) for x in batch.column("item_ids").to_pylist()]
+        items: list[set[str]] = [set() for _ in range(docs)]
         if n and len(index.prefixes):
             at = np.minimum(np.searchsorted(index.prefixes, hashes), len(index.prefixes) - 1)
             places = np.flatnonzero(index.prefixes[at] == hashes)
@@ -134,16 +175,11 @@ def _meet(index: Index) -> Callable[[pa.RecordBatch], list[pa.Array]]:
             same = span_hash(prefix_sums(hashes), begin, begin + index.sizes[window]) == index.hashes[window]
             for b, w, d in zip(begin[same].tolist(), window[same].tolist(), doc[same].tolist(), strict=True):
                 size = int(index.sizes[w])
-                if b" ".join(data[starts[i] : ends[i]].tobytes() for i in range(b, b + size)) == index.texts[w]:
+                if _text(data, starts, ends, b, b + size) == index.texts[w]:
                     hit[b] += 1
                     hit[b + size] -= 1
                     items[d].update(index.items[w])
-        covered = np.append(False, np.cumsum(hit[:-1]) > 0)
-        runs, stops, run_of = word_spans(covered[1:], first)
-        totals = np.append(0, np.cumsum(covered[1:]))
-        base = np.repeat(first[:-1], np.diff(run_of))
-        spans = pa.ListArray.from_arrays(pa.array(run_of, pa.int32()), pa.StructArray.from_arrays([pa.array(runs - base), pa.array(stops - 1 - base)], ["first", "last"]))
-        return [pa.array(np.diff(first)), pa.array(totals[first[1:]] - totals[first[:-1]]), spans, pa.array([sorted(x) for x in items[:docs]], pa.list_(pa.string()))]
+        return [*_spans(hit, first), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
 
     return make
 
@@ -151,40 +187,57 @@ def _meet(index: Index) -> Callable[[pa.RecordBatch], list[pa.Array]]:
 RESULT = "n_words long, n_hit long, hit_spans array<struct<first:long,last:long>>, item_ids array<string>"
 
 
-def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
+def _joined(documents: DataFrame, windows: DataFrame, window: int) -> DataFrame:
+    """(content, first, size, items): windows that occur in texts with this digest, by a join on the prefix word."""
+    bits = _bits(windows.select("prefix"))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            data, starts, ends, first, hashes = words_of(batch.column("text"))
+            at = np.flatnonzero(_may_be(bits, hashes))
+            doc = np.searchsorted(first, at, "right") - 1
+            lo, hi = np.maximum(at - window + 1, first[doc]), np.minimum(at + window, first[doc + 1])
+            around = [_text(data, starts, ends, a, b).decode() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("content").take(pa.array(doc)), pa.array(hashes[at].view(np.int64)), pa.array(at - first[doc]), pa.array(at - lo), pa.array(hi - lo), pa.array(around, pa.string())], names=["content", "prefix", "at", "before", "held", "around"])
+
+    texts = documents.select("text", F.unhex(F.sha2("text", 256)).alias("content"))
+    found = texts.mapInArrow(places, "content binary, prefix long, at long, before long, held long, around string").join(windows, "prefix")
+    fits = (F.col("shift") <= F.col("before")) & (F.col("before") - F.col("shift") + F.col("size") <= F.col("held"))
+    own = F.array_join(F.slice(F.split("around", " "), (F.col("before") - F.col("shift") + 1).cast("int"), F.col("size").cast("int")), " ")
+    return found.where(fits).where(own == F.col("win")).select("content", (F.col("at") - F.col("shift")).alias("first"), "size", "items").distinct()
+
+
+@keeps_columns("text", new=("n_words", "n_hit", "hit_spans", "item_ids"))
+def find_contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """``documents`` (``text``) with n_words, n_hit, hit_spans and item_ids (of ``benchmark``: item_id, text).
 
     ``hit_spans`` are the runs of words (first and last, from 0) inside occurrences of windows;
     ``item_ids`` the sorted names of the items with such windows.
     """
-    out = documents.withColumns({"hit_spans": F.expr("cast(array() as array<struct<first:long,last:long>>)"), "item_ids": F.expr("cast(array() as array<string>)")})
-    blocks = _blocks(benchmark, window, max_windows)
-    index = next(blocks, None) or Index([], window)
-    while index:
-        index.by_rarity(_count(documents, index.vocabulary))
-        following = next(blocks, None)
-        # add_columns replaces columns of the same name, so what earlier blocks found goes in under them
-        out = add_columns(_keep_found(out), RESULT, _with_found(_meet(index)))
-        out = out.drop("__found_spans", "__found_items")
-        if following:
-            out = written(out, "decontamination")
-        index = following
-    return out
-
-
-def _keep_found(df: DataFrame) -> DataFrame:
-    return df.withColumns({"__found_spans": F.col("hit_spans"), "__found_items": F.col("item_ids")})
+    windows = written(windows_of(benchmark, window), "decontamination-windows")
+    many, size = windows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("win") + F.octet_length(F.array_join("items", ","))), F.lit(0))).first()
+    counts = _count(documents, _bits(windows.select(F.explode("words")))) if many else documents.sparkSession.createDataFrame([], "word long, n long")
+    windows = _with_prefix(windows, counts)
+    if many <= max_windows and size <= max_bytes:
+        return add_columns(documents, RESULT, _meet(Index(windows.select("win", "size", "words", "items", "shift").collect())))
+    found = _joined(documents, written(windows, "decontamination-prefixes"), window)
+    spans = F.collect_set(F.struct("first", "size")).alias("spans")
+    by_text = written(found.groupBy("content").agg(spans, F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids")), "decontamination-found")
+    out = documents.withColumn("content", F.unhex(F.sha2("text", 256))).join(by_text, "content", "left").withColumn("item_ids", F.coalesce("item_ids", F.expr("cast(array() as array<string>)")))
 
+    def make(batch: pa.RecordBatch) -> list[pa.Array]:
+        first = words_of(batch.column("text"))[3]
+        hit = np.zeros(first[-1] + 1, np.int64)
+        for doc, held in enumerate(batch.column("spans").to_pylist()):
+            for span in held or ():
+                hit[first[doc] + span["first"]] += 1
+                hit[first[doc] + span["first"] + span["size"]] -= 1
+        return _spans(hit, first)
 
-def _with_found(make: Callable) -> Callable:
-    def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        names = [{"__found_spans": "hit_spans", "__found_items": "item_ids"}.get(x, x) for x in batch.schema.names]
-        return make(batch.rename_columns(names))
-
-    return run
+    return add_columns(out, "n_words long, n_hit long, hit_spans array<struct<first:long,last:long>>", make)
 
 
+@keeps_columns("text")
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents in which no window of an item occurs, with their own columns."""
-    safe, back = shielded(documents, "text")
-    return back(find_contamination(safe, benchmark, window).where("n_hit = 0"))
+    return find_contamination(documents, benchmark, window).where("n_hit = 0")
