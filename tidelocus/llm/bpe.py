@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .shared import add_columns, keeps_columns
-from .textbytes import SHORT, flat, gather, packed, word_hash
+from .textbytes import SHORT, flat, gather, packed, packed_hash
 
 OTHER, LETTER, DIGIT, SPACE = range(4)
 MAX_WORDS, MAX_BYTES = 300_000, 64 << 20
@@ -141,7 +141,7 @@ class WordTable:
         self.count, self.bytes = 0, 0
         self.values, self.used = np.zeros(1 << 16, np.int32), 0
         self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.key = np.zeros((3, 1 << 16), np.uint64)
+        self.low, self.high, self.long = (np.zeros(1 << 16, kind) for kind in (np.uint64, np.uint64, np.int64))
 
     def _add(self, new: list[bytes]) -> np.ndarray:
         """Learn words, and the indices they get."""
@@ -153,7 +153,7 @@ class WordTable:
             self.values = np.resize(self.values, 2 * len(self.values))
         while self.count > len(self.start):
             self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
-            self.key = np.concatenate([self.key, np.zeros_like(self.key)], axis=1)
+            self.low, self.high, self.long = (np.resize(x, 2 * len(x)) for x in (self.low, self.high, self.long))
         self.values[self.used : self.used + len(flat_values)] = flat_values
         self.size[base : self.count] = lengths
         self.start[base : self.count] = self.used + np.cumsum(lengths) - lengths
@@ -164,23 +164,27 @@ class WordTable:
         """The index of each word, after learning the new ones."""
         if self.count > MAX_WORDS or self.bytes > MAX_BYTES:
             self.clear()
-        key = np.stack([*packed(data, starts, ends), (ends - starts).astype(np.uint64)])
+        size = ends - starts
+        low, high = packed(data, starts, ends)
         out = np.full(len(starts), -1, np.int64)
-        short = np.flatnonzero(ends - starts <= SHORT)
-        codes, distinct = pd.factorize(word_hash(data, starts[short], ends[short]))
+        short = np.flatnonzero(size <= SHORT)
+        if len(short) < len(size):
+            low, high, size = low[short], high[short], size[short]
+        codes, distinct = pd.factorize(packed_hash(low, high, size))
         lead = np.empty(len(distinct), np.int64)
-        lead[codes[::-1]] = short[::-1]
+        lead[codes[::-1]] = np.arange(len(codes))[::-1]
         get = self.known.get
         index = np.array([get(h, -1) for h in distinct.tolist()], np.int64)
         new = np.flatnonzero(index < 0)
         if len(new):
-            text = data.tobytes()
-            index[new] = self._add([text[a:b] for a, b in zip(starts[lead[new]].tolist(), ends[lead[new]].tolist(), strict=True)])
+            text, first = data.tobytes(), lead[new]
+            where = short[first]
+            index[new] = self._add([text[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
             self.known.update(zip(distinct[new].tolist(), index[new].tolist(), strict=True))
-            self.key[:, index[new]] = key[:, lead[new]]
+            self.low[index[new]], self.high[index[new]], self.long[index[new]] = low[first], high[first], size[first]
         if len(short):
             of = index[codes]
-            same = (self.key[:, of] == key[:, short]).all(0)
+            same = (self.low[of] == low) & (self.high[of] == high) & (self.long[of] == size)
             out[short[same]] = of[same]
         rest = np.flatnonzero(out < 0)
         if len(rest):

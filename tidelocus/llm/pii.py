@@ -11,13 +11,14 @@ four labelers, each 1, 0 or silent (-1):
 * context: whether cue words stand in the 40 characters before it (silent if not);
 * content: whether its letters and digits vary as such data do.
 
-Votes are counted over all documents.  Expectation-maximisation estimates, for each kind, the share of
-true candidates and every labeler's reliability on both sides; a logistic span classifier with votes and
-kinds as features is then trained on the posteriors.  Both run as higher-order functions over the
-table of vote patterns, which has at most 3^4 rows a kind whatever the input.  The classifier's verdict
+Votes are counted over all documents, together with what the classifier sees besides them (``SHAPE``: length, letters and
+digits, quotes, case, what stands before).  Expectation-maximisation estimates from the votes, for each kind, the share of
+true candidates and every labeler's reliability on both sides; a logistic span classifier with kinds, votes and shape
+as features is then trained on the posteriors, so that shape decides where votes tie.  Both run as higher-order functions over the
+table of patterns, which has at most 3^4 * 2^6 rows a kind whatever the input (tens in practice).  The classifier's verdict
 depends on the pattern alone, so those it accepts go into the second pass as a literal list.
 
-Nothing is shuffled but the vote counts.  Patterns have possessive repeats and look-behinds where
+Nothing is shuffled but the counts of patterns.  Patterns have possessive repeats and look-behinds where
 that leaves their matches the same, so that long runs cost linear time and no deep recursion.
 
 Edge cases: null texts are empty and have no spans; repeated rows are judged each; a candidate that
@@ -29,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shielded
+from .shared import keeps_columns, written
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 #: The four base patterns.
@@ -44,7 +45,7 @@ NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 WIDER = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[({] ?(?:at|AT) ?[\])}] ?[A-Za-z0-9-]++(?: ?[\[({] ?(?:dot|DOT) ?[\])}] ?[A-Za-z0-9-]++)++",
     "phone": r"(?<![0-9+(])(?<![0-9] )\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?:[Pp]assword|[Pp]asswd|[Ss]ecret|[Tt]oken|[Aa]pi[_-]?[Kk]ey)[\"']? ?[=:] ?[\"']?[A-Za-z0-9_/+.-]{6,}+[\"']?)",
+    "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential)[\"']? ?[=:] ?[\"']?[A-Za-z0-9_/+.-]{6,}+[\"']?)",
 }
 WIDER_NEEDS = {"email": r"[\[({] ?(?:at|AT) ?[\])}]", "phone": "[0-9]{3}[ .-][0-9]{4}", "secret": "AKIA|[=:]"}
 STRICT = {
@@ -53,16 +54,28 @@ STRICT = {
     "secret": r"^AKIA[0-9A-Z]{16}$|[=:] ?[\"']?[A-Za-z0-9_/+.-]{8,}[\"']?$",
 }
 #: Terms of the gazetteers.
+TOP_LEVEL = "com org net edu gov mil int info biz io ai app dev de fr es it uk eu nl be ch at pl cz se no fi dk pt ie gr ru ua tr jp cn kr in br mx ar cl ca us au nz za".split()
+TOLL_FREE = "800 822 833 844 855 866 877 888 900 555".split()
+KEY_NAMES = "akia password passwd pwd secret token api_key api-key apikey access_key access-key accesskey private_key private-key privatekey credential".split()
 GAZETTEER = {
-    "email": r"(?i)(com|org|net|edu|gov|info|io|de|fr|es|it|uk|eu)$",
-    "phone": r"[^0-9](555|800|888|877|866)[ .-]|^\(?(800|888|877|866)",
-    "secret": r"(?i)^(akia|passw|secret|token|api.?key)",
+    "email": f"(?i)(?<![a-z])({'|'.join(TOP_LEVEL)})$",
+    "phone": f"^[(]?({'|'.join(TOLL_FREE)})|[^0-9](555)[ .-]",
+    "secret": f"(?i)^({'|'.join(KEY_NAMES)})",
 }
 #: Cue words before a candidate.
 CUES = {
-    "email": r"(?i)mail|contact|write|schreib|courriel|correo|address",
-    "phone": r"(?i)tel|phone|call|fax|mobil|appel|llam|anruf",
-    "secret": r"(?i)key|login|auth|credential|access|config|user",
+    "email": r"(?i)mail|contact|write|reach|send|schreib|kontakt|courriel|écri|correo|escrib|address|adress|dirección",
+    "phone": r"(?i)tel|phone|call|fax|mobil|cell|hotline|whatsapp|appel|llam|anruf|ruf",
+    "secret": r"(?i)key|login|auth|credential|access|config|user|env|export|header|bearer|secret|pass",
+}
+#: What the classifier sees of a candidate besides the votes: (name, pattern of the candidate with one character before it).
+SHAPE = {
+    "long": r"^.?.{24}",
+    "letters and digits": r"(?i)^(?=.*[0-9])(?=.*[a-z])",
+    "hexadecimal": r"(?i)[=:] ?[\"']?[0-9a-f]{16,}[\"']?$",
+    "quoted": r"[\"']$",
+    "upper case": r"^[^a-z]*$",
+    "begins a word": r"^[\s\"'(\[{|]",
 }
 CONTENT = {"email": "[A-Za-z]{2}", "phone": r"([0-9]).*(?!\1)[0-9].*(?!\1)[0-9]", "secret": r"AKIA.*[0-9]|[=:].*[0-9].*[A-Za-z_]|[=:].*[A-Za-z_].*[0-9]"}
 LABELERS = 4
@@ -135,7 +148,9 @@ def _wider_kind(text: Column, kind: str) -> Column:
     def one(m: Column) -> Column:
         first = F.greatest(m["start"] - 40, F.lit(0))
         votes = _votes(kind, m["match"], F.substring(text, first + 1, m["start"] - first))
-        pattern = F.concat_ws(",", F.lit(kind), votes.cast("array<string>"))
+        around = F.concat(F.when(m["start"] > 0, F.substring(text, m["start"], F.lit(1))).otherwise(F.lit(" ")), m["match"])
+        shape = F.array(*[around.rlike(p).cast("int") for p in SHAPE.values()])
+        pattern = F.concat_ws(",", F.lit(kind), F.concat(votes, shape).cast("array<string>"))
         return F.struct(m["start"].alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), m["end"].alias("end"), pattern.alias("pattern"))
 
     none = F.expr("cast(array() as array<struct<start:int,rank:int,kind:string,end:int,pattern:string>>)")
@@ -152,7 +167,7 @@ def _sum(items: Column, value) -> Column:
 
 
 def posteriors(patterns: DataFrame, rounds: int = EM_ROUNDS) -> DataFrame:
-    """(kind, v, n, q): q is P(true) of a vote pattern, from EM over ``patterns`` (kind, v, n) for each kind."""
+    """(kind, v, n, q): q is P(true) of votes ``v``, from EM over ``patterns`` (kind, v, n) for each kind."""
     rows = patterns.groupBy("kind").agg(F.collect_list(F.struct("v", F.col("n").cast("double").alias("n"))).alias("ps"))
     ids = F.sequence(F.lit(0), F.lit(LABELERS - 1))
 
@@ -184,11 +199,11 @@ def posteriors(patterns: DataFrame, rounds: int = EM_ROUNDS) -> DataFrame:
 
 
 def accepted(known: DataFrame, rounds: int = FIT_ROUNDS) -> DataFrame:
-    """(kind, v, p): the span classifier's probability for each vote pattern, trained on the posteriors."""
+    """(kind, v, f, p): the span classifier's probability for each pattern of votes and shape (kind, v, f, n, q), trained on the posteriors q."""
     kinds = [F.when(F.col("kind") == k, 1.0).otherwise(0.0) for k in WIDER]
     signed = F.transform("v", lambda v: F.when(v == 1, 1.0).when(v == 0, -1.0).otherwise(0.0))
-    rows = known.withColumn("x", F.concat(F.array(*kinds), signed))
-    size = len(WIDER) + LABELERS
+    rows = known.withColumn("x", F.concat(F.array(*kinds), signed, F.col("f").cast("array<double>")))
+    size = len(WIDER) + LABELERS + len(SHAPE)
     dot = lambda w, x: F.aggregate(F.zip_with(w, x, lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y)
     sigmoid = lambda z: 1 / (1 + F.exp(-z))
     # rare patterns count as well as frequent ones up to a logarithm
@@ -199,20 +214,23 @@ def accepted(known: DataFrame, rounds: int = FIT_ROUNDS) -> DataFrame:
         errors = F.transform(ps, lambda p: F.struct(p["x"].alias("x"), (weight(p) * (p["q"] - sigmoid(dot(w, p["x"]))) / total).alias("e")))
         return F.transform(w, lambda old, j: old + 2.0 * (_sum(errors, lambda p: p["e"] * F.get(p["x"], j)) - 0.001 * old))
 
-    one = rows.groupBy().agg(F.collect_list(F.struct("kind", "v", "n", "q", "x")).alias("ps"))
+    one = rows.groupBy().agg(F.collect_list(F.struct("kind", "v", "f", "n", "q", "x")).alias("ps"))
     fitted = one.withColumn("w", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.expr(f"array_repeat(0D, {size})"), lambda w, _: step(w, F.col("ps"))))
-    return fitted.select("w", F.explode("ps").alias("p")).select("p.kind", "p.v", sigmoid(dot(F.col("w"), F.col("p.x"))).alias("p"))
+    return fitted.select("w", F.explode("ps").alias("p")).select("p.kind", "p.v", "p.f", sigmoid(dot(F.col("w"), F.col("p.x"))).alias("p"))
 
 
 def learn(documents: DataFrame) -> list[str]:
-    """The vote patterns that the classifier trained on ``documents`` (``text``) accepts."""
-    votes = documents.select(F.explode(_wider(F.coalesce("text", F.lit("")))).alias("c")).groupBy("c.pattern").agg(F.count(F.lit(1)).alias("n"))
+    """The patterns of votes and shape that the classifier trained on ``documents`` (``text``) accepts."""
+    seen = documents.select(F.explode(_wider(F.coalesce("text", F.lit("")))).alias("c")).groupBy("c.pattern").agg(F.count(F.lit(1)).alias("n"))
     parts = F.split("pattern", ",")
-    patterns = votes.select(parts[0].alias("kind"), F.slice(parts, 2, LABELERS).cast("array<int>").alias("v"), "n")
-    good = accepted(posteriors(patterns)).where("p >= 0.5")
-    return sorted(r["pattern"] for r in good.select(F.concat_ws(",", "kind", F.col("v").cast("array<string>")).alias("pattern")).collect())
+    part = lambda first, size: F.slice(parts, first, size).cast("array<int>")
+    seen = written(seen.select(parts[0].alias("kind"), part(2, LABELERS).alias("v"), part(2 + LABELERS, len(SHAPE)).alias("f"), "n"), "pii-patterns")
+    known = posteriors(seen.groupBy("kind", "v").agg(F.sum("n").alias("n"))).select("kind", "v", "q")
+    good = accepted(seen.join(known, ["kind", "v"])).where("p >= 0.5")
+    return sorted(r["pattern"] for r in good.select(F.concat_ws(",", "kind", F.concat("v", "f").cast("array<string>")).alias("pattern")).collect())
 
 
+@keeps_columns("text", new=("base_spans", "spans"))
 def find_spans(documents: DataFrame, patterns: list[str] | None = None) -> DataFrame:
     """``documents`` (``text``) with base_spans and spans, arrays of struct<start, rank, kind, end>, by start and kind.
 
@@ -228,10 +246,10 @@ def find_spans(documents: DataFrame, patterns: list[str] | None = None) -> DataF
     return kept.withColumn("spans", F.array_sort(F.concat("base_spans", clear))).drop("__more")
 
 
+@keeps_columns("text", "n_chars")
 def mask(documents: DataFrame, patterns: list[str] | None = None) -> DataFrame:
     """``documents`` with every span of ``text`` replaced by its kind in brackets, and n_chars (if there) anew."""
-    safe, back = shielded(documents, "text", "n_chars")
-    found = find_spans(safe, patterns)
+    found = find_spans(documents, patterns)
 
     def step(state: Column, s: Column) -> Column:
         # of overlapping spans the first names what both cover
@@ -243,4 +261,4 @@ def mask(documents: DataFrame, patterns: list[str] | None = None) -> DataFrame:
     masked = found.withColumn("text", F.when(F.size("spans") > 0, whole).otherwise(F.col("text")))
     if "n_chars" in documents.columns:
         masked = masked.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return back(masked)
+    return masked

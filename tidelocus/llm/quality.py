@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import add_columns, shielded, written
+from .shared import add_columns, keeps_columns, written
 from .textbytes import NOT_BLANK, _mix, flat, prefix_sums, span_hash, word_hash, word_spans
 
 #: What of a text is measured.
@@ -186,6 +186,7 @@ def fit(documents: DataFrame, labels: DataFrame, learn: Column | None = None, la
     return model
 
 
+@keeps_columns("text", new=("score",))
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """``documents`` (``text``) with ``score``: the calibrated probability of label 1."""
     return add_columns(documents, "score double", lambda batch: [pa.array(model.score(statistics(batch.column("text"))))])
@@ -196,8 +197,8 @@ def held_out() -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
+@keeps_columns("doc_id", "text")
 def keep_good(documents: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """The documents whose score is at least ``least``, with their own columns."""
     model = fit(documents, labels, ~held_out())
-    safe, back = shielded(documents, "text")
-    return back(score(safe, model).where(F.col("score") >= least))
+    return score(documents, model).where(F.col("score") >= least)

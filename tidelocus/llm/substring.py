@@ -366,10 +366,10 @@ def _apply(block: Block, names: list[str]) -> pa.Table:
     """The block's documents with what stays of them."""
     window, out, found = block.window, [], []
     late_one, late_two = block.late
-    parts = list(slices(iter(block.table.combine_chunks().to_batches())))
+    batches = list(slices(iter(block.table.combine_chunks().to_batches())))
+    parts = [Words(batch, window, block.seed) for batch in batches]
     own: list[np.ndarray] = []
-    for batch in parts:
-        part = Words(batch, window, block.seed)
+    for batch, part in zip(batches, parts, strict=True):
         copy = _is_copy(batch, block.copies)[part.doc[part.windows]]
         gone = copy | block.settled(part)
         found.append((part.windows[gone], part.windows[~gone]))
@@ -379,8 +379,7 @@ def _apply(block: Block, names: list[str]) -> pa.Table:
     values, count = np.unique(every, return_counts=True)
     several = np.union1d(values[count > 1], late_one)
     tested = []
-    for batch, (_, of), name in zip(parts, found, own, strict=True):
-        part = Words(batch, window, block.seed)
+    for part, (_, of), name in zip(parts, found, own, strict=True):
         some = np.flatnonzero(several[np.minimum(np.searchsorted(several, name), len(several) - 1)] == name) if len(several) else np.zeros(0, np.int64)
         tested.append((of[some], name[some], part.digests(of[some], of[some] + window), part.ids[part.doc[of[some]]]))
     one, two, doc = (np.concatenate([z, *(t[k] for t in tested)]) for k, z in ((1, late_one), (2, late_two), (3, np.full(len(late_one), np.iinfo(np.int64).min))))
@@ -391,8 +390,7 @@ def _apply(block: Block, names: list[str]) -> pa.Table:
     if len(order):
         hit[order] = doc[order] > doc[order][new][np.cumsum(new) - 1]
     at = len(late_one)
-    for batch, (gone, _), (of, *_) in zip(parts, found, tested, strict=True):
-        part = Words(batch, window, block.seed)
+    for batch, part, (gone, _), (of, *_) in zip(batches, parts, found, tested, strict=True):
         hits = np.concatenate([gone, of[hit[at : at + len(of)]]])
         at += len(of)
         n = len(part.hashes)

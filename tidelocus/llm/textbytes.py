@@ -122,11 +122,20 @@ def packed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return low, high
 
 
+def packed_hash(low: np.ndarray, high: np.ndarray, size: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of packed spans."""
+    out = high * _BASE_2
+    out += size.astype(np.uint64) + np.uint64(seed)
+    out ^= out >> np.uint64(32)
+    out *= _BASE
+    out += low
+    return _mix(out * _BASE)
+
+
 def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
     """64-bit hashes of words: of the packed bytes of short ones, XXH3 of longer ones."""
-    low, high = packed(data, starts, ends)
-    size = (ends - starts).astype(np.uint64)
-    out = _mix(low * _BASE + _mix(high * _BASE_2 + size + np.uint64(seed)))
+    size = ends - starts
+    out = packed_hash(*packed(data, starts, ends), size, seed)
     far = np.flatnonzero(size > SHORT)
     if len(far):
         raw = memoryview(np.ascontiguousarray(data))

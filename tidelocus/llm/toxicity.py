@@ -14,7 +14,7 @@ doc_id, whatever the size of the input), weighted back to the labels' shares amo
 Features are counted by a Spark aggregation, the sparse vectors written once; each step of the fit
 is a Spark job in which tasks sum the gradients of their rows.  Scoring is a pass without a shuffle.
 
-Outputs: ``severity`` (the expected grade), ``grade`` (the likeliest) and ``toxic`` (P(grade >= 1) >= ``LEAST``).
+Outputs: ``severity`` (the expected grade), ``toxic`` (P(grade >= 1) >= ``LEAST``) and ``grade`` (the likeliest of 1 to 3 where toxic, else 0).
 Edge cases: null and empty texts have no features, and the thresholds alone decide; null labels are
 ignored; without both labels everything has the grade of the only one (0 without any).
 """
@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import _summed
-from .shared import add_columns, written
+from .shared import add_columns, keeps_columns, written
 from .textbytes import ALNUM, LOWER, flat, prefix_sums, slices, span_hash, word_spans
 
 GRADES, PER_CLASS = 4, 6000
-SIZE, LEAST_RATIO, LEAST_ROWS = 2048, 16.0, 4
+SIZE, LEAST_RATIO, LEAST_ROWS = 2048, 9.0, 3
 STEMS = (4, 5, 6)
 STEPS, PENALTY, LEAST = 25, 1e-4, 0.4
 
@@ -217,12 +217,15 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", per_class
     return Model(vocabulary, found[:size], _thresholds(found[size:]))
 
 
+@keeps_columns("text", new=("severity", "grade", "toxic"))
 def score(documents: DataFrame, model: Model) -> DataFrame:
     """``documents`` (``text``) with severity, grade and toxic."""
 
     def make(batch: pa.RecordBatch) -> list[pa.Array]:
         linear = _linear(model.weights, *features(batch.column("text"), model.vocabulary))
         p = model.probabilities(linear)
-        return [pa.array(p @ np.arange(GRADES, dtype=float)), pa.array(p.argmax(1), pa.int32()), pa.array(1 - p[:, 0] >= LEAST)]
+        toxic = 1 - p[:, 0] >= LEAST
+        grade = np.where(toxic, 1 + p[:, 1:].argmax(1), 0)
+        return [pa.array(p @ np.arange(GRADES, dtype=float)), pa.array(grade, pa.int32()), pa.array(toxic)]
 
     return add_columns(documents, "severity double, grade int, toxic boolean", make)
