@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tidelocus import schemas
 from tidelocus.functions import kmers, permutation
 from tidelocus.operators import clusters, coverage, evidence, factors, intervals, peaks, ranks, reads, repeats, stats
 
@@ -193,3 +194,40 @@ def test_coverage_and_clusters(spark):
     assert [r.cluster for r in clusters.assign(v, [[0.0, 0.0], [5.0, 5.0]], "v").orderBy("id").collect()] == [0, 1, 0]
     out = coverage.summarise_coverage(spark.createDataFrame([], "chrom string, first long, last long, n long, cov long, n_ins long, sum_ins long, sum2_ins long, read_length long"), "x").first()
     assert out.cov is None and out.insert_size_sd == -1.0
+
+
+def test_range_join_levels(spark):
+    """Ranges from one position to a whole chromosome, against all pairs; a bound on the length gives the same."""
+    rng = random.Random(3)
+    left = [("c", a, a + rng.choice((0, 5, 3000))) for a in rng.sample(range(1, 200_000), 60)]
+    right = [("c", a, a + rng.choice((0, 10, 900, 40_000, 3_000_000))) for a in rng.sample(range(1, 200_000), 60)]
+    l, r = spark.createDataFrame(left, "chrom string, first long, last long"), spark.createDataFrame(right, "chrom string, r_first long, r_last long")
+    want = sorted((*x, *y[1:]) for x in left for y in right if x[1] <= y[2] and x[2] >= y[1])
+    for longest in (None, 4_000_000):
+        got = intervals.overlap_join(l, r, width=16, longest=longest).select("chrom", "first", "last", "r_first", "r_last").collect()
+        assert sorted(tuple(x) for x in got) == want
+    assert intervals.overlap_join(l.limit(0), r).count() == 0 and intervals.overlap_join(l, r.limit(0)).count() == 0
+
+
+def test_enclosing_nested(spark):
+    rng = random.Random(4)
+    rows = sorted({("c", a, a + rng.choice((0, 3, 50, 400, 5000))) for a in rng.choices(range(1, 3000), k=150)})
+    df = spark.createDataFrame(rows, "chrom string, first long, last long")
+    got = {(r.first, r.last): (r.parent_first, r.parent_last) for r in intervals.enclosing(df, chunk=256).collect()}
+    for _, a, b in rows:
+        outer = [(x, -y) for _, x, y in rows if x <= a and y >= b and (x, y) != (a, b)]
+        assert got[a, b] == ((max(outer)[0], -max(outer)[1]) if outer else (None, None))
+
+
+def test_unknown_chromosomes_fail(spark):
+    peaks_ = spark.createDataFrame([("c9", 5, 1, 0.0, 0.0, 0.0)], schemas.PEAKS)
+    chroms = spark.createDataFrame([(0, "c1", 100)], schemas.CHROMOSOMES)
+    with pytest.raises(Exception, match="unknown chromosome: c9"):
+        evidence.on_known(peaks_, chroms).collect()
+
+
+def test_long_kmers(spark):
+    seq = "TGCA" * 8
+    row = spark.sql(f"select '{seq}' s").select(kmers.pack(F.col("s")).alias("k"), kmers.render(kmers.pack(F.col("s")), 32).alias("t"), kmers.pack(F.lit("A" * 33)).alias("none")).first()
+    value = sum("ACGT".index(c) << 2 * (31 - i) for i, c in enumerate(seq))
+    assert row.k % (1 << 64) == value and row.t == seq and row.none is None

@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import os
 import struct
 import zlib
 
@@ -60,10 +61,10 @@ def test_text_formats(spark, tmp_path):
     assert sorted(tuple(r) for r in text.read_bed(spark, str(tmp_path / "a.bed.gz")).collect()) == [("c1", 100, 110, "x"), ("c1", 110, 120, "y"), ("c2", 1, 5, "z")]
     assert sorted(tuple(r) for r in text.read_regions(spark, str(tmp_path / "a.bed.gz")).collect()) == [("c1", 100, 120), ("c2", 1, 5)]
     rows = ["  463 1.3 0.6 1.7 c1 3 6 (9) + AluY SINE/Alu 1 2 (3) 1", "1 2 3 4 c1 1 2 (3) C L1 LINE (1) 2 3 2", "1 2 3 4 c1 1 2 (3) C L1 LINE (1) 2 3 2 *", "1 2 3"]
-    (tmp_path / "r.out").write_text("h\nh\n\n" + "\n".join(rows) + "\n")
+    (tmp_path / "r.out").write_text("   SW  perc perc\nscore  div. del.\n\n" + "\n".join(rows) + "\n")
     assert [tuple(r)[1:] for r in text.read_repeatmasker(spark, str(tmp_path / "r.out")).collect()] == [("c1", 3, 6, "+", "AluY", "SINE/Alu"), ("c1", 1, 2, "-", "L1", "LINE")]
     assert text.bad_rows(spark, str(tmp_path / "r.out")).count() == 2
-    (tmp_path / "g.fa").write_text(">c1 some words\nACGT\nAC\n>c2\nGG\n")
+    (tmp_path / "g.fa").write_text(">c1 some > words\nACGT\nAC\n>c2\nGG\n")
     assert [(r.name, r.seq) for r in text.read_fasta(spark, str(tmp_path / "g.fa")).orderBy("order").collect()] == [("c1", "ACGTAC"), ("c2", "GG")]
     (tmp_path / "t.tsv").write_text("a b\n1 2\n3  4\n")
     assert [(r.row, r.fields) for r in text.read_rows(spark, str(tmp_path / "t.tsv")).collect()] == [(0, ["1", "2"]), (1, ["3", "4"])]
@@ -81,14 +82,17 @@ def test_json_and_fasta_lines(spark, tmp_path):
 
 def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    lines = [("c1", 5, "L"), ("c1", 5, "R"), ("c1", 9, "L"), ("c1", 20, "L"), ("c1", 20, "L"), ("c1", 40, "L")]
-    for i in range(0, 6, 2):
+    lines = [("c1", 5, "L"), ("c1", 5, "R"), ("c1", 9, "L"), ("c1", 20, "L"), ("c1", 20, "L"), ("c1", 40, "L"), ("c2", 3, "R"), ("c2", 3, "R"), ("c2", 50, "L"), ("c2", 90, "L")]
+    for i in range(0, 10, 2):
         (tmp_path / "in" / f"{i}.json").write_text("\n".join(json.dumps({"chrom": c, "clip_pos": p, "side": s, "mate_in_rep": False}) for c, p, s in lines[i : i + 2]))
+        os.utime(tmp_path / "in" / f"{i}.json", (1000 + i, 1000 + i))  # files stream by their times
     stream = spark.readStream.schema("chrom string, clip_pos long, side string, mate_in_rep boolean").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-    q = streams.streaming_pileup(stream).writeStream.format("memory").queryName("pile").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    chroms = spark.createDataFrame([(0, "c1", 100), (1, "c2", 200)], schemas.CHROMOSOMES)
+    q = streams.streaming_pileup(stream, chroms).writeStream.format("memory").queryName("pile").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert (5, 1, 1) in {(r.pos, r.left_count, r.right_count) for r in spark.table("pile").collect()}
+    assert sorted((r.chrom, r.pos, r.left_count, r.right_count) for r in spark.table("pile").collect()) == [("c1", 5, 1, 1), ("c1", 20, 2, 0), ("c2", 3, 0, 2)]
     timed = stream.select("chrom", F.timestamp_seconds("clip_pos").alias("t"))
     q = streams.streaming_islands(timed, "chrom", "t", "10 seconds", "0 seconds").writeStream.format("memory").queryName("isl").outputMode("append").option("checkpointLocation", str(tmp_path / "ck2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert spark.table("isl").count() >= 1
+    found = {(r.chrom, r.first.timestamp(), r.n) for r in spark.table("isl").collect()}
+    assert ("c1", 5.0, 3) in found and ("c1", 20.0, 2) in found

@@ -42,7 +42,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     elif args.command == "peaks":
         sinks.write_tsv(peaks.call_peaks(text.read_clips(spark, args.clips)), args.peaks)
     elif args.command == "disc":
-        sinks.write_tsv(evidence.discordant_pairs(text.read_peaks(spark, args.peaks), bam()), args.output, header=False)
+        sinks.write_tsv(evidence.discordant_pairs(text.read_peaks(spark, args.peaks), bam(), chromosomes=header()), args.output, header=False)
     elif args.command == "info":
         loci = coverage.sample_loci(reads.main_chromosomes(header()), seed=args.seed)
         out = coverage.summarise_coverage(coverage.locus_coverage(loci, bam()), args.bam)

@@ -1,4 +1,4 @@
-"""K-mers as column expressions: two bits a base (A 0, C 1, G 2, T or U 3), first base highest, k up to 31.
+"""K-mers as column expressions: two bits a base (A 0, C 1, G 2, T or U 3), first base highest, k up to 32 (whose bigint is that of 64 bits with a sign).
 
 Null sequences give null (or an empty array); other characters than ACGTU, in either case, are not bases.
 """
@@ -18,11 +18,11 @@ def is_bases(seq: Column) -> Column:
 
 
 def pack(seq: Column) -> Column:
-    """The bigint of up to 31 bases; null for longer texts or other characters; 0 for none."""
+    """The bigint of up to 32 bases; null for longer texts or other characters; 0 for none."""
     digits = F.translate(F.upper(seq), "ACGTU", "01233")
     # base 4 text: conv reads it in one call
-    value = F.conv(digits, 4, 10).cast("long")
-    return F.when(is_bases(seq) & (F.length(seq) <= 31), F.when(F.length(seq) == 0, F.lit(0).cast("long")).otherwise(value))
+    value = F.conv(digits, 4, -10).cast("long")
+    return F.when(is_bases(seq) & (F.length(seq) <= 32), F.when(F.length(seq) == 0, F.lit(0).cast("long")).otherwise(value))
 
 
 def render(kmer: Column, k: int) -> Column:
@@ -88,12 +88,10 @@ def frequencies(df: DataFrame, key: str, seq: str, k: int) -> DataFrame:
 
 
 def frequency_vectors(df: DataFrame, key: str, seq: str, k: int) -> DataFrame:
-    """(key, vector): the dense array of 4^k counts of each sequence, computed within its row."""
-    found = both_strands(F.col(seq), k)
-    # counts by difference of places in the sorted list of k-mers
-    ordered = F.array_sort(found)
-    runs = F.aggregate(
-        ordered, F.expr(f"array_repeat(0L, {4**k})"),
-        lambda a, x: F.concat(F.slice(a, F.lit(1), x.cast("int")), F.array(F.element_at(a, x.cast("int") + 1) + 1), F.slice(a, x.cast("int") + 2, F.lit(4**k))),
-    )
-    return df.select(key, runs.alias("vector"))
+    """(key, vector): the dense array of 4^k counts of each key with windows: its counts in order, with runs of zeros between."""
+    found = frequencies(df, key, seq, k).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("kmer", "n"))).alias("__f"))
+    last = F.element_at("__f", -1)["kmer"]
+    zeros = lambda n: F.array_repeat(F.lit(0).cast("long"), n.cast("int"))
+    before = lambda i: F.coalesce(F.get(F.col("__f"), i - 1)["kmer"], F.lit(-1))
+    parts = F.transform("__f", lambda x, i: F.concat(zeros(x["kmer"] - before(i) - 1), F.array(x["n"])))
+    return found.select(key, F.concat(F.flatten(parts), zeros(4**k - 1 - last)).alias("vector"))

@@ -6,7 +6,8 @@ from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .ranks import CHUNK, running
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -31,11 +32,34 @@ def centroids(assigned: DataFrame, vector: str) -> DataFrame:
     return parts.groupBy("cluster", "dim").agg(F.avg(F.col("x").cast("double")).alias("mean"))
 
 
-def running_centroid(vectors: DataFrame, by: str, order: str, vector: str) -> DataFrame:
-    """(by, order, dim, mean): the mean of each component over a key's rows so far."""
-    w = Window.partitionBy(by, "dim").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    parts = vectors.select(by, order, F.posexplode(vector).alias("dim", "x"))
-    return parts.select(by, order, "dim", F.avg(F.col("x").cast("double")).over(w).alias("mean"))
+def running_centroid(vectors: DataFrame, by: str, order: str, vector: str, chunk: int = CHUNK) -> DataFrame:
+    """(by, order, dim, mean): the mean of each component over a key's rows so far (``order``: integers, each once in a key)."""
+    parts = vectors.select(by, order, F.posexplode(vector).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
+    sums = running(parts, [by, "dim"], order, {"__n": F.lit(1).cast("long"), "__sum": F.col("x")}, chunk)
+    return sums.select(by, order, "dim", ((F.col("__sum") + F.col("x")) / (F.col("__n") + 1)).alias("mean"))
+
+
+def spread_of_distances(assigned: DataFrame) -> DataFrame:
+    """One row of assigned vectors: n, mean and (population) deviation of their distances."""
+    return assigned.agg(F.count("distance").alias("n"), F.avg("distance").alias("mean"), F.stddev_pop("distance").alias("deviation"))
+
+
+def iterate(vectors: DataFrame, centres: list[list[float]], vector: str, rounds: int = 50) -> tuple[list[list[float]], list[dict]]:
+    """Lloyd's rounds from given centres until none moves: the last centres, and n, mean and deviation of the distances of each round.
+
+    A round is one pass over the vectors; only k * dim sums reach the driver.  A cluster without members keeps its centre.
+    """
+    told = []
+    for _ in range(rounds):
+        held = assign(vectors, centres, vector)
+        told.append(spread_of_distances(held).first().asDict())
+        following = [list(c) for c in centres]
+        for r in centroids(held, vector).groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("dim", "mean"))).alias("c")).collect():
+            following[r["cluster"]] = [x["mean"] for x in r["c"]]
+        if following == centres:
+            break
+        centres = following
+    return centres, told
 
 
 def fit(vectors: DataFrame, vector: str, k: int, seed: int = 1, rounds: int = 50) -> KMeansModel:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -29,15 +29,24 @@ def place_samples(samples: DataFrame, chromosomes: DataFrame, size: int = LOCUS)
     return held.select("chrom", first.alias("first"), (first + size).alias("last"))
 
 
+def draw(i: Column, total: Column, seed: int) -> Column:
+    """A number from 0 to total - 1: 60 bits of an MD5 over seed and ``i``, so any SQL engine can repeat it."""
+    digest = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), i.cast("string")).cast("binary")), 1, 15)
+    return F.pmod(F.conv(digest, 16, 10).cast("long"), total)
+
+
 def sample_loci(chromosomes: DataFrame, n: int = SAMPLES, size: int = LOCUS, seed: int = 0) -> DataFrame:
-    """``n`` loci of ``size`` bases, uniform over the chromosomes, the same for a seed.
+    """``n`` loci of ``size`` bases, uniform over all places where one fits, the same for a seed (none where it fits nowhere).
 
-    Twice as many are drawn as wanted, since some cross a chromosome's end; fewer come back only where
-    most do, and none where no chromosome is long enough.
+    Only places that fit are numbered, so every draw is a locus.
     """
-    total = chromosomes.agg(F.sum("length")).first()[0] or 0
-    draws = chromosomes.sparkSession.range(0, 2 * n, 1, 4).select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(total, 1))).alias("at"), "id")
-    return place_samples(draws.orderBy("id"), chromosomes, size).limit(n)
+    table = offsets(chromosomes.withColumn("length", F.greatest(F.col("length") - size, F.lit(0)))).where("length > 0")
+    total = table.agg(F.coalesce(F.sum("length"), F.lit(0))).scalar()
+    draws = chromosomes.sparkSession.range(0, n, 1, 4).withColumn("total", total).where("total > 0").select(draw(F.col("id"), F.col("total"), seed).alias("at"))
+    # the dictionary has a few thousand rows
+    held = draws.join(F.broadcast(table), (F.col("start") <= F.col("at")) & (F.col("at") < F.col("start") + F.col("length")))
+    first = F.col("at") - F.col("start") + 1
+    return held.select("chrom", first.alias("first"), (first + size).alias("last"))
 
 
 def locus_coverage(loci: DataFrame, reads: DataFrame, least: int = LEAST_SCANNED, bin_width: int = BIN) -> DataFrame:

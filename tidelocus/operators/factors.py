@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from .ranks import CHUNK, running
 
-def levels(df: DataFrame, name: str, order: str) -> DataFrame:
-    """(name, code): distinct names numbered from 0 by where they first appear.
 
-    One window over the distinct names, a dictionary; rows are only aggregated.
-    """
-    first = df.where(F.col(name).isNotNull()).groupBy(name).agg(F.min(order).alias("__first"))
-    return first.select(name, (F.row_number().over(Window.orderBy("__first", name)) - 1).alias("code"))
+def levels(df: DataFrame, name: str, order: str, chunk: int = CHUNK) -> DataFrame:
+    """(name, code): distinct names numbered from 0 by where they first appear (``order``: integers; ties by name)."""
+    first = df.where(F.col(name).isNotNull()).groupBy(name).agg(F.min(order).alias("__first")).withColumn("__all", F.lit(0))
+    return running(first, ["__all"], "__first", {"code": F.lit(1)}, chunk, (name,)).select(name, F.col("code").cast("int").alias("code"))
 
 
 def encode(df: DataFrame, name: str, order: str) -> DataFrame:

@@ -10,43 +10,56 @@ repeated intervals are kept, each with its own matches; empty tables give empty
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 BIN, FAN, CHUNK = 1024, 16, 1 << 20
+#: Level i has bins of width * FAN^i; seven of them reach beyond any genome.
+LEVELS = 7
+
+
+def _at_level(width: int, level: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(width * FAN**i) for i in range(LEVELS)]), level + 1)
 
 
-def _levels(intervals: DataFrame, first: str, last: str, width: int) -> list[int]:
-    """Bin widths so that the longest interval covers at most ``FAN`` + 1 bins of the last."""
-    longest = intervals.agg(F.max(F.col(last) - F.col(first) + 1)).first()[0] or 1
-    widths = [width]
-    while widths[-1] * FAN < longest:
-        widths.append(widths[-1] * FAN)
-    return widths
+def _level(length: Column, width: int) -> Column:
+    """The lowest level at which a range of this length covers at most ``FAN`` + 1 bins."""
+    out = F.lit(LEVELS - 1)
+    for i in reversed(range(LEVELS - 1)):
+        out = F.when(length <= width * FAN ** (i + 1), i).otherwise(out)
+    return out
 
 
-def overlap_join(left: DataFrame, right: DataFrame, on: str = "chrom", left_range: tuple[str, str] = ("first", "last"), right_range: tuple[str, str] = ("r_first", "r_last"), width: int = BIN) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, on: str = "chrom", left_range: tuple[str, str] = ("first", "last"), right_range: tuple[str, str] = ("r_first", "r_last"), width: int = BIN, longest: int | None = None) -> DataFrame:
     """All pairs with equal ``on`` whose ranges share a position; columns of both sides (names differ but for ``on``).
 
-    A range of one position is (pos, pos).  Each pair comes once: from the bin in which it begins.
+    A range of one position is (pos, pos).  Each pair comes once: from the bin in which it begins.  The left side goes to
+    the levels that the right side uses: a scalar subquery finds them while the query runs (``longest``, a bound
+    on the right ranges' length that the caller knows, replaces it).
     """
     a, b = left_range
     c, d = right_range
-    widths = _levels(right, c, d, width)
-    size = lambda level: F.element_at(F.array(*[F.lit(w) for w in widths]), level + 1)
-    level = F.lit(0)
-    for i, w in enumerate(widths[:-1]):
-        level = F.when(F.col(d) - F.col(c) + 1 > w * FAN, i + 1).otherwise(level)
     fine = lambda x, y: F.col(x).isNotNull() & F.col(y).isNotNull() & (F.col(x) <= F.col(y))
     bins = lambda x, y, w: F.sequence(F.floor(F.col(x) / w), F.floor(F.col(y) / w))
-    r = right.where(fine(c, d)).withColumn("__level", level)
-    r = r.withColumn("__bin", F.explode(bins(c, d, size(F.col("__level")))))
-    at_level = lambda i, w: F.transform(bins(a, b, w), lambda x: F.struct(F.lit(i).alias("level"), x.alias("bin")))
-    places = F.flatten(F.array(*[at_level(i, w) for i, w in enumerate(widths)]))
-    l = left.where(fine(a, b)).withColumn("__at", F.explode(places)).withColumns({"__level": F.col("__at.level"), "__bin": F.col("__at.bin")}).drop("__at")
+    r = right.where(fine(c, d)).withColumn("__level", _level(F.col(d) - F.col(c) + 1, width))
+    if longest is None:
+        used = r.agg(F.coalesce(F.bit_or(F.expr("shiftleft(1, __level)")), F.lit(0))).scalar()
+    else:
+        top = next((i for i in range(LEVELS) if longest <= width * FAN ** (i + 1)), LEVELS - 1)
+        used = F.lit((2 << top) - 1)
+    r = r.withColumn("__bin", F.explode(bins(c, d, _at_level(width, F.col("__level")))))
+    at_level = lambda i: F.transform(bins(a, b, width * FAN**i), lambda x: F.struct(F.lit(i).alias("level"), x.alias("bin")))
+    none = F.expr("cast(array() as array<struct<level:int,bin:bigint>>)")
+    places = F.flatten(F.array(*[F.when(F.expr(f"__used & {1 << i}") != 0, at_level(i)).otherwise(none) for i in range(LEVELS)]))
+    l = left.where(fine(a, b)).withColumn("__used", used).withColumn("__at", F.explode(places))
+    l = l.withColumns({"__level": F.col("__at.level"), "__bin": F.col("__at.bin")}).drop("__at", "__used")
     meets = (F.col(a) <= F.col(d)) & (F.col(b) >= F.col(c))
-    once = F.col("__bin") == F.floor(F.greatest(F.col(a), F.col(c)) / size(F.col("__level")))
+    once = F.col("__bin") == F.floor(F.greatest(F.col(a), F.col(c)) / _at_level(width, F.col("__level")))
     return l.join(r, [on, "__level", "__bin"]).where(meets & once).drop("__level", "__bin")
 
 
@@ -56,10 +69,14 @@ def stab(points: DataFrame, intervals: DataFrame, on: str = "chrom", pos: str =
     return overlap_join(points, renamed, on, (pos, pos), width=width).withColumnsRenamed({"r_first": "first", "r_last": "last"})
 
 
-def contained(points: DataFrame, intervals: DataFrame, on: str = "chrom", pos: str = "pos", width: int = BIN) -> DataFrame:
-    """``points`` with ``inside``: whether any interval contains the point (unknown or null places: false)."""
+def contained(points: DataFrame, intervals: DataFrame, on: str = "chrom", pos: str = "pos", width: int = BIN, merged: bool = False) -> DataFrame:
+    """``points`` with ``inside``: whether any interval contains the point (unknown or null places: false).
+
+    Intervals are merged first (``merged``: they already are), so a point meets one at most.
+    """
     places = points.select(on, pos).where(F.col(on).isNotNull() & F.col(pos).isNotNull()).distinct()
-    hits = stab(places, intervals.select(on, "first", "last"), on, pos, width).select(on, pos).distinct().withColumn("inside", F.lit(True))
+    regions = intervals.select(on, "first", "last") if merged else merge(intervals, on)
+    hits = stab(places, regions, on, pos, width).select(on, pos).withColumn("inside", F.lit(True))
     return points.join(hits, [on, pos], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
 
 
@@ -75,17 +92,22 @@ def with_islands(df: DataFrame, on: str, first: str, last: str, gap: int, chunk:
     dealt into chunks of positions; each chunk's furthest end, and later its number of islands, is summed up in a
     thin table whose running values go back to the chunks.
     """
-    placed = df.where(F.col(on).isNotNull() & F.col(first).isNotNull()).withColumn("__chunk", F.floor(F.col(first) / chunk))
-    before = Window.partitionBy(on).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    ends = placed.groupBy(on, "__chunk").agg(F.max(last).alias("__end")).withColumn("__end", F.max("__end").over(before))
-    inner = Window.partitionBy(on, "__chunk").orderBy(first, last)
-    rows = placed.join(ends, [on, "__chunk"])
+    return islands_by_chunk(df, on, first, last, gap, chunk).drop("chunk")
+
+
+def islands_by_chunk(df: DataFrame, on: str, first: str, last: str, gap: int, chunk: int = CHUNK) -> DataFrame:
+    """``with_islands`` with ``chunk``, by which (and ``on``) its rows are dealt."""
+    placed = df.where(F.col(on).isNotNull() & F.col(first).isNotNull()).withColumn("chunk", F.floor(F.col(first) / chunk))
+    before = Window.partitionBy(on).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    ends = placed.groupBy(on, "chunk").agg(F.max(last).alias("__end")).withColumn("__end", F.max("__end").over(before))
+    inner = Window.partitionBy(on, "chunk").orderBy(first, last)
+    rows = placed.join(ends, [on, "chunk"])
     reach = F.greatest(F.max(last).over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.col("__end"))
     rows = rows.withColumn("__new", (reach.isNull() | (F.col(first) > reach + gap)).cast("long"))
-    starts = rows.groupBy(on, "__chunk").agg(F.sum("__new").alias("__starts")).withColumn("__starts", F.coalesce(F.sum("__starts").over(before), F.lit(0)))
+    starts = rows.groupBy(on, "chunk").agg(F.sum("__new").alias("__starts")).withColumn("__starts", F.coalesce(F.sum("__starts").over(before), F.lit(0)))
     # ties of (first, last) need no order: all but the first begin inside the one before
     rows = rows.withColumn("__in", F.sum("__new").over(inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return rows.join(starts, [on, "__chunk"]).withColumn("island", F.col("__in") + F.col("__starts")).drop("__chunk", "__end", "__new", "__in", "__starts")
+    return rows.join(starts, [on, "chunk"]).withColumn("island", F.col("__in") + F.col("__starts")).drop("__end", "__new", "__in", "__starts")
 
 
 def merge(intervals: DataFrame, on: str = "chrom", chunk: int = CHUNK) -> DataFrame:
@@ -126,13 +148,46 @@ def longest_by_start(intervals: DataFrame, on: str = "chrom") -> DataFrame:
     return distinct.groupBy(on, "first").agg(F.max("last").alias("last"), F.array_sort(F.collect_set("last")).alias("all")).select(on, "first", "last", F.slice("all", F.lit(1), F.size("all") - 1).alias("smaller"))
 
 
-def enclosing(intervals: DataFrame, on: str = "chrom", width: int = BIN) -> DataFrame:
-    """Each distinct interval with parent_first, parent_last: the nearest that encloses it (null: none)."""
-    own = intervals.select(on, "first", "last").distinct()
-    outer = own.withColumnsRenamed({"first": "r_first", "last": "r_last"})
-    pairs = overlap_join(own, outer, on, width=width).where("r_first <= first and r_last >= last and (r_first <> first or r_last <> last)")
-    nearest = pairs.groupBy(on, "first", "last").agg(F.max(F.struct("r_first", (-F.col("r_last")).alias("back"))).alias("p"))
-    return own.join(nearest, [on, "first", "last"], "left").select(on, "first", "last", F.col("p.r_first").alias("parent_first"), (-F.col("p.back")).alias("parent_last"))
+def _nearest_outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (on, chunk, first, last, own), sorted by them with last falling: each own interval with the nearest that encloses it.
+
+    The stack holds, with rising begins and falling ends, all that can enclose an interval to come.
+    """
+    stack: list[tuple[int, int]] = []
+    group = None
+    for batch in batches:
+        names, (on, chunk, first, last, own) = batch.schema.names, (c.to_pylist() for c in batch.columns)
+        outer: list[tuple[int | None, int | None]] = []
+        for key, a, b, mine in zip(zip(on, chunk, strict=True), first, last, own, strict=True):
+            if key != group:
+                stack, group = [], key
+            while stack and stack[-1][1] < b:
+                stack.pop()
+            if mine:
+                outer.append(stack[-1] if stack else (None, None))
+            stack.append((a, b))
+        rows = batch.filter(batch.column(4))
+        parents = [pa.array([p[i] for p in outer], pa.int64()) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), rows.column(3), *parents], names=[names[0], names[2], names[3], "parent_first", "parent_last"])
+
+
+def enclosing(intervals: DataFrame, on: str = "chrom", chunk: int = CHUNK) -> DataFrame:
+    """Each distinct interval with parent_first, parent_last: the nearest that encloses it (null: none).
+
+    The nearest begins last, then ends first.  Intervals go to the chunk of positions in which they begin, and as possible parents to
+    the further chunks that they reach, so a chunk is scanned once, whatever the nesting.
+    """
+    own = intervals.where("first <= last").select(on, F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last")).distinct()
+    begin = F.floor(F.col("first") / chunk)
+    copies = own.withColumn("chunk", F.explode(F.sequence(begin, F.floor(F.col("last") / chunk)))).withColumn("own", F.col("chunk") == begin)
+    ordered = copies.select(on, "chunk", "first", "last", "own").repartition(on, "chunk").sortWithinPartitions(on, "chunk", "first", F.desc("last"))
+    fields = [own.schema[on], *StructType.fromDDL("first long, last long, parent_first long, parent_last long").fields]
+    return ordered.mapInArrow(_nearest_outer, StructType(fields))
+
+
+def interval_text(first: str = "first", last: str = "last") -> Column:
+    """``[first, last]``."""
+    return F.format_string("[%d, %d]", F.col(first), F.col(last))
 
 
 def region_text(chrom: str = "chrom", first: str = "first", last: str = "last") -> Column:

@@ -6,22 +6,29 @@ lies before a chunk, so that no key's positions meet in one task's window unless
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 CHUNK = 1 << 16
 
 
+def running(df: DataFrame, on: list[str], x: str, sums: dict[str, Column], chunk: int = CHUNK, ties: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with, for each name of ``sums``, the sum of its column over the rows of the key that come before (by the integer x, then ``ties``)."""
+    placed = df.withColumn("__chunk", F.floor(F.col(x) / chunk)).withColumns({f"__v_{n}": c for n, c in sums.items()})
+    before = Window.partitionBy(*on).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = placed.groupBy(*on, "__chunk").agg(*[F.sum(f"__v_{n}").alias(f"__t_{n}") for n in sums])
+    totals = totals.select(*on, "__chunk", *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__t_{n}") for n in sums])
+    inner = Window.partitionBy(*on, "__chunk").orderBy(x, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    rows = placed.join(totals, [*on, "__chunk"]).withColumns({n: F.col(f"__t_{n}") + F.coalesce(F.sum(f"__v_{n}").over(inner), F.lit(0)) for n in sums})
+    return rows.drop("__chunk", *[f"__{k}_{n}" for n in sums for k in "vt"])
+
+
 def rank(members: DataFrame, probes: DataFrame, on: str, x: str, chunk: int = CHUNK) -> DataFrame:
     """``probes`` (on, x) with ``rank``: the number of distinct members of the key below x."""
     both = members.select(on, x).distinct().withColumn("__m", F.lit(1)).unionByName(probes.select(on, x).distinct().withColumn("__m", F.lit(0)))
-    both = both.groupBy(on, x).agg(F.max("__m").alias("__m")).withColumn("__chunk", F.floor(F.col(x) / chunk))
-    before = Window.partitionBy(on).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
-    sums = both.groupBy(on, "__chunk").agg(F.sum("__m").alias("__k")).withColumn("__k", F.coalesce(F.sum("__k").over(before), F.lit(0)))
-    inner = Window.partitionBy(on, "__chunk").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = both.join(sums, [on, "__chunk"]).select(on, x, (F.col("__k") + F.coalesce(F.sum("__m").over(inner), F.lit(0))).alias("rank"))
-    return probes.join(ranks, [on, x])
+    both = both.groupBy(on, x).agg(F.max("__m").alias("__m"))
+    return probes.join(running(both, [on], x, {"rank": F.col("__m")}, chunk).select(on, x, "rank"), [on, x])
 
 
 def rank_pair(members: DataFrame, probes: DataFrame, on: str, first: str, last: str) -> DataFrame:
@@ -47,17 +54,24 @@ def sizes(members: DataFrame, on: str, x: str) -> DataFrame:
     return members.groupBy(on).agg(F.countDistinct(x).alias("count"), (F.max(x) + 1).alias("size"))
 
 
-def bitmap(members: DataFrame, on: str, x: str, bits: int = 32) -> DataFrame:
+def bitmap(members: DataFrame, on: str, x: str, bits: int = 32, chunk: int = CHUNK) -> DataFrame:
     """(on, word, bits, before): words of a bitmap with members, and the number of members in earlier words."""
     words = members.select(on, x).distinct().groupBy(on, F.floor(F.col(x) / bits).alias("word")).agg(F.sum(F.expr(f"shiftleft(1L, cast({x} % {bits} as int))")).alias("bits"))
-    before = Window.partitionBy(on).orderBy("word").rowsBetween(Window.unboundedPreceding, -1)
-    return words.withColumn("before", F.coalesce(F.sum(F.bit_count("bits")).over(before), F.lit(0)))
+    return running(words, [on], "word", {"before": F.bit_count("bits")}, chunk)
+
 
+def neighbours(members: DataFrame, on: str, x: str, chunk: int = CHUNK) -> DataFrame:
+    """(on, x, previous, next) of the distinct members.
 
-def neighbours(members: DataFrame, on: str, x: str) -> DataFrame:
-    """(on, x, previous, next) of the distinct members."""
-    w = Window.partitionBy(on).orderBy(x)
-    return members.select(on, x).distinct().withColumns({"previous": F.lag(x).over(w), "next": F.lead(x).over(w)})
+    Within a chunk they are the rows beside; over its ends they come from a table of each chunk's first and last member.
+    """
+    own = members.select(on, x).distinct().withColumn("__chunk", F.floor(F.col(x) / chunk))
+    by_chunk = Window.partitionBy(on).orderBy("__chunk")
+    ends = own.groupBy(on, "__chunk").agg(F.min(x).alias("__a"), F.max(x).alias("__b"))
+    ends = ends.select(on, "__chunk", F.lag("__b").over(by_chunk).alias("__before"), F.lead("__a").over(by_chunk).alias("__after"))
+    w = Window.partitionBy(on, "__chunk").orderBy(x)
+    rows = own.join(ends, [on, "__chunk"]).withColumns({"previous": F.coalesce(F.lag(x).over(w), F.col("__before")), "next": F.coalesce(F.lead(x).over(w), F.col("__after"))})
+    return rows.select(on, x, "previous", "next")
 
 
 def domain(intervals: DataFrame, on: str = "chrom") -> DataFrame:
@@ -70,3 +84,8 @@ def compressed(members: DataFrame, probes: DataFrame, on: str, x: str) -> DataFr
     own = members.select(on, x).distinct().withColumn("__is", F.lit(True))
     ranked = rank(members, probes, on, x).join(own, [on, x], "left")
     return ranked.withColumn("place", 2 * F.col("rank") - F.when(F.col("__is"), 0).otherwise(1)).drop("__is", "rank")
+
+
+def expanded(members: DataFrame, places: DataFrame, on: str, x: str, place: str = "place") -> DataFrame:
+    """``places`` with the member that each compressed place stands for: its own, or the one before it."""
+    return select(members, places.withColumn("__i", F.floor(F.col(place) / 2)), on, x, "__i").drop("__i")

@@ -64,6 +64,12 @@ def main_chromosomes(chromosomes: DataFrame, least: int = 4 * 1024 * 1024) -> Da
     return chromosomes.where((F.col("length") >= least) & ~F.col("chrom").contains("_"))
 
 
+def named(df: DataFrame, chromosomes: DataFrame, chrom_id: str = "chrom_id") -> DataFrame:
+    """``df`` with chrom and length of each chrom_id: "" and 0 where the dictionary hasn't it."""
+    own = chromosomes.select(F.col("chrom_id").alias(chrom_id), "chrom", "length")
+    return df.join(own, chrom_id, "left").withColumns({"chrom": F.coalesce("chrom", F.lit("")), "length": F.coalesce("length", F.lit(0).cast("long"))})
+
+
 def parse_cigar(text: Column) -> Column:
     """array<struct<op, len>> of a CIGAR string (null, empty or ``*``: empty)."""
     ops = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[0-9]+[MIDNSHP=X]"), F.lit(0))

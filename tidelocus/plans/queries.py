@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kmers, permutation
 from ..operators import clusters, coverage, evidence, factors, intervals, peaks, ranks, reads, repeats, stats
+from ..scratch import written
 
 NEAR = 300
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,8 +127,7 @@ def clip_pileup(spark: SparkSession, sf_dir: str) -> DataFrame:
 from ev group by all having count(*) >= 2""")
 def clip_pileup_in_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pile-up with mates flagged by merged regions."""
-    merged = intervals.merge(regions(spark, sf_dir))
-    return reads.pileup(reads.clip_events(alignments(spark, sf_dir), merged))
+    return reads.pileup(reads.clip_events(alignments(spark, sf_dir), regions(spark, sf_dir)))
 
 
 @query(f"with {_PEAKS} select chrom, pos, max_both, round(left_sd, 6) as left_sd, round(right_sd, 6) as right_sd, round(both_sd, 6) as both_sd from peaks")
@@ -148,7 +148,7 @@ select locus, mate_chrom, cast(mate_pos as bigint) as mate_pos, count(*) filter
 from met semi join enough using (locus) group by all""")
 def discordant_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs around the peaks by the mate's place."""
-    return evidence.discordant_pairs(peaks.call_peaks(_pile(spark, sf_dir)), alignments(spark, sf_dir), NEAR, bin_width=128)
+    return evidence.discordant_pairs(written(peaks.call_peaks(_pile(spark, sf_dir)), "peaks"), alignments(spark, sf_dir), NEAR, bin_width=128)
 
 
 _COVERAGE = _ALN + """, loci as (
@@ -226,7 +226,7 @@ def region_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
   select a.pos, exists (select 1 from merged m where m.chrom = a.chrom and a.pos between m.first and m.last) as inside from aln a) group by inside""")
 def region_contains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which read starts lie in a merged region."""
-    found = intervals.contained(alignments(spark, sf_dir).select("chrom", "pos"), intervals.merge(regions(spark, sf_dir)), width=64)
+    found = intervals.contained(alignments(spark, sf_dir).select("chrom", "pos"), regions(spark, sf_dir), width=64)
     return found.groupBy("inside").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("sum_pos"))
 
 
@@ -276,7 +276,7 @@ select a.chrom, cast(a.first as bigint) as first, cast(a.last as bigint) as last
 from d a left join d b on a.chrom = b.chrom and b.first <= a.first and b.last >= a.last and (b.first <> a.first or b.last <> a.last) group by all""")
 def enclosing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest interval that encloses each."""
-    return intervals.enclosing(regions(spark, sf_dir), width=64)
+    return intervals.enclosing(regions(spark, sf_dir), chunk=256)
 
 
 _CHROMS = "chroms as (select n_nationkey as chrom_id, 'chr' || n_nationkey || case when n_nationkey % 8 = 7 then '_alt' else '' end as chrom, cast(n_nationkey * 7 % 25 + 1 as bigint) * 400000 as length from nation)"
@@ -295,11 +295,11 @@ def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.tile(reads.main_chromosomes(chromosomes(spark, sf_dir)), 1_000_000)
 
 
-@query(f"with {_CHROMS} select chrom || ':1-' || length as region, chrom, 1::bigint as first, length as last from chroms")
+@query(f"with {_CHROMS} select chrom || ':1-' || length as region, '[1, ' || length || ']' as span, chrom, 1::bigint as first, length as last from chroms")
 def region_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole chromosomes as region strings, parsed again."""
-    shown = intervals.whole(chromosomes(spark, sf_dir)).select(intervals.region_text().alias("region"))
-    return shown.withColumn("r", intervals.parse_region(F.col("region"))).select("region", "r.*")
+    shown = intervals.whole(chromosomes(spark, sf_dir)).select(intervals.region_text().alias("region"), intervals.interval_text().alias("span"))
+    return shown.withColumn("r", intervals.parse_region(F.col("region"))).select("region", "span", "r.*")
 
 
 @query(f"""with {_CHROMS}, main as (select * from chroms where length >= 4194304 and not contains(chrom, '_')),
@@ -314,12 +314,22 @@ def placed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coverage.place_samples(samples, main)
 
 
-@query()
+@query(f"""with {_CHROMS}, main as (select *, length - 500 as n from chroms where length >= 4194304 and not contains(chrom, '_')),
+off as (select *, coalesce(sum(n) over (order by chrom_id rows between unbounded preceding and 1 preceding), 0) as start from main),
+s as (select cast(('0x' || substr(md5('7:' || i), 1, 15)) as bigint) % (select sum(n) from main) as j from range(3000) t(i))
+select chrom, cast(j - start + 1 as bigint) as first, cast(j - start + 501 as bigint) as last from s join off on start <= j and j < start + n""")
 def sampled_loci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Random loci, the same for a seed."""
     return coverage.sample_loci(reads.main_chromosomes(chromosomes(spark, sf_dir)), 3000, seed=7)
 
 
+@query(f"with {_CHROMS} select l_orderkey, l_linenumber, l_partkey, coalesce(chrom, '') as chrom, coalesce(length, 0) as length from lineitem left join chroms on l_suppkey % 30 = chrom_id")
+def header_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and lengths of reference numbers, some unknown."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_suppkey") % 30).alias("chrom_id"))
+    return reads.named(items, chromosomes(spark, sf_dir)).drop("chrom_id")
+
+
 _MEMBERS = "mem as (select distinct user_id % 7 as k, event_id * 37 % 10007 as x from events)"
 
 
@@ -381,6 +391,14 @@ def compressed_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranks.compressed(_members(spark, sf_dir), _probes(spark, sf_dir), "k", "x")
 
 
+@query(f"with {_MEMBERS}, pr as (select c_custkey % 7 as k, c_custkey * 11 % 10100 as x from customer) select distinct pr.k, pr.x as probe, (select max(x) from mem where mem.k = pr.k and mem.x <= pr.x) as x from pr where pr.x >= (select min(x) from mem where mem.k = pr.k)")
+def expanded_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compressed coordinates back as members."""
+    own = _members(spark, sf_dir)
+    places = ranks.compressed(own, _probes(spark, sf_dir), "k", "x").distinct().withColumnRenamed("x", "probe")
+    return ranks.expanded(own, places, "k", "x").select("k", "probe", "x")
+
+
 _K = 4
 _WINDOWS = f"""c as (select doc_id, upper(unnest(string_split(text, ''))) as c, unnest(generate_series(1, length(text))) as i from documents where length(text) >= {_K}),
 l as (select doc_id, i - 1 as place, {' || '.join(f"lead(c, {j}) over (partition by doc_id order by i)" for j in range(_K))} as t from c),
@@ -408,14 +426,26 @@ def kmer_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with {_WINDOWS}, u as (select distinct kmer, replace(t, 'U', 'T') as text from km)
-select a.kmer as x, b.kmer as y, a.text as bases, reverse(translate(a.text, 'ACGT', 'TGCA')) as complement, cast(hamming(a.text, b.text) as int) as distance
-from u a join u b on b.kmer % 4 = a.kmer % 4""")
+select a.kmer as x, b.kmer as y, a.text as bases, reverse(translate(a.text, 'ACGT', 'TGCA')) as complement, reverse(a.text) as backwards, cast(hamming(a.text, b.text) as int) as distance
+from u a, u b""")
 def kmer_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rendering, complement and distance of the k-mers that occur."""
     own = _docs(spark, sf_dir).select(F.explode(kmers.windows(F.col("text"), _K)).alias("w")).select(F.col("w.kmer").alias("x")).distinct()
-    pairs = own.join(own.select(F.col("x").alias("y")), F.expr("x % 4 = y % 4"))
+    # at most 4^4 of them, whatever the documents
+    everyone = own.agg(F.array_sort(F.collect_set("x")).alias("all"))
+    pairs = everyone.select("all", F.explode("all").alias("x")).select("x", F.explode("all").alias("y"))
     rc = kmers.render(kmers.reverse_complement_packed(F.col("x"), _K), _K)
-    return pairs.select("x", "y", kmers.render(F.col("x"), _K).alias("bases"), rc.alias("complement"), kmers.hamming(F.col("x"), F.col("y")).alias("distance"))
+    return pairs.select("x", "y", kmers.render(F.col("x"), _K).alias("bases"), rc.alias("complement"), kmers.render(kmers.reverse(F.col("x"), _K), _K).alias("backwards"), kmers.hamming(F.col("x"), F.col("y")).alias("distance"))
+
+
+@query(f"""with {_WINDOWS}, rc as (select *, reverse(translate(t, 'ACGTU', 'TGCAA')) as r from km),
+both_ as (select doc_id, kmer from km union all select doc_id, {' + '.join(f"cast(translate(r, 'ACGT', '0123')[{i + 1}] as bigint) * {4 ** (_K - 1 - i)}" for i in range(_K))} from rc),
+n as (select doc_id, kmer, count(*) as n from both_ group by all), every_ as (select doc_id, i from (select distinct doc_id from n), range({4**_K}) t(i))
+select doc_id, string_agg(coalesce(n, 0), ',' order by i) as vector from every_ left join n using (doc_id) where n.kmer = i or n.kmer is null group by doc_id""".replace("left join n using (doc_id) where n.kmer = i or n.kmer is null", "left join n on n.doc_id = every_.doc_id and n.kmer = i").replace("select doc_id, string_agg", "select every_.doc_id, string_agg").replace("group by doc_id", "group by every_.doc_id"))
+def kmer_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dense vectors of counts of windows on both strands."""
+    found = kmers.frequency_vectors(_docs(spark, sf_dir), "doc_id", "text", _K)
+    return found.select("doc_id", F.array_join(F.col("vector").cast("array<string>"), ",").alias("vector"))
 
 
 @query("select doc_id, md5(text) as digest from (select *, row_number() over (partition by substr(sha256(text), 1, 16) order by doc_id) as r from documents) where r = 1")
@@ -438,21 +468,21 @@ def padded_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with g as (select 'ch' || doc_id as name, text as seq, doc_id from documents),
-r as (select l_orderkey * 10 + l_linenumber as key, 'ch' || l_partkey as chrom, l_orderkey % 60 + 1 as a, l_orderkey % 60 + 5 as b, l_shipmode as label, l_flag as class from (select *, case when l_quantity < 25 then 'SINE' else 'LINE' end as l_flag, case when l_tax < 0.04 then 'Alu' else 'L1' end as l_shipmode from lineitem)),
-o as (select distinct chrom, a, b, label, class from r), j as (select o.*, g.doc_id, g.seq, length(g.seq) as n, substr(g.seq, a, b - a + 1) as own from o join g on g.name = o.chrom where length(g.seq) >= 65 and class = 'SINE' and regexp_matches(label, '^A')),
+r as (select l_orderkey * 10 + l_linenumber as key, 'ch' || l_partkey as chrom, l_orderkey * 7919 % length(text) + 1 as a, least(l_orderkey * 7919 % length(text) + 5, length(text)) as b, l_shipmode as label, l_flag as class from (select *, case when l_quantity < 25 then 'SINE' else 'LINE' end as l_flag, case when l_tax < 0.04 then 'Alu' else 'L1' end as l_shipmode from lineitem join documents on doc_id = l_partkey and length(text) > 0)),
+o as (select distinct chrom, a, b, label, class from r), j as (select o.*, g.doc_id, g.seq, length(g.seq) as n, substr(g.seq, a, b - a + 1) as own from o join g on g.name = o.chrom where class = 'SINE' and regexp_matches(label, '^A')),
 f as (select *, row_number() over (partition by own order by doc_id, a, b, label) as k from j)
 select chrom || ':' || a || '-' || b || '~10~' || class || '~' || label as name, substr(seq, greatest(1, a - 10), least(n, b + 10) - greatest(1, a - 10) + 1) as seq from f where k = 1""")
 def prepared_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeat elements cut from a genome of texts long enough to hold them, distinct by content, padded."""
-    docs = _docs(spark, sf_dir).where("length(text) >= 65")
+    """Repeat elements cut from anywhere in a genome of texts, distinct by content, padded."""
+    docs = _docs(spark, sf_dir).where("length(text) > 0")
     genome = docs.select(F.concat(F.lit("ch"), "doc_id").alias("name"), F.col("text").alias("seq"), F.col("doc_id").alias("order"))
-    items = table(spark, sf_dir, "lineitem")
-    begin = F.col("l_orderkey") % 60 + 1
+    items = table(spark, sf_dir, "lineitem").join(docs.select(F.col("doc_id").alias("l_partkey"), F.length("text").cast("long").alias("n")), "l_partkey")
+    begin = F.col("l_orderkey") * 7919 % F.col("n") + 1
     label, kind = F.when(F.col("l_tax") < 0.04, "Alu").otherwise("L1"), F.when(F.col("l_quantity") < 25, "SINE").otherwise("LINE")
-    rows = items.select(F.concat(F.lit("ch"), "l_partkey").alias("chrom"), begin.alias("begin"), (begin + 4).alias("end"), F.lit("+").alias("strand"), label.alias("label"), kind.alias("class")).distinct()
+    rows = items.select(F.concat(F.lit("ch"), "l_partkey").alias("chrom"), begin.alias("begin"), F.least(begin + 4, F.col("n")).alias("end"), F.lit("+").alias("strand"), label.alias("label"), kind.alias("class")).distinct()
     # numbered by begin, end, label and class within the genome's order
     number = F.col("begin") * 4 + F.when(F.col("label") == "Alu", 0).otherwise(2) + F.when(F.col("class") == "LINE", 0).otherwise(1)
-    rows = rows.withColumn("row_no", F.substring("chrom", 3, 10).cast("long") * 1000 + number)
+    rows = rows.withColumn("row_no", F.substring("chrom", 3, 10).cast("long") * 1_000_000 + number)
     return repeats.prepare_repeats(rows, genome, 10, "SINE", "^A", size=64)
 
 
@@ -477,10 +507,12 @@ def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("l_returnflag", "n", F.round(stats.mean(), 9).alias("mean"), F.round(stats.variance(), 9).alias("variance"), F.round(stats.deviation(), 9).alias("deviation"))
 
 
-@query("select l_suppkey, cast(sum(l_linenumber) as bigint) as n, round(sum(l_linenumber * l_partkey) / sum(l_linenumber), 6) as mean from lineitem group by all")
+@query("""select l_suppkey, cast(sum(l_linenumber) as bigint) as n, round(sum(l_linenumber * l_partkey) / sum(l_linenumber), 6) as mean,
+round(sqrt(cast(sum(l_linenumber * l_partkey * l_partkey) * sum(l_linenumber) - sum(l_linenumber * l_partkey) * sum(l_linenumber * l_partkey) as double)) / sum(l_linenumber), 6) as deviation from lineitem group by all""")
 def weighted_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted means."""
-    return stats.moments(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_partkey", "l_linenumber").select("l_suppkey", "n", F.round(stats.mean(), 6).alias("mean"))
+    """Weighted means and deviations, from sums of distances from a centre."""
+    sums = stats.moments(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_partkey", "l_linenumber", centre=500)
+    return sums.select("l_suppkey", "n", F.round(stats.mean() + 500, 6).alias("mean"), F.round(stats.deviation(), 6).alias("deviation"))
 
 
 def _remedian_sql() -> str:
@@ -494,7 +526,7 @@ def _remedian_sql() -> str:
 @query(_remedian_sql())
 def remedian(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Medians of medians of fives of each user's values in event order."""
-    rows = stats.indexed(table(spark, sf_dir, "events"), ["user_id"], "event_id")
+    rows = stats.indexed(table(spark, sf_dir, "events"), ["user_id"], "event_id", 4096)
     return stats.remedian(rows, ["user_id"], "value").select("user_id", F.round("median", 9).alias("median"))
 
 
@@ -532,6 +564,12 @@ def feistel_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation.permutation(spark, 2500, 19)
 
 
+@query("with o as (" + _permutation_sql(2500, 19) + ") select i as event_id, value as place from o where value < 100")
+def shuffled_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample of 100 of 2500 numbers without replacement: those that a permutation puts first."""
+    return permutation.shuffled_sample(spark.range(2500).withColumnRenamed("id", "event_id"), "event_id", 2500, 100, 19)
+
+
 _CENTRES = 8
 
 
@@ -566,6 +604,20 @@ def running_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("label", "vec_id", "dim", F.round("mean", 6).alias("mean"))
 
 
+@query(f"""with {_ASSIGN}, m as (select cluster, generate_subscripts(embedding, 1) as dim, cast(unnest(embedding) as double) as x from a join embeddings using (vec_id)),
+c2 as (select cluster, list(x order by dim) as c from (select cluster, dim, avg(x) as x from m group by all) group by cluster),
+c3 as (select cluster, coalesce(c2.c, list_transform(c.c, lambda q: cast(q as double))) as c from c left join c2 using (cluster)),
+d2 as (select vec_id, sqrt(list_sum(list_transform(list_zip(embedding, c), lambda p: (cast(p[1] as double) - p[2]) * (cast(p[1] as double) - p[2])))) as distance from embeddings, c3),
+a2 as (select vec_id, min(distance) as distance from d2 group by vec_id)
+select 0 as round, count(*) as n, round(avg(distance), 6) as mean, round(stddev_pop(distance), 6) as deviation from a
+union all select 1, count(*), round(avg(distance), 6), round(stddev_pop(distance), 6) from a2""")
+def kmeans_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and deviation of the distances in two rounds from given centroids."""
+    _, told = clusters.iterate(table(spark, sf_dir, "embeddings"), _centres(spark, sf_dir), "embedding", 2)
+    rows = [(i, t["n"], t["mean"], t["deviation"]) for i, t in enumerate(told)]
+    return spark.createDataFrame(rows, "round int, n long, mean double, deviation double").select("round", "n", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"))
+
+
 @query()
 def kmeans_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes of ten fitted clusters."""

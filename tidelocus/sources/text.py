@@ -25,15 +25,18 @@ def read_regions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(name, seq, order) of a FASTA file; the name ends at the first blank, ``order`` rises through the file."""
-    records = spark.read.text(path, lineSep=">").where(r"value rlike '\\S'").withColumn("order", F.monotonically_increasing_id())
+    """(name, seq, order) of a FASTA file; the name ends at the first blank, ``order`` rises through the file.
+
+    A record begins with ``>`` at the begin of a line; one elsewhere in a header belongs to it.
+    """
+    records = spark.read.text(path, lineSep="\n>").where(r"value rlike '\\S'").select(F.regexp_replace("value", "^>", "").alias("value"), F.monotonically_increasing_id().alias("order"))
     header = F.substring_index("value", "\n", 1)
     body = F.substring(F.col("value"), F.length(header) + 1, F.length("value"))
     return records.select(F.regexp_extract(header, r"^\s*(\S*)", 1).alias("name"), F.regexp_replace(body, r"\s", "").alias("seq"), "order")
 
 
 def read_repeatmasker(spark: SparkSession, path: str) -> DataFrame:
-    """``schemas.REPEATS`` of a RepeatMasker table: three header lines, then rows of exactly 15 fields.
+    """``schemas.REPEATS`` of RepeatMasker tables: header lines (SW ..., score ..., empty), then rows of exactly 15 fields.
 
     Other rows are left out (``bad_rows`` counts them); a strand but + or C raises an error.
     """
@@ -50,8 +53,8 @@ def bad_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _repeat_lines(spark: SparkSession, path: str):
-    # ids rise along the file; those of its first split are line numbers
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("row_no")).where("row_no >= 3")
+    # every file's header: two lines of titles and an empty one
+    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("row_no")).where(r"not value rlike '^\\s*((SW|score)\\b.*)?$'")
     return F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " "), lines
 
 

@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.coverage import offsets
 
-def streaming_pileup(events: DataFrame, least: int = 2, delay: int = 0) -> DataFrame:
-    """``schemas.CLIPS`` of a stream of clip events (chrom, clip_pos, side, mate_in_rep) sorted by position.
 
-    Positions serve as event time: a position is final, and leaves in append mode, once one more than
-    ``delay`` beyond it has come (on any chromosome, so chromosomes should be streamed one by one).  Later
-    rows for it are dropped.
+def streaming_pileup(events: DataFrame, chromosomes: DataFrame, least: int = 2, delay: int = 0) -> DataFrame:
+    """``schemas.CLIPS`` of a stream of clip events (chrom, clip_pos, side, mate_in_rep) sorted by chromosome and position.
+
+    Event time is the place in the whole genome: the bases of the chromosomes before (by chrom_id, of the dictionary ``chromosomes``)
+    and the position, so it rises from chromosome to chromosome under one watermark.  A position is final, and leaves in append mode, once
+    one more than ``delay`` beyond it has come.  Later rows for it are dropped, as are events on unknown chromosomes.
     """
-    timed = events.withColumn("at", F.timestamp_seconds("clip_pos")).withWatermark("at", f"{delay} seconds")
-    counts = timed.groupBy("chrom", F.window("at", "1 second").alias("w")).agg(
+    table = F.broadcast(offsets(chromosomes).select("chrom", "start"))  # a few thousand rows at most
+    timed = events.join(table, "chrom").withColumn("at", F.timestamp_seconds(F.col("start") + F.col("clip_pos"))).withWatermark("at", f"{delay} seconds")
+    counts = timed.groupBy("chrom", "start", F.window("at", "1 second").alias("w")).agg(
         F.count_if(F.col("side") == "L").alias("left_count"), F.count_if(F.col("side") == "R").alias("right_count"), F.count_if("mate_in_rep").alias("mate_in_rep")
     )
-    return counts.where(F.col("left_count") + F.col("right_count") >= least).select("chrom", F.unix_seconds("w.start").alias("pos"), "left_count", "right_count", "mate_in_rep")
+    return counts.where(F.col("left_count") + F.col("right_count") >= least).select("chrom", (F.unix_seconds("w.start") - F.col("start")).alias("pos"), "left_count", "right_count", "mate_in_rep")
 
 
 def streaming_islands(rows: DataFrame, key: str, time: str, gap: str, delay: str) -> DataFrame:
