@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from functools import wraps
 
@@ -14,33 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..scratch import folder
 from .textbytes import SLICE_BYTES, slices
 
 _HELD: dict[str, SparkSession] = {}
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``.
-
-    Where that is unset, a session whose tasks all run on this machine (``local[...]``, tests) gets a temporary
-    one; any other session gets an error.  The path isn't created: Spark's writers do that.
-    """
-    top = spark.conf.get("spark.checkpoint.dir", "")
-    if not top:
-        master = spark.conf.get("spark.master", "")
-        if master != "local" and not master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        top = f"{tempfile.gettempdir()}/tidelocus-{spark.sparkContext.applicationId}"
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: what follows survives lost executors.
 
     The table goes by ``forget``, or when the driver ends.
     """
     spark = df.sparkSession
-    path = shared_dir(spark, name)
+    path = folder(spark, name)
     _HELD[path] = spark
     df.write.parquet(path)
     table = spark.read.schema(df.schema).parquet(path)

@@ -15,7 +15,8 @@
 
 Edge cases: a text of no words (or null) has fingerprint 0 and links like others; shorter texts are one
 shingle; equal texts share a fingerprint, so copies add rows only to the first and last step; null ids
-are ignored when the smallest is sought, and a component of nothing else has a null id.
+are ignored when the smallest is sought, and a component of nothing else has a null id; a doc_id that
+repeats with other texts has a row for each.
 """
 
 from __future__ import annotations
@@ -27,10 +28,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import add_columns, written
+from .shared import add_columns, forget, keeps_columns, written
 from .textbytes import LOWER, NOT_BLANK, flat, gather, word_spans
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
@@ -206,9 +207,12 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         large = large.where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b")
-        edges = written(small.where("a <> b").distinct(), "components")
+        before, edges = edges, written(small.where("a <> b").distinct(), "components")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.col("b") % 1_000_003)).first()
-        if now == mark:
+        # equal sums may be chance: then the edges themselves are compared
+        settled = now == mark and edges.join(before, ["a", "b"], "left_anti").isEmpty()
+        forget(before)
+        if settled:
             break
         mark = now
     else:
@@ -216,29 +220,46 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, hot_shard: int = HOT_SHARD) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for each row of ``documents`` (doc_id, text)."""
-    marked = written(add_fingerprint(documents.select("doc_id", "text"), shingle).select("doc_id", "fingerprint"), "simhash")
+def _components_of(marked: DataFrame, radius: int, hot_shard: int) -> tuple[DataFrame, DataFrame]:
+    """Classes (fingerprint, smallest) of rows (doc_id, fingerprint), and (fingerprint, root) of each."""
     classes = written(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("smallest")), "simhash-classes")
     roots = components(link_fingerprints(classes.select("fingerprint"), radius, hot_shard))
     nodes = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "fingerprint")
-    placed = classes.join(nodes, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    return classes, classes.join(nodes, "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+
+
+def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, hot_shard: int = HOT_SHARD) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for each row of ``documents`` (doc_id, text)."""
+    marked = written(add_fingerprint(documents.select("doc_id", "text"), shingle).select("doc_id", "fingerprint"), "simhash")
+    _, placed = _components_of(marked, radius, hot_shard)
     ids = placed.groupBy("root").agg(F.min("smallest").alias("component_id"))
     table = placed.join(ids, "root").select("fingerprint", "component_id")
     return marked.join(table, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def keep_one(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """One document of each component, that with the smallest doc_id, with its own columns.
+def row_digest(documents: DataFrame) -> Column:
+    """64 bits of all columns that can be hashed, to tell rows of one doc_id apart."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in documents.schema.fields if "map<" not in f.dataType.simpleString()])
+
+
+def first_rows(documents: DataFrame, found: DataFrame) -> DataFrame:
+    """Of ``documents`` (doc_id) one row for each root of ``found`` (doc_id, digest, root): that with the smallest doc_id (null: last).
 
-    Of rows that repeat this doc_id one stays; a component without any id keeps its rows.
+    Of rows that share it the one with the smallest digest stays; rows that are equal throughout count as one.
     """
-    found = written(near_duplicates(documents, radius, shingle), "simhash-found")
-    stays = found.where("doc_id = component_id or component_id is null").select(F.col("doc_id").alias("__stays")).distinct()
-    # the ids are the small side: texts are neither sorted nor held
-    kept = documents.join(stays.hint("shuffle_hash"), F.expr("doc_id <=> __stays"), "left_semi")
-    again = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    if again.isEmpty():
-        return kept
-    with_id = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return with_id.unionByName(kept.where("doc_id is null"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "digest"))
+    stays = found.groupBy("root").agg(first.alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.digest").alias("__stays"))
+    kept = documents.withColumn("__digest", row_digest(documents)).join(stays, F.expr("__digest = __stays and doc_id <=> __id"), "left_semi")
+    again = found.groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not again.isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "__digest"])
+    return kept.drop("__digest")
+
+
+@keeps_columns("doc_id", "text")
+def keep_one(documents: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
+    """One row of each component, by ``first_rows``, with its own columns."""
+    rows = documents.withColumn("digest", row_digest(documents)).select("doc_id", "text", "digest")
+    marked = written(add_fingerprint(rows, shingle).select("doc_id", "digest", "fingerprint"), "simhash")
+    _, placed = _components_of(marked, radius, HOT_SHARD)
+    return first_rows(documents, written(marked.join(placed.select("fingerprint", "root"), "fingerprint"), "simhash-found"))

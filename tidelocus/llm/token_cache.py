@@ -28,8 +28,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import folder
 from . import bpe
-from .shared import add_columns, keeps_columns, shared_dir, written
+from .shared import add_columns, keeps_columns, written
 from .textbytes import flat
 
 CACHE = "digest binary, tokenizer string, n_tokens long"
@@ -100,7 +101,7 @@ def _cached(spark: SparkSession, path: str, tokenizer: str) -> DataFrame:
 def add_token_counts(documents: DataFrame, path: str, cache: str | None = None) -> DataFrame:
     """``documents`` (doc_id, text) with n_tokens; ``cache`` is the cache's folder, a new one where it is None."""
     spark = documents.sparkSession
-    cache = cache or shared_dir(spark, "token-cache")
+    cache = cache or folder(spark, "token-cache")
     version = tokenizer_digest(path)
     content = F.coalesce("text", F.lit(""))
     keyed = documents.withColumn("__digest", F.unhex(F.sha2(content, 256)))
