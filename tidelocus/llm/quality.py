@@ -7,7 +7,7 @@
    matrix of fixed size; sums of at most ``PARTS`` tasks reach the driver, whatever the number of rows.
 3. The ridge solution scores other labelled rows, whose counts in ``BINS`` bins give the isotonic
    calibration (pool adjacent violators).
-4. Scoring is a pass over the documents without a shuffle.
+4. Scoring is a pass over the documents, or over their statistics, without a shuffle.
 
 No sample is taken: all labelled rows that ``learn`` allows count.  ``fit`` learns the ridge from
 two thirds of them and the calibration from the others (by a digest of doc_id).
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import add_columns, keeps_columns, written
+from .shared import add_columns, forget, keeps_columns, written
 from .textbytes import NOT_BLANK, _mix, flat, prefix_sums, span_hash, word_hash, word_spans
 
 #: What of a text is measured.
@@ -107,7 +107,11 @@ class Model:
         return self.features(x) @ self.weights
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return np.interp(self.raw(x), self.steps, self.levels)
+        """The calibrated probability; within its flat steps a hundredth of the raw score keeps the order."""
+        raw = self.raw(x)
+        if len(self.steps) == 1:
+            return np.full(len(raw), self.levels[0])
+        return 0.99 * np.interp(raw, self.steps, self.levels) + 0.01 * np.clip(raw, 0, 1)
 
 
 def _matrix(batch: pa.RecordBatch, name: str = "x") -> np.ndarray:
@@ -142,11 +146,24 @@ def _isotonic(y: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat([a / b for a, b, _ in pools], [k for _, _, k in pools])
 
 
+def add_statistics(documents: DataFrame) -> DataFrame:
+    """``documents`` (``text``) with ``x``, its statistics, in place of the text."""
+    k = len(STATISTICS)
+    make = lambda b: [pa.FixedSizeListArray.from_arrays(pa.array(statistics(b.column("text")).ravel()), k).cast(pa.list_(pa.float64()))]
+    return add_columns(documents, "x array<double>", make).drop("text")
+
+
 def fit(documents: DataFrame, labels: DataFrame, learn: Column | None = None, label: str = "quality", seed: int = SEED) -> Model:
     """Learn ``label`` (0 or 1, of ``labels``: doc_id) of ``documents`` (doc_id, text) from rows where ``learn`` holds."""
+    thin = written(add_statistics(documents.select("doc_id", "text")), "quality-statistics")
+    model = _learnt(thin, labels, learn, label, seed)
+    forget(thin)
+    return model
+
+
+def _learnt(thin: DataFrame, labels: DataFrame, learn: Column | None, label: str = "quality", seed: int = SEED) -> Model:
+    """``fit`` on statistics (doc_id, x)."""
     k = len(STATISTICS)
-    thin = add_columns(documents.select("doc_id", "text"), "x array<double>", lambda b: [pa.FixedSizeListArray.from_arrays(pa.array(statistics(b.column("text")).ravel()), k).cast(pa.list_(pa.float64()))])
-    thin = written(thin.select("doc_id", "x"), "quality-statistics")
     moments = _summed(thin.select("x"), 2 * k + 1, lambda b: np.concatenate([[b.num_rows], (m := _matrix(b)).sum(0), (m**2).sum(0)]))
     n = max(moments[0], 1)
     mean = moments[1 : k + 1] / n
@@ -192,6 +209,15 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     return add_columns(documents, "score double", lambda batch: [pa.array(model.score(statistics(batch.column("text"))))])
 
 
+@keeps_columns("doc_id", "text", new=("score",))
+def fit_and_score(documents: DataFrame, labels: DataFrame, learn: Column | None = None) -> DataFrame:
+    """``documents`` (doc_id, text) with ``score`` by a model learnt from them, and null for text: their statistics are taken once for both."""
+    thin = written(add_statistics(documents), "quality-statistics")
+    model = _learnt(thin.select("doc_id", "x"), labels, learn)
+    scored = add_columns(thin, "score double", lambda batch: [pa.array(model.score(_matrix(batch)))], text=None)
+    return scored.withColumn("text", F.lit(None).cast("string"))
+
+
 def held_out() -> Column:
     """Whether crc32 of doc_id as text leaves 1 by 3 (null: not)."""
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, F.lit(False))

@@ -93,11 +93,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: whether its label is held out, the calibrated score, and the label it predicts."""
-    from .quality import fit, held_out, score
+    from .quality import fit_and_score, held_out
 
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit(docs, _table(spark, sf_dir, "labels"), ~held_out())
-    return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = fit_and_score(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"), ~held_out())
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
