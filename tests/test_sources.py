@@ -3,6 +3,7 @@
 import gzip
 import json
 import os
+import random
 import struct
 import zlib
 
@@ -56,6 +57,59 @@ def test_bam_and_commands(spark, tmp_path):
     assert list(json.loads(spark.read.text(str(tmp_path / "info")).first().value)) == ["bam", "cov", "read_length", "insert_size_mean", "insert_size_sd"]
 
 
+def bin_of(begin, end):
+    """The smallest bin that holds a range (0-based, half-open)."""
+    for base, bits in reversed(binary.BINS):
+        if begin >> bits == (end - 1) >> bits:
+            return base + (begin >> bits)
+
+
+def index(path, places, spans, chroms):
+    """A ``.bai`` file for records at (ref, pos, end) that lie between these virtual offsets."""
+    out = b"BAI\1" + struct.pack("<i", chroms)
+    for ref in range(chroms):
+        bins, windows = {}, {}
+        for (r, a, b), (begin, end) in zip(places, spans, strict=True):
+            if r == ref:
+                bins.setdefault(bin_of(a - 1, b), []).append((begin, end))
+                for w in range((a - 1) >> 14, ((b - 1) >> 14) + 1):
+                    windows[w] = min(begin, windows.get(w, begin))
+        out += struct.pack("<i", len(bins) + 1) + b"".join(struct.pack("<Ii", k, len(v)) + b"".join(struct.pack("<QQ", *c) for c in v) for k, v in bins.items()) + struct.pack("<IiQQQQ", binary.NO_RECORDS, 2, 0, 0, 0, 0)
+        held = [windows.get(w, 0) for w in range(max(windows, default=-1) + 1)]
+        out += struct.pack("<i", len(held)) + struct.pack(f"<{len(held)}Q", *held)
+    path.write_bytes(out)
+
+
+def test_region_scan_by_index(spark, tmp_path, monkeypatch):
+    """Regions against all records; only chunks that a region meets are read; small spans change nothing."""
+    chroms = (("c1", 5_000_000), ("c2", 900_000), ("c3", 10))
+    rng = random.Random(2)
+    places = sorted((rng.choice((0, 0, 1)), rng.randint(1, 800_000), rng.choice((5, 9, 40_000))) for _ in range(300))
+    own = [record(f"r{i}", 0, r, a, 60, [("M", 4), ("N", n), ("M", 5)], (r, 1), "ACGTACGTA", "F" * 9) for i, (r, a, n) in enumerate(places)]
+    own.append(record("u", 4, -1, 0, 255, [], (-1, 0), "ACG", None))
+    bam(tmp_path / "x.bam", own, chroms)
+    blocks = binary.Blocks(str(tmp_path / "x.bam"))
+    binary.read_header(blocks)
+    offsets = [blocks.tell()]
+    for r in own:
+        blocks.read(len(r))
+        offsets.append(blocks.tell())
+    ends = [(r, a, a + n + 8) for r, a, n in places]
+    index(tmp_path / "x.bam.bai", ends, list(zip(offsets, offsets[1:-1], strict=False)), 3)
+    binary.register(spark)
+    scan = spark.read.format("bam").load(str(tmp_path / "x.bam"))
+    for size in (1 << 25, 1):
+        monkeypatch.setattr(binary, "SPAN_BYTES", size)
+        assert sorted(r.qname for r in scan.collect()) == sorted([*(f"r{i}" for i in range(300)), "u"])
+        for chrom, lo, hi in (("c1", 100_000, 200_000), ("c2", 1, 16_384), ("c1", 790_000, 900_000), ("c3", 1, 9), ("c1", 5, 4)):
+            got = scan.where((F.col("chrom") == chrom) & (F.col("pos") <= hi) & (F.col("end_pos") >= lo)).collect()
+            assert sorted(r.qname for r in got) == sorted(f"r{i}" for i, (r, a, b) in enumerate(ends) if chroms[r][0] == chrom and a <= hi and b >= lo)
+    bins, windows = binary.read_index(str(tmp_path / "x.bam.bai"))[0]
+    monkeypatch.undo()
+    part, whole = (sum(e - b for b, e in binary.region_spans(bins, windows, *r)) for r in ((100_000, 110_000), (None, None)))
+    assert 0 < part < whole / 2
+
+
 def test_text_formats(spark, tmp_path):
     (tmp_path / "a.bed.gz").write_bytes(gzip.compress(b"c1\t99\t110\tx\n") + gzip.compress(b"c1\t109\t120\ty\nc2\t0\t5\tz\n"))
     assert sorted(tuple(r) for r in text.read_bed(spark, str(tmp_path / "a.bed.gz")).collect()) == [("c1", 100, 110, "x"), ("c1", 110, 120, "y"), ("c2", 1, 5, "z")]

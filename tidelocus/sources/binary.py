@@ -1,8 +1,8 @@
 """Python data sources for BAM and FASTQ, for paths that executors can open.
 
-BAM files are blocks of gzip members; where an index (``.bai``) lies beside the file, each chromosome is a
-partition and filters on ``chrom`` choose among them, otherwise the file is one partition.  Records stream
-through in Arrow batches.
+BAM files are blocks of gzip members.  Where an index (``.bai``) lies beside the file, its chunks are dealt into partitions of about
+``SPAN_BYTES``, and filters on ``chrom`` and on bounds of ``pos`` and ``end_pos`` choose the chunks whose bins a region meets;
+otherwise the file is one partition.  Records stream through in Arrow batches, decoded a batch at once.
 """
 
 from __future__ import annotations
@@ -13,13 +13,15 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from .. import schemas
 
-BATCH = 2048
+BATCH, SPAN_BYTES = 2048, 32 << 20
 #: Fixed values of the format: CIGAR operations and base codes.
 CIGAR_OPS, BASES = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"
 
@@ -77,44 +79,93 @@ def read_header(blocks: Blocks) -> list[tuple[str, int]]:
     return out
 
 
-def decode_record(data: bytes, names: list[str]) -> tuple:
-    """One record as a tuple in the order of ``schemas.ALIGNMENTS``."""
-    ref, pos, n_name, mapq, _, n_ops, flag, n_seq, mate_ref, mate_pos, tlen = struct.unpack("<iiBBHHHiiii", data[:32])
-    at = 32 + n_name
-    qname = data[32 : at - 1].decode()
-    cigar = [(CIGAR_OPS[x & 15], x >> 4) for x in struct.unpack(f"<{n_ops}I", data[at : at + 4 * n_ops])]
-    at += 4 * n_ops
-    packed = data[at : at + (n_seq + 1) // 2]
-    at += len(packed)
-    seq = "".join(BASES[b >> 4] + BASES[b & 15] for b in packed)[:n_seq]
-    raw = data[at : at + n_seq]
-    qual = None if not raw or raw[0] == 0xFF else bytes(q + 33 for q in raw).decode()
-    start = pos + 1 if pos >= 0 else None
-    span = sum(n for op, n in cigar if op in "MDN=X")
-    chrom = lambda i: names[i] if i >= 0 else None
-    return (
-        None if qname == "*" else qname, flag, ref if ref >= 0 else None, chrom(ref), start, start + max(span, 1) - 1 if start else None, None if mapq == 255 else mapq,
-        [{"op": op, "len": n} for op, n in cigar], mate_ref if mate_ref >= 0 else None, chrom(mate_ref), mate_pos + 1 if mate_pos >= 0 else None, tlen, seq or None, qual,
-    )
-
-
-def read_index(path: str) -> list[tuple[int, int] | None]:
-    """For each reference of a ``.bai`` file the virtual offsets between which its records lie."""
+#: Fixed values of the format: the fields at the head of a record, the levels of an index's bins (first number, bits of a position left out), its
+#: windows' bits, and the bin that holds no records.
+HEAD = np.dtype([("ref", "<i4"), ("pos", "<i4"), ("n_name", "u1"), ("mapq", "u1"), ("bin", "<u2"), ("n_ops", "<u2"), ("flag", "<u2"), ("n_seq", "<i4"), ("mate_ref", "<i4"), ("mate_pos", "<i4"), ("tlen", "<i4")])
+BINS, WINDOW_BITS, NO_RECORDS = ((0, 29), (1, 26), (9, 23), (73, 20), (585, 17), (4681, 14)), 14, 37450
+MOVES = np.array([op in "MDN=X" for op in CIGAR_OPS] + [False] * 7)
+_TWO = np.array([[ord(BASES[b >> 4]), ord(BASES[b & 15])] for b in range(256)], np.uint8)
+
+
+def _text(data: np.ndarray, sizes: np.ndarray, null: np.ndarray) -> pa.Array:
+    """Strings of these sizes from their bytes."""
+    offsets = np.append(0, np.cumsum(sizes)).astype(np.int32)
+    found = pa.Array.from_buffers(pa.string(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+    return pa.compute.if_else(pa.array(null), pa.scalar(None, pa.string()), found)
+
+
+def decode_records(records: list[bytes], names: list[str], shape: pa.Schema) -> pa.RecordBatch:
+    """Records as a batch of ``schemas.ALIGNMENTS``."""
+    n = len(records)
+    h = np.frombuffer(b"".join(r[:32] for r in records), HEAD)
+    number = {c: h[c].astype(np.int64) for c in HEAD.names}
+    ops_at = 32 + number["n_name"]
+    seq_at = ops_at + 4 * number["n_ops"]
+    packed = (number["n_seq"] + 1) // 2
+    parts = [(r[32 : a - 1], r[a:b], r[b : b + k], r[b + k : b + k + m]) for r, a, b, k, m in zip(records, ops_at.tolist(), seq_at.tolist(), packed.tolist(), h["n_seq"].tolist(), strict=True)]
+    joined = [np.frombuffer(b"".join(p[i] for p in parts), np.uint8) for i in range(4)]
+    qname = _text(joined[0], number["n_name"] - 1, np.array([p[0] == b"*" for p in parts], bool))
+    ops = joined[1].view("<u4").astype(np.int64)
+    of = np.repeat(np.arange(n), number["n_ops"])
+    span = np.bincount(of, np.where(MOVES[ops & 15], ops >> 4, 0), n).astype(np.int64)
+    codes = pa.DictionaryArray.from_arrays(pa.array((ops & 15).astype(np.int8)), pa.array(list(CIGAR_OPS))).cast(pa.string())
+    cigar = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(number["n_ops"])), pa.int32()), pa.StructArray.from_arrays([codes, pa.array(ops >> 4, pa.int32())], ["op", "len"]))
+    # two bases a byte; the last half byte of an odd number is none
+    keep = np.ones(2 * len(joined[2]), bool)
+    odd = number["n_seq"] % 2 == 1
+    keep[2 * np.cumsum(packed)[odd] - 1] = False
+    none = number["n_seq"] == 0
+    seq = _text(_TWO[joined[2]].ravel()[keep], number["n_seq"], none)
+    first = np.append(joined[3], 0)[np.cumsum(number["n_seq"]) - number["n_seq"]]
+    qual = _text(np.where(joined[3] == 0xFF, 33, joined[3] + 33).astype(np.uint8), number["n_seq"], none | (first == 0xFF))
+    # number -1 is no chromosome
+    chrom = lambda i: pa.array(np.array([*names, None], object)[i], pa.string())
+    where = lambda x, null: pa.array(x, mask=null)
+    pos, mate_pos = number["pos"] + 1, number["mate_pos"] + 1
+    columns = [
+        qname, pa.array(number["flag"]), where(number["ref"], number["ref"] < 0), chrom(number["ref"]), where(pos, pos < 1), where(pos + np.maximum(span, 1) - 1, pos < 1), where(number["mapq"], number["mapq"] == 255), cigar,
+        where(number["mate_ref"], number["mate_ref"] < 0), chrom(number["mate_ref"]), where(mate_pos, mate_pos < 1), pa.array(number["tlen"]), seq, qual,
+    ]
+    return pa.RecordBatch.from_arrays([c.cast(t) for c, t in zip(columns, shape.types, strict=True)], schema=shape)
+
+
+def read_index(path: str) -> list[tuple[dict[int, list[tuple[int, int]]], list[int]]]:
+    """For each reference of a ``.bai`` file its bins' chunks (virtual offsets between which records lie) and the first offset of each window."""
     with open(path, "rb") as f:
         data = f.read()
     at, out = 8, []
     for _ in range(struct.unpack_from("<i", data, 4)[0]):
-        chunks = []
-        bins = struct.unpack_from("<i", data, at)[0]
+        bins: dict[int, list[tuple[int, int]]] = {}
+        many = struct.unpack_from("<i", data, at)[0]
         at += 4
-        for _ in range(bins):
+        for _ in range(many):
             number, n = struct.unpack_from("<Ii", data, at)
             at += 8
-            if number != 37450:
-                chunks += [struct.unpack_from("<QQ", data, at + 16 * k) for k in range(n)]
+            if number != NO_RECORDS:
+                bins[number] = [struct.unpack_from("<QQ", data, at + 16 * k) for k in range(n)]
             at += 16 * n
-        at += 4 + 8 * struct.unpack_from("<i", data, at)[0]
-        out.append((min(c[0] for c in chunks), max(c[1] for c in chunks)) if chunks else None)
+        windows = struct.unpack_from("<i", data, at)[0]
+        out.append((bins, list(struct.unpack_from(f"<{windows}Q", data, at + 4))))
+        at += 4 + 8 * windows
+    return out
+
+
+def region_spans(bins: dict[int, list[tuple[int, int]]], windows: list[int], first: int | None = None, last: int | None = None) -> list[tuple[int, int]]:
+    """Spans of virtual offsets, none twice, that hold all records which meet positions first to last (None: to the end)."""
+    low, high = max((first or 1) - 1, 0), (last - 1 if last is not None else (1 << 29) - 1)
+    if high < low:
+        return []
+    wanted = [c for number, chunks in bins.items() for c in chunks if any(base + (low >> bits) <= number <= base + (high >> bits) for base, bits in BINS if base <= number < base + (1 << 29 - bits))]
+    least = windows[min(low >> WINDOW_BITS, len(windows) - 1)] if windows else 0
+    out: list[tuple[int, int]] = []
+    for begin, end in sorted(c for c in wanted if c[1] > least):
+        if out and begin <= out[-1][1]:
+            begin = max(begin, out[-1][1])
+            if (begin >> 16) - (out[-1][0] >> 16) < SPAN_BYTES:
+                out[-1] = out[-1][0], max(end, out[-1][1])
+                continue
+        if begin < end:
+            out.append((begin, end))
     return out
 
 
@@ -130,11 +181,20 @@ class BamReader(DataSourceReader):
         self.path, self.schema = options["path"], schema
         self.header_only = options.get("mode") == "header"
         self.chroms: set[str] | None = None
+        self.first: int | None = None
+        self.last: int | None = None
 
     def pushFilters(self, filters):
         for f in filters:
             if isinstance(f, EqualTo) and f.attribute == ("chrom",):
                 self.chroms = {f.value} if self.chroms is None else self.chroms & {f.value}
+            elif f.__class__ in (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual) and f.attribute in (("pos",), ("end_pos",)):
+                # a record from the bound on, or up to it, meets the positions from there on, or up to there
+                if not isinstance(f, LessThan | LessThanOrEqual):
+                    self.first = max(self.first or 1, f.value + isinstance(f, GreaterThan))
+                if not isinstance(f, GreaterThan | GreaterThanOrEqual):
+                    bound = f.value - isinstance(f, LessThan)
+                    self.last = bound if self.last is None else min(self.last, bound)
             yield f  # Spark checks it again
 
     def partitions(self):
@@ -142,15 +202,18 @@ class BamReader(DataSourceReader):
         if self.header_only or index is None:
             return [Span(self.path, None, None)]
         names = [n for n, _ in read_header(Blocks(self.path))]
-        placed = [(n, s) for n, s in zip(names, read_index(index), strict=True) if s]
-        spans = [Span(self.path, *s) for n, s in placed if self.chroms is None or n in self.chroms]
-        if self.chroms is None:  # records without a place come last
-            spans.append(Span(self.path, max((s[1] for _, s in placed), default=None), None))
+        held = list(zip(names, read_index(index), strict=True))
+        spans = [Span(self.path, *s) for n, own in held if self.chroms is None or n in self.chroms for s in region_spans(*own, self.first, self.last)]
+        if self.chroms is None and self.first is None and self.last is None:  # records without a place come last
+            ends = [c[1] for _, (bins, _) in held for chunks in bins.values() for c in chunks]
+            spans.append(Span(self.path, max(ends, default=None), None))
         return spans
 
     def read(self, span) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        if span is None:  # no span meets the region
+            return
         shape = to_arrow_schema(self.schema)
         blocks = Blocks(span.path)
         header = read_header(blocks)
@@ -161,21 +224,17 @@ class BamReader(DataSourceReader):
         names = [n for n, _ in header]
         if span.begin is not None:
             blocks = Blocks(span.path, span.begin)
-        rows: list[tuple] = []
-
-        def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), shape.types, strict=True)], schema=shape)
-
+        records: list[bytes] = []
         while span.end is None or blocks.tell() < span.end:
             size = blocks.read(4)
             if len(size) < 4:
                 break
-            rows.append(decode_record(blocks.read(struct.unpack("<i", size)[0]), names))
-            if len(rows) >= BATCH:
-                yield batch()
-                rows = []
-        if rows:
-            yield batch()
+            records.append(blocks.read(struct.unpack("<i", size)[0]))
+            if len(records) >= BATCH:
+                yield decode_records(records, names, shape)
+                records = []
+        if records:
+            yield decode_records(records, names, shape)
 
 
 class BamSource(DataSource):
