@@ -65,8 +65,9 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xA0761D6478BD642F), np.ui
 
 def _pair(name: np.ndarray, joins: np.ndarray, salt: np.uint64) -> tuple[np.ndarray, np.ndarray]:
     """A round of pairs: the names after it, and which symbols still begin one; ``joins``: those that may take the next one in."""
-    second = _mix(name + salt) >> np.uint64(63) == 1
-    pair = np.flatnonzero(~second[:-1] & second[1:] & joins[:-1])
+    # names are digests, so the top bit of an odd multiple deals them evenly
+    second = (name * (salt | np.uint64(1))).view(np.int64) < 0
+    pair = np.flatnonzero((second[1:] > second[:-1]) & joins[:-1])
     name = name.copy()
     name[pair] = _mix(name[pair] * _A + name[pair + 1] + salt)
     stays = np.ones(len(name), bool)
@@ -111,17 +112,20 @@ class Words:
         name, at, doc = self.hashes, np.arange(n), self.doc
         least = 2 * self.window
         for turn in range(ROUNDS):
-            if not len(name):
+            # only neighbours of one document that are both short go on
+            open_ = np.diff(at, append=n) < least
+            joins = np.append((doc[:-1] == doc[1:]) & open_[1:] & open_[:-1], False)[: len(at)]
+            if not joins.any():
                 break
             # runs: a symbol and how often it stands there
-            open_ = np.diff(np.append(at, n)) < least
-            new = np.append(True, (name[1:] != name[:-1]) | (doc[1:] != doc[:-1]) | ~open_[1:] | ~open_[:-1])
-            begin = np.flatnonzero(new)
-            times = np.diff(np.append(begin, len(name))).astype(np.uint64)
-            name, at, doc = np.where(times > 1, _mix(name[begin] * _B + times), name[begin]), at[begin], doc[begin]
-            open_ = np.diff(np.append(at, n)) < least
-            joins = np.append((doc[:-1] == doc[1:]) & open_[1:] & open_[:-1], False)
-            name, stays = _pair(name, joins, _C + np.uint64(turn) * _A)
+            same = joins[:-1] & (name[1:] == name[:-1])
+            if same.any():
+                begin = np.flatnonzero(np.append(True, ~same))
+                times = np.diff(begin, append=len(name)).astype(np.uint64)
+                name, at, doc = np.where(times > 1, _mix(name[begin] * _B + times), name[begin]), at[begin], doc[begin]
+                open_ = np.diff(at, append=n) < least
+                joins = np.append((doc[:-1] == doc[1:]) & open_[1:] & open_[:-1], False)
+            name, stays = _pair(name, joins, np.uint64((int(_C) + turn * int(_A)) % (1 << 64)))
             name, at, doc = name[stays], at[stays], doc[stays]
         size = np.diff(np.append(at, n))
         found = size >= least
