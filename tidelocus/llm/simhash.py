@@ -99,9 +99,10 @@ class Forest:
         self.order = np.argsort(parent * 128 + edge, kind="stable")
         self.keys = (parent * 128 + edge)[self.order]
 
-    def links(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (query, node) within the radius, in pieces; each pair of members once."""
-        stack = [(np.arange(len(self.values)), self.root)]
+    def links(self, radius: int, asks: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (query, node) within the radius, in pieces: of members that ask (None: all) and members of smaller value."""
+        ask = np.arange(len(self.values)) if asks is None else np.flatnonzero(asks)
+        stack = [(ask, self.root[ask])]
         while stack:
             query, node = stack.pop()
             if len(query) > FRONTIER:
@@ -109,7 +110,7 @@ class Forest:
                 stack += [(query[:half], node[:half]), (query[half:], node[half:])]
                 continue
             distance = np.bitwise_count(self.values[query] ^ self.values[node]).astype(np.int64)
-            near = (distance <= radius) & (node < query)
+            near = (distance <= radius) & (self.values[node] < self.values[query])
             if near.any():
                 yield query[near], node[near]
             lo = np.searchsorted(self.keys, node * 128 + np.maximum(distance - radius, 0))
@@ -135,19 +136,19 @@ def _stars(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _link(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows (choice, shard, fingerprint), sorted: a star of links for each shard's components."""
+    """Rows (choice, shard, fingerprint, asks), sorted by the first two: a star of links for each shard's components."""
 
-    def search(choice: np.ndarray, shard: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+    def search(choice: np.ndarray, shard: np.ndarray, value: np.ndarray, asks: np.ndarray) -> pa.RecordBatch:
         tag = np.cumsum(np.append(True, (choice[1:] != choice[:-1]) | (shard[1:] != shard[:-1])))
         label = np.arange(len(value))
-        for a, b in Forest(value, tag).links(radius):
+        for a, b in Forest(value, tag).links(radius, asks != 0):
             label = _stars(label, a, b)
         moved = np.flatnonzero(label != np.arange(len(label)))
         return pa.RecordBatch.from_arrays([pa.array(value[moved].view(np.int64)), pa.array(value[label[moved]].view(np.int64))], names=["a", "b"])
 
-    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]
+    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)]
     for batch in batches:
-        new = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)]
+        new = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)]
         held = [np.concatenate([h, x.view(h.dtype)]) for h, x in zip(held, new, strict=True)]
         if len(held[0]) >= CHUNK_ROWS:
             same = (held[0] == held[0][-1]) & (held[1] == held[1][-1])
@@ -187,9 +188,19 @@ def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, hot_shard: int
             pick = F.when(F.col("choice") == i, each).otherwise(pick)
         hot = hot.select("fingerprint", "choice", "shard", F.posexplode(pick).alias("part", "value"))
         hot = hot.select("fingerprint", (F.lit(len(masks)) + F.col("choice") * 64 + F.col("part")).alias("choice"), F.col("shard").bitwiseOR(F.col("value")).alias("shard"))
-        dealt = dealt.join(large, ["choice", "shard"], "left_anti").select("fingerprint", "choice", "shard").unionByName(hot)
-    parts = dealt.repartition("choice", "shard").sortWithinPartitions("choice", "shard")
-    return parts.select(F.col("choice").cast("long"), "shard", "fingerprint").mapInArrow(lambda batches: _link(batches, radius), "a long, b long")
+        # what is still large is asked in several tasks: each gets the whole tree and its share of the queries
+        hot = written(hot, "simhash-hot")
+        still = hot.groupBy("choice", "shard").agg(F.ceil(F.count(F.lit(1)) / hot_shard).alias("pieces")).where("pieces > 1")
+        hot = hot.join(written(still, "simhash-pieces"), ["choice", "shard"], "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+        hot = hot.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)))
+        hot = hot.select("fingerprint", "choice", "shard", "piece", (F.pmod(F.xxhash64("fingerprint"), F.col("pieces")) == F.col("piece")).cast("long").alias("asks"))
+        rest = dealt.join(large, ["choice", "shard"], "left_anti").select("fingerprint", "choice", "shard", F.lit(0).cast("long").alias("piece"), F.lit(1).cast("long").alias("asks"))
+        dealt = rest.unionByName(hot)
+    else:
+        dealt = dealt.select("fingerprint", "choice", "shard", F.lit(0).cast("long").alias("piece"), F.lit(1).cast("long").alias("asks"))
+    group = (F.col("choice").cast("long") * (1 << 40) + F.col("piece")).alias("group")
+    parts = dealt.select(group, "shard", "fingerprint", "asks").repartition("group", "shard").sortWithinPartitions("group", "shard")
+    return parts.mapInArrow(lambda batches: _link(batches, radius), "a long, b long")
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
