@@ -110,7 +110,7 @@ def test_region_scan_by_index(spark, tmp_path, monkeypatch):
     assert 0 < part < whole / 2
 
 
-def test_text_formats(spark, tmp_path):
+def test_text_formats(spark, tmp_path, capsys):
     (tmp_path / "a.bed.gz").write_bytes(gzip.compress(b"c1\t99\t110\tx\n") + gzip.compress(b"c1\t109\t120\ty\nc2\t0\t5\tz\n"))
     assert sorted(tuple(r) for r in text.read_bed(spark, str(tmp_path / "a.bed.gz")).collect()) == [("c1", 100, 110, "x"), ("c1", 110, 120, "y"), ("c2", 1, 5, "z")]
     assert sorted(tuple(r) for r in text.read_regions(spark, str(tmp_path / "a.bed.gz")).collect()) == [("c1", 100, 120), ("c2", 1, 5)]
@@ -123,7 +123,9 @@ def test_text_formats(spark, tmp_path):
     (tmp_path / "t.tsv").write_text("a b\n1 2\n3  4\n")
     assert [(r.row, r.fields) for r in text.read_rows(spark, str(tmp_path / "t.tsv")).collect()] == [(0, ["1", "2"]), (1, ["3", "4"])]
     run = cli.parser().parse_args(["prepare-repeats", str(tmp_path / "r.out"), str(tmp_path / "g.fa"), str(tmp_path / "out.fa"), "-W", "1"])
+    capsys.readouterr()
     cli.run(spark, run)
+    assert capsys.readouterr().out == "AluY\t1\nL1\t1\n2 unique sequences out of 2 scanned; 2 rows left out\n"
     assert sorted(r.seq for r in text.read_fasta(spark, str(tmp_path / "out.fa")).collect()) == ["ACG", "CGTAC"]
 
 

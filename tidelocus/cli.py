@@ -52,8 +52,13 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         for row in repeats.classes(text.read_repeatmasker(spark, args.repeats)).orderBy("class").collect():
             print(row["class"])
     else:
-        found = repeats.prepare_repeats(text.read_repeatmasker(spark, args.repeats), text.read_fasta(spark, args.genome), args.window, args.repeat_class, args.repeat_match)
+        rows = text.read_repeatmasker(spark, args.repeats)
+        found = repeats.prepare_repeats(rows, text.read_fasta(spark, args.genome), args.window, args.repeat_class, args.repeat_match)
         sinks.write_fasta(found, args.output)
+        scanned = repeats.label_counts(repeats.select_repeats(rows, args.repeat_class, args.repeat_match)).orderBy("label").collect()
+        for row in scanned:
+            print(f"{row['label']}\t{row['n']}")
+        print(f"{text.read_fasta(spark, args.output).count()} unique sequences out of {sum(r['n'] for r in scanned)} scanned; {text.bad_rows(spark, args.repeats).count()} rows left out")
 
 
 def main(argv: list[str] | None = None) -> None:
