@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import add_columns, keeps_columns, written
+from .shared import add_columns, keeps_columns, tidy, written
 from .textbytes import ALNUM, LOWER, flat, prefix_sums, slices, span_hash, word_hash, word_spans
 
 WINDOW = 10
@@ -71,7 +71,7 @@ def windows_of(benchmark: DataFrame, window: int) -> DataFrame:
                 words = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(hashes[place].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("name").take(pa.array(of)), pa.array(text), pa.array(long), words], names=["name", "win", "size", "words"])
 
-    found = rows.mapInArrow(cut, "name string, win string, size long, words array<long>")
+    found = rows.mapInArrow(tidy(cut), "name string, win string, size long, words array<long>")
     return found.groupBy("win", "size", "words").agg(F.array_sort(F.collect_set("name")).alias("items"))
 
 
@@ -87,7 +87,7 @@ def _bits(words: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
 
     bits = np.zeros(1 << FILTER_BITS >> 3, np.uint8)
-    for row in words.coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
+    for row in words.coalesce(8).mapInArrow(tidy(run), "bits binary").toLocalIterator():
         bits |= np.frombuffer(row["bits"], np.uint8)
     return bits
 
@@ -118,7 +118,7 @@ def _count(documents: DataFrame, bits: np.ndarray) -> DataFrame:
             word, of = np.unique(np.concatenate(held), return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(np.bincount(of, np.concatenate(counts)).astype(np.int64))], names=["word", "n"])
 
-    return documents.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return documents.select("text").mapInArrow(tidy(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _with_prefix(windows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -201,7 +201,7 @@ def _joined(documents: DataFrame, windows: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("content").take(pa.array(doc)), pa.array(hashes[at].view(np.int64)), pa.array(at - first[doc]), pa.array(at - lo), pa.array(hi - lo), pa.array(around, pa.string())], names=["content", "prefix", "at", "before", "held", "around"])
 
     texts = documents.select("text", F.unhex(F.sha2("text", 256)).alias("content"))
-    found = texts.mapInArrow(places, "content binary, prefix long, at long, before long, held long, around string").join(windows, "prefix")
+    found = texts.mapInArrow(tidy(places), "content binary, prefix long, at long, before long, held long, around string").join(windows, "prefix")
     fits = (F.col("shift") <= F.col("before")) & (F.col("before") - F.col("shift") + F.col("size") <= F.col("held"))
     own = F.array_join(F.slice(F.split("around", " "), (F.col("before") - F.col("shift") + 1).cast("int"), F.col("size").cast("int")), " ")
     return found.where(fits).where(own == F.col("win")).select("content", (F.col("at") - F.col("shift")).alias("first"), "size", "items").distinct()

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import add_columns, forget, keeps_columns, written
+from .shared import add_columns, forget, keeps_columns, tidy, written
 from .textbytes import NOT_BLANK, _mix, flat, prefix_sums, span_hash, word_hash, word_spans
 
 #: What of a text is measured.
@@ -131,7 +131,7 @@ def _summed(rows: DataFrame, size: int, terms) -> np.ndarray:
     def unpack(batch: pa.RecordBatch) -> np.ndarray:
         return sum(np.frombuffer(x.as_buffer()) for x in batch.column(0))
 
-    parts = rows.mapInArrow(lambda b: total(b, terms), "part binary").repartition(PARTS).mapInArrow(lambda b: total(b, unpack), "part binary")
+    parts = rows.mapInArrow(tidy(lambda b: total(b, terms)), "part binary").repartition(PARTS).mapInArrow(tidy(lambda b: total(b, unpack)), "part binary")
     return sum((np.frombuffer(bytes(r["part"])) for r in parts.collect()), np.zeros(size))
 
 

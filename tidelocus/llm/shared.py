@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 from functools import wraps
 
@@ -52,6 +53,24 @@ def _delete_all() -> None:
             _delete(path)
 
 
+def tidy(run: Callable) -> Callable:
+    """A task's function of batches that at its end gives the memory it has freed back to the system.
+
+    Python workers live on between tasks, beside the executor's JVM, and the C library else keeps what numpy has freed.
+    """
+
+    @wraps(run)
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # another C library
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return task
+
+
 def add_columns(df: DataFrame, ddl: str, make: Callable, text: str | None = "text", limit: int = SLICE_BYTES) -> DataFrame:
     """``df`` with further columns that ``make(batch) -> [arrays]`` computes from slices of rows.
 
@@ -70,7 +89,7 @@ def add_columns(df: DataFrame, ddl: str, make: Callable, text: str | None = "tex
         for batch in slices(batches, text, limit) if text else batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, *make(batch)], names=names)
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(tidy(run), schema)
 
 
 def shielded(df: DataFrame, *open_names: str, new: tuple[str, ...] = ()) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import add_columns, forget, keeps_columns, written
+from .shared import add_columns, forget, keeps_columns, tidy, written
 from .textbytes import LOWER, NOT_BLANK, flat, gather, word_spans
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
@@ -200,7 +200,7 @@ def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, hot_shard: int
         dealt = dealt.select("fingerprint", "choice", "shard", F.lit(0).cast("long").alias("piece"), F.lit(1).cast("long").alias("asks"))
     group = (F.col("choice").cast("long") * (1 << 40) + F.col("piece")).alias("group")
     parts = dealt.select(group, "shard", "fingerprint", "asks").repartition("group", "shard").sortWithinPartitions("group", "shard")
-    return parts.mapInArrow(lambda batches: _link(batches, radius), "a long, b long")
+    return parts.mapInArrow(tidy(lambda batches: _link(batches, radius)), "a long, b long")
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
