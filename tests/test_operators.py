@@ -1,4 +1,7 @@
-"""Operators against golden values and brute force."""
+"""Operators against golden values and brute force.
+
+Golden inputs and expected results are fixed values: results have to equal them.
+"""
 
 import math
 import random
