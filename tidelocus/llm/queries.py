@@ -123,6 +123,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, _table(spark, sf_dir, "labels"))).select("doc_id", "severity", "grade", "toxic")
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document, read back from the files: ids before it, its ids with the end id, and their checksum."""
+    import public_tokenizers
+
+    from ..scratch import folder
+    from .token_files import add_starts, checksums, write_ids
+
+    path = folder(spark, "token-files")
+    write_ids(_table(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER), 2)
+    return add_starts(checksums(spark, path), spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_chat": op2_chat,
@@ -134,6 +146,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring": op8_substring,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op13_token_files": op13_token_files,
 }
 _CONTROL = r"(?:</?s>|\[/?INST\]|\[/?SYS\]|\[ANS\]|\[/?ROLE\]|\[\|\])"
 ORACLES: dict[str, str] = {
