@@ -123,6 +123,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, _table(spark, sf_dir, "labels"))).select("doc_id", "severity", "grade", "toxic")
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per frequent word: its form, its root, its count, how many words are near it, and the form's count."""
+    from .variants import group_variants
+
+    return group_variants(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document, read back from the files: ids before it, its ids with the end id, and their checksum."""
     import public_tokenizers
@@ -146,6 +153,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring": op8_substring,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op12_spelling": op12_spelling,
     "op13_token_files": op13_token_files,
 }
 _CONTROL = r"(?:</?s>|\[/?INST\]|\[/?SYS\]|\[ANS\]|\[/?ROLE\]|\[\|\])"
