@@ -123,6 +123,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, _table(spark, sf_dir, "labels"))).select("doc_id", "severity", "grade", "toxic")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's best 2000 phrases of two to four words."""
+    from .collocations import collocations
+
+    return collocations(_table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per frequent word: its form, its root, its count, how many words are near it, and the form's count."""
     from .variants import group_variants
@@ -153,6 +160,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring": op8_substring,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op11_collocations": op11_collocations,
     "op12_spelling": op12_spelling,
     "op13_token_files": op13_token_files,
 }
