@@ -57,6 +57,58 @@ def test_bam_and_commands(spark, tmp_path):
     assert list(json.loads(spark.read.text(str(tmp_path / "info")).first().value)) == ["bam", "cov", "read_length", "insert_size_mean", "insert_size_sd"]
 
 
+def packed_in(path, data, cuts):
+    """A BAM file whose blocks end at these places of ``data``."""
+    edges = [0, *sorted(set(cuts) - {0, len(data)}), len(data)]
+    path.write_bytes(b"".join(block(data[a:b]) for a, b in zip(edges, edges[1:], strict=False)) + block(b""))
+
+
+def header_of(chroms):
+    return b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", len(chroms)) + b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", s) for n, s in chroms)
+
+
+def test_chunk_ends_at_the_next_block(spark, tmp_path):
+    """A block for each chromosome, an empty block between; chunks end where the next block begins."""
+    chroms = [("c1", 1000), ("c2", 1000)]
+    made = [b"".join(record(f"r{c}{i}", 0, c, 10 + i, 60, [("M", 4)], (-1, 0), "ACGT", "FFFF") for i in range(5)) for c in (0, 1)]
+    for gap in (b"", block(b"")):
+        parts = [block(header_of(chroms)), block(made[0]) + gap, block(made[1]), block(b"")]
+        (tmp_path / "x.bam").write_bytes(b"".join(parts))
+        at = [sum(map(len, parts[:i])) << 16 for i in range(4)]
+        places = [(c, 10 + i, 13 + i) for c in (0, 1) for i in range(5)]
+        index(tmp_path / "x.bam.bai", [places[0], places[5]], [(at[1], at[2]), (at[2], at[3])], 2)
+        binary.register(spark)
+        got = spark.read.format("bam").load(str(tmp_path / "x.bam"))
+        assert sorted(r.qname for r in got.collect()) == sorted(f"r{c}{i}" for c in (0, 1) for i in range(5)) and got.count() == 10
+        assert got.where("chrom = 'c1'").count() == got.where("chrom = 'c2'").count() == 5
+
+
+def test_ranges_without_index(spark, tmp_path):
+    """Blocks that end between records, inside them, anywhere; every record once, however the file is split."""
+    rng = random.Random(11)
+    chroms = [("c1", 100_000), ("c2", 5_000)]
+    made = []
+    for i in range(700):
+        n = rng.choice([1, 9, 30, 31, 700 if i % 50 == 0 else 20])
+        ref = rng.choice([-1, 0, 0, 1])
+        seq = "".join(rng.choices("ACGT", k=n))
+        made.append(record(f"q{i}", 0 if ref >= 0 else 4, ref, rng.randint(1, 4000) if ref >= 0 else 0, 40, [("M", n)], (-1, 0), seq, None if i % 3 else "".join(rng.choices("!5F", k=n))))
+    head, data = header_of(chroms), b"".join(made)
+    ends = [len(head) + sum(map(len, made[:i])) for i in range(len(made) + 1)]
+    whole = head + data
+    shapes = {"between": ends[::9], "inside": [e + 7 for e in ends[::11]], "anywhere": rng.sample(range(len(whole)), 150), "small": [*range(0, len(whole), 97)]}
+    binary.register(spark)
+    for name, cuts in shapes.items():
+        packed_in(tmp_path / f"{name}.bam", whole, [c for c in cuts if c < len(whole)])
+        for span in (60, 700, 5000, 1 << 20):
+            got = spark.read.format("bam").option("span", span).load(str(tmp_path / f"{name}.bam"))
+            assert sorted(r.qname for r in got.select("qname").collect()) == sorted(f"q{i}" for i in range(700)), (name, span)
+            if span == 700:
+                assert got.rdd.getNumPartitions() > 10
+    got = spark.read.format("bam").option("span", 900).load(f"file://{tmp_path}")
+    assert got.count() == 4 * 700
+
+
 def bin_of(begin, end):
     """The smallest bin that holds a range (0-based, half-open)."""
     for base, bits in reversed(binary.BINS):

@@ -1,14 +1,18 @@
-"""Python data sources for BAM and FASTQ, for paths that executors can open.
+"""Python data sources for BAM and FASTQ.
+
+Paths are plain ones that executors can open, or addresses (``scheme://...``) of a file system that Arrow knows; a folder stands for its files.
 
 BAM files are blocks of gzip members.  Where an index (``.bai``) lies beside the file, its chunks are dealt into partitions of about
-``SPAN_BYTES``, and filters on ``chrom`` and on bounds of ``pos`` and ``end_pos`` choose the chunks whose bins a region meets;
-otherwise the file is one partition.  Records stream through in Arrow batches, decoded a batch at once.
+``SPAN_BYTES``, and filters on ``chrom`` and on bounds of ``pos`` and ``end_pos`` choose the chunks whose bins a region meets.
+Without an index, and for the records without a place at the end, partitions are ranges of about as many bytes (option ``span``): a task finds the
+first block in its range, and in its contents the first record, which a chain of records after it has to prove.  A record belongs to
+the range in which its first block begins.  Records stream through in Arrow batches, decoded a batch at once.
 """
 
 from __future__ import annotations
 
 import gzip
-import os
+import io
 import struct
 import zlib
 from collections.abc import Iterator
@@ -16,6 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
@@ -24,13 +29,71 @@ from .. import schemas
 BATCH, SPAN_BYTES = 2048, 32 << 20
 #: Fixed values of the format: CIGAR operations and base codes.
 CIGAR_OPS, BASES = "MIDNSHP=X", "=ACMGRSVTWYHKDBN"
+#: Fixed values of the format: the first bytes of a block, a block's header as is usual, and a record's size and first fields.
+MAGIC, HEADER, RECORD = b"\x1f\x8b\x08\x04", 18, "<iiiBBHHHiiii"
+#: Blocks that prove a block's begin, and records that prove a record's.
+LINKS, CHAIN = 4, 12
+
+
+def open_file(path: str):
+    """A file to read, wherever it lies."""
+    if "://" in path:
+        system, place = fs.FileSystem.from_uri(path)
+        return system.open_input_file(place)
+    return open(path, "rb")
+
+
+def size_of(path: str) -> int | None:
+    """The file's size; None where there is none."""
+    system, place = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    info = system.get_file_info(place)
+    return info.size if info.type == fs.FileType.File else None
+
+
+def files_of(path: str, ending: str = "") -> list[str]:
+    """The path, or the files with this ending in a folder, in order of names."""
+    system, place = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    if system.get_file_info(place).type != fs.FileType.Directory:
+        return [path]
+    names = sorted(f.base_name for f in system.get_file_info(fs.FileSelector(place)) if f.type == fs.FileType.File)
+    return [f"{path.rstrip('/')}/{n}" for n in names if n[0] not in "._" and n.endswith(ending)]
+
+
+def block_size(head: bytes) -> int:
+    """The size of the block that begins with these bytes (a whole header), or 0 where none begins."""
+    if len(head) < 18 or head[:4] != MAGIC:
+        return 0
+    end, at = 12 + struct.unpack_from("<H", head, 10)[0], 12
+    while at + 4 <= min(end, len(head)):
+        n = struct.unpack_from("<H", head, at + 2)[0]
+        if head[at : at + 2] == b"BC" and n == 2 and at + 6 <= len(head):
+            return struct.unpack_from("<H", head, at + 4)[0] + 1
+        at += 4 + n
+    return 0
+
+
+def first_block(file, at: int, size: int) -> int:
+    """Where the first block from ``at`` on begins, proven by the blocks after it; ``size``, the file's, where there is none."""
+    file.seek(at)
+    window = file.read(6 << 16)  # a block has 2 ** 16 bytes at most
+    place = window.find(MAGIC)
+    while place >= 0:
+        here, links = place, 0
+        while links < LINKS and (step := block_size(window[here : here + HEADER])):
+            here, links = here + step, links + 1
+            if at + here == size or here + HEADER > len(window):
+                break
+        if links and (links == LINKS or at + here == size or here + HEADER > len(window)):
+            return at + place
+        place = window.find(MAGIC, place + 1)
+    return size
 
 
 class Blocks:
     """The uncompressed stream of a BGZF file from a virtual offset on."""
 
     def __init__(self, path: str, at: int = 0):
-        self.file = open(path, "rb")
+        self.file = open_file(path)
         self.file.seek(at >> 16)
         self.data, self.place, self.block = b"", 0, at >> 16
         self._more()
@@ -40,19 +103,20 @@ class Blocks:
         self.block = self.file.tell()
         head = self.file.read(12)
         if len(head) < 12:
+            self.data, self.place = b"", 0
             return False
         extra = self.file.read(struct.unpack("<H", head[10:12])[0])
-        size, at = 0, 0
-        while at < len(extra):
-            tag, n = extra[at : at + 2], struct.unpack("<H", extra[at + 2 : at + 4])[0]
-            if tag == b"BC":
-                size = struct.unpack("<H", extra[at + 4 : at + 6])[0] + 1
-            at += 4 + n
+        size = block_size(head + extra)
+        if not size:
+            raise ValueError(f"no block at byte {self.block}")
         body = self.file.read(size - 12 - len(extra))
         self.data, self.place = zlib.decompress(body[:-8], -15), 0
         return True
 
     def tell(self) -> int:
+        """The virtual offset of the next byte: behind a used-up block it is the begin of the next one that holds any."""
+        while self.place >= len(self.data) and self._more():
+            pass
         return self.block << 16 | self.place
 
     def read(self, n: int) -> bytes:
@@ -66,6 +130,62 @@ class Blocks:
         return out
 
 
+def first_record(path: str, block: int, chroms: list[tuple[str, int]]) -> int | None:
+    """The virtual offset of the first record that begins in this block or after it; None where there is none.
+
+    A place counts where it and ``CHAIN`` records after it, or all up to the file's end, have possible sizes, chromosomes, places and names.
+    """
+    blocks = Blocks(path, block << 16)
+    lengths = np.array([n for _, n in chroms] + [0], np.int64)
+    data, bounds, ended = bytearray(), [], False  # bounds: (first byte in data, block)
+
+    def more() -> None:
+        nonlocal ended
+        while blocks.place >= len(blocks.data) and not ended:
+            ended = not blocks._more()
+        if not ended:
+            bounds.append((len(data), blocks.block))
+            data.extend(blocks.data)
+            blocks.place = len(blocks.data)
+
+    def chained(at: int) -> bool | None:
+        """Whether records follow each other from here; None: more bytes are needed."""
+        for _ in range(CHAIN):
+            if at == len(data) and ended:
+                return True
+            if at + 36 > len(data):
+                return False if ended else None
+            size, ref, pos, n_name, _, _, n_ops, _, n_seq, mate, mate_pos, _ = struct.unpack_from(RECORD, data, at)
+            if not (-1 <= ref < len(chroms) and -1 <= mate < len(chroms) and -1 <= pos <= lengths[ref] and -1 <= mate_pos <= lengths[mate] and n_name > 0 and n_seq >= 0):
+                return False
+            if size < 32 + n_name + 4 * n_ops + (n_seq + 1) // 2 + n_seq:
+                return False
+            if at + 36 + n_name > len(data):
+                return False if ended else None
+            name = data[at + 36 : at + 36 + n_name]
+            if name[-1] or not all(0x21 <= c <= 0x7E for c in name[:-1]):
+                return False
+            at += 4 + size
+        return True
+
+    at = 0
+    more()
+    while True:
+        found = chained(at)
+        while found is None:
+            more()
+            found = chained(at)
+        if at >= len(data):
+            if ended:
+                return None
+            more()
+            continue
+        if found:
+            base, own = max(x for x in bounds if x[0] <= at)
+            return own << 16 | at - base
+        at += 1
+
+
 def read_header(blocks: Blocks) -> list[tuple[str, int]]:
     """Names and lengths of the reference sequences."""
     magic, n = struct.unpack("<4si", blocks.read(8))
@@ -131,7 +251,7 @@ def decode_records(records: list[bytes], names: list[str], shape: pa.Schema) ->
 
 def read_index(path: str) -> list[tuple[dict[int, list[tuple[int, int]]], list[int]]]:
     """For each reference of a ``.bai`` file its bins' chunks (virtual offsets between which records lie) and the first offset of each window."""
-    with open(path, "rb") as f:
+    with open_file(path) as f:
         data = f.read()
     at, out = 8, []
     for _ in range(struct.unpack_from("<i", data, 4)[0]):
@@ -170,16 +290,25 @@ def region_spans(bins: dict[int, list[tuple[int, int]]], windows: list[int], fir
 
 
 class Span(InputPartition):
-    """Records of a file between two virtual offsets."""
+    """Records of a file between two virtual offsets; ``begin`` None: from the first that begins in a block from byte ``low`` on."""
+
+    def __init__(self, path: str, begin: int | None, end: int | None, low: int = 0):
+        self.path, self.begin, self.end, self.low = path, begin, end, low
 
-    def __init__(self, path: str, begin: int | None, end: int | None):
-        self.path, self.begin, self.end = path, begin, end
+
+def byte_spans(path: str, begin: int, step: int) -> list[Span]:
+    """The rest of a file, from a virtual offset at which a record begins, in ranges of bytes."""
+    size, low = size_of(path), begin >> 16
+    edges = [*range(low, size, step)][1:]
+    ends = [e << 16 for e in edges] + [None]
+    return [Span(path, begin, ends[0])] + [Span(path, None, end, e) for e, end in zip(edges, ends[1:], strict=True)]
 
 
 class BamReader(DataSourceReader):
     def __init__(self, options, schema):
         self.path, self.schema = options["path"], schema
         self.header_only = options.get("mode") == "header"
+        self.step = int(options.get("span", SPAN_BYTES))
         self.chroms: set[str] | None = None
         self.first: int | None = None
         self.last: int | None = None
@@ -198,15 +327,21 @@ class BamReader(DataSourceReader):
             yield f  # Spark checks it again
 
     def partitions(self):
-        index = next((p for p in (f"{self.path}.bai", self.path.removesuffix(".bam") + ".bai") if os.path.exists(p)), None)
-        if self.header_only or index is None:
-            return [Span(self.path, None, None)]
-        names = [n for n, _ in read_header(Blocks(self.path))]
+        if self.header_only:
+            return [Span(p, None, None) for p in files_of(self.path, ".bam")[:1]]
+        return [s for p in files_of(self.path, ".bam") for s in self._spans(p)]
+
+    def _spans(self, path: str) -> list[Span]:
+        blocks = Blocks(path)
+        names, start = [n for n, _ in read_header(blocks)], blocks.tell()
+        index = next((p for p in (f"{path}.bai", path.removesuffix(".bam") + ".bai") if size_of(p) is not None), None)
+        if index is None:
+            return byte_spans(path, start, self.step)
         held = list(zip(names, read_index(index), strict=True))
-        spans = [Span(self.path, *s) for n, own in held if self.chroms is None or n in self.chroms for s in region_spans(*own, self.first, self.last)]
+        spans = [Span(path, *s) for n, own in held if self.chroms is None or n in self.chroms for s in region_spans(*own, self.first, self.last)]
         if self.chroms is None and self.first is None and self.last is None:  # records without a place come last
             ends = [c[1] for _, (bins, _) in held for chunks in bins.values() for c in chunks]
-            spans.append(Span(self.path, max(ends, default=None), None))
+            spans += byte_spans(path, max(ends, default=start), self.step)
         return spans
 
     def read(self, span) -> Iterator[pa.RecordBatch]:
@@ -215,15 +350,19 @@ class BamReader(DataSourceReader):
         if span is None:  # no span meets the region
             return
         shape = to_arrow_schema(self.schema)
-        blocks = Blocks(span.path)
-        header = read_header(blocks)
+        header = read_header(Blocks(span.path))
         if self.header_only:
             rows = [(i, n, size) for i, (n, size) in enumerate(header)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), shape.types, strict=True)], schema=shape)
             return
-        names = [n for n, _ in header]
-        if span.begin is not None:
-            blocks = Blocks(span.path, span.begin)
+        names, begin = [n for n, _ in header], span.begin
+        if begin is None:
+            size = size_of(span.path)
+            block = first_block(open_file(span.path), span.low, size)
+            begin = first_record(span.path, block, header) if block < size else None
+            if begin is None or (span.end is not None and begin >= span.end):  # no record begins in this range
+                return
+        blocks = Blocks(span.path, begin)
         records: list[bytes] = []
         while span.end is None or blocks.tell() < span.end:
             size = blocks.read(4)
@@ -256,11 +395,11 @@ class FastqReader(DataSourceReader):
         self.path = options["path"]
 
     def partitions(self):
-        found = [os.path.join(self.path, x) for x in sorted(os.listdir(self.path)) if x[0] not in "._"] if os.path.isdir(self.path) else [self.path]
-        return [Span(p, None, None) for p in found]
+        return [Span(p, None, None) for p in files_of(self.path)]
 
     def read(self, span) -> Iterator[tuple]:
-        with (gzip.open if span.path.endswith(".gz") else open)(span.path, "rt") as f:
+        raw = open_file(span.path)
+        with io.TextIOWrapper(gzip.open(raw) if span.path.endswith(".gz") else raw) as f:
             while head := f.readline():
                 seq, plus, qual = (f.readline().rstrip("\n") for _ in range(3))
                 if head[0] != "@" or plus[:1] != "+":
