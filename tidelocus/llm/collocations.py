@@ -32,7 +32,7 @@ from .shared import tidy, written
 from .textbytes import LOWER, flat, slices, word_hash, word_spans
 
 #: Bits of a filter at most (16 MB packed), hashes counted before a task hands them on, words of a shard.
-FILTER_BITS, HASHES, SHARD = 27, 2_000_000, 4_000_000
+FILTER_BITS, HASHES, SHARD = 27, 1_000_000, 1_000_000
 _INSIDE = np.ones(256, bool)
 _INSIDE[[0x20, 0x09, *range(0x0A, 0x0E), *b".,;:!?"]] = False
 _ENDS = np.zeros(256, bool)
