@@ -6,6 +6,7 @@ Golden inputs and expected results are fixed values: results have to equal them.
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,7 +217,7 @@ def test_enclosing_nested(spark):
     rng = random.Random(4)
     rows = sorted({("c", a, a + rng.choice((0, 3, 50, 400, 5000))) for a in rng.choices(range(1, 3000), k=150)})
     df = spark.createDataFrame(rows, "chrom string, first long, last long")
-    got = {(r.first, r.last): (r.parent_first, r.parent_last) for r in intervals.enclosing(df, chunk=256).collect()}
+    got = {(r.first, r.last): (r.parent_first, r.parent_last) for r in intervals.enclosing(df, width=16).collect()}
     for _, a, b in rows:
         outer = [(x, -y) for _, x, y in rows if x <= a and y >= b and (x, y) != (a, b)]
         assert got[a, b] == ((max(outer)[0], -max(outer)[1]) if outer else (None, None))
@@ -234,3 +235,82 @@ def test_long_kmers(spark):
     row = spark.sql(f"select '{seq}' s").select(kmers.pack(F.col("s")).alias("k"), kmers.render(kmers.pack(F.col("s")), 32).alias("t"), kmers.pack(F.lit("A" * 33)).alias("none")).first()
     value = sum("ACGT".index(c) << 2 * (31 - i) for i, c in enumerate(seq))
     assert row.k % (1 << 64) == value and row.t == seq and row.none is None
+
+
+def test_previous_at_least():
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 3, 64, 333):
+        values, groups = rng.integers(0, 40, n), np.sort(rng.integers(0, 6, n))
+        asked = np.flatnonzero(rng.random(n) < 0.7)
+        least = rng.integers(0, 45, len(asked))
+        want = [max((j for j in range(i) if groups[j] == groups[i] and values[j] >= x), default=-1) for i, x in zip(asked.tolist(), least.tolist(), strict=True)]
+        assert intervals.previous_at_least(values, groups, asked, least).tolist() == want
+
+
+def test_enclosing_long_and_in_small_batches(spark):
+    """An interval over everything, nested chains and several chromosomes, a few rows a batch."""
+    rng = random.Random(14)
+    rows = {(c, a, a + rng.choice((0, 7, 90, 2000, 60_000))) for c in "ab" for a in rng.choices(range(1, 4000), k=120)} | {("a", 1, 2_000_000_000)} | {("b", 50 + i, 5000 - i) for i in range(60)}
+    df = spark.createDataFrame(sorted(rows) * 2, "chrom string, first long, last long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {(r.chrom, r.first, r.last): (r.parent_first, r.parent_last) for r in intervals.enclosing(df, width=8).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(rows)
+    for c, a, b in rows:
+        outer = [(x, -y) for d, x, y in rows if d == c and x <= a and y >= b and (x, y) != (a, b)]
+        assert got[c, a, b] == ((max(outer)[0], -max(outer)[1]) if outer else (None, None))
+
+
+def test_deep_overlap(spark):
+    """A bin with most of the rows is split on both sides; pairs are those of all with all."""
+    rng = random.Random(15)
+    left = [("c", a, a + rng.choice((0, 3, 40)), i) for i, a in enumerate(rng.choices(range(1, 60), k=150) + rng.choices(range(1, 9000), k=60))] + [("c", None, 5, 900), ("d", 9, 3, 901), (None, 1, 2, 902)]
+    right = [("c", a, a + rng.choice((0, 2, 30, 700)), i) for i, a in enumerate(rng.choices(range(1, 60), k=90) + rng.choices(range(1, 9000), k=60))] + [("e", 1, 5, 900)]
+    l = spark.createDataFrame(left, "chrom string, first long, last long, i int")
+    r = spark.createDataFrame(right, "chrom string, r_first long, r_last long, j int")
+    want = sorted((i, j) for c, a, b, i in left for e, x, y, j in right if c == e and a is not None and x <= b and y >= a)
+    for deep, pieces in ((10, 25), (40, 4_000_000), (10**6, 5)):
+        got = intervals.deep_overlap_join(l, r, width=64, deep=deep, pieces=pieces)
+        assert got.columns == intervals.overlap_join(l, r, width=64).columns and sorted((x.i, x.j) for x in got.collect()) == want
+    assert intervals.deep_overlap_join(l.limit(0), r, deep=1).count() == 0
+
+
+def test_sorted_pileup(spark):
+    rng = random.Random(16)
+    starts = sorted((rng.choice("ab"), rng.choice(range(1, 300))) for _ in range(400))
+    rows = [(c, a, a + rng.choice((0, 4, 60)), rng.choice("LR"), rng.random() < 0.5) for c, a in starts] + [("z", 5, None, "L", None)]
+    schema = "chrom string, pos long, clip_pos long, side string, mate_in_rep boolean"
+    whole = spark.createDataFrame(rows, schema)
+    want = sorted(map(tuple, reads.pileup(whole).collect()))
+    # contiguous parts, as a sorted file has; and one part
+    for parts in (1, 6):
+        split = spark.createDataFrame(spark.sparkContext.parallelize(rows, parts), schema)
+        got = reads.sorted_pileup(split)
+        assert got.columns == reads.pileup(whole).columns and sorted(map(tuple, got.collect())) == want
+    assert reads.sorted_pileup(whole.limit(0)).count() == 0
+    for bad in ([("a", 9, 9, "L", False), ("a", 8, 8, "L", False)], [("a", 9, 9, "L", False), ("b", 1, 1, "L", False), ("a", 9, 9, "L", False)]):
+        with pytest.raises(Exception, match="aren't sorted"):
+            reads.sorted_pileup(spark.createDataFrame(spark.sparkContext.parallelize(bad, 1), schema))
+
+
+def test_shuffled(spark):
+    df = spark.range(0, 3000, 3).withColumnRenamed("id", "event_id")
+    got = {r.event_id: r.place for r in permutation.shuffled(df, "event_id", 5, 16).collect()}
+    assert sorted(got.values()) == list(range(1000)) and got == {r.event_id: r.place for r in permutation.shuffled(df.repartition(3), "event_id", 5).collect()}
+    assert got != {r.event_id: r.place for r in permutation.shuffled(df, "event_id", 6).collect()} and [got[i] for i in range(0, 30, 3)] != sorted(got[i] for i in range(0, 30, 3))
+
+
+def test_kmeans_fit(spark):
+    rng = np.random.default_rng(17)
+    x = np.concatenate([rng.normal(m, 0.1, (30, 3)) for m in (0, 5, 9)])
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, v array<double>")
+    centres = clusters.seeds(df, "id", "v", 3, 2)
+    assert len(centres) == 3 and all(c in x.tolist() for c in centres) and centres == clusters.seeds(df.repartition(5), "id", "v", 3, 2)
+    out, told = clusters.fit(df, "id", "v", 3, 2)
+    own = np.array(centres)
+    for _ in range(50):
+        near = ((x[:, None] - own) ** 2).sum(2).argmin(1)
+        own = np.array([x[near == c].mean(0) if (near == c).any() else own[c] for c in range(3)])
+    assert [r.cluster for r in out.orderBy("id").collect()] == near.tolist() and len(told) < 50

@@ -174,6 +174,11 @@ def test_text_formats(spark, tmp_path, capsys):
     assert [(r.name, r.seq) for r in text.read_fasta(spark, str(tmp_path / "g.fa")).orderBy("order").collect()] == [("c1", "ACGTAC"), ("c2", "GG")]
     (tmp_path / "t.tsv").write_text("a b\n1 2\n3  4\n")
     assert [(r.row, r.fields) for r in text.read_rows(spark, str(tmp_path / "t.tsv")).collect()] == [(0, ["1", "2"]), (1, ["3", "4"])]
+    (tmp_path / "parts").mkdir()
+    for k in range(4):
+        (tmp_path / "parts" / f"p{k}.tsv").write_text(f"a \"b\nx{k}  \"1\ny{k}\t2,3\n")
+    got = text.read_rows(spark, str(tmp_path / "parts")).orderBy("row").collect()
+    assert sorted(r.fields for r in got) == sorted([f"x{k}", '"1'] if i else [f"y{k}", "2,3"] for k in range(4) for i in (0, 1))
     run = cli.parser().parse_args(["prepare-repeats", str(tmp_path / "r.out"), str(tmp_path / "g.fa"), str(tmp_path / "out.fa"), "-W", "1"])
     capsys.readouterr()
     cli.run(spark, run)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranks import running
+
 ROUNDS, WALKS = 4, 64
 
 
@@ -56,3 +58,13 @@ def permutation(spark: SparkSession, n: int, seed: int) -> DataFrame:
 def shuffled_sample(df: DataFrame, index: str, n: int, k: int, seed: int) -> DataFrame:
     """The k rows whose 0-based ``index`` of 0..n-1 goes to the k smallest places: a sample without replacement."""
     return df.withColumn("place", permuted(F.col(index), n, seed)).where(F.col("place") < k)
+
+
+def shuffled(df: DataFrame, index: str, seed: int, chunks: int = 1 << 14) -> DataFrame:
+    """``df`` with ``place``: its rows' numbers from 0 on in an order drawn by a seeded digest of the integer ``index`` (each once).
+
+    Rows are dealt to ``chunks`` ranges of digests, ordered inside each, and numbered on from the counts of the ranges before.
+    """
+    digest = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(index).cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
+    keyed = df.withColumns({"__all": F.lit(0), "__key": digest})
+    return running(keyed, ["__all"], "__key", {"place": F.lit(1)}, (1 << 60) // chunks, (index,)).drop("__all", "__key")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.functions import array_to_vector
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,28 @@ def centroids(assigned: DataFrame, vector: str) -> DataFrame:
     return parts.groupBy("cluster", "dim").agg(F.avg(F.col("x").cast("double")).alias("mean"))
 
 
+def centroid_rows(assigned: DataFrame, vector: str) -> dict[int, list[float]]:
+    """The means of the clusters that have members; each task adds whole vectors up and hands on one row a cluster."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            if batch.num_rows:
+                own, flat = batch.column(0).to_numpy(), batch.column(1).flatten().to_numpy(zero_copy_only=False)
+                rows = np.column_stack([np.ones(len(own)), flat.reshape(len(own), -1)])
+                for c in np.unique(own).tolist():
+                    sums[c] = sums.get(c, 0) + rows[own == c].sum(0)
+        for c, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([total.tolist()], pa.list_(pa.float64()))], names=["cluster", "sums"])
+
+    parts = assigned.select("cluster", F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, "cluster int, sums array<double>")
+    added = parts.select("cluster", F.posexplode("sums").alias("dim", "x")).groupBy("cluster", "dim").agg(F.sum("x").alias("x"))
+    out: dict[int, dict[int, float]] = {}
+    for r in added.collect():  # clusters times components
+        out.setdefault(r["cluster"], {})[r["dim"]] = r["x"]
+    return {c: [x[i] / x[0] for i in range(1, len(x))] for c, x in out.items()}
+
+
 def running_centroid(vectors: DataFrame, by: str, order: str, vector: str, chunk: int = CHUNK) -> DataFrame:
     """(by, order, dim, mean): the mean of each component over a key's rows so far (``order``: integers, each once in a key)."""
     parts = vectors.select(by, order, F.posexplode(vector).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
@@ -54,14 +78,22 @@ def iterate(vectors: DataFrame, centres: list[list[float]], vector: str, rounds:
         held = assign(vectors, centres, vector)
         told.append(spread_of_distances(held).first().asDict())
         following = [list(c) for c in centres]
-        for r in centroids(held, vector).groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("dim", "mean"))).alias("c")).collect():
-            following[r["cluster"]] = [x["mean"] for x in r["c"]]
+        for cluster, centre in centroid_rows(held, vector).items():
+            following[cluster] = centre
         if following == centres:
             break
         centres = following
     return centres, told
 
 
-def fit(vectors: DataFrame, vector: str, k: int, seed: int = 1, rounds: int = 50) -> KMeansModel:
-    """At most ``rounds`` iterations from random distinct rows, until nothing moves."""
-    return KMeans(k=k, seed=seed, maxIter=rounds, tol=0.0, initMode="random", featuresCol="__v").fit(vectors.select(array_to_vector(F.col(vector).cast("array<double>")).alias("__v")))
+def seeds(vectors: DataFrame, index: str, vector: str, k: int, seed: int) -> list[list[float]]:
+    """The vectors of ``k`` rows drawn by a seeded digest of the integer ``index`` (each once): the k smallest."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(index).cast("string")).cast("binary"))
+    rows = vectors.select(digest.alias("d"), index, F.col(vector).cast("array<double>").alias("v")).orderBy("d", index).limit(k).collect()
+    return [list(r["v"]) for r in rows]
+
+
+def fit(vectors: DataFrame, index: str, vector: str, k: int, seed: int = 1, rounds: int = 50) -> tuple[DataFrame, list[dict]]:
+    """``vectors`` with cluster and distance after at most ``rounds`` rounds from drawn rows, and what each round's distances were."""
+    centres, told = iterate(vectors, seeds(vectors, index, vector, k, seed), vector, rounds)
+    return assign(vectors, centres, vector), told

@@ -10,8 +10,9 @@ repeated intervals are kept, each with its own matches; empty tables give empty
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,13 +36,8 @@ def _level(length: Column, width: int) -> Column:
     return out
 
 
-def overlap_join(left: DataFrame, right: DataFrame, on: str = "chrom", left_range: tuple[str, str] = ("first", "last"), right_range: tuple[str, str] = ("r_first", "r_last"), width: int = BIN, longest: int | None = None) -> DataFrame:
-    """All pairs with equal ``on`` whose ranges share a position; columns of both sides (names differ but for ``on``).
-
-    A range of one position is (pos, pos).  Each pair comes once: from the bin in which it begins.  The left side goes to
-    the levels that the right side uses: a scalar subquery finds them while the query runs (``longest``, a bound
-    on the right ranges' length that the caller knows, replaces it).
-    """
+def _paired(left: DataFrame, right: DataFrame, on: str, left_range: tuple[str, str], right_range: tuple[str, str], width: int, longest: int | None) -> tuple[DataFrame, DataFrame]:
+    """Both sides' rows with the ``__level`` and ``__bin`` in which they meet."""
     a, b = left_range
     c, d = right_range
     fine = lambda x, y: F.col(x).isNotNull() & F.col(y).isNotNull() & (F.col(x) <= F.col(y))
@@ -57,12 +53,81 @@ def overlap_join(left: DataFrame, right: DataFrame, on: str = "chrom", left_rang
     none = F.expr("cast(array() as array<struct<level:int,bin:bigint>>)")
     places = F.flatten(F.array(*[F.when(F.expr(f"__used & {1 << i}") != 0, at_level(i)).otherwise(none) for i in range(LEVELS)]))
     l = left.where(fine(a, b)).withColumn("__used", used).withColumn("__at", F.explode(places))
-    l = l.withColumns({"__level": F.col("__at.level"), "__bin": F.col("__at.bin")}).drop("__at", "__used")
+    return l.withColumns({"__level": F.col("__at.level"), "__bin": F.col("__at.bin")}).drop("__at", "__used"), r
+
+
+def overlap_join(left: DataFrame, right: DataFrame, on: str = "chrom", left_range: tuple[str, str] = ("first", "last"), right_range: tuple[str, str] = ("r_first", "r_last"), width: int = BIN, longest: int | None = None) -> DataFrame:
+    """All pairs with equal ``on`` whose ranges share a position; columns of both sides (names differ but for ``on``).
+
+    A range of one position is (pos, pos).  Each pair comes once: from the bin in which it begins.  The left side goes to
+    the levels that the right side uses: a scalar subquery finds them while the query runs (``longest``, a bound
+    on the right ranges' length that the caller knows, replaces it).
+    """
+    (a, b), (c, d) = left_range, right_range
+    l, r = _paired(left, right, on, left_range, right_range, width, longest)
     meets = (F.col(a) <= F.col(d)) & (F.col(b) >= F.col(c))
     once = F.col("__bin") == F.floor(F.greatest(F.col(a), F.col(c)) / _at_level(width, F.col("__level")))
     return l.join(r, [on, "__level", "__bin"]).where(meets & once).drop("__level", "__bin")
 
 
+def _sweep(left_range: tuple[str, str], right_range: tuple[str, str], width: int, names: list[str], pieces: int) -> Callable[[pa.Table, pa.Table], Iterator[pa.RecordBatch]]:
+    """Pairs of one part of a bin: right ranges in order of their begins, of which each left range meets a run.
+
+    The run goes from the first range that can still be active, by the longest of the part, to the last that begins in time.
+    """
+
+    def run(l: pa.Table, r: pa.Table) -> pa.Table:
+        a, b = (l.column(x).to_numpy() for x in left_range)
+        c, d = (r.column(x).to_numpy() for x in right_range)
+        order = np.argsort(c, kind="stable")
+        c, d = c[order], d[order]
+        size = width * FAN ** int(l.column("__level")[0].as_py())
+        own = int(l.column("__bin")[0].as_py())
+        low = np.searchsorted(c, a - int((d - c).max(initial=0)), "left")
+        many = np.maximum(np.searchsorted(c, b, "right") - low, 0)
+        total = np.cumsum(many)
+        out, at = [], 0
+        while at < len(a):
+            base = total[at - 1] if at else 0
+            end = max(int(np.searchsorted(total, base + pieces, "right")), at + 1)
+            x = np.repeat(np.arange(at, end), many[at:end])
+            y = np.arange(len(x)) + np.repeat(low[at:end] - (total[at:end] - many[at:end] - base), many[at:end])
+            keep = (d[y] >= a[x]) & (np.maximum(a[x], c[y]) // size == own)
+            x, y = pa.array(x[keep]), pa.array(order[y[keep]])
+            columns = {n: l.column(n).take(x) for n in l.column_names} | {n: r.column(n).take(y) for n in r.column_names if n not in l.column_names}
+            out.append(pa.table([columns[n] for n in names], names=names))
+            at = end
+        return pa.concat_tables(out)
+
+    return run
+
+
+def deep_overlap_join(left: DataFrame, right: DataFrame, on: str = "chrom", left_range: tuple[str, str] = ("first", "last"), right_range: tuple[str, str] = ("r_first", "r_last"), width: int = BIN, deep: int = 100_000, pieces: int = 4_000_000) -> DataFrame:
+    """``overlap_join`` for data of very uneven depth.
+
+    A histogram counts each bin's rows of both sides.  A bin with more than ``deep`` of either is split: its left rows into parts by a digest of
+    their columns, its right rows likewise, and every two parts meet in a task by a sorted sweep in place of comparing all with all.  The
+    others take the plain way.  The histogram's hot rows are at most one for ``deep`` rows of input.  Range columns are longs.
+    """
+    (a, b), (c, d) = left_range, right_range
+    keys = [on, "__level", "__bin"]
+    l, r = _paired(left, right, on, left_range, right_range, width, None)
+    count = lambda side, name: side.groupBy(keys).agg(F.count(F.lit(1)).alias(name))
+    both = count(l, "__nl").join(count(r, "__nr"), keys)
+    parts = lambda n: F.ceil(F.col(n) / deep).cast("int")
+    hot = both.where((F.col("__nl") > deep) | (F.col("__nr") > deep)).select(*keys, parts("__nl").alias("__pl"), parts("__nr").alias("__pr"))
+    meets = (F.col(a) <= F.col(d)) & (F.col(b) >= F.col(c))
+    once = F.col("__bin") == F.floor(F.greatest(F.col(a), F.col(c)) / _at_level(width, F.col("__level")))
+    plain = l.join(hot, keys, "left_anti").join(r.join(hot, keys, "left_anti"), keys).where(meets & once).drop("__level", "__bin")
+    own = lambda side, n: F.pmod(F.xxhash64(*side.columns), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    hl = l.join(hot, keys).withColumn("__i", own(l, "__pl")).withColumn("__j", each("__pr")).drop("__pl", "__pr")
+    hr = r.join(hot, keys).withColumn("__j", own(r, "__pr")).withColumn("__i", each("__pl")).drop("__pl", "__pr")
+    part = [*keys, "__i", "__j"]
+    swept = hl.groupBy(part).cogroup(hr.groupBy(part)).applyInArrow(_sweep(left_range, right_range, width, plain.columns, pieces), plain.schema)
+    return plain.unionByName(swept)
+
+
 def stab(points: DataFrame, intervals: DataFrame, on: str = "chrom", pos: str = "pos", width: int = BIN) -> DataFrame:
     """Every interval (first, last) that contains each point; order the result by (first, last) where order matters."""
     renamed = intervals.withColumnsRenamed({"first": "r_first", "last": "r_last"})
@@ -148,41 +213,89 @@ def longest_by_start(intervals: DataFrame, on: str = "chrom") -> DataFrame:
     return distinct.groupBy(on, "first").agg(F.max("last").alias("last"), F.array_sort(F.collect_set("last")).alias("all")).select(on, "first", "last", F.slice("all", F.lit(1), F.size("all") - 1).alias("smaller"))
 
 
+def previous_at_least(values: np.ndarray, groups: np.ndarray, asked: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """For each place ``asked`` the last one before it, in its group, whose value is ``least`` or more (-1: none).
+
+    Groups are numbers that never fall.  A search over levels: each level holds the maxima of pairs of the one below; all
+    places climb together until the pair to their left holds such a value, then go down to its last.
+    """
+    levels = [values]
+    while len(levels[-1]) > 1:
+        top = levels[-1]
+        top = np.append(top, np.iinfo(np.int64).min) if len(top) % 2 else top
+        levels.append(np.maximum(top[::2], top[1::2]))
+    start = np.searchsorted(groups, groups[asked], "left")
+    node, level, found = asked.astype(np.int64), np.zeros(len(asked), np.int64), np.full(len(asked), -1, np.int64)
+    live = np.arange(len(asked))
+    for k in range(len(levels)):
+        # a right child's left brother lies before the place
+        odd = live[(node[live] & 1) == 1]
+        good = odd[levels[k][node[odd] - 1] >= least[odd]]
+        found[good], level[good] = node[good] - 1, k
+        live = live[found[live] < 0]
+        # what is left of the group's begin isn't asked for
+        live = live[(node[live] << k) > start[live]]
+        node[live] >>= 1
+    for k in range(len(levels) - 1, 0, -1):
+        down = np.flatnonzero((found >= 0) & (level == k))
+        right = 2 * found[down] + 1
+        inside = right < len(levels[k - 1])
+        take = np.zeros(len(down), bool)
+        take[inside] = levels[k - 1][right[inside]] >= least[down][inside]
+        found[down], level[down] = np.where(take, right, right - 1), k - 1
+    return np.where(found >= start, found, -1)
+
+
 def _nearest_outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (on, chunk, first, last, own), sorted by them with last falling: each own interval with the nearest that encloses it.
+    """Of (on, level, bin, first, last, outer), sorted by them with last falling: each row that isn't an outer one with the nearest that encloses it.
 
-    The stack holds, with rising begins and falling ends, all that can enclose an interval to come.
+    What can enclose rows of the next batch goes on to it: of the last group the outer rows that end after all later ones.
     """
-    stack: list[tuple[int, int]] = []
-    group = None
+    held: pa.RecordBatch | None = None
     for batch in batches:
-        names, (on, chunk, first, last, own) = batch.schema.names, (c.to_pylist() for c in batch.columns)
-        outer: list[tuple[int | None, int | None]] = []
-        for key, a, b, mine in zip(zip(on, chunk, strict=True), first, last, own, strict=True):
-            if key != group:
-                stack, group = [], key
-            while stack and stack[-1][1] < b:
-                stack.pop()
-            if mine:
-                outer.append(stack[-1] if stack else (None, None))
-            stack.append((a, b))
-        rows = batch.filter(batch.column(4))
-        parents = [pa.array([p[i] for p in outer], pa.int64()) for i in (0, 1)]
-        yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), rows.column(3), *parents], names=[names[0], names[2], names[3], "parent_first", "parent_last"])
-
-
-def enclosing(intervals: DataFrame, on: str = "chrom", chunk: int = CHUNK) -> DataFrame:
+        if not batch.num_rows:
+            continue
+        skip = held.num_rows if held is not None else 0
+        table = pa.Table.from_batches([held, batch] if skip else [batch]).combine_chunks()
+        names, columns = table.schema.names, [table.column(i).combine_chunks() for i in range(6)]
+        keys = [columns[0].dictionary_encode().indices.to_numpy(zero_copy_only=False), *(c.to_numpy() for c in columns[1:3])]
+        first, last, outer = columns[3].to_numpy(), columns[4].to_numpy(), columns[5].to_numpy(zero_copy_only=False)
+        new = np.append(False, np.logical_or.reduce([k[1:] != k[:-1] for k in keys]))
+        groups = np.cumsum(new)
+        values = np.where(outer, last, np.iinfo(np.int64).min)
+        asked = np.flatnonzero(~outer)
+        at = previous_at_least(values, groups, asked, last[asked])
+        none = at < 0
+        parents = [pa.array(x[np.maximum(at, 0)], pa.int64(), mask=none) for x in (first, last)]
+        yield pa.RecordBatch.from_arrays([columns[0].take(pa.array(asked)), pa.array(first[asked]), pa.array(last[asked]), *parents], names=[names[0], names[3], names[4], "parent_first", "parent_last"])
+        begin = int(np.searchsorted(groups, groups[-1], "left"))
+        own = values[begin:]
+        later = np.append(np.maximum.accumulate(own[::-1])[::-1][1:], np.iinfo(np.int64).min)
+        stays = begin + np.flatnonzero(outer[begin:] & (own > later))
+        held = table.take(pa.array(stays)).combine_chunks().to_batches()
+        held = held[0] if held else None
+
+
+def enclosing(intervals: DataFrame, on: str = "chrom", width: int = BIN) -> DataFrame:
     """Each distinct interval with parent_first, parent_last: the nearest that encloses it (null: none).
 
-    The nearest begins last, then ends first.  Intervals go to the chunk of positions in which they begin, and as possible parents to
-    the further chunks that they reach, so a chunk is scanned once, whatever the nesting.
+    The nearest begins last, then ends first.  As a possible parent an interval goes to the bins of its level that it reaches, ``FAN`` + 1 at
+    most; to find its own it asks, in every level, the bin in which it begins.  The nearest of all levels is its parent.
     """
     own = intervals.where("first <= last").select(on, F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last")).distinct()
-    begin = F.floor(F.col("first") / chunk)
-    copies = own.withColumn("chunk", F.explode(F.sequence(begin, F.floor(F.col("last") / chunk)))).withColumn("own", F.col("chunk") == begin)
-    ordered = copies.select(on, "chunk", "first", "last", "own").repartition(on, "chunk").sortWithinPartitions(on, "chunk", "first", F.desc("last"))
+    levelled = own.withColumn("level", _level(F.col("last") - F.col("first") + 1, width).cast("int"))
+    size = _at_level(width, F.col("level"))
+    outer = levelled.withColumn("bin", F.explode(F.sequence(F.floor(F.col("first") / size), F.floor(F.col("last") / size)))).withColumn("outer", F.lit(True))
+    # an interval that encloses another is no shorter, so its level is no lower
+    asks = levelled.withColumn("level", F.explode(F.sequence(F.col("level"), F.lit(LEVELS - 1)))).withColumn("bin", F.floor(F.col("first") / size)).withColumn("outer", F.lit(False))
+    order = [on, "level", "bin", "first", "last", "outer"]
+    both = outer.select(order).unionByName(asks.select(order)).repartition(on, "level", "bin")
+    # an interval asks before its own row as a parent
+    ordered = both.sortWithinPartitions(on, "level", "bin", "first", F.desc("last"), "outer")
     fields = [own.schema[on], *StructType.fromDDL("first long, last long, parent_first long, parent_last long").fields]
-    return ordered.mapInArrow(_nearest_outer, StructType(fields))
+    found = ordered.mapInArrow(_nearest_outer, StructType(fields))
+    best = F.max(F.when(F.col("parent_first").isNotNull(), F.struct("parent_first", (-F.col("parent_last")).alias("less")))).alias("p")
+    return found.groupBy(on, "first", "last").agg(best).select(on, "first", "last", F.col("p.parent_first").alias("parent_first"), (-F.col("p.less")).alias("parent_last"))
 
 
 def interval_text(first: str = "first", last: str = "last") -> Column:

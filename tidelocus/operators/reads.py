@@ -6,10 +6,16 @@ CIGARs give no operations.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .intervals import contained
+from ..scratch import written
+from .intervals import contained, merge
 
 UNMAPPED, FIRST_SEGMENT, SECONDARY, DUPLICATE = 0x4, 0x40, 0x100, 0x400
 LEAST_MAPQ, NEAR, LEAST_READ, LEAST_SUPPORT = 12, 2500, 9, 2
@@ -125,6 +131,76 @@ def pileup(events: DataFrame, pos: str = "clip_pos", least: int = LEAST_SUPPORT)
     return counts.where(F.col("left_count") + F.col("right_count") >= least)
 
 
+def _seams(events: DataFrame, pos: str) -> dict[str, np.ndarray]:
+    """For each chromosome the ranges of positions, flat and ascending, in which events of several partitions can lie.
+
+    One row for each partition and chromosome that it holds reaches the driver.
+    """
+    ranges = events.where(F.col(pos).isNotNull()).groupBy(F.spark_partition_id().alias("part"), "chrom").agg(F.min(pos).alias("first"), F.max(pos).alias("last"))
+    before = Window.partitionBy("chrom").orderBy("first", "last", "part").rowsBetween(Window.unboundedPreceding, -1)
+    # where a range begins inside what the ones before it reach, both meet up to the nearer end
+    met = ranges.withColumn("reach", F.max("last").over(before)).where(F.col("first") <= F.col("reach"))
+    shared = merge(met.select("chrom", "first", F.least("reach", "last").alias("last")))
+    out: dict[str, list[int]] = {}
+    for r in shared.orderBy("chrom", "first").collect():
+        out.setdefault(r["chrom"], []).extend((r["first"], r["last"] + 1))
+    return {k: np.array(v, np.int64) for k, v in out.items()}
+
+
+def sorted_pileup(events: DataFrame, start: str = "pos", pos: str = "clip_pos", least: int = LEAST_SUPPORT) -> DataFrame:
+    """``pileup`` of events in order of chromosome and read start within each partition, without a shuffle of them.
+
+    Each partition is scanned once.  Counts of positions before the current read's start are final in it and leave; an event
+    never lies before its read's start.  Only positions where the ranges of several partitions overlap (the seams) are added
+    up in a shuffle: thin rows of counts.  Rows out of order raise an error.
+    """
+    seams = _seams(events, pos)
+    names = ["chrom", "pos", "left_count", "right_count", "mate_in_rep"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chrom, reached, done = None, None, set()
+        held = np.zeros((0, 4), np.int64)  # position and counts, ascending
+
+        def leave(upto: int | None) -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            n = len(held) if upto is None else int(np.searchsorted(held[:, 0], upto, "left"))
+            gone, held = held[:n], held[n:]
+            if n:
+                edges = seams.get(chrom, np.zeros(0, np.int64))
+                shared = np.searchsorted(edges, gone[:, 0], "right") % 2 == 1
+                yield pa.RecordBatch.from_arrays([pa.array([chrom] * n, pa.string()), *(pa.array(gone[:, k]) for k in range(4)), pa.array(shared)], names=[*names, "shared"])
+
+        for batch in batches:
+            codes = batch.column(0).dictionary_encode()
+            index, dictionary = codes.indices.to_numpy(zero_copy_only=False), codes.dictionary.to_pylist()
+            starts, places = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            side = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5)], 1).astype(np.int64)
+            edges = np.flatnonzero(np.append(True, index[1:] != index[:-1])).tolist() + [len(index)] if len(index) else []
+            for a, b in zip(edges, edges[1:], strict=False):
+                name = dictionary[index[a]]
+                if name != chrom:
+                    yield from leave(None)
+                    if name in done:
+                        raise ValueError(f"events aren't sorted: chromosome {name} comes again")
+                    done.add(name)
+                    chrom, reached = name, starts[a]
+                if starts[a] < reached or (np.diff(starts[a:b]) < 0).any():
+                    raise ValueError(f"events aren't sorted: a start goes back on chromosome {name}")
+                reached = starts[b - 1]
+                where, of = np.unique(np.append(held[:, 0], places[a:b]), return_inverse=True)
+                counts = np.zeros((len(where), 4), np.int64)
+                counts[:, 0] = where
+                np.add.at(counts[:, 1:], of, np.concatenate([held[:, 1:], side[a:b]]))
+                held = counts
+                yield from leave(int(reached))
+        yield from leave(None)
+
+    thin = events.where(F.col("chrom").isNotNull() & F.col(pos).isNotNull()).select("chrom", F.col(start).cast("long"), F.col(pos).cast("long"), F.col("side") == "L", F.col("side") == "R", F.coalesce("mate_in_rep", F.lit(False)))
+    counted = written(thin.toDF("chrom", "start", "pos", "l", "r", "m").mapInArrow(run, "chrom string, pos long, left_count long, right_count long, mate_in_rep long, shared boolean"), "pileup")
+    seam = counted.where("shared").groupBy("chrom", "pos").agg(*[F.sum(c).alias(c) for c in names[2:]])
+    return counted.where("not shared").select(names).unionByName(seam).where(F.col("left_count") + F.col("right_count") >= least)
+
+
 def clip_reads(events: DataFrame) -> DataFrame:
     """``schemas.READS``: the clipped parts of reads of at least nine bases; null where a read has no bases or qualities."""
     name = F.concat_ws("~", "qname", "chrom", F.col("p").cast("string"), "mate_chrom", F.col("mate_pos").cast("string"), "side", "segment")

@@ -97,13 +97,20 @@ def clips_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {_PILE} select chrom, count(*) as n, sum(p)::bigint as sum_pos from pile group by chrom")
 def untyped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same table as untyped rows, one file so that it has one header."""
+    """The same table as untyped rows, in four files with a header each."""
     path = folder(spark, "untyped")
-    sinks.write_tsv(_pile(spark, sf_dir), path, single=True)
+    sinks.write_tsv(_pile(spark, sf_dir).repartition(4), path)
     rows = text.read_rows(spark, path).select(F.col("fields")[0].alias("chrom"), F.col("fields")[1].cast("long").alias("pos"))
     return rows.groupBy("chrom").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("sum_pos"))
 
 
+@query(ORACLES["clip_pileup"])
+def sorted_pileup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pile-up of alignments stored in order of chromosome and start, without a shuffle of their events."""
+    stored = written(alignments(spark, sf_dir).orderBy("chrom", "pos"), "sorted-alignments")
+    return reads.sorted_pileup(reads.clip_events(stored))
+
+
 @query(f"with {_PEAKS} select chrom, pos, max_both from peaks")
 def peaks_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Peaks called from a table of clips and written as one, read again (without deviations, which it rounds)."""

@@ -276,7 +276,7 @@ select a.chrom, cast(a.first as bigint) as first, cast(a.last as bigint) as last
 from d a left join d b on a.chrom = b.chrom and b.first <= a.first and b.last >= a.last and (b.first <> a.first or b.last <> a.last) group by all""")
 def enclosing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest interval that encloses each."""
-    return intervals.enclosing(regions(spark, sf_dir), chunk=256)
+    return intervals.enclosing(regions(spark, sf_dir), width=4)
 
 
 _CHROMS = "chroms as (select n_nationkey as chrom_id, 'chr' || n_nationkey || case when n_nationkey % 8 = 7 then '_alt' else '' end as chrom, cast(n_nationkey * 7 % 25 + 1 as bigint) * 400000 as length from nation)"
@@ -536,10 +536,14 @@ def factor_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factors.encode(table(spark, sf_dir, "events"), "event_type", "event_id").groupBy("event_type", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: More than the ids of events, and close below a power of four.
+_DOMAIN = 16_500_000
+
+
 def _permutation_sql(n: int, seed: int) -> str:
     bits = permutation.half_bits(n)
     mask = (1 << bits) - 1
-    steps = ["s as (select i, i as v from range(%d) t(i))" % n]
+    steps = ["s as (select event_id as i, event_id as v from events)"]
 
     def rounds(source: str, target: str) -> list[str]:
         out = [f"{target}0 as (select i, v, v >> {bits} as l, v & {mask} as r from {source})"]
@@ -558,16 +562,30 @@ def _permutation_sql(n: int, seed: int) -> str:
     return f"with {', '.join(steps)} select i, w as value from {last}e"
 
 
-@query(_permutation_sql(2500, 19))
+@query(_permutation_sql(_DOMAIN, 19).replace("select i, w as value from", "select i as event_id, w as place from"))
 def feistel_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A permutation of 2500 values."""
-    return permutation.permutation(spark, 2500, 19)
+    """Every event's place in a permutation of a domain that holds their ids."""
+    return table(spark, sf_dir, "events").select("event_id", permutation.permuted(F.col("event_id"), _DOMAIN, 19).alias("place"))
 
 
-@query("with o as (" + _permutation_sql(2500, 19) + ") select i as event_id, value as place from o where value < 100")
+@query("with o as (" + _permutation_sql(_DOMAIN, 19) + f") select i as event_id, value as place from o where value < {_DOMAIN // 100}")
 def shuffled_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sample of 100 of 2500 numbers without replacement: those that a permutation puts first."""
-    return permutation.shuffled_sample(spark.range(2500).withColumnRenamed("id", "event_id"), "event_id", 2500, 100, 19)
+    """About a hundredth of the events without replacement: those that the permutation puts first."""
+    return permutation.shuffled_sample(table(spark, sf_dir, "events").select("event_id"), "event_id", _DOMAIN, _DOMAIN // 100, 19)
+
+
+@query("select event_id, user_id, row_number() over (order by cast('0x' || substr(md5('19:' || event_id), 1, 15) as bigint), event_id) - 1 as place from events")
+def shuffled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events in a seeded random order."""
+    return permutation.shuffled(table(spark, sf_dir, "events").select("event_id", "user_id"), "event_id", 19)
+
+
+@query(f"with {_ALN}, {_REGIONS} select a.qname, a.chrom, cast(a.pos as bigint) as pos, cast(a.end_pos as bigint) as end_pos, cast(r.first as bigint) as first, cast(r.last as bigint) as last, r.label from aln a join regions r on a.chrom = r.chrom and a.pos <= r.last and a.end_pos >= r.first")
+def deep_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps of alignments and regions, bins of more than 64 rows split and swept."""
+    own = regions(spark, sf_dir).withColumnsRenamed({"first": "r_first", "last": "r_last"})
+    out = intervals.deep_overlap_join(alignments(spark, sf_dir).select("qname", "chrom", "pos", "end_pos"), own, left_range=("pos", "end_pos"), deep=64)
+    return out.select("qname", "chrom", "pos", "end_pos", F.col("r_first").alias("first"), F.col("r_last").alias("last"), "label")
 
 
 _CENTRES = 8
@@ -618,8 +636,18 @@ def kmeans_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "round int, n long, mean double, deviation double").select("round", "n", F.round("mean", 6).alias("mean"), F.round("deviation", 6).alias("deviation"))
 
 
-@query()
+def _fit_sql(k: int, seed: int, rounds: int) -> str:
+    far = "sqrt(list_sum(list_transform(list_zip(embedding, c), lambda p: (cast(p[1] as double) - p[2]) * (cast(p[1] as double) - p[2]))))"
+    steps = [f"c0 as (select row_number() over (order by md5('{seed}:' || vec_id), vec_id) - 1 as cluster, list_transform(embedding, lambda x: cast(x as double)) as c from embeddings qualify cluster < {k})"]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} as (select vec_id, arg_min(cluster, distance) as cluster, min(distance) as distance from (select vec_id, cluster, {far} as distance from embeddings, c{i}) group by vec_id)")
+        steps.append(f"m{i} as (select cluster, dim, avg(x) as x from (select cluster, generate_subscripts(embedding, 1) as dim, cast(unnest(embedding) as double) as x from a{i} join embeddings using (vec_id)) group by all)")
+        steps.append(f"c{i + 1} as (select cluster, coalesce(n.c, c{i}.c) as c from c{i} left join (select cluster, list(x order by dim) as c from m{i} group by cluster) n using (cluster))")
+    return f"with {', '.join(steps)} select vec_id, cast(cluster as int) as cluster, round(distance, 6) as distance from a{rounds}"
+
+
+@query(_fit_sql(10, 7, 4))
 def kmeans_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes of ten fitted clusters."""
-    model = clusters.fit(table(spark, sf_dir, "embeddings"), "embedding", 10)
-    return spark.createDataFrame([(i, int(n)) for i, n in enumerate(model.summary.clusterSizes)], "cluster int, n long")
+    """Vectors in ten clusters after four rounds from drawn rows."""
+    out, _ = clusters.fit(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 10, 7, 4)
+    return out.select("vec_id", "cluster", F.round("distance", 6).alias("distance"))

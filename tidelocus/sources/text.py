@@ -64,9 +64,10 @@ def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(row, fields): untyped rows, split at blanks, without the header."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("row"), F.trim(F.regexp_replace("value", r"\s+", " ")).alias("v"))
-    return lines.where("row >= 1").select(F.col("row") - 1, F.split("v", " ").alias("fields")).toDF("row", "fields")
+    """(row, fields): untyped rows, split at blanks, without each file's header and empty lines; ``row`` rises through a file."""
+    # the CSV reader leaves out the first line of every file; no line holds the separator
+    lines = spark.read.csv(path, schema="v string", sep="\u0001", header=True, quote="", escape="", enforceSchema=True)
+    return lines.select(F.monotonically_increasing_id().alias("row"), F.split(F.trim(F.regexp_replace("v", r"\s+", " ")), " ").alias("fields"))
 
 
 def read_clips(spark: SparkSession, path: str) -> DataFrame:
