@@ -34,6 +34,8 @@ from .textbytes import ALNUM, LOWER, flat, prefix_sums, slices, span_hash, word_
 WINDOW = 10
 MAX_WINDOWS, MAX_BYTES = 50_000, 16 << 20
 FILTER_BITS = 24
+#: Places around prefix words that are hashed at once.
+PLACES = 500_000
 
 
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -140,9 +142,42 @@ class Index:
         at = np.append(0, np.cumsum(self.sizes))
         self.hashes = span_hash(prefix_sums(words), at[:-1], at[1:])
         rare = words[at[:-1] + self.shift] if len(rows) else words
-        self.order = np.argsort(rare, kind="stable")
-        self.prefixes, self.begin = np.unique(rare[self.order], return_index=True)
-        self.begin = np.append(self.begin, len(rare))
+        self.by_hash = np.argsort(self.hashes, kind="stable")
+        # for each prefix the places and sizes that its windows have around it, ten times ten at most however many they are
+        shapes = np.unique(np.column_stack([rare, self.shift.astype(np.uint64), self.sizes.astype(np.uint64)]), axis=0) if len(rows) else np.zeros((0, 3), np.uint64)
+        self.prefixes, self.begin = np.unique(shapes[:, 0], return_index=True)
+        self.begin = np.append(self.begin, len(shapes))
+        self.shape_shift, self.shape_size = shapes[:, 1].astype(np.int64), shapes[:, 2].astype(np.int64)
+
+    def windows_at(self, sums: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(first word, window, document) where a window's hash stands around its prefix word, a bounded number of places at once."""
+        at = np.minimum(np.searchsorted(self.prefixes, hashes), len(self.prefixes) - 1)
+        places = np.flatnonzero(self.prefixes[at] == hashes)
+        of = at[places]
+        many = self.begin[of + 1] - self.begin[of]
+        doc = np.searchsorted(first, places, "right") - 1
+        total, lo = np.cumsum(many), 0
+        ordered = self.hashes[self.by_hash]
+        while lo < len(places):
+            hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + PLACES, "right")))
+            steps = np.append(0, np.cumsum(many[lo:hi]))
+            shape = np.arange(steps[-1]) + np.repeat(self.begin[of[lo:hi]] - steps[:-1], many[lo:hi])
+            begin = np.repeat(places[lo:hi], many[lo:hi]) - self.shape_shift[shape]
+            size, own = self.shape_size[shape], np.repeat(doc[lo:hi], many[lo:hi])
+            fits = (begin >= first[own]) & (begin + size <= first[own + 1])
+            begin, size, shape, own = begin[fits], size[fits], shape[fits], own[fits]
+            found = span_hash(sums, begin, begin + size)
+            k = np.minimum(np.searchsorted(ordered, found), len(ordered) - 1)
+            # windows of one hash stand together; nearly always there is one
+            live = np.flatnonzero(ordered[k] == found)
+            while len(live):
+                window = self.by_hash[k[live]]
+                same = (self.shift[window] == self.shape_shift[shape[live]]) & (self.sizes[window] == size[live])
+                yield begin[live[same]], window[same], own[live[same]]
+                k[live] += 1
+                live = live[k[live] < len(ordered)]
+                live = live[ordered[k[live]] == found[live]]
+            lo = hi
 
 
 def _spans(hit: np.ndarray, first: np.ndarray) -> list[pa.Array]:
@@ -162,23 +197,13 @@ def _meet(index: Index) -> Callable[[pa.RecordBatch], list[pa.Array]]:
         hit = np.zeros(n + 1, np.int64)
         items: list[set[str]] = [set() for _ in range(docs)]
         if n and len(index.prefixes):
-            at = np.minimum(np.searchsorted(index.prefixes, hashes), len(index.prefixes) - 1)
-            places = np.flatnonzero(index.prefixes[at] == hashes)
-            of = at[places]
-            many = index.begin[of + 1] - index.begin[of]
-            steps = np.append(0, np.cumsum(many))
-            window = index.order[np.arange(steps[-1]) + np.repeat(index.begin[of] - steps[:-1], many)]
-            begin = np.repeat(places, many) - index.shift[window]
-            doc = np.repeat(np.searchsorted(first, places, "right") - 1, many)
-            fits = (begin >= first[doc]) & (begin + index.sizes[window] <= first[doc + 1])
-            begin, window, doc = begin[fits], window[fits], doc[fits]
-            same = span_hash(prefix_sums(hashes), begin, begin + index.sizes[window]) == index.hashes[window]
-            for b, w, d in zip(begin[same].tolist(), window[same].tolist(), doc[same].tolist(), strict=True):
-                size = int(index.sizes[w])
-                if _text(data, starts, ends, b, b + size) == index.texts[w]:
-                    hit[b] += 1
-                    hit[b + size] -= 1
-                    items[d].update(index.items[w])
+            for begin, window, doc in index.windows_at(prefix_sums(hashes), hashes, first):
+                for b, w, d in zip(begin.tolist(), window.tolist(), doc.tolist(), strict=True):
+                    size = int(index.sizes[w])
+                    if _text(data, starts, ends, b, b + size) == index.texts[w]:
+                        hit[b] += 1
+                        hit[b + size] -= 1
+                        items[d].update(index.items[w])
         return [*_spans(hit, first), pa.array([sorted(x) for x in items], pa.list_(pa.string()))]
 
     return make
