@@ -3,13 +3,14 @@ r"""Personal data by weak supervision, in DataFrame functions only.
 Base spans are matches of four patterns with a check each (``BASE``); they always stay.  Pieces between matches
 (``split``) and the matches give their places in code points.
 
-Further candidates (``WIDER``: obfuscated addresses, numbers without a country code, credentials) are voted on by
-four labelers, each 1, 0 or silent (-1):
+Further candidates (``WIDER``) are far wider than what is wanted: names before any kind of ``at`` and ``dot``, any ten digits in groups, any
+key with a value.  Five labelers vote on each, 1, 0 or silent (-1):
 
 * regex: whether the candidate has the strict form of its kind;
-* gazetteer: whether a listed term (top-level domain, exchange, key prefix) stands in it;
-* context: whether cue words stand in the 40 characters before it (silent if not);
-* content: whether its letters and digits vary as such data do.
+* gazetteer: whether a listed term (top-level domain, exchange, key name or prefix) stands in it;
+* context: cue words in the 40 characters before it; words of harmless things right before it count against it (silent without either);
+* content: whether its letters and digits vary as such data do;
+* plainness: against ordinary words, placeholders and digits in sequence (otherwise silent).
 
 Votes are counted over all documents, together with what the classifier sees besides them (``SHAPE``: length, letters and
 digits, quotes, case, what stands before).  Expectation-maximisation estimates from the votes, for each kind, the share of
@@ -43,15 +44,15 @@ BASE = {
 #: A text without this has no match.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 WIDER = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[({] ?(?:at|AT) ?[\])}] ?[A-Za-z0-9-]++(?: ?[\[({] ?(?:dot|DOT) ?[\])}] ?[A-Za-z0-9-]++)++",
-    "phone": r"(?<![0-9+(])(?<![0-9] )\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])",
-    "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential)[\"']? ?[=:] ?[\"']?[A-Za-z0-9_/+.-]{6,}+[\"']?)",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?: ?[\[({] ?(?:at|AT) ?[\])}] ?| at | AT )[A-Za-z0-9-]++(?:(?: ?[\[({] ?(?:dot|DOT) ?[\])}] ?| dot | DOT )[A-Za-z0-9-]++)++",
+    "phone": r"(?<![0-9+(])(?<![0-9][ .-])\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![ .-]?[0-9])",
+    "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|[A-Za-z][A-Za-z0-9_-]{1,30}+[\"']? ?[=:] ?[\"']?[A-Za-z0-9_/+.-]{6,}+[\"']?)",
 }
-WIDER_NEEDS = {"email": r"[\[({] ?(?:at|AT) ?[\])}]", "phone": "[0-9]{3}[ .-][0-9]{4}", "secret": "AKIA|[=:]"}
+WIDER_NEEDS = {"email": r"(?:[\[({] ?| )(?:at|AT)(?: ?[\])}]| )", "phone": "[0-9]{3}[ .-]?[0-9]{4}", "secret": "AKIA|[=:]"}
 STRICT = {
     "email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]* ?[\[({] ?(at|AT) ?[\])}] ?[A-Za-z0-9-]+( ?[\[({] ?(dot|DOT) ?[\])}] ?[A-Za-z0-9-]+)*[A-Za-z]{2}$",
-    "phone": r"^(\([2-9][0-9]{2}\) [2-9]|[2-9][0-9]{2}([.-])[2-9])[0-9]{2}[.-][0-9]{4}$",
-    "secret": r"^AKIA[0-9A-Z]{16}$|[=:] ?[\"']?[A-Za-z0-9_/+.-]{8,}[\"']?$",
+    "phone": r"^(\([2-9][0-9]{2}\) ?[2-9]|[2-9][0-9]{2}([.-])[2-9])[0-9]{2}[.-][0-9]{4}$",
+    "secret": r"^AKIA[0-9A-Z]{16}$|[=:] ?[\"']?(?=[^\"']*[0-9])(?=[^\"']*[A-Za-z])[A-Za-z0-9_/+.-]{8,}[\"']?$",
 }
 #: Terms of the gazetteers.
 TOP_LEVEL = "com org net edu gov mil int info biz io ai app dev de fr es it uk eu nl be ch at pl cz se no fi dk pt ie gr ru ua tr jp cn kr in br mx ar cl ca us au nz za".split()
@@ -60,7 +61,7 @@ KEY_NAMES = "akia password passwd pwd secret token api_key api-key apikey access
 GAZETTEER = {
     "email": f"(?i)(?<![a-z])({'|'.join(TOP_LEVEL)})$",
     "phone": f"^[(]?({'|'.join(TOLL_FREE)})|[^0-9](555)[ .-]",
-    "secret": f"(?i)^({'|'.join(KEY_NAMES)})",
+    "secret": f"(?i)^([a-z0-9]+[_-])*({'|'.join(KEY_NAMES)})[\"']? ?[=:]|^akia",
 }
 #: Cue words before a candidate.
 CUES = {
@@ -68,6 +69,17 @@ CUES = {
     "phone": r"(?i)tel|phone|call|fax|mobil|cell|hotline|whatsapp|appel|llam|anruf|ruf",
     "secret": r"(?i)key|login|auth|credential|access|config|user|env|export|header|bearer|secret|pass",
 }
+#: Words of harmless things right before a candidate, and what reads as ordinary words, placeholders or sequences.
+HARMLESS = {
+    "email": r"(?i)\b(look|meet|arrive|stay|work|hosted|available)\W{1,3}$",
+    "phone": r"(?i)\b(order|part|item|sku|isbn|invoice|serial|version|room|page|ref|no|nr|number|bestellung|artikel|commande|pedido)\W{1,3}$",
+    "secret": r"(?i)\b(see|the|an?|example|docs?|named|called|field|parameter|option|type|say|said|note|der|die|das|le|la|les|el|los)\W{1,3}$",
+}
+PLAIN = {
+    "email": r"(?i)^(look|looks|looked|meet|met|be|is|are|was|were|here|there|available|hosted|found|stay|stays|arrive|arrives|work|works|and|or|the|it|them|us) ",
+    "phone": r"([0-9])(\W?\1){5}|(0123|1234|2345|3456|4567|5678|6789)\)?$",
+    "secret": r"(?i)[=:] ?[\"']?([a-z]+([_.-][a-z]+)*[.-]?|.*(example|changeme|placeholder|your[_-]|xxxx).*|[0-9.:/-]+|(.)\4+)[\"']?$",
+}
 #: What the classifier sees of a candidate besides the votes: (name, pattern of the candidate with one character before it).
 SHAPE = {
     "long": r"^.?.{24}",
@@ -78,7 +90,7 @@ SHAPE = {
     "begins a word": r"^[\s\"'(\[{|]",
 }
 CONTENT = {"email": "[A-Za-z]{2}", "phone": r"([0-9]).*(?!\1)[0-9].*(?!\1)[0-9]", "secret": r"AKIA.*[0-9]|[=:].*[0-9].*[A-Za-z_]|[=:].*[A-Za-z_].*[0-9]"}
-LABELERS = 4
+LABELERS = 5
 EM_ROUNDS, FIT_ROUNDS = 25, 300
 
 
@@ -139,9 +151,9 @@ def _base(text: Column) -> Column:
 
 
 def _votes(kind: str, match: Column, before: Column) -> Column:
-    """The four labelers' votes."""
+    """The five labelers' votes."""
     yes_no = [match.rlike(STRICT[kind]), match.rlike(GAZETTEER[kind])]
-    return F.array(*[x.cast("int") for x in yes_no], F.when(before.rlike(CUES[kind]), 1).otherwise(-1), match.rlike(CONTENT[kind]).cast("int"))
+    return F.array(*[x.cast("int") for x in yes_no], F.when(before.rlike(HARMLESS[kind]), 0).when(before.rlike(CUES[kind]), 1).otherwise(-1), match.rlike(CONTENT[kind]).cast("int"), F.when(match.rlike(PLAIN[kind]), 0).otherwise(-1))
 
 
 def _wider_kind(text: Column, kind: str) -> Column:
