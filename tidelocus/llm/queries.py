@@ -218,5 +218,50 @@ kept as (
 )
 select doc_id, len(w) as n_words, len(w) - coalesce(k.n, 0) as n_removed, sha256(coalesce(k.s, '')) as kept_sha256
 from dw left join kept k using (doc_id)
+""",
+    "op11_collocations": r"""
+with pieces as (
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from (
+    select coalesce(lang, 'und') as lang,
+      unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents)
+), totals as (select lang, cast(sum(len(w)) as bigint) as n from pieces group by 1),
+grams as (select lang, w[i:i + k - 1] as p from (select lang, w, k, unnest(generate_series(1, len(w) - k + 1)) as i from pieces, (values (1), (2), (3), (4)) s(k) where len(w) >= k)),
+f as (select lang, p, count(*) as a from grams group by all having count(*) >= 30),
+c as (select * from f where len(p) > 1),
+cuts as (
+  select c.lang, c.p, c.a, k, x.a as l, y.a as r, cast(2000000::hugeint * c.a // (x.a + y.a) as bigint) as score
+  from (select *, unnest(generate_series(1, len(p) - 1)) as k from c) c join f x on x.lang = c.lang and x.p = c.p[1:k] join f y on y.lang = c.lang and y.p = c.p[k + 1:]
+), best as (select * from cuts qualify row_number() over (partition by lang, p order by score, k) = 1),
+inside as (
+  select lang, p[i:i + s - 1] as p, max(a) as longer from (
+    select lang, p, a, s, unnest(generate_series(1, len(p) - s + 1)) as i from (select lang, p, a, unnest(generate_series(2, len(p) - 1)) as s from c where len(p) > 2)) group by all
+)
+select b.lang, row_number() over (partition by b.lang order by score desc, a desc, array_to_string(b.p, ' ')) as rank, array_to_string(b.p, ' ') as phrase, a, l, r, n, score
+from best b join totals t on t.lang = b.lang left join inside i on i.lang = b.lang and i.p = b.p
+where longer is null or 100::hugeint * longer < 80::hugeint * a qualify rank <= 2000
+""",
+    "op12_spelling": r"""
+with recursive rows as (
+  select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as w from documents
+), runs as (select doc_id, w, count(*) as c, hex(encode(coalesce(cast(doc_id as varchar), '') || ':' || w)) as h from rows group by doc_id, w),
+crc_table as (
+  select list(v order by i) as t from (
+    select i, list_reduce(range(9), lambda v, k: case when k > 0 then case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end else v end, i) as v from (
+      select cast(unnest(range(256)) as bigint) as i))
+), hashed as (
+  select w, c, xor(4294967295, list_reduce(list_transform(range(cast(length(h) // 2 as bigint)), lambda i: cast('0x' || substr(h, cast(2 * i + 1 as bigint), 2) as bigint)),
+    lambda x, b: xor(x >> 8, t[(xor(x, b) & 255) + 1]), 4294967295)) as x from runs, crc_table
+), changed as (select case when x % 199 = 0 then substr(w, 1, x % length(w)) || substr(w, x % length(w) + 2) else w end as word, c from hashed),
+words as (select word, cast(sum(c) as bigint) as n from changed where length(word) >= 6 group by word having sum(c) >= 5),
+cut as (select word, i, substr(word, 1, i - 1) || substr(word, i + 1) as v from (select word, unnest(generate_series(1, length(word))) as i from words)),
+near as (
+  select a.word, b.word as other from cut a join cut b on a.v = b.v and a.i = b.i and a.word <> b.word
+  union select w.word, d.word from words w join cut d on d.v = w.word union select d.word, w.word from words w join cut d on d.v = w.word
+), best as (
+  select x.word, count(*) as n_near, first(other order by y.n desc, other) as form, max(y.n) as form_n from near x join words y on y.word = x.other group by x.word
+), forms as (
+  select w.word, w.n, coalesce(n_near, 0) as n_near, case when form_n >= 5 * w.n then form end as form, case when form_n >= 5 * w.n then form_n end as form_n from words w left join best using (word)
+), chain as (select word, word as root from words union all select c.word, f.form from chain c join forms f on f.word = c.root where f.form is not null)
+select f.word, f.form, c.root, f.n, f.n_near, f.form_n from forms f join chain c on c.word = f.word join forms e on e.word = c.root where e.form is null
 """,
 }
