@@ -3,9 +3,10 @@
 A phrase is frequent if it occurs ``least`` times, and then so are its parts.  Tables of bits keep what can't be frequent out of
 the tries; they have a fixed size, and a bit set by chance only makes more rows.
 
-1. A scan counts words by hash; the hashes of frequent words set bits.  A second one does the same for pairs of such words.
-2. A third scan grows a trie for each shard of a task: level 1 the words of a language, below them up to ``depth`` words whose
-   pairs all have their bits.  It is serialised in sorted order, a row a node with its count, and written.
+1. A scan counts words by hash; the hashes of frequent words set bits.  Further ones do the same for pairs, and up to phrases of
+   ``depth`` - 1 words, whose parts all have their bits.
+2. A last scan grows a trie for each shard of a task: level 1 the words of a language, below them phrases that have their bits.
+   It is serialised in sorted order, a row a node with its count, and written.
 3. The shards' tries are dealt by ranges of whole paths, so that a frequent prefix may span many tasks, and merged in order.
    A walk down the merged trie gives each node its prefixes' counts (left parts).
 4. Right parts come by suffix links, a join of each phrase's rest with the merged table.  So do left parts whose node an earlier task holds.
@@ -87,8 +88,23 @@ def _bit(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 > 0
 
 
+def _grown(words: _Words, filters: list) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length of phrase, one more than there are filters, its hash at each word and whether its parts (with a filter: it too) have their bits."""
+    keys = words.hashes()
+    good = _bit(filters[0].value, keys) if filters else np.ones(len(keys), bool)
+    out, own = [(keys, good)], keys
+    for k in range(1, len(filters) + 1):
+        both = np.flatnonzero(words.follows[1:] & good[1:] & good[:-1])
+        last, own, good = own, np.zeros(len(keys), np.uint64), np.zeros(len(keys), bool)
+        own[both] = mixed(last[both], keys[both + k])
+        good[both] = _bit(filters[k].value, own[both]) if k < len(filters) else True
+        out.append((own, good))
+    return out
+
+
 def _counted(documents: DataFrame, filters: list) -> DataFrame:
-    """(lang, hash, n) of words, with all words of each lang in rows without a hash; or with the words' filter of pairs of words that pass it."""
+    """(lang, hash, n) of words, with all words of each lang in rows without a hash; or of phrases of one word more than there are filters."""
+    filters = list(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -104,15 +120,11 @@ def _counted(documents: DataFrame, filters: list) -> DataFrame:
 
         for batch in slices(batches):
             words = _Words(batch)
-            keys = words.hashes()
-            if filters:
-                good = _bit(filters[0].value, keys)
-                both = np.flatnonzero(words.follows[1:] & good[1:] & good[:-1])
-                keys = mixed(keys[both], keys[both + 1])
-            else:
+            if not filters:
                 totals.update(dict(zip(words.langs, np.bincount(words.lang, minlength=len(words.langs)).tolist(), strict=True)))
-            held.append(keys)
-            rows += len(keys)
+            keys, good = _grown(words, filters)[-1]
+            held.append(keys[good])
+            rows += len(held[-1])
             if rows > HASHES:
                 yield hand_on()
                 held, rows = [], 0
@@ -164,12 +176,12 @@ class _Trie:
         self.words += new
         return np.zeros(0, np.int32), np.zeros(len(new), np.int64)
 
-    def add(self, words: _Words, good: np.ndarray, pairs: np.ndarray) -> None:
-        """Words whose bit is set, and whether each and the next one's pair has its bit."""
-        some = np.flatnonzero(good)
+    def add(self, words: _Words, good: list[np.ndarray]) -> None:
+        """Words whose bit is set, and for each length whether the phrase that begins there has its bits."""
+        some = np.flatnonzero(good[0])
         number = self.table.look_up(words.data, words.starts[some], words.ends[some])
         langs = np.array([self.langs.setdefault(x, len(self.langs)) for x in words.langs], np.int64)
-        self.held.append((langs[words.lang[some]], number, pairs[some]))
+        self.held.append((langs[words.lang[some]], number, *(x[some] for x in good[1:])))
         self.rows += len(some)
 
     def full(self) -> bool:
@@ -177,7 +189,7 @@ class _Trie:
 
     def serialise(self) -> Iterator[pa.RecordBatch]:
         """(lang, w1 to w``depth``, n) of all nodes in order of words within each language, and an empty trie."""
-        lang, word, goes_on = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        lang, word, *grows = (np.concatenate(x) for x in zip(*self.held, strict=True))
         # numbers in the order of the words' bytes, so that order of numbers is order of words
         order = sorted(range(len(self.words)), key=self.words.__getitem__)
         rank = np.empty(len(order), np.int64)
@@ -195,26 +207,22 @@ class _Trie:
             columns += [pa.nulls(len(key), pa.string())] * (self.depth - level)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(many)], names=["lang", *(f"w{k}" for k in range(1, self.depth + 1)), "n"])
             if level < self.depth:
-                on = goes_on[at + level - 1]
+                on = grows[level - 1][at]
                 parent, at = node[on], at[on]
         self.held, self.rows, self.langs = [], 0, {}
         self.table.clear()
         self.words = []
 
 
-def shard_tries(documents: DataFrame, words, pairs, depth: int) -> DataFrame:
-    """(lang, w1 to w``depth``, n): the nodes of every shard's trie."""
+def shard_tries(documents: DataFrame, filters: list) -> DataFrame:
+    """(lang, w1, w2, ..., n): the nodes of every shard's trie, one level deeper than there are filters."""
+    depth, filters = len(filters) + 1, list(filters)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = _Trie(depth)
         for batch in slices(batches):
-            found = _Words(batch)
-            keys = found.hashes()
-            good = _bit(words.value, keys)
-            on = np.zeros(len(keys), bool)
-            both = np.flatnonzero(found.follows[1:] & good[1:] & good[:-1])
-            on[both] = _bit(pairs.value, mixed(keys[both], keys[both + 1]))
-            trie.add(found, good, on)
+            words = _Words(batch)
+            trie.add(words, [good for _, good in _grown(words, filters)])
             if trie.full():
                 yield from trie.serialise()
         if trie.rows:
@@ -273,13 +281,16 @@ def merge_tries(shards: DataFrame, least: int, depth: int) -> DataFrame:
 def frequent_phrases(documents: DataFrame, least: int = 30, depth: int = 4) -> tuple[DataFrame, DataFrame]:
     """(lang, words, f, lefts) of all phrases of up to ``depth`` words that occur ``least`` times (see ``merge_tries``), and (lang, n)."""
     docs = documents.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    counted = written(_counted(docs, []).where((F.col("n") >= least) | F.col("hash").isNull()), "collocation-words")
-    words = _filter(counted.where("hash is not null"))
-    pairs = _filter(written(_counted(docs, [words]).where(F.col("n") >= least), "collocation-pairs"))
-    shards = written(shard_tries(docs, words, pairs, depth), "collocation-tries")
+    filters, counted = [], None
+    for k in range(1, depth):
+        found = _counted(docs, filters).where((F.col("n") >= least) | F.col("hash").isNull())
+        table = written(found, f"collocation-hashes-{k}")
+        counted = counted or table
+        filters.append(_filter(table.where("hash is not null").select("hash")))
+    shards = written(shard_tries(docs, filters), "collocation-tries")
     found = written(merge_tries(shards, least, depth), "collocation-phrases")
-    words.destroy()
-    pairs.destroy()
+    for x in filters:
+        x.destroy()
     return found, counted.where("hash is null").select("lang", "n")
 
 
