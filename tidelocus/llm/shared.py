@@ -2,55 +2,36 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
 from collections.abc import Callable, Iterator
 from functools import wraps
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from ..scratch import folder
+from ..scratch import delete, exists_now, folder
 from .textbytes import SLICE_BYTES, slices
 
-_HELD: dict[str, SparkSession] = {}
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: what follows survives lost executors.
 
-    The table goes by ``forget``, or when the driver ends.
+    The table goes by ``forget``, or with its session (see ``scratch``).
     """
-    spark = df.sparkSession
-    path = folder(spark, name)
-    _HELD[path] = spark
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
+    exists_now(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
     table.written_to = path
     return table
 
 
 def forget(*tables: DataFrame | None) -> None:
     """Delete tables of ``written`` that nothing will read any more."""
-    for path in [t.written_to for t in tables if t is not None]:
-        _delete(path)
-
-
-def _delete(path: str) -> None:
-    spark = _HELD.pop(path, None)
-    if spark is not None and spark.sparkContext._jsc is not None:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-
-
-@atexit.register
-def _delete_all() -> None:
-    for path in list(_HELD):
-        with contextlib.suppress(Exception):  # the session may be gone
-            _delete(path)
+    for table in tables:
+        if table is not None:
+            delete(table.written_to)
 
 
 def tidy(run: Callable) -> Callable:
