@@ -209,3 +209,26 @@ def test_streams(spark, tmp_path):
     q.awaitTermination(120)
     found = {(r.chrom, r.first.timestamp(), r.n) for r in spark.table("isl").collect()}
     assert ("c1", 5.0, 3) in found and ("c1", 20.0, 2) in found
+
+
+def test_fasta_pieces(spark, tmp_path, monkeypatch):
+    """Records across range borders, empty ones, blanks, and letters before a header; the same as pieces of whole sequences."""
+    rng = random.Random(5)
+    records = [("a", "ACGT" * 900), ("b", ""), ("c", "".join(rng.choices("ACGTN", k=1400))), ("d", "A"), *((f"e{i}", "".join(rng.choices("acgt", k=rng.choice([1, 70, 699, 700, 701])))) for i in range(30))]
+    lines = ["ACGT", ""]
+    for name, seq in records:
+        lines += [f">{name} more > words", *(seq[i : i + 60] + (" " if i % 7 else "") for i in range(0, len(seq), 60))]
+    (tmp_path / "g").mkdir()
+    (tmp_path / "g" / "1.fa").write_text("\n".join(lines) + "\n")
+    (tmp_path / "g" / "2.fa.gz").write_bytes(gzip.compress(b">z\nAC\nGT\n"))
+    monkeypatch.setattr(text, "FRAGMENT", 130)
+    want = sorted((n, p, 100 * p + 1, len(s), s[100 * p : 100 * p + 100]) for n, s in [*records, ("z", "ACGT")] for p in range(max(1, -(-len(s) // 100))))
+    for span in ("333", "128m"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", span)
+        try:
+            got = text.read_fasta_pieces(spark, str(tmp_path / "g"), 100)
+            assert sorted((r.name, r.piece, r.start, r.length, r.seq) for r in got.collect()) == want
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    order = {r.name: r.order for r in got.collect()}
+    assert [n for n, _ in records] + ["z"] == sorted(order, key=order.get)

@@ -53,7 +53,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
             print(row["class"])
     else:
         rows = text.read_repeatmasker(spark, args.repeats)
-        found = repeats.prepare_repeats(rows, text.read_fasta(spark, args.genome), args.window, args.repeat_class, args.repeat_match)
+        found = repeats.prepare_repeats(rows, text.read_fasta_pieces(spark, args.genome), args.window, args.repeat_class, args.repeat_match)
         sinks.write_fasta(found, args.output)
         scanned = repeats.label_counts(repeats.select_repeats(rows, args.repeat_class, args.repeat_match)).orderBy("label").collect()
         for row in scanned:

@@ -80,9 +80,10 @@ def prepare_repeats(repeats: DataFrame, genome: DataFrame, window: int = WINDOW,
     """``schemas.SEQUENCES`` of ``schemas.REPEATS``: distinct contents, each padded by ``window``.
 
     Contents are compared unpadded and as they are written; the first by genome order, then row_no, stays.
+    ``genome`` holds sequences (name, seq) or their pieces of ``size`` (``sequence_pieces``).
     Rows on other chromosomes are left out; spans that leave their chromosome raise an error.
     """
-    pieces = sequence_pieces(genome, size)
+    pieces = genome if "piece" in genome.columns else sequence_pieces(genome, size)
     table = pieces.groupBy(F.col("name").alias("chrom")).agg(F.min("order").alias("order"), F.first("length").alias("length"))
     rows = select_repeats(repeats, repeat_class, label).join(table, "chrom")
     bad = (F.col("begin") < 1) | (F.col("end") > F.col("length")) | (F.col("begin") > F.col("end"))

@@ -50,6 +50,15 @@ def fasta_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.read_fasta(spark, path).select("name", "seq")
 
 
+@query(f"""select name, piece, piece * 700 + 1 as start, length(seq) as length, substr(seq, cast(piece * 700 + 1 as bigint), 700) as seq from (select *, unnest(range(cast(ceil(length(seq) / 700.0) as bigint))) as piece from ({_LETTERS}) where seq <> '')""")
+def fasta_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The letters of texts as FASTA, read again by ranges of bytes in pieces of 700."""
+    path = folder(spark, "fasta")
+    own = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("name"), F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]", "").alias("seq"))
+    sinks.write_fasta(own.where("seq <> ''"), path)
+    return text.read_fasta_pieces(spark, path, 700).select("name", "piece", "start", "length", "seq")
+
+
 @query(f"select name as id, seq, seq as qual from ({_LETTERS}) where seq <> ''")
 def fastq_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The letters of texts as FASTQ, read again."""

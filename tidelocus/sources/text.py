@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .. import schemas
 from ..operators.intervals import merge
+from ..operators.repeats import PIECE
+from ..scratch import written
+
+#: Letters of a sequence that one row holds at most, and a line more.
+FRAGMENT = 1 << 20
 
 
 def read_bed(spark: SparkSession, path: str) -> DataFrame:
@@ -35,6 +44,59 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return records.select(F.regexp_extract(header, r"^\s*(\S*)", 1).alias("name"), F.regexp_replace(body, r"\s", "").alias("seq"), "order")
 
 
+def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of lines (file, at, value) in file order: (file, at, no, head, part), with a new fragment at each header, range and ``FRAGMENT`` letters.
+
+    ``head`` is the header's name, null where a fragment goes on with the record of the one before.
+    """
+    now, no, head, parts, size, some = None, 0, None, [], 0, False
+
+    def told() -> pa.RecordBatch:
+        columns = [[now[0]], [now[1]], [no], [head], ["".join(parts)]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names=["file", "at", "no", "head", "part"])
+
+    for batch in batches:
+        for file, at, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            title = line.startswith(">")
+            if (file, at) != now or title or size >= FRAGMENT:
+                if some:
+                    yield told()
+                no = no + 1 if (file, at) == now else 0
+                now, head, parts, size, some = (file, at), None, [], 0, False
+            if title:
+                head, some = (line[1:].split() or [""])[0], True
+            elif letters := "".join(line.split()):
+                parts.append(letters)
+                size, some = size + len(letters), True
+    if some:
+        yield told()
+
+
+def read_fasta_pieces(spark: SparkSession, path: str, size: int = PIECE) -> DataFrame:
+    """(name, order, piece, start, length, seq) of FASTA files: sequences in pieces of ``size``, as ``repeats.sequence_pieces`` gives them.
+
+    Spark splits the files into ranges of bytes (not ``.gz`` ones), and no sequence is ever a row: each range gives fragments, whose places in their records
+    come from running sums over thin rows (one for a header or ``FRAGMENT`` letters).  Letters before the first header are left out.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), "value")
+    parts = written(lines.mapInArrow(_fragments, "file string, at long, no long, head string, part string"), "fasta-fragments")
+    upto = Window.partitionBy("file").orderBy("at", "no")
+    thin = parts.select("file", "at", "no", "head", F.length("part").cast("long").alias("n"))
+    thin = thin.withColumns({"record": F.count("head").over(upto), "name": F.last("head", ignorenulls=True).over(upto), "before": F.sum("n").over(upto) - F.col("n")}).where("record > 0")
+    own = Window.partitionBy("file", "record")
+    thin = thin.withColumns({"offset": F.col("before") - F.min("before").over(own), "length": F.sum("n").over(own)}).where("n > 0 or length = 0")
+    files = thin.select("file").distinct().withColumn("rank", F.row_number().over(Window.orderBy("file")).cast("long"))
+    placed = thin.join(files, "file").withColumn("order", F.shiftleft("rank", 40) + F.col("record")).select("file", "at", "no", "name", "order", "offset", "length", "n")
+    cut = parts.select("file", "at", "no", "part").join(placed, ["file", "at", "no"])
+    cut = cut.withColumn("piece", F.explode(F.sequence(F.floor(F.col("offset") / size), F.floor((F.col("offset") + F.greatest("n", F.lit(1)) - 1) / size))))
+    first = F.greatest(F.col("piece") * size - F.col("offset"), F.lit(0))
+    last = F.least((F.col("piece") + 1) * size - F.col("offset"), F.col("n"))
+    held = cut.select("name", "order", "length", "piece", (F.col("offset") + first).alias("from"), F.substring("part", (first + 1).cast("int"), (last - first).cast("int")).alias("text"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("from", "text"))), lambda x: x["text"]), "")
+    whole = held.groupBy("order", "piece").agg(F.first("name").alias("name"), F.first("length").alias("length"), joined.alias("seq"))
+    return whole.select("name", "order", "piece", (F.col("piece") * size + 1).alias("start"), "length", "seq")
+
+
 def read_repeatmasker(spark: SparkSession, path: str) -> DataFrame:
     """``schemas.REPEATS`` of RepeatMasker tables: header lines (SW ..., score ..., empty), then rows of exactly 15 fields.
 
