@@ -10,7 +10,7 @@ import zlib
 from pyspark.sql import functions as F
 
 from tidelocus import cli, schemas
-from tidelocus.sources import binary, sinks, text
+from tidelocus.sources import binary, ordered, sinks, text
 from tidelocus.streaming import streams
 
 
@@ -232,3 +232,32 @@ def test_fasta_pieces(spark, tmp_path, monkeypatch):
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
     order = {r.name: r.order for r in got.collect()}
     assert [n for n, _ in records] + ["z"] == sorted(order, key=order.get)
+
+
+def test_ordered_text(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(rng.choice("ab"), rng.randint(1, 10_000), rng.choice([None, 0.5])) for _ in range(500)]
+    df = spark.createDataFrame(rows, "chrom string, pos long, left_sd double").repartition(5)
+    want = ["chrom\tpos\tleft_sd", *(f"{c}\t{p}\t{'' if d is None else '0.50'}" for c, p, d in sorted(rows, key=lambda r: (r[0], r[1], r[2] is not None)))]
+    for compression, parts in (("none", 6), ("gzip", 3)):
+        path = str(tmp_path / "out")
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            ordered.write_sorted_tsv(df, ["chrom", "pos", "left_sd"], path, compression=compression)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        names = sorted(os.listdir(path))
+        assert len(names) == parts and all(n.startswith("part-") for n in names)
+        lines = [x for n in names for x in (gzip.open if n.endswith(".gz") else open)(f"{path}/{n}", "rt").read().splitlines()]
+        assert lines == want
+        assert [r.value for r in ordered.read_ordered(spark, path).orderBy("number").collect()] == want
+    ordered.write_sorted_tsv(df.limit(0), ["chrom"], str(tmp_path / "none"))
+    assert [r.value for r in ordered.read_ordered(spark, str(tmp_path / "none")).collect()] == want[:1]
+    bad = df.withColumn("chrom", F.raise_error(F.lit("stop")).cast("string"))
+    try:
+        ordered.write_sorted_tsv(bad, ["pos"], str(tmp_path / "bad"))
+        raise AssertionError("no error")
+    except Exception as e:  # noqa: BLE001
+        assert "stop" in str(e) and not list((tmp_path / "bad").glob("part*"))

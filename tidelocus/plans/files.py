@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..operators import evidence, peaks, reads
 from ..scratch import folder, written
-from ..sources import binary, sinks, text
+from ..sources import binary, ordered, sinks, text
 from ..streaming import streams
 from .queries import _ALN, _CHROMS, _MERGED, _PEAKS, _PILE, _REGIONS, NEAR, ORACLES, QUERIES, alignments, chromosomes, query, regions, table
 
@@ -113,6 +113,15 @@ def untyped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("chrom").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("sum_pos"))
 
 
+@query(f"""with {_PILE}, n as (select row_number() over (order by chrom, p) as number, concat_ws(chr(9), chrom, p, left_count, right_count, 0) as value from pile)
+select number, value from n union all select 0, concat_ws(chr(9), 'chrom', 'pos', 'left_count', 'right_count', 'mate_in_rep')""")
+def ordered_clips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of clips written in order under one header, and its lines read again in order of the parts."""
+    path = folder(spark, "ordered")
+    ordered.write_sorted_tsv(_pile(spark, sf_dir), ["chrom", "pos"], path)
+    return ordered.read_ordered(spark, path)
+
+
 @query(ORACLES["clip_pileup"])
 def sorted_pileup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pile-up of alignments stored in order of chromosome and start, without a shuffle of their events."""
