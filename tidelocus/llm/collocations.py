@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -248,7 +249,7 @@ def merge_tries(shards: DataFrame, least: int, depth: int) -> DataFrame:
         out: list[tuple] = []
 
         def visit() -> None:
-            words = [w for w in now[1:] if w is not None]
+            words = [w for w in now[1:] if w]
             # the walk keeps the nodes above this one
             keep = 0
             while keep < min(len(walk), len(words)) and walk[keep][0] == (now[0], *words[: keep + 1]):
@@ -261,12 +262,22 @@ def merge_tries(shards: DataFrame, least: int, depth: int) -> DataFrame:
                 out.append((now[0], words, total, lefts[: len(words) - 1]))
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in (*path, "n")), strict=True):
-                if row[:-1] != now:
+            if not batch.num_rows:
+                continue
+            # a node's rows from all shards follow each other; words are never empty
+            columns = [batch.column(c).fill_null("") for c in path]
+            other = np.zeros(batch.num_rows, bool)
+            for c in columns:
+                other[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+            other[0] = True
+            first = np.flatnonzero(other)
+            sums = np.add.reduceat(batch.column("n").to_numpy(), first).tolist()
+            for row, many in zip(zip(*(c.take(pa.array(first)).to_pylist() for c in columns), strict=True), sums, strict=True):
+                if row != now:
                     if now is not None:
                         visit()
-                    now, total = row[:-1], 0
-                total += row[-1]
+                    now, total = row, 0
+                total += many
             if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
                 out.clear()
