@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
+from pyspark.sql import functions as F
 
 from .operators import coverage, evidence, peaks, reads, repeats
 from .sources import binary, sinks, text
@@ -54,11 +55,12 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
     else:
         rows = text.read_repeatmasker(spark, args.repeats)
         found = repeats.prepare_repeats(rows, text.read_fasta_pieces(spark, args.genome), args.window, args.repeat_class, args.repeat_match)
-        sinks.write_fasta(found, args.output)
+        kept = Observation()  # counted while the sequences are written
+        sinks.write_fasta(found.observe(kept, F.count(F.lit(1)).alias("n")), args.output)
         scanned = repeats.label_counts(repeats.select_repeats(rows, args.repeat_class, args.repeat_match)).orderBy("label").collect()
         for row in scanned:
             print(f"{row['label']}\t{row['n']}")
-        print(f"{text.read_fasta(spark, args.output).count()} unique sequences out of {sum(r['n'] for r in scanned)} scanned; {text.bad_rows(spark, args.repeats).count()} rows left out")
+        print(f"{kept.get['n']} unique sequences out of {sum(r['n'] for r in scanned)} scanned; {text.bad_rows(spark, args.repeats).count()} rows left out")
 
 
 def main(argv: list[str] | None = None) -> None:
