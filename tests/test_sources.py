@@ -7,6 +7,7 @@ import random
 import struct
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidelocus import cli, schemas
@@ -261,3 +262,39 @@ def test_ordered_text(spark, tmp_path):
         raise AssertionError("no error")
     except Exception as e:  # noqa: BLE001
         assert "stop" in str(e) and not list((tmp_path / "bad").glob("part*"))
+
+
+def test_ordered_pileup(spark, tmp_path):
+    """Positions leave once the start has passed them, what stays goes on to the next batch, and a start that goes back ends the query."""
+    batches = [
+        [("c1", 1, 5, "L"), ("c1", 3, 30, "R"), ("c1", 4, 5, "R"), ("c2", 9, 9, "L")],
+        [("c1", 4, 30, "R"), ("c2", 9, 9, "L"), ("c2", 9, None, "L"), (None, 1, 1, "L")],
+        [("c1", 31, 31, "L"), ("c2", 102, None, None)],
+    ]
+    (tmp_path / "in").mkdir()
+    schema = "chrom string, pos long, clip_pos long, side string, mate_in_rep boolean"
+
+    def add(i, rows):
+        (tmp_path / "in" / f"{i}.json").write_text("\n".join(json.dumps({"chrom": c, "pos": s, "clip_pos": p, "side": d, "mate_in_rep": d == "R" or None}) for c, s, p, d in rows))
+        os.utime(tmp_path / "in" / f"{i}.json", (1000 + i, 1000 + i))  # files stream by their times
+
+    def go():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+        q = streams.ordered_pileup(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return sorted(tuple(r) for r in spark.read.schema(schemas.CLIPS).parquet(str(tmp_path / "out")).collect())
+
+    add(0, batches[0])
+    assert go() == []  # the furthest start is 4
+    add(1, batches[1])
+    add(2, batches[2])
+    assert go() == [("c1", 5, 1, 1, 1), ("c1", 30, 0, 2, 2), ("c2", 9, 2, 0, 0)]
+    add(3, [("c1", 30, 40, "L")])
+    with pytest.raises(Exception, match="aren't sorted"):
+        go()
+
+
+def test_ordered_pileup_closing(spark):
+    events = spark.createDataFrame([("c1", 1, 5, "L", False)], "chrom string, pos long, clip_pos long, side string, mate_in_rep boolean")
+    chroms = spark.createDataFrame([(0, "c1", 100)], schemas.CHROMOSOMES)
+    assert [tuple(r) for r in streams.closing(chroms, events).collect()] == [("c1", 102, None, None, None)]

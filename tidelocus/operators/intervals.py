@@ -36,24 +36,55 @@ def _level(length: Column, width: int) -> Column:
     return out
 
 
-def _paired(left: DataFrame, right: DataFrame, on: str, left_range: tuple[str, str], right_range: tuple[str, str], width: int, longest: int | None) -> tuple[DataFrame, DataFrame]:
+def _fine(first: str, last: str) -> Column:
+    return F.col(first).isNotNull() & F.col(last).isNotNull() & (F.col(first) <= F.col(last))
+
+
+def _bins(first: str, last: str, width: Column | int) -> Column:
+    return F.sequence(F.floor(F.col(first) / width), F.floor(F.col(last) / width))
+
+
+def levelled(intervals: DataFrame, bounds: tuple[str, str], width: int) -> DataFrame:
+    """The intervals that aren't empty, with the ``__level`` of their length."""
+    first, last = bounds
+    return intervals.where(_fine(first, last)).withColumn("__level", _level(F.col(last) - F.col(first) + 1, width))
+
+
+def levels_used() -> Column:
+    """A bit for each level that ``levelled`` intervals have."""
+    return F.coalesce(F.bit_or(F.expr("shiftleft(1, __level)")), F.lit(0))
+
+
+def binned(levels: DataFrame, bounds: tuple[str, str], width: int) -> DataFrame:
+    """A row for each ``__bin`` of its level that a ``levelled`` interval reaches."""
+    return levels.withColumn("__bin", F.explode(_bins(*bounds, _at_level(width, F.col("__level")))))
+
+
+def asking(ranges: DataFrame, bounds: tuple[str, str], width: int, used: Column) -> DataFrame:
+    """A row for each (``__level``, ``__bin``) of the levels ``used`` that a range reaches."""
+    at_level = lambda i: F.transform(_bins(*bounds, width * FAN**i), lambda x: F.struct(F.lit(i).alias("level"), x.alias("bin")))
+    none = F.expr("cast(array() as array<struct<level:int,bin:bigint>>)")
+    places = F.flatten(F.array(*[F.when(F.expr(f"__used & {1 << i}") != 0, at_level(i)).otherwise(none) for i in range(LEVELS)]))
+    rows = ranges.where(_fine(*bounds)).withColumn("__used", used).withColumn("__at", F.explode(places))
+    return rows.withColumns({"__level": F.col("__at.level"), "__bin": F.col("__at.bin")}).drop("__at", "__used")
+
+
+def met_once(left_range: tuple[str, str], right_range: tuple[str, str], width: int) -> Column:
+    """Whether two ranges of one bin share a position, and this is the bin in which what they share begins."""
+    (a, b), (c, d) = left_range, right_range
+    meets = (F.col(a) <= F.col(d)) & (F.col(b) >= F.col(c))
+    return meets & (F.col("__bin") == F.floor(F.greatest(F.col(a), F.col(c)) / _at_level(width, F.col("__level"))))
+
+
+def _paired(left: DataFrame, right: DataFrame, left_range: tuple[str, str], right_range: tuple[str, str], width: int, longest: int | None) -> tuple[DataFrame, DataFrame]:
     """Both sides' rows with the ``__level`` and ``__bin`` in which they meet."""
-    a, b = left_range
-    c, d = right_range
-    fine = lambda x, y: F.col(x).isNotNull() & F.col(y).isNotNull() & (F.col(x) <= F.col(y))
-    bins = lambda x, y, w: F.sequence(F.floor(F.col(x) / w), F.floor(F.col(y) / w))
-    r = right.where(fine(c, d)).withColumn("__level", _level(F.col(d) - F.col(c) + 1, width))
+    r = levelled(right, right_range, width)
     if longest is None:
-        used = r.agg(F.coalesce(F.bit_or(F.expr("shiftleft(1, __level)")), F.lit(0))).scalar()
+        used = r.agg(levels_used()).scalar()
     else:
         top = next((i for i in range(LEVELS) if longest <= width * FAN ** (i + 1)), LEVELS - 1)
         used = F.lit((2 << top) - 1)
-    r = r.withColumn("__bin", F.explode(bins(c, d, _at_level(width, F.col("__level")))))
-    at_level = lambda i: F.transform(bins(a, b, width * FAN**i), lambda x: F.struct(F.lit(i).alias("level"), x.alias("bin")))
-    none = F.expr("cast(array() as array<struct<level:int,bin:bigint>>)")
-    places = F.flatten(F.array(*[F.when(F.expr(f"__used & {1 << i}") != 0, at_level(i)).otherwise(none) for i in range(LEVELS)]))
-    l = left.where(fine(a, b)).withColumn("__used", used).withColumn("__at", F.explode(places))
-    return l.withColumns({"__level": F.col("__at.level"), "__bin": F.col("__at.bin")}).drop("__at", "__used"), r
+    return asking(left, left_range, width, used), binned(r, right_range, width)
 
 
 def overlap_join(left: DataFrame, right: DataFrame, on: str = "chrom", left_range: tuple[str, str] = ("first", "last"), right_range: tuple[str, str] = ("r_first", "r_last"), width: int = BIN, longest: int | None = None) -> DataFrame:
@@ -63,11 +94,8 @@ def overlap_join(left: DataFrame, right: DataFrame, on: str = "chrom", left_rang
     the levels that the right side uses: a scalar subquery finds them while the query runs (``longest``, a bound
     on the right ranges' length that the caller knows, replaces it).
     """
-    (a, b), (c, d) = left_range, right_range
-    l, r = _paired(left, right, on, left_range, right_range, width, longest)
-    meets = (F.col(a) <= F.col(d)) & (F.col(b) >= F.col(c))
-    once = F.col("__bin") == F.floor(F.greatest(F.col(a), F.col(c)) / _at_level(width, F.col("__level")))
-    return l.join(r, [on, "__level", "__bin"]).where(meets & once).drop("__level", "__bin")
+    l, r = _paired(left, right, left_range, right_range, width, longest)
+    return l.join(r, [on, "__level", "__bin"]).where(met_once(left_range, right_range, width)).drop("__level", "__bin")
 
 
 def _sweep(left_range: tuple[str, str], right_range: tuple[str, str], width: int, names: list[str], pieces: int) -> Callable[[pa.Table, pa.Table], Iterator[pa.RecordBatch]]:
@@ -109,16 +137,13 @@ def deep_overlap_join(left: DataFrame, right: DataFrame, on: str = "chrom", left
     their columns, its right rows likewise, and every two parts meet in a task by a sorted sweep in place of comparing all with all.  The
     others take the plain way.  The histogram's hot rows are at most one for ``deep`` rows of input.  Range columns are longs.
     """
-    (a, b), (c, d) = left_range, right_range
     keys = [on, "__level", "__bin"]
-    l, r = _paired(left, right, on, left_range, right_range, width, None)
+    l, r = _paired(left, right, left_range, right_range, width, None)
     count = lambda side, name: side.groupBy(keys).agg(F.count(F.lit(1)).alias(name))
     both = count(l, "__nl").join(count(r, "__nr"), keys)
     parts = lambda n: F.ceil(F.col(n) / deep).cast("int")
     hot = both.where((F.col("__nl") > deep) | (F.col("__nr") > deep)).select(*keys, parts("__nl").alias("__pl"), parts("__nr").alias("__pr"))
-    meets = (F.col(a) <= F.col(d)) & (F.col(b) >= F.col(c))
-    once = F.col("__bin") == F.floor(F.greatest(F.col(a), F.col(c)) / _at_level(width, F.col("__level")))
-    plain = l.join(hot, keys, "left_anti").join(r.join(hot, keys, "left_anti"), keys).where(meets & once).drop("__level", "__bin")
+    plain = l.join(hot, keys, "left_anti").join(r.join(hot, keys, "left_anti"), keys).where(met_once(left_range, right_range, width)).drop("__level", "__bin")
     own = lambda side, n: F.pmod(F.xxhash64(*side.columns), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     hl = l.join(hot, keys).withColumn("__i", own(l, "__pl")).withColumn("__j", each("__pr")).drop("__pl", "__pr")
@@ -283,11 +308,11 @@ def enclosing(intervals: DataFrame, on: str = "chrom", width: int = BIN) -> Data
     most; to find its own it asks, in every level, the bin in which it begins.  The nearest of all levels is its parent.
     """
     own = intervals.where("first <= last").select(on, F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last")).distinct()
-    levelled = own.withColumn("level", _level(F.col("last") - F.col("first") + 1, width).cast("int"))
+    tall = own.withColumn("level", _level(F.col("last") - F.col("first") + 1, width).cast("int"))
     size = _at_level(width, F.col("level"))
-    outer = levelled.withColumn("bin", F.explode(F.sequence(F.floor(F.col("first") / size), F.floor(F.col("last") / size)))).withColumn("outer", F.lit(True))
+    outer = tall.withColumn("bin", F.explode(F.sequence(F.floor(F.col("first") / size), F.floor(F.col("last") / size)))).withColumn("outer", F.lit(True))
     # an interval that encloses another is no shorter, so its level is no lower
-    asks = levelled.withColumn("level", F.explode(F.sequence(F.col("level"), F.lit(LEVELS - 1)))).withColumn("bin", F.floor(F.col("first") / size)).withColumn("outer", F.lit(False))
+    asks = tall.withColumn("level", F.explode(F.sequence(F.col("level"), F.lit(LEVELS - 1)))).withColumn("bin", F.floor(F.col("first") / size)).withColumn("outer", F.lit(False))
     order = [on, "level", "bin", "first", "last", "outer"]
     both = outer.select(order).unionByName(asks.select(order)).repartition(on, "level", "bin")
     # an interval asks before its own row as a parent

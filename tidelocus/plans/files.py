@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..operators import evidence, peaks, reads
+from ..operators import evidence, peaks, reads, stored
 from ..scratch import folder, written
 from ..sources import binary, ordered, sinks, text
 from ..streaming import streams
@@ -180,6 +180,35 @@ def streamed_pileup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, streams.streaming_pileup(stream, chroms), "pile")
 
 
+@query(ORACLES["clip_pileup"])
+def stateful_pileup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pile-up of a stream that is stopped halfway and goes on from its state; the second part closes all chromosomes."""
+    columns = ["chrom", "pos", "clip_pos", "side", "mate_in_rep"]
+    events = written(reads.clip_events(alignments(spark, sf_dir)).select(columns), "events")
+    chroms = events.select("chrom").distinct().withColumn("length", F.lit(1 << 40))
+    path, out, state = (folder(spark, x) for x in ("ordered-events", "ordered-pile", "ordered-state"))
+    half = F.col("pos") < 1000
+    for part in (events.where(half), events.where(~half).unionByName(streams.closing(chroms, events))):
+        part.write.mode("append").parquet(path)
+        stream = streams.ordered_pileup(spark.readStream.schema(events.schema).parquet(path))
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schemas.CLIPS).parquet(out)
+
+
+@query(f"""with {_ALN}, {_REGIONS}, points as (select distinct chrom, pos from aln) select 'stab' as kind, chrom, cast(pos as bigint) as first, cast(pos as bigint) as last, count(*) as n from points p join regions r using (chrom) where p.pos between r.first and r.last group by all
+union all select 'overlap', a.chrom, cast(a.pos as bigint), cast(a.end_pos as bigint), count(*) from aln a join regions r on a.chrom = r.chrom and a.pos <= r.last and a.end_pos >= r.first group by all""")
+def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An interval index that is written once, opened by its path, and used for places and for ranges."""
+    path = folder(spark, "index")
+    own = regions(spark, sf_dir).select("chrom", F.col("first").alias("r_first"), F.col("last").alias("r_last"))
+    stored.store_index(own, path, width=64, buckets=16)
+    index = stored.open_index(spark, path)
+    aln = alignments(spark, sf_dir).select("chrom", "pos", "end_pos")
+    stabs = stored.indexed_depth(aln, index).select(F.lit("stab").alias("kind"), "chrom", F.col("pos").alias("first"), F.col("pos").alias("last"), "n")
+    meets = stored.indexed_overlap(aln, index, ("pos", "end_pos")).groupBy("chrom", F.col("pos").alias("first"), F.col("end_pos").alias("last")).agg(F.count(F.lit(1)).alias("n"))
+    return stabs.unionByName(meets.select(F.lit("overlap").alias("kind"), "chrom", "first", "last", "n"))
+
+
 @query("""with t as (select user_id, date_trunc('second', ts) as t from events), g as (select *, case when t <= lag(t) over (partition by user_id order by t) + interval 10 minutes then 0 else 1 end as new from t),
 s as (select *, sum(new) over (partition by user_id order by t rows unbounded preceding) as island from g)
 select user_id, epoch(min(t))::bigint as first, epoch(max(t))::bigint + 600 as last_plus_gap, count(*) as n from s group by user_id, island""")

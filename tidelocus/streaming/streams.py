@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from .. import schemas
 from ..operators.coverage import offsets
 
 
@@ -23,6 +30,67 @@ def streaming_pileup(events: DataFrame, chromosomes: DataFrame, least: int = 2,
     return counts.where(F.col("left_count") + F.col("right_count") >= least).select("chrom", (F.unix_seconds("w.start") - F.col("start")).alias("pos"), "left_count", "right_count", "mate_in_rep")
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Events of a batch by chromosome and position: counts, the least start and the greatest."""
+    for batch in batches:
+        table = pa.Table.from_batches([batch]).group_by(["chrom", "pos"], use_threads=False)
+        out = table.aggregate([("l", "sum"), ("r", "sum"), ("m", "sum"), ("start", "min"), ("start", "max")])
+        yield from out.select(["chrom", "pos", "l_sum", "r_sum", "m_sum", "start_min", "start_max"]).rename_columns(["chrom", "pos", "l", "r", "m", "low", "high"]).to_batches()
+
+
+def _evicting(least: int):
+    """A chromosome's rows of a micro-batch and its state: counts from the furthest start on, as bytes."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        reached, raw = state.get if state.exists else (None, b"")
+        held = np.frombuffer(raw, np.int64).reshape(-1, 4)
+        far = reached
+        for frame in frames:
+            low = int(frame["low"].min())
+            if reached is not None and low < reached:
+                raise ValueError(f"events aren't sorted: start {low} on chromosome {key[0]} comes after start {reached} of an earlier batch")
+            high = int(frame["high"].max())
+            far = high if far is None else max(far, high)
+            new = frame.loc[frame["pos"].notna(), ["pos", "l", "r", "m"]].to_numpy(np.int64)
+            both = np.concatenate([held, new])
+            where, of = np.unique(both[:, 0], return_inverse=True)
+            held = np.zeros((len(where), 4), np.int64)
+            held[:, 0] = where
+            np.add.at(held[:, 1:], of, both[:, 1:])
+        n = int(np.searchsorted(held[:, 0], far, "left"))
+        gone = held[:n][held[:n, 1] + held[:n, 2] >= least]
+        state.update((far, held[n:].tobytes()))
+        out = pd.DataFrame({"chrom": [key[0]] * len(gone)})
+        for k, name in enumerate(("pos", "left_count", "right_count", "mate_in_rep")):
+            out[name] = gone[:, k]
+        yield out
+
+    return run
+
+
+def ordered_pileup(events: DataFrame, least: int = 2, start: str = "pos", pos: str = "clip_pos") -> DataFrame:
+    """``schemas.CLIPS`` of a stream of clip events whose read starts never go back, on a chromosome, from one micro-batch to the next.
+
+    An event doesn't lie before its read's start, so once a batch has come the positions before the chromosome's furthest start are
+    final: they leave, each once, and the others stay as its state.  There is no watermark: a start before those of an earlier batch
+    is an error that ends the query.  Within a batch rows may come in any order.  A row without a position moves the start alone
+    (``closing`` makes those that end chromosomes).  Tasks add up their events first, so what a chromosome's task gets are
+    thin rows of counts; its state is as large as the reads around one place.
+    """
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("long")
+    thin = events.where(F.col("chrom").isNotNull() & F.col(start).isNotNull()).select(
+        "chrom", F.col(start).cast("long").alias("start"), F.col(pos).cast("long").alias("pos"), flag(F.col("side") == "L").alias("l"), flag(F.col("side") == "R").alias("r"), flag(F.col("mate_in_rep")).alias("m")
+    )
+    counted = thin.mapInArrow(_summed, "chrom string, pos long, l long, r long, m long, low long, high long")
+    return counted.groupBy("chrom").applyInPandasWithState(_evicting(least), schemas.CLIPS, "reached long, held binary", "append", GroupStateTimeout.NoTimeout)
+
+
+def closing(chromosomes: DataFrame, events: DataFrame, start: str = "pos") -> DataFrame:
+    """A row for each chromosome, in the columns of ``events``, that begins beyond it: all its positions are final."""
+    own = {"chrom": F.col("chrom"), start: F.col("length") + 2}
+    return chromosomes.select(*[own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema])
+
+
 def streaming_islands(rows: DataFrame, key: str, time: str, gap: str, delay: str) -> DataFrame:
     """(key, first, last_plus_gap, n): sessions of a stream, closed when the watermark passes their end."""
     sessions = rows.withWatermark(time, delay).groupBy(key, F.session_window(time, gap).alias("s")).agg(F.count(F.lit(1)).alias("n"))
