@@ -314,3 +314,22 @@ def test_kmeans_fit(spark):
         near = ((x[:, None] - own) ** 2).sum(2).argmin(1)
         own = np.array([x[near == c].mean(0) if (near == c).any() else own[c] for c in range(3)])
     assert [r.cluster for r in out.orderBy("id").collect()] == near.tolist() and len(told) < 50
+
+
+def test_islands_over_chunks(spark):
+    """Long rows reach over several chunks, some rows have no end or end before they begin; islands are named by their begins."""
+    rng = random.Random(11)
+    data = [(k, s, rng.choice([s, s + 3, s + 40, s + 260, None, s - 2])) for k in ("a", "b") for s in rng.choices(range(-300, 2000), k=120)]
+    data += [("a", None, 4), (None, 3, 4), *data[:80], *data[:40]]
+    for gap in (0, 7):
+        want, reach, now = [], {}, {}
+        for k, s, e in sorted((r for r in data if r[0] and r[1] is not None), key=lambda r: r[:2]):
+            if k not in reach or s > reach[k] + gap:
+                now[k] = s
+            reach[k] = max(reach.get(k, s), s, s if e is None else e)
+            want.append((k, s, now[k]))
+        df = spark.createDataFrame(data, "chrom string, first long, last long")
+        for chunk in (16, 100, 1 << 20):
+            got = intervals.with_islands(df, "chrom", "first", "last", gap, chunk)
+            assert got.columns == ["chrom", "first", "last", "island"]
+            assert sorted((r["chrom"], r["first"], r["island"]) for r in got.collect()) == sorted(want)

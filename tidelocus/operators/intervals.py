@@ -176,28 +176,30 @@ def stabbed(points: DataFrame, intervals: DataFrame, on: str = "chrom", pos: str
 
 
 def with_islands(df: DataFrame, on: str, first: str, last: str, gap: int, chunk: int = CHUNK) -> DataFrame:
-    """``df`` with ``island``: a number that rises, within ``on``, where a row begins more than ``gap`` after all before it end.
+    """``df`` with ``island``: where its island begins.  One does, within ``on``, where a row begins more than ``gap`` after all before it end.
 
-    A scan in three steps, so that a chromosome with most of the rows isn't one task: rows are
-    dealt into chunks of positions; each chunk's furthest end, and later its number of islands, is summed up in a
-    thin table whose running values go back to the chunks.
+    A row that ends before it begins, or has no end, counts as one position.  The scan is such that a chromosome with most of the rows
+    isn't one task: rows are dealt into chunks of positions; a thin table of each chunk's furthest end and last
+    begin of an island has running values that go back to the chunks.
     """
     return islands_by_chunk(df, on, first, last, gap, chunk).drop("chunk")
 
 
 def islands_by_chunk(df: DataFrame, on: str, first: str, last: str, gap: int, chunk: int = CHUNK) -> DataFrame:
     """``with_islands`` with ``chunk``, by which (and ``on``) its rows are dealt."""
-    placed = df.where(F.col(on).isNotNull() & F.col(first).isNotNull()).withColumn("chunk", F.floor(F.col(first) / chunk))
-    before = Window.partitionBy(on).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    ends = placed.groupBy(on, "chunk").agg(F.max(last).alias("__end")).withColumn("__end", F.max("__end").over(before))
     inner = Window.partitionBy(on, "chunk").orderBy(first, last)
-    rows = placed.join(ends, [on, "chunk"])
-    reach = F.greatest(F.max(last).over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.col("__end"))
-    rows = rows.withColumn("__new", (reach.isNull() | (F.col(first) > reach + gap)).cast("long"))
-    starts = rows.groupBy(on, "chunk").agg(F.sum("__new").alias("__starts")).withColumn("__starts", F.coalesce(F.sum("__starts").over(before), F.lit(0)))
-    # ties of (first, last) need no order: all but the first begin inside the one before
-    rows = rows.withColumn("__in", F.sum("__new").over(inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return rows.join(starts, [on, "chunk"]).withColumn("island", F.col("__in") + F.col("__starts")).drop("__end", "__new", "__in", "__starts")
+    before = Window.partitionBy(on).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    placed = df.where(F.col(on).isNotNull() & F.col(first).isNotNull()).withColumns({"chunk": F.floor(F.col(first) / chunk), "__last": F.greatest(first, last)})
+    # what would begin an island if nothing came before the chunk
+    reach = F.max("__last").over(inner.rowsBetween(Window.unboundedPreceding, -1))
+    rows = placed.withColumn("__new", F.when(reach.isNull() | (F.col(first) > reach + gap), F.col(first)))
+    ends = rows.groupBy(on, "chunk").agg(F.max("__last").alias("__reach"), F.max("__new").alias("__start"))
+    begins = lambda c: F.when(F.col("__end").isNull() | (F.col(c) > F.col("__end") + gap), F.col(c))
+    carried = ends.withColumn("__end", F.max("__reach").over(before)).withColumn("__from", F.max(begins("__start")).over(before)).drop("__reach", "__start")
+    joined = rows.join(carried, [on, "chunk"])
+    # begins rise, so the last one is the greatest; equal rows, whose order may differ by now, share theirs
+    own = F.max(begins("__new")).over(inner.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return joined.withColumn("island", F.coalesce(own, "__from")).drop("__last", "__new", "__end", "__from")
 
 
 def merge(intervals: DataFrame, on: str = "chrom", chunk: int = CHUNK) -> DataFrame:
