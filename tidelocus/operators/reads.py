@@ -87,13 +87,16 @@ def cigar_operations(reads: DataFrame) -> DataFrame:
 
     M, = and X move both places, I and S the read's, D and N the reference's, H and P neither.
     """
-    moved = lambda done, ops: F.aggregate(done, F.lit(0).cast("long"), lambda a, x: a + F.when(x["op"].isin(*ops), x["len"]).otherwise(0))
+    moved = lambda x, ops: F.when(x["op"].isin(*ops), x["len"]).otherwise(0)
 
-    def place(o: Column, i: Column) -> Column:
-        done = F.slice("cigar", F.lit(1), i)
-        return F.struct(i.alias("i"), (F.col("pos") + moved(done, "M=XDN")).alias("p"), moved(done, "M=XIS").alias("q"), o["op"].alias("op"), o["len"].alias("len"))
+    def step(done: Column, x: Column) -> Column:
+        here = F.struct(F.size(done["ops"]).alias("i"), done["p"].alias("p"), done["q"].alias("q"), x["op"].alias("op"), x["len"].alias("len"))
+        return F.struct((done["p"] + moved(x, "M=XDN")).alias("p"), (done["q"] + moved(x, "M=XIS")).alias("q"), F.array_append(done["ops"], here).alias("ops"))
 
-    return reads.where("pos is not null").withColumn("__op", F.explode(F.transform("cigar", place))).select("*", "__op.*").drop("__op")
+    none = F.expr("cast(array() as array<struct<i:int,p:bigint,q:bigint,op:string,len:int>>)")
+    start = F.struct(F.col("pos").cast("long").alias("p"), F.lit(0).cast("long").alias("q"), none.alias("ops"))
+    walked = F.aggregate("cigar", start, step, lambda done: done["ops"])
+    return reads.where("pos is not null").withColumn("__op", F.explode(walked)).select("*", "__op.*").drop("__op")
 
 
 def clip_events(reads: DataFrame, regions: DataFrame | None = None, left_key: str = "inner", mate_chrom_lookup: bool = False) -> DataFrame:
