@@ -390,6 +390,10 @@ class BamSource(DataSource):
         return BamReader(self.options, schema)
 
 
+#: A batch of FASTQ records has up to so many characters, or is one record.
+FASTQ_BYTES = 1 << 20
+
+
 class FastqReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
@@ -397,14 +401,26 @@ class FastqReader(DataSourceReader):
     def partitions(self):
         return [Span(p, None, None) for p in files_of(self.path)]
 
-    def read(self, span) -> Iterator[tuple]:
+    def read(self, span) -> Iterator[pa.RecordBatch]:
         raw = open_file(span.path)
+        names, columns, held = ["id", "seq", "qual"], ([], [], []), 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=names)
+
         with io.TextIOWrapper(gzip.open(raw) if span.path.endswith(".gz") else raw) as f:
             while head := f.readline():
                 seq, plus, qual = (f.readline().rstrip("\n") for _ in range(3))
                 if head[0] != "@" or plus[:1] != "+":
                     raise ValueError("not a FASTQ record")
-                yield head[1:].rstrip("\n").split(" ")[0], seq, qual
+                for c, x in zip(columns, (head[1:].rstrip("\n").split(" ")[0], seq, qual), strict=True):
+                    c.append(x)
+                held += len(seq) + len(qual)
+                if len(columns[0]) >= BATCH or held >= FASTQ_BYTES:
+                    yield batch()
+                    columns, held = ([], [], []), 0
+        if columns[0]:
+            yield batch()
 
 
 class FastqSource(DataSource):
