@@ -130,18 +130,20 @@ def _sweep(left_range: tuple[str, str], right_range: tuple[str, str], width: int
     return run
 
 
-def deep_overlap_join(left: DataFrame, right: DataFrame, on: str = "chrom", left_range: tuple[str, str] = ("first", "last"), right_range: tuple[str, str] = ("r_first", "r_last"), width: int = BIN, deep: int = 100_000, pieces: int = 4_000_000) -> DataFrame:
+def deep_overlap_join(left: DataFrame, right: DataFrame, on: str = "chrom", left_range: tuple[str, str] = ("first", "last"), right_range: tuple[str, str] = ("r_first", "r_last"), width: int = BIN, deep: int = 100_000, pieces: int = 4_000_000, part: int = 100_000) -> DataFrame:
     """``overlap_join`` for data of very uneven depth.
 
-    A histogram counts each bin's rows of both sides.  A bin with more than ``deep`` of either is split: its left rows into parts by a digest of
-    their columns, its right rows likewise, and every two parts meet in a task by a sorted sweep in place of comparing all with all.  The
-    others take the plain way.  The histogram's hot rows are at most one for ``deep`` rows of input.  Range columns are longs.
+    A histogram counts each bin's rows of both sides.  A bin with more than ``deep`` of either is swept in order of the begins in place of
+    comparing all with all; the others take the plain way.  A swept bin of more than ``part`` rows of either (and ``deep``) is split: its left rows into parts
+    by a digest of their columns, its right rows likewise, and every two parts meet in a task.  A row is copied once for each part of
+    the other side, so parts are as large as a task's memory allows, however small ``deep`` is.  The histogram's hot rows are at most one for
+    ``deep`` rows of input.  Range columns are longs.
     """
     keys = [on, "__level", "__bin"]
     l, r = _paired(left, right, left_range, right_range, width, None)
     count = lambda side, name: side.groupBy(keys).agg(F.count(F.lit(1)).alias(name))
     both = count(l, "__nl").join(count(r, "__nr"), keys)
-    parts = lambda n: F.ceil(F.col(n) / deep).cast("int")
+    parts = lambda n: F.ceil(F.col(n) / max(deep, part)).cast("int")
     hot = both.where((F.col("__nl") > deep) | (F.col("__nr") > deep)).select(*keys, parts("__nl").alias("__pl"), parts("__nr").alias("__pr"))
     plain = l.join(hot, keys, "left_anti").join(r.join(hot, keys, "left_anti"), keys).where(met_once(left_range, right_range, width)).drop("__level", "__bin")
     own = lambda side, n: F.pmod(F.xxhash64(*side.columns), F.col(n)).cast("int")
