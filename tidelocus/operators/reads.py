@@ -150,6 +150,66 @@ def _seams(events: DataFrame, pos: str) -> dict[str, np.ndarray]:
     return {k: np.array(v, np.int64) for k, v in out.items()}
 
 
+def added(rows: np.ndarray) -> np.ndarray:
+    """Rows (number, position, counts) in order of the first two, the counts of equal ones added up."""
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    first = np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(1))) if len(rows) else np.zeros(0, np.int64)
+    out = rows[first]
+    if len(out):
+        out[:, 2:] = np.add.reduceat(rows[:, 2:], first, axis=0)
+    return out
+
+
+_COUNTS = ["chrom", "pos", "left_count", "right_count", "mate_in_rep"]
+
+
+def _scanned(batches: Iterator[pa.RecordBatch], seams: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Counts of a partition's sorted events (chrom, start, pos, left, right, mate_in_rep), with whether they lie in a seam.
+
+    A batch is counted at once, whatever number of chromosomes it has.
+    """
+
+    def leave(rows: np.ndarray, own: list[str]) -> pa.RecordBatch:
+        shared = np.zeros(len(rows), bool)
+        for k, name in enumerate(own):
+            if name in seams:
+                a, b = np.searchsorted(rows[:, 0], (k, k + 1))
+                shared[a:b] = np.searchsorted(seams[name], rows[a:b, 1], "right") % 2 == 1
+        return pa.RecordBatch.from_arrays([pa.array(own, pa.string()).take(pa.array(rows[:, 0])), *(pa.array(rows[:, k]) for k in range(1, 5)), pa.array(shared)], names=[*_COUNTS, "shared"])
+
+    chrom, reached, done = None, None, set()
+    held = np.zeros((0, 5), np.int64)  # of the last chromosome: 0, position and counts
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        codes = batch.column(0).dictionary_encode()
+        index, dictionary = codes.indices.to_numpy(zero_copy_only=False), codes.dictionary.to_pylist()
+        starts = batch.column(1).to_numpy()
+        change = np.append(True, index[1:] != index[:-1])
+        own, run = [dictionary[i] for i in index[change].tolist()], np.cumsum(change) - 1
+        goes_on = own[0] == chrom
+        if len(held) and not goes_on:
+            yield leave(held, [chrom])
+            held = held[:0]
+        for name in own[goes_on:]:
+            if name in done:
+                raise ValueError(f"events aren't sorted: chromosome {name} comes again")
+            done.add(name)
+        back = np.flatnonzero((starts[1:] < starts[:-1]) & ~change[1:])
+        if len(back) or (goes_on and starts[0] < reached):
+            raise ValueError(f"events aren't sorted: a start goes back on chromosome {own[run[back[0]]] if len(back) else chrom}")
+        chrom, reached = own[-1], starts[-1]
+        flags = [batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5)]
+        rows = added(np.concatenate([held, np.column_stack([run, batch.column(2).to_numpy(), *flags]).astype(np.int64)]))
+        final = (rows[:, 0] < len(own) - 1) | (rows[:, 1] < reached)
+        if final.any():
+            yield leave(rows[final], own)
+        held = rows[~final]
+        held[:, 0] = 0
+    if len(held):
+        yield leave(held, [chrom])
+
+
 def sorted_pileup(events: DataFrame, start: str = "pos", pos: str = "clip_pos", least: int = LEAST_SUPPORT) -> DataFrame:
     """``pileup`` of events in order of chromosome and read start within each partition, without a shuffle of them.
 
@@ -158,50 +218,10 @@ def sorted_pileup(events: DataFrame, start: str = "pos", pos: str = "clip_pos",
     up in a shuffle: thin rows of counts.  Rows out of order raise an error.
     """
     seams = _seams(events, pos)
-    names = ["chrom", "pos", "left_count", "right_count", "mate_in_rep"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chrom, reached, done = None, None, set()
-        held = np.zeros((0, 4), np.int64)  # position and counts, ascending
-
-        def leave(upto: int | None) -> Iterator[pa.RecordBatch]:
-            nonlocal held
-            n = len(held) if upto is None else int(np.searchsorted(held[:, 0], upto, "left"))
-            gone, held = held[:n], held[n:]
-            if n:
-                edges = seams.get(chrom, np.zeros(0, np.int64))
-                shared = np.searchsorted(edges, gone[:, 0], "right") % 2 == 1
-                yield pa.RecordBatch.from_arrays([pa.array([chrom] * n, pa.string()), *(pa.array(gone[:, k]) for k in range(4)), pa.array(shared)], names=[*names, "shared"])
-
-        for batch in batches:
-            codes = batch.column(0).dictionary_encode()
-            index, dictionary = codes.indices.to_numpy(zero_copy_only=False), codes.dictionary.to_pylist()
-            starts, places = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            side = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5)], 1).astype(np.int64)
-            edges = np.flatnonzero(np.append(True, index[1:] != index[:-1])).tolist() + [len(index)] if len(index) else []
-            for a, b in zip(edges, edges[1:], strict=False):
-                name = dictionary[index[a]]
-                if name != chrom:
-                    yield from leave(None)
-                    if name in done:
-                        raise ValueError(f"events aren't sorted: chromosome {name} comes again")
-                    done.add(name)
-                    chrom, reached = name, starts[a]
-                if starts[a] < reached or (np.diff(starts[a:b]) < 0).any():
-                    raise ValueError(f"events aren't sorted: a start goes back on chromosome {name}")
-                reached = starts[b - 1]
-                where, of = np.unique(np.append(held[:, 0], places[a:b]), return_inverse=True)
-                counts = np.zeros((len(where), 4), np.int64)
-                counts[:, 0] = where
-                np.add.at(counts[:, 1:], of, np.concatenate([held[:, 1:], side[a:b]]))
-                held = counts
-                yield from leave(int(reached))
-        yield from leave(None)
-
     thin = events.where(F.col("chrom").isNotNull() & F.col(pos).isNotNull()).select("chrom", F.col(start).cast("long"), F.col(pos).cast("long"), F.col("side") == "L", F.col("side") == "R", F.coalesce("mate_in_rep", F.lit(False)))
-    counted = written(thin.toDF("chrom", "start", "pos", "l", "r", "m").mapInArrow(run, "chrom string, pos long, left_count long, right_count long, mate_in_rep long, shared boolean"), "pileup")
-    seam = counted.where("shared").groupBy("chrom", "pos").agg(*[F.sum(c).alias(c) for c in names[2:]])
-    return counted.where("not shared").select(names).unionByName(seam).where(F.col("left_count") + F.col("right_count") >= least)
+    counted = written(thin.toDF("chrom", "start", "pos", "l", "r", "m").mapInArrow(lambda batches: _scanned(batches, seams), "chrom string, pos long, left_count long, right_count long, mate_in_rep long, shared boolean"), "pileup")
+    seam = counted.where("shared").groupBy("chrom", "pos").agg(*[F.sum(c).alias(c) for c in _COUNTS[2:]])
+    return counted.where("not shared").select(_COUNTS).unionByName(seam).where(F.col("left_count") + F.col("right_count") >= least)
 
 
 def clip_reads(events: DataFrame) -> DataFrame:
