@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import schemas
 from ..operators.coverage import offsets
+from ..operators.reads import added
+
+#: Chromosomes share a state by a digest of their names, so very many of them don't cost a call each; a few dozen have one each.
+BUCKETS = 4096
+_NEVER = np.iinfo(np.int64).min
 
 
 def streaming_pileup(events: DataFrame, chromosomes: DataFrame, least: int = 2, delay: int = 0) -> DataFrame:
@@ -39,29 +45,36 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _evicting(least: int):
-    """A chromosome's rows of a micro-batch and its state: counts from the furthest start on, as bytes."""
+    """A bucket's rows of a micro-batch and its state: its chromosomes, their furthest starts, and the counts from these on, as bytes."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        reached, raw = state.get if state.exists else (None, b"")
-        held = np.frombuffer(raw, np.int64).reshape(-1, 4)
-        far = reached
+        known, raw = state.get if state.exists else ("[[], []]", b"")
+        names, reached = json.loads(known)
+        number = {n: i for i, n in enumerate(names)}
+        held = np.frombuffer(raw, np.int64).reshape(-1, 5)  # chromosome's number, position, counts
+        before = far = np.array(reached, np.int64)
         for frame in frames:
-            low = int(frame["low"].min())
-            if reached is not None and low < reached:
-                raise ValueError(f"events aren't sorted: start {low} on chromosome {key[0]} comes after start {reached} of an earlier batch")
-            high = int(frame["high"].max())
-            far = high if far is None else max(far, high)
-            new = frame.loc[frame["pos"].notna(), ["pos", "l", "r", "m"]].to_numpy(np.int64)
-            both = np.concatenate([held, new])
-            where, of = np.unique(both[:, 0], return_inverse=True)
-            held = np.zeros((len(where), 4), np.int64)
-            held[:, 0] = where
-            np.add.at(held[:, 1:], of, both[:, 1:])
-        n = int(np.searchsorted(held[:, 0], far, "left"))
-        gone = held[:n][held[:n, 1] + held[:n, 2] >= least]
-        state.update((far, held[n:].tobytes()))
-        out = pd.DataFrame({"chrom": [key[0]] * len(gone)})
-        for k, name in enumerate(("pos", "left_count", "right_count", "mate_in_rep")):
+            codes, own = pd.factorize(frame["chrom"])
+            new = [n for n in own if n not in number]
+            number |= {n: len(names) + i for i, n in enumerate(new)}
+            names += new
+            before, far = (np.append(x, np.full(len(new), _NEVER)) for x in (before, far))
+            at = np.array([number[n] for n in own], np.int64)[codes]
+            low = frame["low"].to_numpy(np.int64)
+            early = np.flatnonzero(low < before[at])
+            if len(early):
+                k = early[0]
+                raise ValueError(f"events aren't sorted: start {low[k]} on chromosome {names[at[k]]} comes after start {before[at[k]]} of an earlier batch")
+            np.maximum.at(far, at, frame["high"].to_numpy(np.int64))
+            placed = frame["pos"].notna().to_numpy()
+            counts = frame.loc[placed, ["pos", "l", "r", "m"]].to_numpy(np.int64)
+            held = added(np.concatenate([held, np.column_stack([at[placed], counts])]))
+        final = held[:, 1] < far[held[:, 0]]
+        gone, held = held[final], held[~final]
+        state.update((json.dumps([names, far.tolist()]), held.tobytes()))
+        gone = gone[gone[:, 2] + gone[:, 3] >= least]
+        out = pd.DataFrame({"chrom": np.array(names, object)[gone[:, 0]]})
+        for k, name in enumerate(("pos", "left_count", "right_count", "mate_in_rep"), 1):
             out[name] = gone[:, k]
         yield out
 
@@ -75,14 +88,15 @@ def ordered_pileup(events: DataFrame, least: int = 2, start: str = "pos", pos: s
     final: they leave, each once, and the others stay as its state.  There is no watermark: a start before those of an earlier batch
     is an error that ends the query.  Within a batch rows may come in any order.  A row without a position moves the start alone
     (``closing`` makes those that end chromosomes).  Tasks add up their events first, so what a chromosome's task gets are
-    thin rows of counts; its state is as large as the reads around one place.
+    thin rows of counts; its state is as large as the reads around one place.  ``BUCKETS`` states hold all chromosomes.
     """
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("long")
     thin = events.where(F.col("chrom").isNotNull() & F.col(start).isNotNull()).select(
         "chrom", F.col(start).cast("long").alias("start"), F.col(pos).cast("long").alias("pos"), flag(F.col("side") == "L").alias("l"), flag(F.col("side") == "R").alias("r"), flag(F.col("mate_in_rep")).alias("m")
     )
     counted = thin.mapInArrow(_summed, "chrom string, pos long, l long, r long, m long, low long, high long")
-    return counted.groupBy("chrom").applyInPandasWithState(_evicting(least), schemas.CLIPS, "reached long, held binary", "append", GroupStateTimeout.NoTimeout)
+    dealt = counted.withColumn("bucket", F.pmod(F.xxhash64("chrom"), F.lit(BUCKETS)))
+    return dealt.groupBy("bucket").applyInPandasWithState(_evicting(least), schemas.CLIPS, "known string, held binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def closing(chromosomes: DataFrame, events: DataFrame, start: str = "pos") -> DataFrame:
