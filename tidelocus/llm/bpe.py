@@ -26,7 +26,7 @@ import heapq
 import json
 import sys
 import unicodedata
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -34,7 +34,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .shared import add_columns, keeps_columns
+from .shared import add_columns, kept, keeps_columns
 from .textbytes import SHORT, flat, gather, packed, packed_hash
 
 OTHER, LETTER, DIGIT, SPACE = range(4)
@@ -229,7 +229,6 @@ class ByteBpe:
         table = np.array(sorted(pairs), np.int64).reshape(-1, 3)
         self.pair_keys, self.pair_rank, self.pair_made = (np.append(table[:, i], NEVER) for i in range(3))
         self.single = np.array([vocab[bytes([b])] for b in range(256)])
-        self.pairs = {key: (k, made) for key, k, made in pairs}
         self._grow_trie(vocab)
         self.table = WordTable(self.encode_words)
 
@@ -245,7 +244,22 @@ class ByteBpe:
         self.trie_next = np.array([step[k] for k in self.trie_keys.tolist()], np.int64)
         self.trie_token = np.full(len(step) + 1, -1)
         self.trie_token[list(ends)] = list(ends.values())
-        self.trie_step, self.trie_end = step, ends
+
+    # long words go through dictionaries, of many times the arrays' size; few tasks have such words
+
+    @cached_property
+    def pairs(self) -> dict[int, tuple[int, int]]:
+        """The rank of each pair that has a merge, and what it makes."""
+        return dict(zip(self.pair_keys[:-1].tolist(), zip(self.pair_rank[:-1].tolist(), self.pair_made[:-1].tolist(), strict=True), strict=True))
+
+    @cached_property
+    def trie_step(self) -> dict[int, int]:
+        return dict(zip(self.trie_keys.tolist(), self.trie_next.tolist(), strict=True))
+
+    @cached_property
+    def trie_end(self) -> dict[int, int]:
+        end = np.flatnonzero(self.trie_token >= 0)
+        return dict(zip(end.tolist(), self.trie_token[end].tolist(), strict=True))
 
     def _pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The place of each pair among the merges, and its rank (``NEVER`` without one)."""
@@ -431,7 +445,7 @@ class ByteBpe:
         return [text[a:b] for a, b in zip(where, where[1:], strict=False)]
 
 
-@lru_cache(2)
+@kept(2)
 def load(path: str) -> ByteBpe:
     """The vocabulary, read once in each Python worker."""
     return ByteBpe(path)

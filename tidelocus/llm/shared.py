@@ -5,15 +5,48 @@ from __future__ import annotations
 import contextlib
 import ctypes
 from collections.abc import Callable, Iterator
-from functools import wraps
+from functools import lru_cache, wraps
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 from ..scratch import delete, exists_now, folder
 from .textbytes import SLICE_BYTES, slices
 
+#: Most bytes of a batch that goes to a Python worker, unless the session says otherwise; Spark's own bound is many times that.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+_KEPT: list[Callable] = []
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let this session's Python workers get texts in batches of bounded bytes: both they and the JVM hold a batch whole."""
+    if BATCH[0] not in spark.conf.getAll:
+        spark.conf.set(*BATCH)
+
+
+def kept(size: int) -> Callable:
+    """``lru_cache`` for what a Python worker keeps between tasks; the first task of ``tidy`` that doesn't use it drops it."""
+
+    def wrap(f: Callable) -> Callable:
+        _KEPT.append(lru_cache(size)(f))
+        return _KEPT[-1]
+
+    return wrap
+
+
+def _calls() -> list[tuple[int, int]]:
+    """How often each function of ``kept`` has been called."""
+    return [f.cache_info()[:2] for f in _KEPT]
+
+
+def _drop_unused(before: list[tuple[int, int]]) -> None:
+    """Drop what the functions of ``kept`` hold that haven't been called since."""
+    for f, a, b in zip(_KEPT, before, _calls(), strict=False):
+        if a == b:
+            f.cache_clear()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: what follows survives lost executors.
 
@@ -38,13 +71,16 @@ def tidy(run: Callable) -> Callable:
     """A task's function of batches that at its end gives the memory it has freed back to the system.
 
     Python workers live on between tasks, beside the executor's JVM, and the C library else keeps what numpy has freed.
+    What earlier tasks have kept (see ``kept``) and this one hasn't used goes with it.
     """
 
     @wraps(run)
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = _calls()
         try:
             yield from run(batches)
         finally:
+            _drop_unused(before)
             pa.default_memory_pool().release_unused()
             with contextlib.suppress(OSError, AttributeError):  # another C library
                 ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -60,6 +96,7 @@ def add_columns(df: DataFrame, ddl: str, make: Callable, text: str | None = "tex
     batches as they come).
     """
     spark = df.sparkSession
+    bound_batches(spark)
     new = spark.createDataFrame([], ddl).schema.fields
     taken = {f.name for f in new}
     base = df.select(*[c for c in df.columns if c not in taken])
