@@ -41,6 +41,7 @@ OTHER, LETTER, DIGIT, SPACE = range(4)
 MAX_WORDS, MAX_BYTES = 300_000, 64 << 20
 LONG = 512
 NEVER = np.int64(1) << 40
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
 #: Characters with Unicode's White_Space property.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: The contractions that the word pattern sets apart.
@@ -197,6 +198,36 @@ class WordTable:
         return out
 
 
+class Places:
+    """The place of keys in an array of distinct ones (not negative), by a hash table with a quarter of its slots in use at most."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift, self.none = np.uint64(64 - bits), len(keys)
+        slot = self._slot(keys)
+        order = np.argsort(slot, kind="stable")
+        step = np.arange(len(keys))
+        at = np.maximum.accumulate(slot[order] - step) + step if len(keys) else step
+        # a free slot follows the last key
+        size = max(1 << bits, int(at.max(initial=0)) + 1) + 1
+        self.keys, self.place = np.full(size, -1, np.int64), np.full(size, self.none, np.int32)
+        self.keys[at], self.place[at] = keys[order], order
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(np.uint64) * _SPREAD >> self.shift).view(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, or the number of keys for one that isn't there."""
+        at = self._slot(keys)
+        held = self.keys[at]
+        left = np.flatnonzero((held != keys) & (held >= 0))
+        while len(left):
+            at[left] += 1
+            held = self.keys[at[left]]
+            left = left[(held != keys[left]) & (held >= 0)]
+        return self.place[at]
+
+
 class ByteBpe:
     """A byte-level BPE vocabulary of the tokenizers library's JSON form."""
 
@@ -228,6 +259,7 @@ class ByteBpe:
             pairs.append((vocab[a] * size + vocab[b], k, made))
         table = np.array(sorted(pairs), np.int64).reshape(-1, 3)
         self.pair_keys, self.pair_rank, self.pair_made = (np.append(table[:, i], NEVER) for i in range(3))
+        self.pair_place = Places(self.pair_keys[:-1])
         self.single = np.array([vocab[bytes([b])] for b in range(256)])
         self._grow_trie(vocab)
         self.table = WordTable(self.encode_words)
@@ -242,6 +274,7 @@ class ByteBpe:
             ends[node] = i
         self.trie_keys = np.array(sorted(step), np.int64)
         self.trie_next = np.array([step[k] for k in self.trie_keys.tolist()], np.int64)
+        self.trie_place = Places(self.trie_keys)
         self.trie_token = np.full(len(step) + 1, -1)
         self.trie_token[list(ends)] = list(ends.values())
 
@@ -263,9 +296,8 @@ class ByteBpe:
 
     def _pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The place of each pair among the merges, and its rank (``NEVER`` without one)."""
-        key = a * self.size + b
-        at = np.searchsorted(self.pair_keys, key)
-        return at, np.where(self.pair_keys[at] == key, self.pair_rank[at], NEVER)
+        at = self.pair_place.find(a * self.size + b)
+        return at, self.pair_rank[at]
 
     def propose(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Greedy longest match: tokens of all words, and the word of each."""
@@ -279,9 +311,8 @@ class ByteBpe:
             best, stop = np.full(len(word), -1), at[word].copy()
             live, node, p = np.arange(len(word)), np.zeros(len(word), np.int64), at[word]
             while len(live):
-                key = node << 8 | data[p]
-                k = np.minimum(np.searchsorted(self.trie_keys, key), len(self.trie_keys) - 1)
-                goes = self.trie_keys[k] == key
+                k = self.trie_place.find(node << 8 | data[p])
+                goes = k < len(self.trie_keys)
                 live, node, p = live[goes], self.trie_next[k[goes]], p[goes] + 1
                 token = self.trie_token[node]
                 whole = token >= 0

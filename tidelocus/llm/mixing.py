@@ -1,21 +1,21 @@
-"""Adaptive context-mixing range coder of id blocks, many blocks side by side in numpy.
+"""Context-mixing range coder of id blocks: predictions of whole blocks, then many blocks side by side in numpy.
 
-Every block begins with an empty model, so blocks are coded and read independently; those of a batch are coded
-in lockstep, one id of each in a step.  Within a block an id is known by its number in order of first occurrence.
-Before each id the model mixes four predictions:
+Every block is coded and read independently.  Within it an id is known by its number among the block's distinct ids in ascending
+order; these and how often each occurs are stored with it.  Before each id three predictions are mixed:
 
-    order 2   the id last seen after the same two ids, with a confidence
-    order 1   the id last seen after the same id, with a confidence
-    order 0   how often each id has occurred in the block (a tree of counts, 64 children a node)
-    none      any id of the vocabulary, for one that the block hasn't had yet
+    order 2   the id last seen after the same two ids, surer if it had come again itself
+    order 1   the id last seen after the same id, likewise
+    order 0   how often each id occurs in the block
 
-Their weights depend on the two confidences and on whether the candidates agree; after each id every weight moves
-toward the share that its prediction had in the id's probability.  The mixed probabilities drive a
-carryless range coder of 64 bits that emits words of 16.  In the range the candidates come first, each with all that the
-predictions give it, then the counts, then new ids.  All arithmetic is exact in integers, but for one division and
-multiplication in doubles, which IEEE 754 rounds alike everywhere, so that any machine reads what another wrote.
+Their weights depend on how sure the first two are.  The encoder knows the whole block, so it finds the
+predictions of all places by sorting them by what came before, and stores as weights how often each prediction came true in each
+of these cases.  What is left in lockstep, one id of each block in a step, is the range coder, and in reading the look-up of the predictions.
 
-A block's bytes: ``MAGIC``, bits of an id (1), version (1), number of ids (4), CRC-32 of the ids as 4-byte numbers (4), code.
+The range coder is carryless, of 64 bits, and emits words of 32.  In the range order 2 comes first, then order 1, then the
+counts.  All arithmetic is exact in integers, so that any machine reads what another wrote.
+
+A block's bytes: ``MAGIC``, bits of an id (1), version (1), number of ids (4), CRC-32 of the ids as 4-byte numbers (4), size of the
+table (4), the table (packed: which cases occur, their weights, steps between distinct ids, counts), code.
 """
 
 from __future__ import annotations
@@ -26,24 +26,20 @@ import zlib
 import numpy as np
 import pandas as pd
 
-MAGIC, VERSION, HEAD = b"TLCM", 1, "<4sBBII"
-#: Most ids of a block: two levels of 64 children.
+MAGIC, VERSION, HEAD = b"TLCM", 2, "<4sBBIII"
+#: Most ids of a block: contexts and numbers have 12 bits.
 BLOCK = 4096
-_TOP, _BOTTOM, _WORD, _EMIT, _SECOND = (np.uint64(x) for x in (1 << 48, 1 << 32, 16, 48, 32))
-_LOW32, _FULL, _ONES, _LAST_BYTE = (np.uint64(x) for x in ((1 << 32) - 1, (1 << 64) - 1, 0x0101010101010101, 56))
-#: A weight moves by 1 / 2 ** RATE of the way; first and least weights by (confidence of order 2, of order 1, agreement).
-RATE = 4
-_START, _LEAST = np.zeros((4, 4, 2, 4), np.int32), np.zeros((4, 4, 2, 4), np.int32)
-for _k2 in range(4):
-    for _k1 in range(4):
-        second, first = (0, 16000, 32000, 48000)[_k2], (0, 6000, 12000, 20000)[_k1]
-        first = first * (65536 - second) // 65536
-        rest = 65536 - second - first
-        _START[_k2, _k1] = second, first, rest * 5 // 8, rest - rest * 5 // 8
-        _LEAST[_k2, _k1] = 200 * (_k2 > 0), 200 * (_k1 > 0), 600, 256
-_START, _LEAST = _START.reshape(-1, 4), _LEAST.reshape(-1, 4)
-#: What an id adds to the sums of its node: one to each child after its own.
-_AFTER = np.array([[j > c for j in range(64)] for c in range(64)], np.uint16)
+#: What the weights of a case add up to, and how many cases there are: (how sure order 2 is, how sure order 1 is), 0 to 2 of 4 each.
+WHOLE, CASES = 256, 16
+#: Bits of a slot of order 2, and how many blocks are planned at once.
+CONTEXT, GROUP = 12, 16
+#: As arrays, which numpy takes faster than Python's numbers.
+_BITS, _CASE_BITS, _NUMBER, _SIZE, _HALF, _NONE, _FACTOR, _SLOT = (np.array(x) for x in (12, 2, BLOCK - 1, BLOCK, 16, 0, 1597, (1 << CONTEXT) - 1))
+_COUNT = np.array(0xFFFF)
+_WORD, _LOW32, _FULL = np.uint64(32), np.uint64((1 << 32) - 1), np.uint64((1 << 64) - 1)
+#: A range that lies in one word's reach gives the word away; a smaller one than the second is cut so that it does.
+_TOP, _BOTTOM = np.uint64(1 << 32), np.uint64(1 << 28)
+_DAMAGED = "a block's ids don't have its checksum"
 
 
 def bits_of(vocabulary: int) -> int:
@@ -51,139 +47,111 @@ def bits_of(vocabulary: int) -> int:
     return max(1, int(vocabulary - 1).bit_length())
 
 
-class Model:
-    """The predictions of ``lanes`` blocks at the same place; ids are numbers within their block."""
+def _context(last: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The slot of order 2 of the two numbers before."""
+    return before * _FACTOR + last & _SLOT
 
-    def __init__(self, lanes: int, bits: int):
-        self.bits, self.seen = bits, 0
-        self.upper, self.lower = np.zeros((lanes, 64), np.uint16), np.zeros((lanes * 64, 64), np.uint16)
-        self.count = np.zeros(lanes * BLOCK, np.uint16)
-        self.slots2, self.slots1 = np.zeros(lanes * BLOCK, np.uint16), np.zeros(lanes * BLOCK, np.uint16)
-        self.weights = np.tile(_START, (lanes, 1))
-        self.known = np.zeros(lanes, np.int64)
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.parts = np.zeros((lanes, 4), np.int32)
-        self.narrow(lanes)
 
-    def narrow(self, lanes: int) -> None:
-        """Go on with the first lanes only."""
-        self.upper, self.known, self.last, self.before, self.parts = (x[:lanes] for x in (self.upper, self.known, self.last, self.before, self.parts))
-        lane = np.arange(lanes)
-        self.own, self.nodes, self.contexts = lane * BLOCK, lane * 64, lane * 32
-
-    def predict(self) -> None:
-        """Candidates, and how the range is shared out: ``total`` in all."""
-        self.at1 = self.own + self.last
-        self.at2 = self.own + ((self.last * 0x9E3779B1 + self.before * 0x85EBCA6B) >> 13 & BLOCK - 1)
-        self.s2, self.s1 = self.slots2[self.at2].astype(np.int64), self.slots1[self.at1].astype(np.int64)
-        self.c2, self.c1, self.k2, self.k1 = self.s2 >> 2, self.s1 >> 2, self.s2 & 3, self.s1 & 3
-        self.sure2, self.sure1 = self.k2 > 0, self.k1 > 0
-        self.agree = (self.c2 == self.c1) & self.sure2 & self.sure1
-        self.context = (self.k2 << 3) + (self.k1 << 1) + self.agree
-        self.row = self.contexts + self.context
-        self.share = self.weights[self.row]
-        wide = self.share << 8
-        self.m2, self.m1 = wide[:, 0], wide[:, 1]
-        self.each = wide[:, 2] // max(self.seen, 1)
-        self.any = np.maximum(wide[:, 3] >> self.bits, 1)
-        same2, same1 = self.each * self.count[self.own + self.c2] * self.sure2, self.each * self.count[self.own + self.c1] * self.sure1
-        self.head = same2 + self.m2 + self.m1 * self.agree
-        self.second = self.head + (same1 + self.m1) * ~self.agree
-        self.table = self.second + self.each * self.seen
-        self.total = self.table + (self.any << self.bits)
-
-    def interval(self, number: np.ndarray, new: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the id's part of the range begins, and its size."""
-        self.leaf = self.nodes + (number >> 6)
-        below = self.upper.ravel()[self.leaf] + self.lower.ravel()[self.own + number].astype(np.int32)
-        self._held(number, new)
-        # a candidate that hasn't been seen can't be meant: slots of confidence 0 hold none
-        begin = self.second + self.each * below
-        size = self.each * self.same
-        other = new | self.hit1 | self.hit2
-        if other.any():
-            first, fresh = self.hit1 & ~self.hit2, np.flatnonzero(new)
-            begin *= ~other
-            begin += self.head * first
-            size *= ~other
-            size += self.head * self.hit2 + (self.second - self.head) * first
-            begin[fresh] = self.table[fresh] + self.any[fresh] * ids[fresh].astype(np.int32)
-            size[fresh] = self.any[fresh]
-        return begin, size
-
-    def _held(self, number: np.ndarray, new: np.ndarray) -> None:
-        old = ~new
-        self.new, self.number = new, number
-        self.hit2, self.hit1 = (number == self.c2) & self.sure2, (number == self.c1) & self.sure1
-        self.hit2 &= old
-        self.hit1 &= old
-        self.place = self.own + number
-        self.same = self.count[self.place]
-
-    def find(self, target: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The id whose part of the range holds ``target``, as its number, where the part begins, and its size; ``ids`` learns new ones."""
-        in2, new = target < self.head, target >= self.table
-        in1 = (target < self.second) & ~in2
-        u = np.clip((target - self.second) // self.each, 0, max(self.seen - 1, 0)).astype(np.uint16)
-        node = self._child(self.upper, u)
-        self.leaf = self.nodes + node
-        u -= self.upper.ravel()[self.leaf]
-        sums = self.lower[self.leaf]
-        child = self._child(sums, u)
-        number = (node << 6) + child
-        begin = self.second + self.each * (self.upper.ravel()[self.leaf] + sums.ravel()[self.nodes + child].astype(np.int32))
-        other = np.flatnonzero(in2 | in1 | new)
-        if len(other):
-            number[other] = (self.c2 * in2 + self.c1 * in1 + self.known * new)[other]
-            self.leaf[other] = self.nodes[other] + (number[other] >> 6)
-        self._held(number, new)
-        size = self.each * self.same
-        if len(other):
-            a, b, c = in2[other], in1[other], new[other]
-            # a hit of the first that agrees with the second is in ``head``
-            offset = (target - self.table)[other] // self.any[other]
-            offset *= c
-            begin[other] = self.head[other] * b + (self.table[other] + self.any[other] * offset) * c
-            size[other] = self.head[other] * a + (self.second - self.head)[other] * b + self.any[other] * c
-            fresh = other[c]
-            ids[self.place[fresh]] = offset[c]
-        return number, begin, size
-
-    @staticmethod
-    def _child(sums: np.ndarray, u: np.ndarray) -> np.ndarray:
-        """The last child whose sum isn't beyond u."""
-        ones = np.bitwise_count((sums <= u[:, None]).view(np.uint64)).view(np.uint64)[:, 0]
-        return ((ones * _ONES) >> _LAST_BYTE).astype(np.int64) - 1
-
-    def learn(self) -> None:
-        """Go on to the next place."""
-        number = self.number
-        self.upper += _AFTER[number >> 6]
-        self.lower[self.leaf] += _AFTER[number & 63]
-        self.count[self.place] = self.same + np.uint16(1)
-        parts = self.parts
-        np.multiply(self.m2, self.hit2, out=parts[:, 0])
-        np.multiply(self.m1, self.hit1, out=parts[:, 1])
-        np.multiply(self.each, self.same, out=parts[:, 2])
-        np.multiply(self.any, self.new, out=parts[:, 3])
-        whole = parts[:, 0] + parts[:, 1] + parts[:, 2] + parts[:, 3]
-        part = (parts * (65536.0 / whole)[:, None]).astype(np.int32)
-        part -= self.share
-        part >>= RATE
-        part += self.share
-        self.weights[self.row] = np.maximum(part, _LEAST[self.context])
-        own = (number << 2) + 1
-        for table, at, slot, sure, hit in ((self.slots2, self.at2, self.s2, self.k2, self.hit2), (self.slots1, self.at1, self.s1, self.k1, self.hit1)):
-            # a hit makes surer up to 3, a miss less sure, and the second miss gives way
-            kept = slot + (hit & (sure < 3)) - ~hit
-            gone = ~hit & (sure < 2)
-            table[at] = kept + (own - kept) * gone
-        self.known += self.new
-        self.before, self.last = self.last, number
-        self.seen += 1
+def _followers(context: np.ndarray, number: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """At each place: how sure is what came last after the same context, and whether it comes again.
+
+    Sure is 0 if nothing has come, 2 if what came last had come again itself, else 1.  A number that nothing points to yet counts as 0.
+    """
+    keys = context << 32
+    keys |= place
+    keys |= number
+    keys.sort()
+    after = keys & 0xFFFF
+    same = np.zeros(len(keys), bool)
+    np.less(keys[1:] ^ keys[:-1], 1 << 32, out=same[1:])
+    guess = np.zeros(len(keys), np.int64)
+    np.multiply(after[:-1], same[1:], out=guess[1:])
+    hit = after == guess
+    found = same.astype(np.uint8) << 1
+    found[1:] += (same[1:] & hit[:-1]).view(np.uint8) << 1
+    found |= (hit & same).view(np.uint8)
+    keys >>= 16
+    keys &= 0xFFFF
+    out = np.empty(len(keys), np.uint8)
+    out[keys] = found
+    return out >> 1, (out & 1).view(bool)
 
 
-def _steps(sizes: np.ndarray):
+def _planned(blocks: list[np.ndarray]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The tables of up to ``GROUP`` blocks, and of their ids, one after another, where the part of the range begins and its size.
+
+    The range has ``WHOLE`` times as many parts as the block has ids.
+    """
+    sizes = np.array([len(b) for b in blocks])
+    first = np.cumsum(sizes) - sizes
+    block = np.arange(len(blocks)).repeat(sizes)
+    n, place = len(block), np.arange(len(block)) << 16
+    # numbers: places sorted by block and id
+    keys = np.concatenate(blocks).astype(np.int64) << 16
+    keys |= block << 48
+    keys |= place >> 16
+    keys.sort()
+    new = np.ones(n, bool)
+    np.not_equal(keys[1:] >> 16, keys[:-1] >> 16, out=new[1:])
+    lead = np.flatnonzero(new)
+    own = keys[lead] >> 48
+    distinct = keys[lead] >> 16 & 0xFFFFFFFF
+    count, start = np.diff(np.append(lead, n)), lead - first[own]
+    ends = np.searchsorted(own, np.arange(len(blocks) + 1))
+    of = np.empty(n, np.int64)
+    of[keys & 0xFFFF] = np.cumsum(new) - 1
+    number = of - ends[block]
+    last, before = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    last[1:], before[2:] = number[:-1], number[:-2]
+    last[first] = before[first] = 0
+    before[first[sizes > 1] + 1] = 0
+    shifted = block << CONTEXT
+    sure2, hit2 = _followers(shifted + _context(last, before), number, place)
+    sure1, hit1 = _followers((block << 12) + last, number, place)
+    case = (sure2 << 4) + (sure1 << 2) + np.where(hit2, np.uint8(0), np.uint8(2) - hit1.view(np.uint8))
+    row = block * (4 * CASES) + case
+    tally = np.bincount(row, minlength=4 * CASES * len(blocks)).reshape(-1, CASES, 4)[:, :, :3]
+    whole = tally.sum(2)
+    weight = np.zeros((len(blocks), CASES, 3), np.int64)
+    # what has come true has a weight of 1 at least, and order 0 always has one
+    weight[:, :, :2] = np.maximum((WHOLE - 3) * tally[:, :, :2] // np.maximum(whole, 1)[:, :, None], tally[:, :, :2] > 0)
+    weight[:, :, 2] = WHOLE - weight[:, :, 0] - weight[:, :, 1]
+    used, small = whole > 0, weight[:, :, :2].astype(np.uint8)
+    steps = distinct.copy()
+    steps[1:] -= distinct[:-1]
+    steps[ends[:-1]] = distinct[ends[:-1]]
+    planes = [x.astype(f"<u{size}").view(np.uint8).reshape(-1, size)[:, k].tobytes() for x, size in ((steps, 4), (count, 2)) for k in range(size)]
+    at = ends.tolist()
+    tables = [zlib.compress(b"".join((np.packbits(used[k]).tobytes(), small[k][used[k]].tobytes(), *(x[at[k] : at[k + 1]] for x in planes))), 1) for k in range(len(blocks))]
+    # by case and kind: where the part begins, its size, and how often the id's own counts are added to both
+    base, fixed, each = np.zeros((3, len(blocks), CASES, 4), np.int64)
+    scale = sizes[:, None]
+    base[:, :, 1], base[:, :, 2] = weight[:, :, 0] * scale, (weight[:, :, 0] + weight[:, :, 1]) * scale
+    fixed[:, :, :2], each[:, :, 2] = weight[:, :, :2] * scale[:, :, None], weight[:, :, 2]
+    times = each.ravel()[row]
+    return tables, base.ravel()[row] + times * start[of], fixed.ravel()[row] + times * count[of]
+
+
+def _table(packed: bytes, n: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Weights of all cases, distinct ids and counts of a block."""
+    try:
+        raw = np.frombuffer(zlib.decompress(packed), np.uint8)
+        used = np.unpackbits(raw[: CASES // 8]).view(bool)
+        at = CASES // 8 + 2 * int(used.sum())
+        weight = np.zeros((CASES, 3), np.int64)
+        weight[used, :2] = raw[CASES // 8 : at].reshape(-1, 2)
+        to = at + (len(raw) - at) // 6 * 4
+        steps, count = np.ascontiguousarray(raw[at:to].reshape(4, -1).T).view("<u4")[:, 0], np.ascontiguousarray(raw[to:].reshape(2, -1).T).view("<u2")[:, 0]
+    except (zlib.error, ValueError, IndexError) as e:
+        raise ValueError(_DAMAGED) from e
+    weight[:, 2] = WHOLE - weight[:, 0] - weight[:, 1]
+    distinct = np.cumsum(steps, dtype=np.int64)
+    if int(count.sum(dtype=np.int64)) != n or (weight[:, 2] < 1).any() or int(distinct[-1]) >> bits:
+        raise ValueError(_DAMAGED)
+    return weight, distinct, count
+
+
+def _spans(sizes: np.ndarray):
     """(first step, last step, lanes at work) of blocks in order of falling size."""
     at = 0
     for end in np.unique(sizes).tolist():
@@ -192,13 +160,25 @@ def _steps(sizes: np.ndarray):
             at = end
 
 
-def _narrowed(low: np.ndarray, width: np.ndarray, live: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Of all lanes, or of those in ``live``: which give away their first word, and which of these have to cut their range for it."""
-    some_low, some = (low, width) if live is None else (low[live], width[live])
-    ready = (some_low ^ (some_low + some)) < _TOP
-    go = np.flatnonzero(ready | (some < _BOTTOM))
-    cut = go[~ready[go]]
-    return (go, cut) if live is None else (live[go], live[cut])
+def _parts(sizes: np.ndarray):
+    """How many parts the range has in each lane: one number if all have as many, which numpy divides by much faster."""
+    all_ = (sizes * WHOLE).astype(np.uint64)
+    return all_[0] if (all_ == all_[0]).all() else all_
+
+
+def _given(low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lanes that give away a word, and their ``low`` before; none has a second word to give."""
+    some = np.flatnonzero(width < _TOP)
+    moved, range_ = low[some], width[some]
+    close = (moved ^ (moved + range_)) < _TOP
+    go = close | (range_ < _BOTTOM)
+    if not go.all():
+        some, moved, range_, close = some[go], moved[go], range_[go], close[go]
+    if not close.all():
+        range_ = np.where(close, range_, (np.uint64(0) - moved) & _LOW32)
+    low[some] = moved << _WORD
+    width[some] = range_ << _WORD
+    return some, moved
 
 
 def encode_blocks(blocks: list[np.ndarray], bits: int) -> list[bytes]:
@@ -211,106 +191,150 @@ def encode_blocks(blocks: list[np.ndarray], bits: int) -> list[bytes]:
     n, most = len(blocks), int(falling[0])
     if most > BLOCK:
         raise ValueError("a block has too many ids")
-    ids, numbers, new = np.zeros((n, most), np.uint32), np.zeros((n, most), np.uint16), np.zeros((n, most), bool)
-    for lane, b in enumerate(order.tolist()):
-        size, own = sizes[b], np.asarray(blocks[b])
-        if size and (own.min() < 0 or int(own.max()) >> bits):
+    falling_blocks = [np.asarray(blocks[b]) for b in order.tolist()]
+    begins, widths = np.zeros((n, most), np.uint32), np.zeros((n, most), np.uint32)
+    tables = [b""] * n
+    for base in range(0, int((falling > 0).sum()), GROUP):
+        some = [b for b in falling_blocks[base : base + GROUP] if len(b)]
+        if any(b.min() < 0 or int(b.max()) >> bits for b in some):
             raise ValueError("an id is outside the vocabulary")
-        ids[lane, :size] = own
-        codes, _ = pd.factorize(own)
-        numbers[lane, :size] = codes
-        new[lane, :size] = np.diff(np.maximum.accumulate(codes), prepend=-1) > 0
-    ids, numbers, new = (np.ascontiguousarray(x.T) for x in (ids, numbers, new))
-    model = Model(n, bits)
-    out = np.zeros((2 * most + 8, n), np.uint16)
+        tables[base : base + len(some)], begin, size = _planned(some)
+        at = 0
+        for lane, b in enumerate(some, base):
+            begins[lane, : len(b)], widths[lane, : len(b)] = begin[at : at + len(b)], size[at : at + len(b)]
+            at += len(b)
+    begins, widths = np.ascontiguousarray(begins.T), np.ascontiguousarray(widths.T)
+    out = np.zeros((most + 2, n), np.uint32)
     flat, used = out.ravel(), np.zeros(n, np.int64)
     low_all, range_all = np.zeros(n, np.uint64), np.full(n, _FULL)
-    for first, last, lanes in _steps(falling):
-        model.narrow(lanes)
-        low, width, place = low_all[:lanes], range_all[:lanes], used[:lanes]
+    for first, last, lanes in _spans(falling):
+        low, width, place, parts = low_all[:lanes], range_all[:lanes], used[:lanes], _parts(falling[:lanes])
         for t in range(first, last):
-            model.predict()
-            begin, size = model.interval(numbers[t, :lanes].astype(np.int64), new[t, :lanes], ids[t, :lanes])
-            part = width // model.total.astype(np.uint64)
-            low += part * begin.astype(np.uint64)
-            np.multiply(part, size.astype(np.uint64), out=width)
-            live = None
-            while True:
-                live, cut = _narrowed(low, width, live)
-                if not len(live):
-                    break
-                if len(cut):
-                    width[cut] = (np.uint64(0) - low[cut]) & _LOW32
-                moved = low[live]
-                flat[place[live] * n + live] = moved >> _EMIT
-                place[live] += 1
-                low[live] = moved << _WORD
-                width[live] <<= _WORD
-            model.learn()
-    end = (low_all + _LOW32) & ~_LOW32
+            part = width // parts
+            low += part * begins[t, :lanes]
+            np.multiply(part, widths[t, :lanes], out=width)
+            go, moved = _given(low, width)
+            to = place[go]
+            flat[to * n + go] = moved >> _WORD
+            place[go] = to + 1
     lane = np.arange(n)
-    flat[used * n + lane] = end >> _EMIT
-    flat[(used + 1) * n + lane] = (end >> _SECOND) & np.uint64(0xFFFF)
+    flat[used * n + lane] = low_all >> _WORD
+    flat[(used + 1) * n + lane] = low_all & _LOW32
     results: list[bytes] = [b""] * n
-    code = np.ascontiguousarray(out.T.astype("<u2"))
+    code = np.ascontiguousarray(out.T.astype("<u4"))
     for lane, b in enumerate(order.tolist()):
-        head = struct.pack(HEAD, MAGIC, bits, VERSION, int(sizes[b]), zlib.crc32(np.asarray(blocks[b]).astype("<u4").tobytes()))
-        results[b] = head + code[lane, : used[lane] + 2].tobytes()
+        head = struct.pack(HEAD, MAGIC, bits, VERSION, int(sizes[b]), zlib.crc32(np.asarray(blocks[b]).astype("<u4").tobytes()), len(tables[lane]))
+        results[b] = head + tables[lane] + code[lane, : used[lane] + 2].tobytes()
     return results
 
 
+class Reader:
+    """The predictions of ``lanes`` blocks at the same place."""
+
+    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray, np.ndarray]], sizes: np.ndarray):
+        lanes = len(tables)
+        # lanes don't lie at multiples of a power of two, which would share few places of the processor's caches
+        each = np.array([len(count) for _, _, count in tables]) + 1
+        self.numbers = np.cumsum(each) - each
+        self.places, self.contexts = np.arange(lanes) * (BLOCK + 96), np.arange(lanes) * ((1 << CONTEXT) + 96)
+        # by count: the id's number; by number: where its counts begin, and how many; by context: number + BLOCK * sure
+        self.slots, self.slots2 = np.zeros(lanes * (BLOCK + 96), np.uint16), np.zeros(lanes * ((1 << CONTEXT) + 96), np.uint16)
+        self.held, self.slots1 = np.zeros(each.sum(), np.uint32), np.zeros(each.sum(), np.uint16)
+        weight = np.zeros((lanes, CASES, 3), np.int64)
+        for lane, (own, _, count) in enumerate(tables):
+            self.slots[self.places[lane] : self.places[lane] + sizes[lane]] = np.arange(len(count), dtype=np.uint16).repeat(count)
+            self.held[self.numbers[lane] : self.numbers[lane] + len(count)] = np.cumsum(count) - count << 16 | count
+            weight[lane] = own
+        ends = np.cumsum(weight[:, :, :2], 2) * sizes[:, None, None]
+        self.end2, self.end1, self.each = (np.ascontiguousarray(x).ravel() for x in (ends[:, :, 0], ends[:, :, 1], weight[:, :, 2]))
+        self.cases = np.arange(lanes) * CASES
+        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+
+    def narrow(self, lanes: int) -> None:
+        """Go on with the first lanes only."""
+        self.numbers, self.places, self.contexts, self.cases, self.last, self.before = (x[:lanes] for x in (self.numbers, self.places, self.contexts, self.cases, self.last, self.before))
+
+    def find(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The number whose part of the range holds ``target``, where the part begins, and its size; then go on to the next place."""
+        at2 = _context(self.last, self.before)
+        at2 += self.contexts
+        at1 = self.numbers + self.last
+        s2, s1 = self.slots2[at2].astype(np.int64), self.slots1[at1].astype(np.int64)
+        row = s2 >> _BITS
+        row <<= _CASE_BITS
+        row += s1 >> _BITS
+        row += self.cases
+        s2 &= _NUMBER
+        s1 &= _NUMBER
+        end2, end1, each = self.end2[row], self.end1[row], self.each[row]
+        in2, in1 = target < end2, target < end1
+        # beside the counts the quotient means nothing; it is at most the number of ids less one
+        rest = target - end1
+        rest //= each
+        np.maximum(rest, _NONE, out=rest)
+        rest += self.places
+        number = self.slots[rest].astype(np.int64)
+        held = self.held[number + self.numbers].astype(np.int64)
+        size = held & _COUNT
+        size *= each
+        held >>= _HALF
+        held *= each
+        held += end1
+        for to, first, second in ((number, s1, s2), (held, end2, _NONE), (size, end1 - end2, end2)):
+            np.copyto(to, first, where=in1)
+            np.copyto(to, second, where=in2)
+        own = number + _SIZE
+        self.slots2[at2] = own + (number == s2) * _SIZE
+        self.slots1[at1] = own + (number == s1) * _SIZE
+        self.before, self.last = self.last, number
+        return number, held, size
+
+
 def decode_blocks(coded: list[bytes]) -> list[np.ndarray]:
     """The ids of each block, as 4-byte numbers; a block that isn't whole raises an error."""
     if not coded:
         return []
     skip = struct.calcsize(HEAD)
-    heads = [struct.unpack(HEAD, c[:skip]) if len(c) >= skip else (b"",) * 5 for c in coded]
+    heads = [struct.unpack(HEAD, c[:skip]) if len(c) >= skip else (b"",) * 6 for c in coded]
     if any(h[0] != MAGIC or h[2] != VERSION or h[1] != heads[0][1] or h[3] > BLOCK for h in heads):
         raise ValueError("not blocks of ids of this version")
-    bits, sizes = heads[0][1], np.array([h[3] for h in heads])
+    sizes = np.array([h[3] for h in heads])
     order = np.argsort(-sizes, kind="stable")
-    falling = sizes[order]
-    n, most = len(coded), int(falling[0])
-    words = np.zeros((n, max(len(c) for c in coded) // 2 + 8), np.uint16)
-    for lane, b in enumerate(order.tolist()):
-        held = np.frombuffer(coded[b], "<u2", (len(coded[b]) - skip) // 2, skip)
-        words[lane, : len(held)] = held
-    words = np.ascontiguousarray(words.T)
-    flat, last_word = words.ravel(), len(words) - 1
-    model = Model(n, bits)
-    held_ids, numbers = np.zeros(n * BLOCK, np.uint32), np.zeros((most, n), np.uint16)
-    low_all, range_all = np.zeros(n, np.uint64), np.full(n, _FULL)
-    code_all = words[0].astype(np.uint64)
-    for k in range(1, 4):
-        code_all = code_all << _WORD | words[k]
-    used = np.full(n, 4, np.int64)
-    for first, last, lanes in _steps(falling):
-        model.narrow(lanes)
-        low, width, place, code = low_all[:lanes], range_all[:lanes], used[:lanes], code_all[:lanes]
-        for t in range(first, last):
-            model.predict()
-            part = width // model.total.astype(np.uint64)
-            target = np.minimum((code - low) // part, (model.total - 1).astype(np.uint64)).astype(np.int32)
-            numbers[t, :lanes], begin, size = model.find(target, held_ids)
-            low += part * begin.astype(np.uint64)
-            np.multiply(part, size.astype(np.uint64), out=width)
-            live = None
-            while True:
-                live, cut = _narrowed(low, width, live)
-                if not len(live):
-                    break
-                if len(cut):
-                    width[cut] = (np.uint64(0) - low[cut]) & _LOW32
-                low[live] <<= _WORD
-                width[live] <<= _WORD
-                code[live] = code[live] << _WORD | flat[np.minimum(place[live], last_word) * n + live]
-                place[live] += 1
-            model.learn()
-    results: list[np.ndarray] = [np.zeros(0, np.uint32)] * n
-    numbers = np.ascontiguousarray(numbers.T)
-    for lane, b in enumerate(order.tolist()):
-        ids = held_ids[lane * BLOCK : (lane + 1) * BLOCK][numbers[lane, : sizes[b]]]
-        if zlib.crc32(ids.astype("<u4").tobytes()) != heads[b][4]:
-            raise ValueError("a block's ids don't have its checksum")
-        results[b] = ids
+    order = order[sizes[order] > 0]
+    results: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(coded)
+    if len(order):
+        falling = sizes[order]
+        n, most = len(order), int(falling[0])
+        tables = [_table(coded[b][skip : skip + heads[b][5]], int(sizes[b]), heads[b][1]) for b in order.tolist()]
+        words = np.zeros((n, max(len(c) for c in coded) // 4 + 3), np.uint32)
+        for lane, b in enumerate(order.tolist()):
+            from_ = skip + heads[b][5]
+            held = np.frombuffer(coded[b], "<u4", (len(coded[b]) - from_) // 4, from_)
+            words[lane, : len(held)] = held
+        words = np.ascontiguousarray(words.T)
+        flat, last_word = words.ravel(), len(words) - 1
+        reader, numbers = Reader(tables, falling), np.zeros((most, n), np.uint16)
+        low_all, range_all = np.zeros(n, np.uint64), np.full(n, _FULL)
+        code_all = words[0].astype(np.uint64) << _WORD | words[1]
+        used = np.full(n, 2, np.int64)
+        for first, last, lanes in _spans(falling):
+            reader.narrow(lanes)
+            low, width, place, code, parts = low_all[:lanes], range_all[:lanes], used[:lanes], code_all[:lanes], _parts(falling[:lanes])
+            most_ = parts - np.uint64(1)
+            for t in range(first, last):
+                part = width // parts
+                target = np.minimum((code - low) // part, most_).view(np.int64)
+                numbers[t, :lanes], begin, size = reader.find(target)
+                low += part * begin.view(np.uint64)
+                np.multiply(part, size.view(np.uint64), out=width)
+                go, _ = _given(low, width)
+                to = place[go]
+                code[go] = code[go] << _WORD | flat[np.minimum(to, last_word) * n + go]
+                place[go] = to + 1
+        numbers = np.ascontiguousarray(numbers.T)
+        for lane, b in enumerate(order.tolist()):
+            results[b] = tables[lane][1][numbers[lane, : sizes[b]]].astype(np.uint32)
+    for ids, head in zip(results, heads, strict=True):
+        if zlib.crc32(ids.astype("<u4").tobytes()) != head[4]:
+            raise ValueError(_DAMAGED)
     return results
