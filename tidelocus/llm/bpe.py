@@ -8,8 +8,8 @@ For a batch of texts, in numpy:
    vocabulary proposes tokens.  A proposal is the true encoding if every adjacent pair of tokens is
    compatible: stepping back through the merges that made both, no pair of symbols that stood
    side by side at some time had a merge of its own at that time.
-3. Only words with an incompatible pair are merged exactly, lowest rank first.
-4. A table from word to tokens, at most ``MAX_WORDS`` words of ``MAX_BYTES`` bytes (then it starts anew; only
+3. Only words with an incompatible pair are merged exactly, lowest rank first, side by side in a grid of a column a word.
+4. A table from word to tokens, at most ``MAX_TOKEN_WORDS`` words of ``MAX_BYTES`` bytes (then it starts anew; only
    speed depends on it), turns the words of the batch into ids by one gather.
 
 Words of more than ``LONG`` bytes take the same steps one by one, their merges from a heap of pairs, so that
@@ -35,13 +35,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .shared import add_columns, kept, keeps_columns
-from .textbytes import SHORT, flat, gather, packed, packed_hash
+from .textbytes import SHORT, flat, gather, packed
 
 OTHER, LETTER, DIGIT, SPACE = range(4)
-MAX_WORDS, MAX_BYTES = 300_000, 64 << 20
-LONG = 512
+MAX_WORDS, MAX_TOKEN_WORDS, MAX_BYTES = 300_000, 1_000_000, 64 << 20
+LONG_BITS = 9
+LONG = 1 << LONG_BITS
 NEVER = np.int64(1) << 40
-_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_SPREAD, _SPREAD_HIGH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_HALF, _TOP_BYTE = np.uint64(32), np.uint64(56)
 #: Characters with Unicode's White_Space property.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: The contractions that the word pattern sets apart.
@@ -125,11 +127,16 @@ def words(data: np.ndarray, offsets: np.ndarray, special: tuple[bytes, ...] = ()
     return starts, ends, np.searchsorted(starts, offsets), {int(np.searchsorted(starts, at[a])): k for a, _, k in marks}
 
 
+def _longer(values: np.ndarray, least: int) -> np.ndarray:
+    """The values and zeros after them, at least so many in all."""
+    return np.append(values, np.zeros(max(least - len(values), len(values)), values.dtype))
+
+
 class WordTable:
     """Values (arrays of ints) of words, learned as they come; ``learn(list of bytes) -> (flat, lengths)``.
 
-    Words are told apart by their bytes: short ones by their packed bytes, which a digest only finds, and longer
-    ones (and a short one whose digest another word has) as keys of a dictionary.
+    Words are told apart by their bytes: short ones by their packed bytes and size, which a table of open addressing
+    holds, and longer ones as keys of a dictionary.
     """
 
     def __init__(self, learn):
@@ -137,67 +144,120 @@ class WordTable:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
         self.exact: dict[bytes, int] = {}
         self.count, self.bytes = 0, 0
         self.values, self.used = np.zeros(1 << 16, np.int32), 0
-        self.start, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.low, self.high, self.long = (np.zeros(1 << 16, kind) for kind in (np.uint64, np.uint64, np.int64))
+        self.start, self.size = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+        # free slots hold -1; the last place of the keys stays zero, which no word's key is
+        self.low, self.high = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.uint64)
+        self.slots, self.shift = np.full(1 << 18, -1, np.int32), np.uint64(64 - 18)
+
+    def _no_room(self) -> bool:
+        return self.count > MAX_WORDS or self.bytes > MAX_BYTES
 
-    def _add(self, new: list[bytes]) -> np.ndarray:
+    def _taught(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        text = data.tobytes()
+        return self.learn([text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+
+    def _add(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Learn words, and the indices they get."""
-        flat_values, lengths = self.learn(new)
+        flat_values, lengths = self._taught(data, starts, ends)
         base = self.count
-        self.count += len(new)
-        self.bytes += sum(map(len, new))
-        while self.used + len(flat_values) > len(self.values):
-            self.values = np.resize(self.values, 2 * len(self.values))
-        while self.count > len(self.start):
-            self.start, self.size = np.resize(self.start, 2 * len(self.start)), np.resize(self.size, 2 * len(self.size))
-            self.low, self.high, self.long = (np.resize(x, 2 * len(x)) for x in (self.low, self.high, self.long))
+        self.count += len(starts)
+        self.bytes += int((ends - starts).sum())
+        if self.used + len(flat_values) > len(self.values):
+            self.values = _longer(self.values, self.used + len(flat_values))
+        if self.count >= len(self.start):
+            self.start, self.size, self.low, self.high = (_longer(x, self.count + 1) for x in (self.start, self.size, self.low, self.high))
         self.values[self.used : self.used + len(flat_values)] = flat_values
         self.size[base : self.count] = lengths
         self.start[base : self.count] = self.used + np.cumsum(lengths) - lengths
         self.used += len(flat_values)
         return np.arange(base, self.count)
 
+    def _place(self, at: np.ndarray, index: np.ndarray) -> None:
+        """Give each index the first free slot from ``at`` on."""
+        last = len(self.slots) - 1
+        while len(at):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = index[free]
+            left = self.slots[at] != index
+            at, index = at[left] + 1 & last, index[left]
+
+    def _hold(self, low: np.ndarray, high: np.ndarray, index: np.ndarray) -> None:
+        """Enter keys that aren't in the table yet."""
+        self.low[index], self.high[index] = low, high
+        if 4 * self.count > len(self.slots):
+            while 4 * self.count > len(self.slots):
+                self.slots, self.shift = np.full(2 * len(self.slots), -1, np.int32), self.shift - np.uint64(1)
+            index = np.flatnonzero(self.high[: self.count])
+            low, high = self.low[index], self.high[index]
+        self._place(self._slot(low, high), index)
+
+    def _slot(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        spread = high * _SPREAD_HIGH
+        spread ^= spread >> _HALF
+        spread += low
+        spread *= _SPREAD
+        spread ^= spread >> _HALF
+        spread *= _SPREAD
+        spread >>= self.shift
+        return spread.view(np.int64)
+
+    def _find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The index of each key, or -1."""
+        last, at = len(self.slots) - 1, self._slot(low, high)
+        out = self.slots[at]
+        left = np.flatnonzero((self.low[out] != low) | (self.high[out] != high))
+        left = left[out[left] >= 0]
+        at = at[left]
+        while len(left):
+            at = at + 1 & last
+            held = self.slots[at]
+            out[left] = held
+            more = (held >= 0) & ((self.low[held] != low[left]) | (self.high[held] != high[left]))
+            left, at = left[more], at[more]
+        return out
+
     def look_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The index of each word, after learning the new ones."""
-        if self.count > MAX_WORDS or self.bytes > MAX_BYTES:
+        if self._no_room():
             self.clear()
         size = ends - starts
         low, high = packed(data, starts, ends)
-        out = np.full(len(starts), -1, np.int64)
-        short = np.flatnonzero(size <= SHORT)
-        if len(short) < len(size):
-            low, high, size = low[short], high[short], size[short]
-        codes, distinct = pd.factorize(packed_hash(low, high, size))
-        lead = np.empty(len(distinct), np.int64)
-        lead[codes[::-1]] = np.arange(len(codes))[::-1]
-        get = self.known.get
-        index = np.array([get(h, -1) for h in distinct.tolist()], np.int64)
-        new = np.flatnonzero(index < 0)
-        if len(new):
-            text, first = data.tobytes(), lead[new]
-            where = short[first]
-            index[new] = self._add([text[a:b] for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)])
-            self.known.update(zip(distinct[new].tolist(), index[new].tolist(), strict=True))
-            self.low[index[new]], self.high[index[new]], self.long[index[new]] = low[first], high[first], size[first]
-        if len(short):
-            of = index[codes]
-            same = (self.low[of] == low) & (self.high[of] == high) & (self.long[of] == size)
-            out[short[same]] = of[same]
-        rest = np.flatnonzero(out < 0)
-        if len(rest):
+        # the highest byte is free in a short word, and tells its size
+        high |= (size + 1).astype(np.uint64) << _TOP_BYTE
+        far = np.flatnonzero(size >= SHORT)
+        out = self._find(low, high)
+        out[far] = 0
+        new = np.flatnonzero(out < 0)
+        while len(new):
+            # the first of each of these keys' hashes; of several keys with one hash the others are left to the next round
+            lead = new[np.sort(np.unique(low[new] * _SPREAD + high[new] * _SPREAD_HIGH, return_index=True)[1])]
+            self._hold(low[lead], high[lead], self._add(data, starts[lead], ends[lead]))
+            out[new] = self._find(low[new], high[new])
+            new = new[out[new] < 0]
+        if len(far):
             text = data.tobytes()
-            whole = [text[a:b] for a, b in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True)]
-            fresh = list(dict.fromkeys(w for w in whole if w not in self.exact))
+            whole = [text[a:b] for a, b in zip(starts[far].tolist(), ends[far].tolist(), strict=True)]
+            fresh = {w: k for k, w in zip(far[::-1].tolist(), whole[::-1], strict=True) if w not in self.exact}
             if fresh:
-                self.exact.update(zip(fresh, self._add(fresh).tolist(), strict=True))
-            out[rest] = [self.exact[w] for w in whole]
+                lead = np.array(sorted(fresh.values()))
+                self.exact.update(zip(sorted(fresh, key=fresh.__getitem__), self._add(data, starts[lead], ends[lead]).tolist(), strict=True))
+            out[far] = [self.exact[w] for w in whole]
         return out
 
 
+class TokenTable(WordTable):
+    """Tokens of words, at most ``MAX_TOKEN_WORDS`` of some 60 bytes each; ``learn(bytes, n + 1 offsets) -> (flat, lengths)``."""
+
+    def _no_room(self) -> bool:
+        return self.count > MAX_TOKEN_WORDS or self.bytes > MAX_BYTES
+
+    def _taught(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.learn(*gather(data, starts, ends - starts))
+
+
 class Places:
     """The place of keys in an array of distinct ones (not negative), by a hash table with a quarter of its slots in use at most."""
 
@@ -261,8 +321,14 @@ class ByteBpe:
         self.pair_keys, self.pair_rank, self.pair_made = (np.append(table[:, i], NEVER) for i in range(3))
         self.pair_place = Places(self.pair_keys[:-1])
         self.single = np.array([vocab[bytes([b])] for b in range(256)])
+        # ranks with room for a row; without a merge all bits
+        kind = np.int32 if len(pairs) < 1 << 31 - LONG_BITS else np.int64
+        self.pair_first = np.append(self.pair_rank[:-1] << LONG_BITS, np.iinfo(kind).max).astype(kind)
+        self.byte_first = self.pair_first[self.pair_place.find((self.single[:, None] * size + self.single).ravel())]
+        self.rank_made = np.zeros(len(model["merges"]), np.int64)
+        self.rank_made[self.pair_rank[:-1]] = self.pair_made[:-1]
         self._grow_trie(vocab)
-        self.table = WordTable(self.encode_words)
+        self.table = TokenTable(self.encode_words)
 
     def _grow_trie(self, vocab: dict[bytes, int]) -> None:
         step: dict[int, int] = {}
@@ -275,6 +341,9 @@ class ByteBpe:
         self.trie_keys = np.array(sorted(step), np.int64)
         self.trie_next = np.array([step[k] for k in self.trie_keys.tolist()], np.int64)
         self.trie_place = Places(self.trie_keys)
+        # the node after two bytes
+        one = np.array([step.get(b, -1) for b in range(256)])
+        self.trie_two = np.array([step.get(a << 8 | b, -1) if a >= 0 else -1 for a in one.tolist() for b in range(256)], np.int64)
         self.trie_token = np.full(len(step) + 1, -1)
         self.trie_token[list(ends)] = list(ends.values())
 
@@ -301,32 +370,39 @@ class ByteBpe:
 
     def propose(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Greedy longest match: tokens of all words, and the word of each."""
-        at, word = offsets[:-1].copy(), np.arange(len(offsets) - 1)
+        word = np.flatnonzero(np.diff(offsets))
+        at, last = offsets[word], offsets[word + 1]
         out_token, out_word = [], []
-        while True:
-            some = at[word] < offsets[word + 1]
-            word = word[some]
-            if not len(word):
-                break
-            best, stop = np.full(len(word), -1), at[word].copy()
-            live, node, p = np.arange(len(word)), np.zeros(len(word), np.int64), at[word]
+        while len(word):
+            first = data[at]
+            best, stop = self.single[first], at + 1
+            live = np.flatnonzero(stop < last)
+            node = self.trie_two[first[live].astype(np.int64) << 8 | data[stop[live]]]
+            goes = node >= 0
+            live, node = live[goes], node[goes]
+            p = stop[live] + 1
             while len(live):
-                k = self.trie_place.find(node << 8 | data[p])
-                goes = k < len(self.trie_keys)
-                live, node, p = live[goes], self.trie_next[k[goes]], p[goes] + 1
                 token = self.trie_token[node]
                 whole = token >= 0
                 best[live[whole]], stop[live[whole]] = token[whole], p[whole]
-                inside = p < offsets[word[live] + 1]
+                inside = p < last[live]
                 live, node, p = live[inside], node[inside], p[inside]
+                k = self.trie_place.find(node << 8 | data[p])
+                goes = k < len(self.trie_keys)
+                live, node, p = live[goes], self.trie_next[k[goes]], p[goes] + 1
             out_token.append(best)
             out_word.append(word)
-            at[word] = stop
-        if not out_token:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        token, of = np.concatenate(out_token), np.concatenate(out_word)
-        order = np.argsort(of, kind="stable")
-        return token[order], of[order]
+            some = stop < last
+            word, at, last = word[some], stop[some], last[some]
+        # the k-th step gives the k-th token of each word that it still meets
+        count = np.zeros(len(offsets) - 1, np.int64)
+        for w in out_word:
+            count[w] += 1
+        start = np.cumsum(count) - count
+        out = np.zeros(int(count.sum()), np.int64)
+        for k, (t, w) in enumerate(zip(out_token, out_word, strict=True)):
+            out[start[w] + k] = t
+        return out, np.arange(len(count)).repeat(count)
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether BPE leaves each pair of tokens side by side as it is."""
@@ -348,30 +424,64 @@ class ByteBpe:
 
     def merge(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Exact BPE of all words from their bytes: in each round every word does its first merge."""
-        token, word = self.single[data], np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        done_token, done_word = [], []
-        while len(token):
-            place, rank = self._pairs(token[:-1], token[1:])
-            rank = np.append(np.where(word[1:] == word[:-1], rank, NEVER), NEVER)
-            place = np.append(place, 0)
-            begin = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            least = np.repeat(np.minimum.reduceat(rank, begin), np.diff(np.append(begin, len(word))))
-            hit = np.flatnonzero((rank == least) & (least < NEVER))
-            _, lead = np.unique(word[hit], return_index=True)
-            hit = hit[lead]
-            ended = least == NEVER
-            done_token.append(token[ended])
-            done_word.append(word[ended])
-            token[hit] = self.pair_made[place[hit]]
-            stays = ~ended
-            stays[hit + 1] = False
-            token, word = token[stays], word[stays]
-        if not done_token:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        token, word = np.concatenate(done_token), np.concatenate(done_word)
+        size = np.diff(offsets)
+        token, word, least = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        for most in (8, 16, 64, LONG):
+            some = np.flatnonzero((size > least) & (size <= most))
+            if len(some):
+                tokens, of = self._merge_grid(data, offsets[some], size[some])
+                token.append(tokens)
+                word.append(some[of])
+            least = most
+        token, word = np.concatenate(token), np.concatenate(word)
         order = np.argsort(word, kind="stable")
         return token[order], word[order]
 
+    def _merge_grid(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``merge`` of words of up to ``LONG`` bytes: a column a word, a row a byte; a merged symbol stays in its first row.
+
+        The row below the last stands for no symbol; it makes no pair.
+        """
+        n, last = len(starts), int(sizes.max())
+        row = np.arange(last)[:, None]
+        inside = row < sizes
+        byte = data[np.where(inside, starts + row, 0)]
+        nothing = -self.size * (self.size + 2)
+        token, after, before = np.full((last + 1, n), nothing, np.int64), np.full((last + 1, n), last), np.full((last + 1, n), last)
+        token[:-1][inside] = self.single[byte[inside]]
+        after[:-2] = np.where(inside[1:], row[1:], last)
+        before[1:-1] = row[:-1]
+        # rank and row of the pair that begins in each row, by column
+        key = np.full((last + 1, n), self.pair_first[-1])
+        pair = inside[1:]
+        key[:-2][pair] = self.byte_first[byte[:-1][pair].astype(np.int64) << 8 | byte[1:][pair]]
+        key[:-1] |= row.astype(key.dtype)
+        flat_token, flat_after, flat_before = token.ravel(), after.ravel(), before.ravel()
+        column = np.arange(n)
+        while True:
+            first = key.min(0)
+            live = np.flatnonzero(first < self.pair_first[-1])
+            if not len(live):
+                break
+            if 2 * len(live) < len(column):
+                key, column, first, live = np.ascontiguousarray(key[:, live]), column[live], first[live], np.arange(len(live))
+            first, own, width, flat_key = first[live].astype(np.int64), column[live], len(column), key.ravel()
+            p = first & LONG - 1
+            at = p * n + own
+            q, o = flat_after[at], flat_before[at]
+            gone = q * n + own
+            r = flat_after[gone]
+            made = self.rank_made[first >> LONG_BITS]
+            flat_token[at], flat_token[gone] = made, nothing
+            flat_after[at], flat_before[r * n + own] = r, p
+            pairs = np.concatenate([flat_token[o * n + own] * self.size + made, made * self.size + flat_token[r * n + own]])
+            held = self.pair_first[self.pair_place.find(pairs)]
+            flat_key[q * width + live] = self.pair_first[-1]
+            flat_key[o * width + live], flat_key[p * width + live] = held[: len(o)] | o.astype(key.dtype), held[len(o) :] | p.astype(key.dtype)
+        token = np.ascontiguousarray(token[:-1].T)
+        stays = token >= 0
+        return token[stays], np.nonzero(stays)[0]
+
     def propose_long(self, word: bytes) -> np.ndarray:
         """Greedy longest match of one word."""
         step, ends, out = self.trie_step.get, self.trie_end.get, []
@@ -419,30 +529,33 @@ class ByteBpe:
         key = np.unique(token[:-1] * self.size + token[1:])
         return token if self.compatible(key // self.size, key % self.size).all() else self.merge_long(word)
 
-    def encode_words(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def encode_words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all words, one after another, and their number in each."""
-        far = [i for i, w in enumerate(new) if len(w) > LONG]
-        token, word = self._encode_short([b"" if len(w) > LONG else w for w in new] if far else new)
-        if far:
-            more = [self._encode_long(new[i]) for i in far]
+        size = np.diff(offsets)
+        far = np.flatnonzero(size > LONG)
+        if not len(far):
+            token, word = self._encode_short(data, offsets)
+        else:
+            near = np.flatnonzero(size <= LONG)
+            token, word = self._encode_short(*gather(data, offsets[near], size[near]))
+            more = [self._encode_long(data[offsets[i] : offsets[i + 1]].tobytes()) for i in far.tolist()]
             token = np.concatenate([token, *more])
-            word = np.concatenate([word, np.repeat(far, [len(x) for x in more])])
+            word = np.concatenate([near[word], np.repeat(far, [len(x) for x in more])])
             order = np.argsort(word, kind="stable")
             token, word = token[order], word[order]
-        return token, np.bincount(word, minlength=len(new))
+        return token, np.bincount(word, minlength=len(size))
 
-    def _encode_short(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        data = np.frombuffer(b"".join(new), np.uint8)
-        offsets = np.append(0, np.cumsum([len(w) for w in new]))
+    def _encode_short(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         token, word = self.propose(data, offsets)
         inner = np.flatnonzero(word[1:] == word[:-1])
-        key, back = np.unique(token[inner] * self.size + token[inner + 1], return_inverse=True)
-        bad = inner[~self.compatible(key // self.size, key % self.size)[back]]
-        failed = np.unique(word[bad])
+        back, key = pd.factorize(token[inner] * self.size + token[inner + 1])
+        wrong = np.zeros(len(offsets) - 1, bool)
+        wrong[word[inner[~self.compatible(key // self.size, key % self.size)[back]]]] = True
+        failed = np.flatnonzero(wrong)
         if len(failed):
             again, bounds = gather(data, offsets[failed], np.diff(offsets)[failed])
             more, of = self.merge(again, bounds)
-            keep = ~np.isin(word, failed)
+            keep = ~wrong[word]
             token, word = np.concatenate([token[keep], more]), np.concatenate([word[keep], failed[of]])
             order = np.argsort(word, kind="stable")
             token, word = token[order], word[order]

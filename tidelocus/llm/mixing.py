@@ -11,8 +11,8 @@ Their weights depend on how sure the first two are.  The encoder knows the whole
 predictions of all places by sorting them by what came before, and stores as weights how often each prediction came true in each
 of these cases.  What is left in lockstep, one id of each block in a step, is the range coder, and in reading the look-up of the predictions.
 
-The range coder is carryless, of 64 bits, and emits words of 32.  In the range order 2 comes first, then order 1, then the
-counts.  All arithmetic is exact in integers, so that any machine reads what another wrote.
+The range coder has 64 bits, emits words of 32, and carries into those it has emitted.  In the range order 2 comes first, then
+order 1, then the counts.  All arithmetic is exact in integers, so that any machine reads what another wrote.
 
 A block's bytes: ``MAGIC``, bits of an id (1), version (1), number of ids (4), CRC-32 of the ids as 4-byte numbers (4), size of the
 table (4), the table (packed: which cases occur, their weights, steps between distinct ids, counts), code.
@@ -26,7 +26,7 @@ import zlib
 import numpy as np
 import pandas as pd
 
-MAGIC, VERSION, HEAD = b"TLCM", 2, "<4sBBIII"
+MAGIC, VERSION, HEAD = b"TLCM", 3, "<4sBBIII"
 #: Most ids of a block: contexts and numbers have 12 bits.
 BLOCK = 4096
 #: What the weights of a case add up to, and how many cases there are: (how sure order 2 is, how sure order 1 is), 0 to 2 of 4 each.
@@ -34,11 +34,11 @@ WHOLE, CASES = 256, 16
 #: Bits of a slot of order 2, and how many blocks are planned at once.
 CONTEXT, GROUP = 12, 16
 #: As arrays, which numpy takes faster than Python's numbers.
-_BITS, _CASE_BITS, _NUMBER, _SIZE, _HALF, _NONE, _FACTOR, _SLOT = (np.array(x) for x in (12, 2, BLOCK - 1, BLOCK, 16, 0, 1597, (1 << CONTEXT) - 1))
-_COUNT = np.array(0xFFFF)
+_NUMBER, _SIZE, _CASE_BITS, _CASE_HIGH, _BITS = (np.array(x, np.uint16) for x in (BLOCK - 1, BLOCK, 10, 12, 12))
+_NONE, _HALF, _FACTOR, _SLOT, _COUNT = (np.array(x) for x in (0, 16, 1597, (1 << CONTEXT) - 1, 0xFFFF))
 _WORD, _LOW32, _FULL = np.uint64(32), np.uint64((1 << 32) - 1), np.uint64((1 << 64) - 1)
-#: A range that lies in one word's reach gives the word away; a smaller one than the second is cut so that it does.
-_TOP, _BOTTOM = np.uint64(1 << 32), np.uint64(1 << 28)
+#: A smaller range gives a word away.
+_TOP = np.uint64(1 << 32)
 _DAMAGED = "a block's ids don't have its checksum"
 
 
@@ -77,8 +77,8 @@ def _followers(context: np.ndarray, number: np.ndarray, place: np.ndarray) -> tu
     return out >> 1, (out & 1).view(bool)
 
 
-def _planned(blocks: list[np.ndarray]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The tables of up to ``GROUP`` blocks, and of their ids, one after another, where the part of the range begins and its size.
+def _planned(blocks: list[np.ndarray]) -> tuple[list[bytes], np.ndarray]:
+    """The tables of up to ``GROUP`` blocks, and of their ids, one after another, where the part of the range begins (the lower half) and its size.
 
     The range has ``WHOLE`` times as many parts as the block has ids.
     """
@@ -123,13 +123,16 @@ def _planned(blocks: list[np.ndarray]) -> tuple[list[bytes], np.ndarray, np.ndar
     planes = [x.astype(f"<u{size}").view(np.uint8).reshape(-1, size)[:, k].tobytes() for x, size in ((steps, 4), (count, 2)) for k in range(size)]
     at = ends.tolist()
     tables = [zlib.compress(b"".join((np.packbits(used[k]).tobytes(), small[k][used[k]].tobytes(), *(x[at[k] : at[k + 1]] for x in planes))), 1) for k in range(len(blocks))]
-    # by case and kind: where the part begins, its size, and how often the id's own counts are added to both
-    base, fixed, each = np.zeros((3, len(blocks), CASES, 4), np.int64)
+    # by case and kind: where the part begins and its size, and how often the id's own counts are added to both
+    fixed, each = np.zeros((2, len(blocks), CASES, 4), np.int64)
     scale = sizes[:, None]
-    base[:, :, 1], base[:, :, 2] = weight[:, :, 0] * scale, (weight[:, :, 0] + weight[:, :, 1]) * scale
-    fixed[:, :, :2], each[:, :, 2] = weight[:, :, :2] * scale[:, :, None], weight[:, :, 2]
-    times = each.ravel()[row]
-    return tables, base.ravel()[row] + times * start[of], fixed.ravel()[row] + times * count[of]
+    fixed[:, :, 1], fixed[:, :, 2] = weight[:, :, 0] * scale, (weight[:, :, 0] + weight[:, :, 1]) * scale
+    fixed[:, :, :2] += weight[:, :, :2] * scale[:, :, None] << 32
+    each[:, :, 2] = weight[:, :, 2]
+    parts = (count << 32 | start).take(of)
+    parts *= each.take(row)
+    parts += fixed.take(row)
+    return tables, parts.view(np.uint64)
 
 
 def _table(packed: bytes, n: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,21 +169,6 @@ def _parts(sizes: np.ndarray):
     return all_[0] if (all_ == all_[0]).all() else all_
 
 
-def _given(low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The lanes that give away a word, and their ``low`` before; none has a second word to give."""
-    some = np.flatnonzero(width < _TOP)
-    moved, range_ = low[some], width[some]
-    close = (moved ^ (moved + range_)) < _TOP
-    go = close | (range_ < _BOTTOM)
-    if not go.all():
-        some, moved, range_, close = some[go], moved[go], range_[go], close[go]
-    if not close.all():
-        range_ = np.where(close, range_, (np.uint64(0) - moved) & _LOW32)
-    low[some] = moved << _WORD
-    width[some] = range_ << _WORD
-    return some, moved
-
-
 def encode_blocks(blocks: list[np.ndarray], bits: int) -> list[bytes]:
     """Each block's bytes; a block has at most ``BLOCK`` ids of ``bits`` bits."""
     if not blocks:
@@ -192,31 +180,46 @@ def encode_blocks(blocks: list[np.ndarray], bits: int) -> list[bytes]:
     if most > BLOCK:
         raise ValueError("a block has too many ids")
     falling_blocks = [np.asarray(blocks[b]) for b in order.tolist()]
-    begins, widths = np.zeros((n, most), np.uint32), np.zeros((n, most), np.uint32)
+    spans = np.zeros((most, n), np.uint64)
     tables = [b""] * n
     for base in range(0, int((falling > 0).sum()), GROUP):
         some = [b for b in falling_blocks[base : base + GROUP] if len(b)]
         if any(b.min() < 0 or int(b.max()) >> bits for b in some):
             raise ValueError("an id is outside the vocabulary")
-        tables[base : base + len(some)], begin, size = _planned(some)
-        at = 0
-        for lane, b in enumerate(some, base):
-            begins[lane, : len(b)], widths[lane, : len(b)] = begin[at : at + len(b)], size[at : at + len(b)]
-            at += len(b)
-    begins, widths = np.ascontiguousarray(begins.T), np.ascontiguousarray(widths.T)
+        tables[base : base + len(some)], parts = _planned(some)
+        longest = len(some[0])
+        if longest * len(some) == len(parts):
+            spans[:longest, base : base + len(some)] = parts.reshape(-1, longest).T
+        else:
+            at = 0
+            for lane, b in enumerate(some, base):
+                spans[: len(b), lane] = parts[at : at + len(b)]
+                at += len(b)
     out = np.zeros((most + 2, n), np.uint32)
-    flat, used = out.ravel(), np.zeros(n, np.int64)
+    # places in ``out``
+    flat, used = out.ravel(), np.arange(n)
     low_all, range_all = np.zeros(n, np.uint64), np.full(n, _FULL)
     for first, last, lanes in _spans(falling):
         low, width, place, parts = low_all[:lanes], range_all[:lanes], used[:lanes], _parts(falling[:lanes])
         for t in range(first, last):
-            part = width // parts
-            low += part * begins[t, :lanes]
-            np.multiply(part, widths[t, :lanes], out=width)
-            go, moved = _given(low, width)
-            to = place[go]
-            flat[to * n + go] = moved >> _WORD
-            place[go] = to + 1
+            part, span = width // parts, spans[t, :lanes]
+            np.multiply(part, span >> _WORD, out=width)
+            part *= span & _LOW32
+            low += part
+            carry = np.flatnonzero(low < part)
+            if len(carry):
+                to = place[carry]
+                while len(to):
+                    to = to - n
+                    flat[to] += np.uint32(1)
+                    to = to[flat[to] == 0]
+            go = np.flatnonzero(width < _TOP)
+            moved, to = low.take(go), place.take(go)
+            flat[to] = moved >> _WORD
+            low[go] = moved << _WORD
+            width[go] = width.take(go) << _WORD
+            place[go] = to + n
+    used //= n
     lane = np.arange(n)
     flat[used * n + lane] = low_all >> _WORD
     flat[(used + 1) * n + lane] = low_all & _LOW32
@@ -259,35 +262,38 @@ class Reader:
         at2 = _context(self.last, self.before)
         at2 += self.contexts
         at1 = self.numbers + self.last
-        s2, s1 = self.slots2[at2].astype(np.int64), self.slots1[at1].astype(np.int64)
-        row = s2 >> _BITS
-        row <<= _CASE_BITS
-        row += s1 >> _BITS
-        row += self.cases
+        s2, s1 = self.slots2.take(at2), self.slots1.take(at1)
+        case = s2 >> _CASE_BITS
+        case &= _CASE_HIGH
+        case |= s1 >> _BITS
+        row = self.cases + case
         s2 &= _NUMBER
         s1 &= _NUMBER
-        end2, end1, each = self.end2[row], self.end1[row], self.each[row]
+        end2, end1, each = self.end2.take(row), self.end1.take(row), self.each.take(row)
         in2, in1 = target < end2, target < end1
         # beside the counts the quotient means nothing; it is at most the number of ids less one
         rest = target - end1
         rest //= each
         np.maximum(rest, _NONE, out=rest)
         rest += self.places
-        number = self.slots[rest].astype(np.int64)
-        held = self.held[number + self.numbers].astype(np.int64)
+        number = self.slots.take(rest)
+        held = self.held.take(self.numbers + number).astype(np.int64)
         size = held & _COUNT
         size *= each
         held >>= _HALF
         held *= each
         held += end1
-        for to, first, second in ((number, s1, s2), (held, end2, _NONE), (size, end1 - end2, end2)):
-            np.copyto(to, first, where=in1)
-            np.copyto(to, second, where=in2)
+        # order 2 lies in what order 1 ends
+        number = np.where(in2, s2, np.where(in1, s1, number))
+        begin = np.where(in1, end2, held)
+        begin *= ~in2
+        size = np.where(in2, end2, np.where(in1, end1 - end2, size))
         own = number + _SIZE
-        self.slots2[at2] = own + (number == s2) * _SIZE
-        self.slots1[at1] = own + (number == s1) * _SIZE
-        self.before, self.last = self.last, number
-        return number, held, size
+        again = own + _SIZE
+        self.slots2[at2] = np.where(number == s2, again, own)
+        self.slots1[at1] = np.where(number == s1, again, own)
+        self.before, self.last = self.last, number.astype(np.int64)
+        return number, begin, size
 
 
 def decode_blocks(coded: list[bytes]) -> list[np.ndarray]:
@@ -312,25 +318,28 @@ def decode_blocks(coded: list[bytes]) -> list[np.ndarray]:
             held = np.frombuffer(coded[b], "<u4", (len(coded[b]) - from_) // 4, from_)
             words[lane, : len(held)] = held
         words = np.ascontiguousarray(words.T)
-        flat, last_word = words.ravel(), len(words) - 1
+        flat, last_word = words.ravel(), words.size - 1
         reader, numbers = Reader(tables, falling), np.zeros((most, n), np.uint16)
-        low_all, range_all = np.zeros(n, np.uint64), np.full(n, _FULL)
+        range_all = np.full(n, _FULL)
         code_all = words[0].astype(np.uint64) << _WORD | words[1]
-        used = np.full(n, 2, np.int64)
+        # places in ``words``
+        used = np.arange(2 * n, 3 * n)
         for first, last, lanes in _spans(falling):
             reader.narrow(lanes)
-            low, width, place, code, parts = low_all[:lanes], range_all[:lanes], used[:lanes], code_all[:lanes], _parts(falling[:lanes])
+            width, place, code, parts = range_all[:lanes], used[:lanes], code_all[:lanes], _parts(falling[:lanes])
             most_ = parts - np.uint64(1)
             for t in range(first, last):
                 part = width // parts
-                target = np.minimum((code - low) // part, most_).view(np.int64)
+                target = np.minimum(code // part, most_).view(np.int64)
                 numbers[t, :lanes], begin, size = reader.find(target)
-                low += part * begin.view(np.uint64)
                 np.multiply(part, size.view(np.uint64), out=width)
-                go, _ = _given(low, width)
-                to = place[go]
-                code[go] = code[go] << _WORD | flat[np.minimum(to, last_word) * n + go]
-                place[go] = to + 1
+                part *= begin.view(np.uint64)
+                code -= part
+                go = np.flatnonzero(width < _TOP)
+                to = place.take(go)
+                code[go] = code.take(go) << _WORD | flat.take(np.minimum(to, last_word))
+                width[go] = width.take(go) << _WORD
+                place[go] = to + n
         numbers = np.ascontiguousarray(numbers.T)
         for lane, b in enumerate(order.tolist()):
             results[b] = tables[lane][1][numbers[lane, : sizes[b]]].astype(np.uint32)
