@@ -62,29 +62,37 @@ def classes() -> np.ndarray:
     return out
 
 
-def characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each character of UTF-8 bytes starts, and its class."""
-    at = np.flatnonzero((data & 0xC0) != 0x80)
-    lead = data[at]
-    kinds = classes()[:128][np.minimum(lead, 127)]
-    wide = np.flatnonzero(lead >= 0x80)
-    if len(wide):
-        place, first = at[wide], lead[wide].astype(np.int64)
+@lru_cache(1)
+def _ascii() -> bytes:
+    """The class of each byte below 0x80, else 0."""
+    return classes()[:128].tobytes() + bytes(128)
+
+
+def characters(data: np.ndarray) -> np.ndarray:
+    """For each of the bytes in UTF-8 the class of its character."""
+    kinds = np.frombuffer(bytearray(data).translate(_ascii()), np.uint8)
+    place = np.flatnonzero(data >= 0xC0)
+    if len(place):
+        first = data[place].astype(np.int64)
         size = 2 + (first >= 0xE0) + (first >= 0xF0)
         point = np.where(size == 2, first & 0x1F, np.where(size == 3, first & 0x0F, first & 0x07))
         for k in (1, 2, 3):
-            more = size > k
+            more = slice(None) if k == 1 else np.flatnonzero(size > k)
             point[more] = point[more] << 6 | data[place[more] + k] & 0x3F
-        kinds[wide] = classes()[point]
-    return at, kinds
+        own = classes()[point]
+        kinds[place] = kinds[place + 1] = own
+        for k in (2, 3):
+            more = np.flatnonzero(size > k)
+            kinds[place[more] + k] = own[more]
+    return kinds
 
 
 def words(data: np.ndarray, offsets: np.ndarray, special: tuple[bytes, ...] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[int, int]]:
     """Word starts, ends, each text's first word (n + 1), and {word: index of special} for special strings."""
-    at, kind = characters(data)
-    n = len(at)
+    kind = characters(data)
+    n = len(data)
     cut = np.zeros(n + 1, bool)
-    cut[np.searchsorted(at, offsets)] = True
+    cut[offsets] = True
     marks: list[tuple[int, int, int]] = []
     text = None
     for k, s in enumerate(special):
@@ -93,28 +101,35 @@ def words(data: np.ndarray, offsets: np.ndarray, special: tuple[bytes, ...] = ()
         while p >= 0:
             q = p + len(s)
             if np.searchsorted(offsets, p, "right") == np.searchsorted(offsets, q, "left"):
-                marks.append((int(np.searchsorted(at, p)), int(np.searchsorted(at, q)), k))
+                marks.append((p, q, k))
                 p = text.find(s, q)
             else:
                 p = text.find(s, p + 1)
     for a, b, _ in marks:
         cut[a] = cut[b] = True
     space = kind == SPACE
-    last = np.append(kind[:1], kind[:-1])
-    opens = cut[:n] | (kind != last)
+    opens = cut[:n].copy()
+    opens[1:] |= kind[1:] != kind[:-1]
     joined = ~space & opens & ~cut[:n]
-    joined[1:] &= data[at[:-1]] == 0x20
+    joined[1:] &= data[:-1] == 0x20
     closing = space.copy()
     closing[:-1] &= ~space[1:] & ~cut[1:n]
     closing[-1:] = False
+    wide = np.flatnonzero(closing & (data >= 0x80))
+    if len(wide):
+        # from the last byte of a character to its first
+        closing[wide] = False
+        while len(inner := np.flatnonzero(data[wide] < 0xC0)):
+            wide[inner] -= 1
+        closing[wide] = True
     start = np.append((opens & ~joined) | closing, True)
-    quote = np.flatnonzero((data[at] == 0x27) & start[:n]) if n else np.zeros(0, np.int64)
+    quote = np.flatnonzero((data == 0x27) & start[:n])
     if len(quote):
         taken = np.zeros(n + 1, bool)
         for tail in CONTRACTIONS:
             fits = quote[quote + len(tail) < n]
             for k, c in enumerate(tail, 1):
-                fits = fits[(data[at[fits + k]] == ord(c)) & ~cut[fits + k]]
+                fits = fits[(data[fits + k] == ord(c)) & ~cut[fits + k]]
             fits = fits[~taken[fits]]
             taken[fits] = True
             start[fits + 1] = False
@@ -122,9 +137,9 @@ def words(data: np.ndarray, offsets: np.ndarray, special: tuple[bytes, ...] = ()
     for a, b, _ in marks:
         start[a + 1 : b] = False
         start[a] = start[b] = True
-    starts = at[np.flatnonzero(start[:n])]
-    ends = np.append(starts[1:], len(data))[: len(starts)]
-    return starts, ends, np.searchsorted(starts, offsets), {int(np.searchsorted(starts, at[a])): k for a, _, k in marks}
+    starts = np.flatnonzero(start[:n])
+    ends = np.append(starts[1:], n)[: len(starts)]
+    return starts, ends, np.searchsorted(starts, offsets), {int(np.searchsorted(starts, a)): k for a, _, k in marks}
 
 
 def _longer(values: np.ndarray, least: int) -> np.ndarray:
