@@ -31,11 +31,12 @@ MAGIC, VERSION, HEAD = b"TLCM", 3, "<4sBBIII"
 BLOCK = 4096
 #: What the weights of a case add up to, and how many cases there are: (how sure order 2 is, how sure order 1 is), 0 to 2 of 4 each.
 WHOLE, CASES = 256, 16
-#: Bits of a slot of order 2, and how many blocks are planned at once.
+#: Bits of a slot of order 2, and how many blocks of one size are planned at once.
 CONTEXT, GROUP = 12, 16
 #: As arrays, which numpy takes faster than Python's numbers.
 _NUMBER, _SIZE, _CASE_BITS, _CASE_HIGH, _BITS = (np.array(x, np.uint16) for x in (BLOCK - 1, BLOCK, 10, 12, 12))
 _NONE, _HALF, _FACTOR, _SLOT, _COUNT = (np.array(x) for x in (0, 16, 1597, (1 << CONTEXT) - 1, 0xFFFF))
+_BITS32, _NUMBER32 = np.uint32(12), np.uint32(BLOCK - 1)
 _WORD, _LOW32, _FULL = np.uint64(32), np.uint64((1 << 32) - 1), np.uint64((1 << 64) - 1)
 #: A smaller range gives a word away.
 _TOP = np.uint64(1 << 32)
@@ -52,67 +53,65 @@ def _context(last: np.ndarray, before: np.ndarray) -> np.ndarray:
     return before * _FACTOR + last & _SLOT
 
 
-def _followers(context: np.ndarray, number: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """At each place: how sure is what came last after the same context, and whether it comes again.
+def _followers(context: np.ndarray, number: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """At each place of blocks (rows): how sure is what came last after the same context, and whether it comes again.
 
     Sure is 0 if nothing has come, 2 if what came last had come again itself, else 1.  A number that nothing points to yet counts as 0.
+    ``lead`` is the index of each block's first place.
     """
-    keys = context << 32
-    keys |= place
-    keys |= number
-    keys.sort()
-    after = keys & 0xFFFF
-    same = np.zeros(len(keys), bool)
-    np.less(keys[1:] ^ keys[:-1], 1 << 32, out=same[1:])
-    guess = np.zeros(len(keys), np.int64)
-    np.multiply(after[:-1], same[1:], out=guess[1:])
+    keys = context << _BITS32
+    keys |= np.arange(keys.shape[1], dtype=np.uint32)
+    keys.sort(axis=1)
+    same = np.zeros(keys.shape, bool)
+    np.less(keys[:, 1:] ^ keys[:, :-1], BLOCK, out=same[:, 1:])
+    keys &= _NUMBER32
+    at = keys + lead
+    after = number.take(at)
+    guess = np.zeros(keys.shape, np.uint32)
+    np.multiply(after[:, :-1], same[:, 1:], out=guess[:, 1:])
     hit = after == guess
-    found = same.astype(np.uint8) << 1
-    found[1:] += (same[1:] & hit[:-1]).view(np.uint8) << 1
+    found = same.view(np.uint8) << 1
+    found[:, 1:] += (same[:, 1:] & hit[:, :-1]).view(np.uint8) << 1
     found |= (hit & same).view(np.uint8)
-    keys >>= 16
-    keys &= 0xFFFF
-    out = np.empty(len(keys), np.uint8)
-    out[keys] = found
+    out = np.empty(keys.size, np.uint8)
+    out[at.ravel()] = found.ravel()
     return out >> 1, (out & 1).view(bool)
 
 
-def _planned(blocks: list[np.ndarray]) -> tuple[list[bytes], np.ndarray]:
-    """The tables of up to ``GROUP`` blocks, and of their ids, one after another, where the part of the range begins (the lower half) and its size.
+def _planned(blocks: np.ndarray, bits: int) -> tuple[list[bytes], np.ndarray]:
+    """The tables of up to ``GROUP`` blocks of one size (rows), and for each id where the part of the range begins (the lower half) and its size.
 
     The range has ``WHOLE`` times as many parts as the block has ids.
     """
-    sizes = np.array([len(b) for b in blocks])
-    first = np.cumsum(sizes) - sizes
-    block = np.arange(len(blocks)).repeat(sizes)
-    n, place = len(block), np.arange(len(block)) << 16
-    # numbers: places sorted by block and id
-    keys = np.concatenate(blocks).astype(np.int64) << 16
-    keys |= block << 48
-    keys |= place >> 16
-    keys.sort()
-    new = np.ones(n, bool)
-    np.not_equal(keys[1:] >> 16, keys[:-1] >> 16, out=new[1:])
-    lead = np.flatnonzero(new)
-    own = keys[lead] >> 48
-    distinct = keys[lead] >> 16 & 0xFFFFFFFF
-    count, start = np.diff(np.append(lead, n)), lead - first[own]
-    ends = np.searchsorted(own, np.arange(len(blocks) + 1))
-    of = np.empty(n, np.int64)
-    of[keys & 0xFFFF] = np.cumsum(new) - 1
-    number = of - ends[block]
-    last, before = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    last[1:], before[2:] = number[:-1], number[:-2]
-    last[first] = before[first] = 0
-    before[first[sizes > 1] + 1] = 0
-    shifted = block << CONTEXT
-    sure2, hit2 = _followers(shifted + _context(last, before), number, place)
-    sure1, hit1 = _followers((block << 12) + last, number, place)
+    n, size = blocks.shape
+    block, lead = np.arange(n), np.arange(0, n * size, size)[:, None]
+    # numbers: places sorted by id
+    kind = np.uint32 if bits <= 20 else np.uint64
+    keys = blocks.astype(kind) << kind(12)
+    keys |= np.arange(size, dtype=kind)
+    keys.sort(axis=1)
+    place = (keys & kind(BLOCK - 1)).astype(np.int64)
+    place += lead
+    keys >>= kind(12)
+    new = np.ones(keys.shape, bool)
+    np.not_equal(keys[:, 1:], keys[:, :-1], out=new[:, 1:])
+    begin = np.flatnonzero(new)
+    own, distinct = begin // size, keys.ravel()[begin].astype(np.int64)
+    count, start = np.diff(np.append(begin, n * size)), begin % size
+    ends = np.searchsorted(own, np.arange(n + 1))
+    number = np.empty(keys.shape, np.uint32)
+    number.ravel()[place.ravel()] = (np.cumsum(new, axis=1, dtype=np.uint32) - np.uint32(1)).ravel()
+    last, before = np.zeros(keys.shape, np.uint32), np.zeros(keys.shape, np.uint32)
+    last[:, 1:], before[:, 2:] = number[:, :-1], number[:, :-2]
+    sure2, hit2 = _followers(before * np.uint32(_FACTOR) + last & np.uint32(_SLOT), number, lead)
+    sure1, hit1 = _followers(last, number, lead)
+    of = (number + ends[:-1, None]).ravel()
+    block = block.repeat(size)
     case = (sure2 << 4) + (sure1 << 2) + np.where(hit2, np.uint8(0), np.uint8(2) - hit1.view(np.uint8))
     row = block * (4 * CASES) + case
-    tally = np.bincount(row, minlength=4 * CASES * len(blocks)).reshape(-1, CASES, 4)[:, :, :3]
+    tally = np.bincount(row, minlength=4 * CASES * n).reshape(-1, CASES, 4)[:, :, :3]
     whole = tally.sum(2)
-    weight = np.zeros((len(blocks), CASES, 3), np.int64)
+    weight = np.zeros((n, CASES, 3), np.int64)
     # what has come true has a weight of 1 at least, and order 0 always has one
     weight[:, :, :2] = np.maximum((WHOLE - 3) * tally[:, :, :2] // np.maximum(whole, 1)[:, :, None], tally[:, :, :2] > 0)
     weight[:, :, 2] = WHOLE - weight[:, :, 0] - weight[:, :, 1]
@@ -122,17 +121,16 @@ def _planned(blocks: list[np.ndarray]) -> tuple[list[bytes], np.ndarray]:
     steps[ends[:-1]] = distinct[ends[:-1]]
     planes = [x.astype(f"<u{size}").view(np.uint8).reshape(-1, size)[:, k].tobytes() for x, size in ((steps, 4), (count, 2)) for k in range(size)]
     at = ends.tolist()
-    tables = [zlib.compress(b"".join((np.packbits(used[k]).tobytes(), small[k][used[k]].tobytes(), *(x[at[k] : at[k + 1]] for x in planes))), 1) for k in range(len(blocks))]
+    tables = [zlib.compress(b"".join((np.packbits(used[k]).tobytes(), small[k][used[k]].tobytes(), *(x[at[k] : at[k + 1]] for x in planes))), 1) for k in range(n)]
     # by case and kind: where the part begins and its size, and how often the id's own counts are added to both
-    fixed, each = np.zeros((2, len(blocks), CASES, 4), np.int64)
-    scale = sizes[:, None]
-    fixed[:, :, 1], fixed[:, :, 2] = weight[:, :, 0] * scale, (weight[:, :, 0] + weight[:, :, 1]) * scale
-    fixed[:, :, :2] += weight[:, :, :2] * scale[:, :, None] << 32
+    fixed, each = np.zeros((2, n, CASES, 4), np.int64)
+    fixed[:, :, 1], fixed[:, :, 2] = weight[:, :, 0] * size, (weight[:, :, 0] + weight[:, :, 1]) * size
+    fixed[:, :, :2] += weight[:, :, :2] * size << 32
     each[:, :, 2] = weight[:, :, 2]
     parts = (count << 32 | start).take(of)
     parts *= each.take(row)
     parts += fixed.take(row)
-    return tables, parts.view(np.uint64)
+    return tables, parts.view(np.uint64).reshape(n, size)
 
 
 def _table(packed: bytes, n: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -182,19 +180,16 @@ def encode_blocks(blocks: list[np.ndarray], bits: int) -> list[bytes]:
     falling_blocks = [np.asarray(blocks[b]) for b in order.tolist()]
     spans = np.zeros((most, n), np.uint64)
     tables = [b""] * n
-    for base in range(0, int((falling > 0).sum()), GROUP):
-        some = [b for b in falling_blocks[base : base + GROUP] if len(b)]
-        if any(b.min() < 0 or int(b.max()) >> bits for b in some):
+    base, busy = 0, int((falling > 0).sum())
+    while base < busy:
+        size = int(falling[base])
+        to = min(base + GROUP, int(np.searchsorted(-falling, -size, "right")))
+        some = np.stack(falling_blocks[base:to])
+        if some.min() < 0 or int(some.max()) >> bits:
             raise ValueError("an id is outside the vocabulary")
-        tables[base : base + len(some)], parts = _planned(some)
-        longest = len(some[0])
-        if longest * len(some) == len(parts):
-            spans[:longest, base : base + len(some)] = parts.reshape(-1, longest).T
-        else:
-            at = 0
-            for lane, b in enumerate(some, base):
-                spans[: len(b), lane] = parts[at : at + len(b)]
-                at += len(b)
+        tables[base:to], parts = _planned(some, bits)
+        spans[:size, base:to] = parts.T
+        base = to
     out = np.zeros((most + 2, n), np.uint32)
     # places in ``out``
     flat, used = out.ravel(), np.arange(n)
